@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets
+from . import chat, chunks, hmm, mixing, pieces, secrets, tokencount
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op5_token_counts": tokencount.op5_token_counts,
     "op7_chat_format": chat.op7_chat_format,
     "op8_mixing": mixing.op8_mixing,
+    "op9_fingerprints": chunks.op9_fingerprints,
+    "op10_lm_scores": hmm.op10_lm_scores,
 }
 
 ORACLES = {
