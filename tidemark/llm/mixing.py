@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .base import int_hash, store, table, unit_hash, words_pattern
+from .base import BROADCAST_IDS, int_hash, store, table, unit_hash, words_pattern
 
 #: Weights of the sources by code point, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -58,9 +58,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFr
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights=WEIGHTS, share=SHARE, most=MOST, cell=CELL) -> DataFrame:
-    """(id, source, size, source_size, target, copies) for every row of ``docs``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights=WEIGHTS, share=SHARE, most=MOST, cell=CELL, together: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, copies) for every row of ``docs``; ``together``: for every (id, source)."""
     d = docs.select(F.col(id_col).alias("id"), "source", word_count(F.col("text")).alias("size"))
+    if together:
+        d = d.groupBy("id", "source").agg(F.sum("size").alias("size"))
     d = store(d.withColumn("band", size_band(F.col("size"))), "sizes")
     groups = d.groupBy("source", "band").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     groups = store(groups.withColumn("salts", F.ceil(F.col("n") / cell).cast("long")), "bands")
@@ -86,6 +88,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights=WEIG
     return r.select("id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
+def emit(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows with one id and source are taken together."""
+    m = mix(docs, seed=seed, together=True).select(F.col("id").alias("_id"), F.col("source").alias("_source"), "copies")
+    m = store(m.where("copies > 0"), "copies")
+    n = m.limit(BROADCAST_IDS + 1).count()
+    m = F.broadcast(m) if n <= BROADCAST_IDS else m
+    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"))
     return m.select(

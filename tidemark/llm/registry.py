@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, hmm, mixing, ngram_join, pieces, quality, secrets, tokencount
+from . import chat, chunks, hmm, mixing, neighbours, ngram_join, pieces, quality, secrets, tokencount
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality": quality.op2_quality,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_embedding_near_dedup": neighbours.op4_embedding_near_dedup,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_chat_format": chat.op7_chat_format,

@@ -41,6 +41,8 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", "[0-9a-f]{16,}", 0, 16),
 )
+#: Blobs with findings and their spans together are sent to every task up to this many (under 20 MB).
+BROADCAST_SPANS = 200_000
 _EMPTY = "array<struct<start:long,end:long>>"
 LEDGER = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
 
@@ -126,6 +128,30 @@ def report(paths: DataFrame, found: DataFrame, base=RULES) -> DataFrame:
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
+def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
+    """``docs`` with every found span replaced by ``mask``; overlapping spans are replaced as one. n_chars follows the text."""
+    _, fresh = scan(docs, ["doc_id"], rules=rules)
+    found = findings(store(fresh.where(F.size("spans") > 0), "findings"), rules=rules)
+    found = store(found.select("blob", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_spans")), "spans")
+    load = found.agg(F.count("*") + F.sum(F.size("_spans"))).first()[0] or 0
+    found = F.broadcast(found) if load <= BROADCAST_SPANS else found
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.withColumn("blob", F.sha2(text, 256)).join(found, "blob", "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    hit = F.col("_spans").isNotNull()
+    out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     paths, fresh = scan(docs, ["doc_id"])
