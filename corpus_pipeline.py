@@ -1,5 +1,58 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five operators: low quality goes, near copies go, secrets are masked, sources are mixed, texts are encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a table of documents; the last adds tokens. Rows that share an id are kept or
+dropped together. A document is judged at each stage on the text that the stage before it left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, ngram_join, pieces, quality, secrets
+from tidemark.llm.base import store, table, without
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled documents that are here, scores at its threshold or over."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights, out="_score").where(F.col("_score") >= quality.KEEP).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; documents without an id stay."""
+    groups = ngram_join.Join(docs).groups()
+    go = store(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
+    return without(docs, go, "doc_id").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's id with its piece ids (joined by spaces), their number and digests."""
+    return pieces.encode_decode(docs, keep=True).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: Training, connected components and merges cannot be said in SQL; a test holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
