@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities decoded without Python, the ampersand last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -17,7 +18,7 @@ def decode_common_entities(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """Every named and numeric entity, in Arrow batches."""
     return s.map(lambda x: None if x is None else html.unescape(x))
