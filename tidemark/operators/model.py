@@ -121,6 +121,7 @@ def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSI
     from .fuse import quality_filter
 
     out = []
+    splits = splits.cache()
     for name, names in versions.items():
         cols = available(splits, names)
         d = quality_filter(splits) if name in ("v3_sentiment", "v4_full") else splits
@@ -135,6 +136,7 @@ def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSI
         m = confusion(test.withColumn("pred", (F.col("prob_up") >= t).cast("int")), "target", "pred").first()
         d.unpersist()
         out.append({"version": name, "n_features": len(cols), "n_samples": int(m["n"]), "accuracy": m["accuracy"], "f1_weighted": m["f1_weighted"], "decision_threshold": t})
+    splits.unpersist()
     return sorted(out, key=lambda r: -(r["accuracy"] or 0.0))
 
 

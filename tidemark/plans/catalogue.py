@@ -5,6 +5,8 @@ Times leave as seconds, floats rounded to nine digits, booleans as 0 and 1, so b
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import causality, clean, entity, features, fuse, ingest, market, model, score, weight
 from ..schemas import canonical, coalesce_aliases, union_drifting
+from ..streaming import streams
 from .views import Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -770,3 +773,43 @@ def _(v: Views):
 def _(v: Views):
     rows = model.ablation(model_matrix(v).na.fill(0.0), rounds=5, depth=3)
     return v.spark.createDataFrame([(r["version"], r["n_features"], r["n_samples"], float(r["accuracy"] or 0), float(r["f1_weighted"] or 0), float(r["decision_threshold"])) for r in rows], "version string, n_features int, n_samples long, accuracy double, f1_weighted double, decision_threshold double")
+
+
+# Streams: run to the end of what is there, and compared with the same thing as a batch ------------------------------
+
+
+def _stream(v: Views) -> tuple[Views, str]:
+    """Views whose events are a stream, and a folder of their own in the shared folder."""
+    live = Views(v.spark, v.dir)
+    schema = v.table("events").schema
+    raw = v.spark.readStream.schema(schema).parquet(f"{v.dir}/events*.parquet")
+    live.__dict__["events"] = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    return live, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(v: Views, df: DataFrame, path: str) -> DataFrame:
+    streams.run_available(df, f"{path}/out", f"{path}/state")
+    return v.spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+_CLOSED = "WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(timestamp_utc) FROM posts)"
+
+
+@query("stream_hourly", f"SELECT {_sql_out(_FEATURE_DOUBLES, 'window_start', '', _FEATURE_COUNTS)} FROM windows {_CLOSED}", "windows", "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    return out(_drained(v, streams.hourly_sentiment(live.scored), path))
+
+
+@query("stream_dedup", "SELECT id, ticker FROM posts", "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    return _drained(v, streams.distinct_ids(live.posts.union(live.posts)).select("id", "ticker"), path)
+
+
+@query("stream_rate", """, w AS (SELECT author, time_bucket(INTERVAL 10 MINUTE, timestamp_utc, TIMESTAMP '1970-01-01') - INTERVAL (range * 10) MINUTE AS window_start FROM posts, range(6))
+SELECT author, epoch(window_start)::BIGINT AS window_start, count(*) AS posts FROM w """ + _CLOSED + " GROUP BY 1, 2", "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    return out(_drained(v, streams.author_rate(live.posts), path))
