@@ -5,8 +5,8 @@ into one block by an array aggregate; inside the block a join mark keeps the tur
 Blocks are concatenated: ``[INST]..[/INST]`` for the user, ``[ANS]..</s>`` for the assistant, ``<<SYS>>..<</SYS>>`` for the
 system, ``[ROLE:name]..[/ROLE]`` for any other role, ``[+]`` between merged turns, ``<s>`` before everything.
 
-Inside texts and role names ``\\``, ``[`` and ``<`` are written ``\\b``, ``\\o`` and ``\\l``: no control string can appear
-there, and the writing is undone by replacing in reverse order. The loss mask covers the assistant texts, not the marks.
+Inside texts and role names ``\\``, ``[`` and ``<`` are written ``\\b``, ``\\o`` and ``\\l`` (and ``]`` in role names ``\\c``): no
+control string can appear there, and the writing is undone by replacing in reverse order. The loss mask covers the assistant texts, not the marks.
 
 A conversation's turns must meet in one row, as the result is one text; that row, not the table, bounds a task.
 
@@ -41,7 +41,7 @@ def unescape(c: Column) -> Column:
 
 
 def _open(role: Column) -> Column:
-    out = F.concat(F.lit(OTHER[0]), escape(role), F.lit(OTHER[1]))
+    out = F.concat(F.lit(OTHER[0]), F.replace(escape(role), F.lit(OTHER[1]), F.lit("\\c")), F.lit(OTHER[1]))
     for r, (a, _) in MARKS.items():
         out = F.when(role == r, F.lit(a)).otherwise(out)
     return out
@@ -80,7 +80,7 @@ def _blocks(formatted: Column) -> Column:
 
 
 def _role_of(b: Column) -> Column:
-    out = unescape(F.regexp_extract(b, "^\\[ROLE:([^\\]]*)\\]", 1))
+    out = unescape(F.replace(F.regexp_extract(b, "^\\[ROLE:([^\\]]*)\\]", 1), F.lit("\\c"), F.lit(OTHER[1])))
     for r, (a, _) in MARKS.items():
         out = F.when(F.startswith(b, F.lit(a)), F.lit(r)).otherwise(out)
     return out
