@@ -167,8 +167,12 @@ def _close(least: int):
     return (100 * small >= least * large) & (most >= _need("n", "n2", least))
 
 
-def _pairs(c: DataFrame, least: int) -> DataFrame:
-    """(a, b, na, nb) from candidates of single n-grams, each pair once, if its shared prefix n-grams allow it."""
+def _pairs(c: DataFrame, least: int, whole: bool) -> DataFrame:
+    """(a, b, na, nb) from candidates of single n-grams, each pair once.
+
+    ``whole``: the candidates hold every n-gram that the prefixes of a pair share, so their number bounds the overlap too. Hubs
+    differ from one n-gram to the next, so what they are compared with does not.
+    """
     up = F.col("cls") < F.col("cls2")
     c = c.select(
         F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"),
@@ -176,6 +180,8 @@ def _pairs(c: DataFrame, least: int) -> DataFrame:
         F.when(up, F.col("pos")).otherwise(F.col("pos2")).alias("pa"), F.when(up, F.col("pos2")).otherwise(F.col("pos")).alias("pb"),
     )
     g = c.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    if not whole:
+        return g.select("a", "b", "na", "nb")
     most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     return g.where(most >= _need("na", "nb", least)).select("a", "b", "na", "nb")
 
@@ -268,11 +274,11 @@ class Join:
             hub = p.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos")).alias("x"))
             hub = hub.select("h", F.col("x.cls").alias("cls2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2"))
             c = p.join(hub, "h").where((F.col("cls") != F.col("cls2")) & _close(least))
-            found, done = self._grow(_pairs(c, least), found, done)
+            found, done = self._grow(_pairs(c, least, whole=False), found, done)
             label = self._labels(found)
         b = p.select("h", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
         c = p.join(b, "h").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & _close(least))
-        found, _ = self._grow(_pairs(c, least), found, done)
+        found, _ = self._grow(_pairs(c, least, whole=True), found, done)
         forget(posts)
         return found
 
@@ -287,11 +293,13 @@ class Join:
     @staticmethod
     def _labels(links: DataFrame) -> DataFrame:
         """(cls, label): classes with one label are connected; some that are connected may have two."""
-        both = links.union(links.select("b", "a")).toDF("cls", "other")
-        one = both.groupBy("cls").agg(F.min("other").alias("m")).select("cls", F.least("cls", "m").alias("label"))
-        one = store(one, "label")
-        up = one.select(F.col("cls").alias("label"), F.col("label").alias("top"))
-        return store(one.join(up, "label", "left").select("cls", F.coalesce("top", "label").alias("label")), "label")
+        # The smallest name within three steps: all of a hub's neighbours get the same, whichever of them has it.
+        both = store(links.union(links.select("b", "a")).toDF("cls", "other"), "both")
+        label = both.groupBy("cls").agg(F.min("other").alias("m")).select("cls", F.least("cls", "m").alias("label"))
+        for _ in range(2):
+            near = both.join(label.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("label").alias("label"))
+            label = near
+        return store(label, "label")
 
     @staticmethod
     def _apart(posts: DataFrame, label: DataFrame) -> DataFrame:
