@@ -7,11 +7,12 @@ n-grams that two classes share are kept ("postings").
 
 No n-gram's classes are ever paired all with all while that is avoidable: in each n-gram one class is the hub and the others are
 compared with it, which is linear; pairs whose classes are already known to be connected need no comparison; what is left, classes
-of one n-gram that are in different groups, is compared in full, so no link between groups is lost. More rounds with other hubs
+of one n-gram that are in different groups, is compared in full, block by block, so no link between groups is lost. More rounds with other hubs
 run first while any n-gram still holds many groups. Hot n-grams are salted when they are dealt out.
 
-A pair passes, in this order: lengths; positions, from the number and the last place of the shared prefix n-grams; the suffix
-filter, a bound on the overlap from the counts of n-grams in ``CELLS`` cells of the hash range; the check on the whole sets.
+A pair passes, in this order: lengths; positions, bounds on the overlap from the places of a shared n-gram in both sets and, where
+all shared prefix n-grams were seen, from their number and last places; the suffix filter, a bound from the counts of n-grams in
+``CELLS`` cells of the hash range; the check on the whole sets, once.
 
 Defined cases: null and empty texts have no n-grams and are a group of their own; fewer words than ``n`` are one n-gram; repeated
 rows are in one group; the component id is the smallest id of the group (null only where all ids are null); an empty table gives
@@ -34,11 +35,13 @@ from .kernel import LOWER, U, mix, shingles, slices, span_hash, strings, words
 #: Words of an n-gram; least intersection as a share of the union, in hundredths.
 WORDS, LEAST = 5, 75
 #: Counters of the sketch, pieces that it travels in, cells of the suffix filter.
-WIDTH, PIECES, CELLS = 1 << 20, 64, 64
+WIDTH, PIECES, CELLS = 1 << 20, 64, 128
 #: Sketch count from which an n-gram is salted, and over how many buckets; documents for each bucket.
 HOT, SALTS, PER_BUCKET, BUCKETS = 20_000, 64, 4000, 12
 #: Classes of one n-gram still apart, over which another round of hubs runs; most such rounds.
-APART, MORE = 48, 4
+APART, MORE = 48, 2
+#: Classes of an n-gram that are compared in one task; postings of a task that holds several n-grams.
+LIST, TASK = 2048, 50_000
 
 
 def _sets(b: pa.RecordBatch, col: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,6 +55,11 @@ def _sets(b: pa.RecordBatch, col: int, k: int) -> Iterator[tuple[int, np.ndarray
             yield i + r, np.unique(x[xo[r] : xo[r + 1]])
 
 
+def _kind(n: int):
+    """The smallest type that holds a cell's count."""
+    return np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
+
+
 def class_of(u: np.ndarray) -> int:
     """A 64-bit name of a set."""
     if not len(u):
@@ -72,7 +80,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             sketch[(u % U(WIDTH)).astype(np.int64)] += 1  # of one text, n-grams that share a counter count once
             n.append(len(u))
             cls.append(class_of(u))
-            cells.append(np.bincount((u >> U(58)).astype(np.int64), minlength=CELLS).astype(np.uint16 if len(u) < 65536 else np.uint32).tobytes())
+            cells.append(np.bincount((u >> U(57)).astype(np.int64), minlength=CELLS).astype(_kind(len(u))).tobytes())
         any_ = any_ or bool(n)
         none = [None] * len(n)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[0] * len(n), b.column(0).to_pylist(), n, cls, cells, none, none], schema)], schema=schema)
@@ -167,34 +175,82 @@ def _close(least: int):
     return (100 * small >= least * large) & (most >= _need("n", "n2", least))
 
 
-def _pairs(c: DataFrame, least: int, whole: bool) -> DataFrame:
-    """(a, b, na, nb) from candidates of single n-grams, each pair once.
-
-    ``whole``: the candidates hold every n-gram that the prefixes of a pair share, so their number bounds the overlap too. Hubs
-    differ from one n-gram to the next, so what they are compared with does not.
-    """
+def _pairs(c: DataFrame) -> DataFrame:
+    """(a, b, na, nb) from candidates of single n-grams, each pair once."""
     up = F.col("cls") < F.col("cls2")
     c = c.select(
         F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"),
         F.when(up, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(up, F.col("n2")).otherwise(F.col("n")).alias("nb"),
-        F.when(up, F.col("pos")).otherwise(F.col("pos2")).alias("pa"), F.when(up, F.col("pos2")).otherwise(F.col("pos")).alias("pb"),
     )
-    g = c.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    if not whole:
-        return g.select("a", "b", "na", "nb")
-    most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return g.where(most >= _need("na", "nb", least)).select("a", "b", "na", "nb")
+    return c.distinct()
+
+
+def _counts(cells: list[bytes], n: np.ndarray) -> np.ndarray:
+    kinds = [_kind(k) for k in n.tolist()]
+    most = max(kinds, key=lambda k: np.dtype(k).itemsize, default=np.uint8)
+    out = np.empty((len(cells), CELLS), most)
+    for i, (x, k) in enumerate(zip(cells, kinds)):
+        out[i] = np.frombuffer(x, k)
+    return out
+
+
+def _merged(x: np.ndarray) -> np.ndarray:
+    """One row (a, b, number, last place in a, in b) for each pair."""
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    at = np.flatnonzero(np.append(True, (x[1:, :2] != x[:-1, :2]).any(1))) if len(x) else np.zeros(0, np.int64)
+    if not len(at):
+        return x
+    add, most = np.add.reduceat(x[:, 2], at), np.maximum.reduceat(x[:, 3:], at)
+    return np.column_stack([x[at, :2], add, most])
+
+
+def _across(t: pa.Table, least: int) -> pa.Table:
+    """Pairs of classes with different labels in one n-gram that pass lengths, positions and cells; each pair once a task, with
+    the number of n-grams here that both prefixes have and the last places of those.
+
+    ``side`` is 2 where a list is one block, else 0 and 1 tell the two blocks apart.
+    """
+    t = t.sort_by("h")
+    h, cls, n, pos, label, side = (t[c].to_numpy() for c in ("h", "cls", "n", "pos", "label", "side"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    cells = _counts(t["cells"].to_pylist(), n)
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    found = [np.zeros((0, 5), np.int64)]
+    for lo, hi in zip(at, np.append(at[1:], len(h))):
+        own = np.arange(lo, hi)
+        left, right = own[side[lo:hi] != 1], own[side[lo:hi] != 0]
+        for k in range(0, len(left), 512):
+            i, j = left[k : k + 512, None], right[None, :]
+            ok = (label[i] != label[j]) & ((cls[i] < cls[j]) | (side[i] != 2))
+            na, nb = n[i], n[j]
+            ok &= 100 * np.minimum(na, nb) >= least * np.maximum(na, nb)
+            most = np.minimum(pos[i], pos[j]) + np.minimum(na - pos[i], nb - pos[j])
+            ok &= (100 + least) * most >= least * (na + nb)
+            x, y = np.nonzero(ok)
+            x, y = i[x, 0], j[0, y]
+            for q in range(0, len(x), 1 << 16):
+                u, v = x[q : q + (1 << 16)], y[q : q + (1 << 16)]
+                bound = np.minimum(cells[u], cells[v]).sum(1, dtype=np.int64)
+                good = (100 + least) * bound >= least * (n[u] + n[v])
+                u, v = u[good], v[good]
+                u, v = np.where(cls[u] < cls[v], u, v), np.where(cls[u] < cls[v], v, u)
+                found.append(np.stack([cls[u], cls[v], np.ones(len(u), np.int64), pos[u], pos[v]], 1))
+        if sum(map(len, found)) > 1 << 20:
+            found = [_merged(np.concatenate(found))]
+    ab = _merged(np.concatenate(found))
+    size = dict(zip(cls.tolist(), n.tolist()))
+    return pa.table({
+        "a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1]),
+        "na": pa.array([size[x] for x in ab[:, 0].tolist()], pa.int32()), "nb": pa.array([size[x] for x in ab[:, 1].tolist()], pa.int32()),
+        "m": pa.array(ab[:, 2], pa.int32()), "pa": pa.array(ab[:, 3], pa.int32()), "pb": pa.array(ab[:, 4], pa.int32()),
+    })
 
 
 def _suffix(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-        kind = lambda n: np.uint16 if n < 65536 else np.uint32
-        xs = [np.frombuffer(x, kind(n)).astype(np.int64) for x, n in zip(b.column(4).to_pylist(), na)]
-        ys = [np.frombuffer(x, kind(n)).astype(np.int64) for x, n in zip(b.column(5).to_pylist(), nb)]
-        bound = np.minimum(np.stack(xs), np.stack(ys)).sum(1) if xs else np.zeros(0)
-        ok = pa.array((100 + least) * bound >= least * (na.astype(np.int64) + nb))
-        yield b.select(["a", "b"]).filter(ok)
+        na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
+        bound = np.minimum(_counts(b.column(4).to_pylist(), na), _counts(b.column(5).to_pylist(), nb)).sum(1, dtype=np.int64)
+        yield b.select(["a", "b"]).filter(pa.array((100 + least) * bound >= least * (na + nb)))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -274,14 +330,29 @@ class Join:
             hub = p.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos")).alias("x"))
             hub = hub.select("h", F.col("x.cls").alias("cls2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2"))
             c = p.join(hub, "h").where((F.col("cls") != F.col("cls2")) & _close(least))
-            found, done = self._grow(_pairs(c, least, whole=False), found, done)
+            found, done = self._grow(_pairs(c), found, done)
             label = self._labels(found)
-        b = p.select("h", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-        c = p.join(b, "h").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & _close(least))
-        found, _ = self._grow(_pairs(c, least, whole=True), found, done)
+        found, _ = self._grow(self._rest(p), found, done)
         forget(posts)
         return found
 
+    def _rest(self, p: DataFrame) -> DataFrame:
+        """All pairs that are left in n-grams with several labels. Short lists share a task, long ones are cut into blocks and
+        each pair of blocks is a task's; the pairs themselves are never rows, only those that pass the filters are."""
+        least = self.least
+        p = p.join(self.cells.groupBy("cls").agg(F.first("cells").alias("cells")), "cls")
+        m = p.groupBy("h").agg(F.ceil(F.count("*") / LIST).alias("nb"))
+        tasks = max(1, p.count() // TASK)
+        p = p.join(m, "h").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")))
+        p = p.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        side = F.when(F.col("with") == F.col("blk"), 2).when(F.col("blk") < F.col("with"), 0).otherwise(1)
+        g = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("h", F.lit(4)), F.lit(tasks))).otherwise(F.col("h"))
+        p = p.select(g.alias("g"), F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), "h", "cls", "n", "pos", "label", side.alias("side"), "cells")
+        c = p.groupBy("g", "i", "j").applyInArrow(lambda t: _across(t, least), "a long, b long, na int, nb int, m int, pa int, pb int")
+        c = c.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("na", "nb")], F.sum("m").alias("m"), *[F.max(x).alias(x) for x in ("pa", "pb")])
+        most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+        return c.where(most >= _need("na", "nb", least)).select("a", "b", "na", "nb")
+
     def _grow(self, pairs: DataFrame, found: DataFrame | None, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
