@@ -34,7 +34,7 @@ from .tokencount import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments a worker remembers in a generation; symbols of the segments encoded at once.
-KNOWN, FLAT = 250_000, 1 << 18
+KNOWN, FLAT = 120_000, 1 << 17
 _SLOTS = 21
 _SEGMENT = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1 << 40)
@@ -226,20 +226,21 @@ class Encoder:
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     enc = Encoder(path)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
     for b in batches:
         data, off = strings(b.column(1))
-        raw, out = data.tobytes(), []
-        for i, j in slices(off):
-            texts = [raw[off[k] : off[k + 1]].decode("utf-8") for k in range(i, j)]
-            for ids, text in enc.run(texts):
+        for i, j in slices(off):  # a slice is a batch of its own, so what is held follows the slice
+            n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
+            for ids, text in enc.run([bytes(data[off[k] : off[k + 1]]).decode("utf-8") for k in range(i, j)]):
                 text = text.decode("utf-8", "replace")
-                row = (ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-                out.append((*row, ids, text) if keep else row)
-        cols = list(zip(*out)) if out else [[]] * (5 if keep else 3)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["id", *names[: len(arrays)]])
+                n.append(ids.count(" ") + 1)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(text.encode()).hexdigest())
+                if keep:
+                    all_ids.append(ids)
+                    all_text.append(text)
+            cols = [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids_sha, text_sha, *((all_ids, all_text) if keep else ()))]]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], names)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: bool = False) -> DataFrame:
