@@ -57,6 +57,18 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert got[99] == "assign:4:28" and got[11] == spans(docs.where("doc_id = 11").first().text)
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    docs, path = odd_docs(spark), str(tmp_path / "ledger")
+    first = sorted((r.doc_id or -1, r.s) for r in secrets.update(docs, ["doc_id"], path).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect())
+    n = spark.read.parquet(path).count()
+    again = sorted((r.doc_id or -1, r.s) for r in secrets.update(docs, ["doc_id"], path).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect())
+    assert first == again == sorted((r.doc_id or -1, spans(r.text)) for r in docs.collect()) and spark.read.parquet(path).count() == n
+    # Versions of one path: the address of each is looked at once.
+    v = docs.select("doc_id", "text").withColumn("version", F.lit(1)).unionByName(docs.select("doc_id", F.concat("text", F.lit(" token: ABCDEFGHIJKLMNOP")).alias("text")).withColumn("version", F.lit(2)))
+    got = secrets.update(v, ["doc_id", "version"], path)
+    assert got.count() == 2 * docs.count() and got.where("version = 2 AND size(spans) > 0").count() == docs.where("text IS NOT NULL").count()
+
+
 def test_redaction(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(odd_docs(spark)).collect()}
     assert got[11][0] == '[SECRET]" [SECRET] [SECRET]' and got[12][0].startswith("é😀 secret:") is False or got[12][0] == "é😀 [SECRET]"

@@ -15,8 +15,8 @@ all shared prefix n-grams were seen, from their number and last places; the suff
 ``CELLS`` cells of the hash range; the check on the whole sets, once.
 
 Defined cases: null and empty texts have no n-grams and are a group of their own; fewer words than ``n`` are one n-gram; repeated
-rows are in one group; the component id is the smallest id of the group (null only where all ids are null); an empty table gives
-an empty result; extra columns are ignored.
+rows are in one group; the component id is the smallest id of the group; classes of which all ids are null are compared with
+nothing and have a null component id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

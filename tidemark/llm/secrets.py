@@ -128,6 +128,17 @@ def report(paths: DataFrame, found: DataFrame, base=RULES) -> DataFrame:
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
+def update(versions: DataFrame, path_cols: list[str], ledger_path: str, rules=RULES) -> DataFrame:
+    """Scans what the ledger stored at ``ledger_path`` lacks, appends it there, and reports every path of ``versions``."""
+    spark = versions.sparkSession
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    there = here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else None
+    paths, fresh = scan(versions, path_cols, ledger, rules)
+    fresh.write.mode("append").parquet(ledger_path)
+    return report(paths, findings(spark.read.schema(LEDGER).parquet(ledger_path), rules=rules))
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; overlapping spans are replaced as one. n_chars follows the text."""
     _, fresh = scan(docs, ["doc_id"], rules=rules)
