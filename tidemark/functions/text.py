@@ -189,6 +189,11 @@ def label_train(c: Column) -> Column:
 # Log lines ---------------------------------------------------------------------------------------------------------
 
 
+def event_frame(stage: Column, status: Column, rows: Column) -> Column:
+    """A progress event as JSON."""
+    return F.to_json(F.struct(stage.alias("stage"), status.alias("status"), rows.alias("rows")))
+
+
 #: Words of a line that name its stage, in order of preference.
 STAGE_WORDS = (("1A", ("bot", "spam", "sarcasm", "ticker")), ("1B", ("sentiment",)), ("1C", ("aggregat",)), ("2A", ("feature",)), ("2B", ("granger",)), ("2C", ("fusion",)), ("3", ("train", "ensemble")))
 

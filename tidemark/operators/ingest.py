@@ -29,6 +29,15 @@ def label_by_source(df: DataFrame, labels: list, source: str = "source", label:
     return df.groupBy(source).pivot(label, labels).count().na.fill(0)
 
 
+def describe(df: DataFrame, c: str, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high"))
+
+
+def report_by_file(df: DataFrame, label: str = "label") -> DataFrame:
+    """Label shares of every file that a scan reads."""
+    return label_distribution(df.withColumn("file", F.col("_metadata.file_name")), "file", label=label)
+
+
 def stratified(df: DataFrame, label: str, n: int, order: Column, tie: str) -> DataFrame:
     """``n`` rows of each class by a fixed pseudo-random order."""
     w = Window.partitionBy(label).orderBy(order, tie)

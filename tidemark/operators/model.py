@@ -145,6 +145,17 @@ def latest(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.groupBy("ticker").agg(F.max_by(F.struct(*df.columns), ts).alias("r")).select("r.*")
 
 
+def overlay_latest(df: DataFrame, sentiment: DataFrame, ts: str = "ts") -> DataFrame:
+    """Each ticker's last row with fresh sentiment laid over it where there is any: what a served model is asked about."""
+    cols = [c for c in sentiment.columns if c != "ticker"]
+    s = sentiment.select("ticker", *[F.col(c).alias(f"_{c}") for c in cols], F.lit(1).alias("_there"))
+    j = latest(df, ts).join(s, "ticker", "left")
+    new = {c: F.coalesce(f"_{c}", c) for c in cols}
+    if "sentiment_available" in df.columns:
+        new["sentiment_available"] = F.coalesce("_there", "sentiment_available")
+    return j.withColumns(new).select(*df.columns)
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

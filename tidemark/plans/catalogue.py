@@ -775,6 +775,28 @@ def _(v: Views):
     return v.spark.createDataFrame([(r["version"], r["n_features"], r["n_samples"], float(r["accuracy"] or 0), float(r["f1_weighted"] or 0), float(r["decision_threshold"])) for r in rows], "version string, n_features int, n_samples long, accuracy double, f1_weighted double, decision_threshold double")
 
 
+# Reports and serving -----------------------------------------------------------------------------------------------
+
+
+@query("describe_bars", """SELECT ticker, count("Close") AS n, round(avg("Close"), 9) AS mean, round(stddev_samp("Close"), 9) AS sd, min("Close") AS low, max("Close") AS high FROM bars GROUP BY 1""", "bars")
+def _(v: Views):
+    return out(ingest.describe(v.bars, "Close", "ticker"))
+
+
+@query("event_frames", """SELECT id, '{"stage":"1A","status":"' || CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'failed' END || '","rows":' || k || '}' AS frame FROM posts""", "posts")
+def _(v: Views):
+    status = F.when(F.col("k") % 2 == 0, "ok").otherwise("failed")
+    return v.posts.select("id", tx.event_frame(F.lit("1A"), status, F.col("k")).alias("frame"))
+
+
+@query("overlay_latest", """, t AS (SELECT ticker, max(ts) AS ts, arg_max("Close", ts) AS close FROM bars GROUP BY 1)
+SELECT ticker, epoch(ts)::BIGINT AS ts, close, CASE WHEN ticker = 'AAPL' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS avg_sentiment, (ticker = 'AAPL')::INT AS sentiment_available FROM t""", "bars")
+def _(v: Views):
+    new = v.spark.createDataFrame([("AAPL", 0.5)], "ticker string, avg_sentiment double")
+    b = v.bars.select("ticker", "ts", F.col("Close").alias("close")).withColumns({"avg_sentiment": F.lit(0.0), "sentiment_available": F.lit(0)})
+    return out(model.overlay_latest(b, new))
+
+
 # Streams: run to the end of what is there, and compared with the same thing as a batch ------------------------------
 
 
