@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 #: Ids are sent to every executor only below this many rows (8 bytes each); above it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Rows that go to a Python worker at once while a table is stored: rows may hold whole sets of some ten kilobytes.
+#: Rows that go to a Python worker at once: rows hold whole texts or sets of some ten kilobytes.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. From here on the session sends at most ``BATCH_ROWS`` rows at once to Python workers."""
+    spark.conf.set(_BATCH, str(min(int(spark.conf.get(_BATCH)), BATCH_ROWS)))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,12 +36,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS)))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, held)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

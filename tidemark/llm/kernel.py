@@ -5,6 +5,7 @@ All of them work on the concatenated UTF-8 bytes of many texts, so no Python obj
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+# Freed buffers go back to the system: a worker that waits for its next task holds no memory of the last one.
+pa.set_memory_pool(pa.system_memory_pool())
 #: Bytes of text handled at once; bounds the temporaries of every kernel (a longer text is a slice of its own).
 SLICE = 1 << 20
 
@@ -57,6 +60,14 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def trim() -> None:
+    """Gives the heap's free pages back, at the end of a task."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes, one row at least."""
     i, n = 0, len(offsets) - 1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
-from .kernel import slices, strings
+from .kernel import slices, strings, trim
 from .tokencount import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
@@ -241,6 +241,8 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterato
                     all_text.append(text)
             cols = [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids_sha, text_sha, *((all_ids, all_text) if keep else ()))]]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], names)
+    del enc
+    trim()
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import store, table
-from .kernel import LOWER, U, mix, slices, span_hash, strings, words
+from .kernel import LOWER, U, mix, slices, span_hash, strings, trim, words
 
 #: Labelled documents learned from at most; weights; passes.
 ROWS, DIMS, EPOCHS = 8000, 1 << 18, 3
@@ -123,6 +123,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, x, y in data:
             f.learn(i, x, y)
     yield pa.RecordBatch.from_arrays([pa.array([f.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["w"])
+    del rows, data, f
+    trim()
 
 
 def held_out(id_: Column) -> Column:
@@ -149,6 +151,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights, col: int) -> Iterator[pa.
             k, doc, count = _features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             z[i:j] += np.bincount(doc, weights=w[k], minlength=j - i) * (SCALE / np.maximum(count, 1))
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*b.schema.names, "score"])
+    trim()
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
