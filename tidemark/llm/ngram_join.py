@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import connected_components, forget, only, store, table, without
-from .kernel import LOWER, U, mix, shingles, slices, span_hash, strings, words
+from .kernel import LOWER, U, mix, shingles, slices, span_hash, strings, trim, words
 
 #: Words of an n-gram; least intersection as a share of the union, in hundredths.
 WORDS, LEAST = 5, 75
@@ -88,6 +88,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)]
         none = [None] * PIECES
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[1] * PIECES, none, none, none, none, range(PIECES), parts], schema)], schema=schema)
+    trim()
 
 
 def _add(t: pa.Table) -> pa.Table:
@@ -140,6 +141,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, buckets: int, k: int, l
                 hold, size = [], 0
     if hold:
         yield dealt()
+    trim()
 
 
 _POSTINGS = "h long, cls long, n int, pos int"
@@ -211,31 +213,45 @@ def _across(t: pa.Table, least: int) -> pa.Table:
     ``side`` is 2 where a list is one block, else 0 and 1 tell the two blocks apart.
     """
     t = t.sort_by("h")
-    h, cls, n, pos, label, side = (t[c].to_numpy() for c in ("h", "cls", "n", "pos", "label", "side"))
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    h, cls, label, side = (t[c].to_numpy() for c in ("h", "cls", "label", "side"))
+    n, pos = t["n"].to_numpy().astype(np.int32), t["pos"].to_numpy().astype(np.int32)
+    after = n - pos
     cells = _counts(t["cells"].to_pylist(), n)
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     found = [np.zeros((0, 5), np.int64)]
-    for lo, hi in zip(at, np.append(at[1:], len(h))):
-        own = np.arange(lo, hi)
-        left, right = own[side[lo:hi] != 1], own[side[lo:hi] != 0]
-        for k in range(0, len(left), 512):
-            i, j = left[k : k + 512, None], right[None, :]
-            ok = (label[i] != label[j]) & ((cls[i] < cls[j]) | (side[i] != 2))
-            na, nb = n[i], n[j]
-            ok &= 100 * np.minimum(na, nb) >= least * np.maximum(na, nb)
-            most = np.minimum(pos[i], pos[j]) + np.minimum(na - pos[i], nb - pos[j])
-            ok &= (100 + least) * most >= least * (na + nb)
+
+    def compare(left: np.ndarray, right: np.ndarray, above: bool) -> None:
+        """Adds the pairs of these rows; ``above``: both are one list in one order, and a pair is looked at once."""
+        for k in range(0, len(left), 256):
+            i, j = left[k : k + 256, None], (right[k:] if above else right)[None, :]
+            both = n[i] + n[j]
+            ok = (100 + least) * (np.minimum(pos[i], pos[j]) + np.minimum(after[i], after[j])) >= least * both
+            ok &= label[i] != label[j]
+            ok &= (100 + least) * np.minimum(n[i], n[j]) >= least * both
+            if above:
+                ok &= np.arange(len(i))[:, None] < np.arange(j.shape[1])[None, :]
             x, y = np.nonzero(ok)
             x, y = i[x, 0], j[0, y]
-            for q in range(0, len(x), 1 << 16):
-                u, v = x[q : q + (1 << 16)], y[q : q + (1 << 16)]
-                bound = np.minimum(cells[u], cells[v]).sum(1, dtype=np.int64)
+            for q in range(0, len(x), 1 << 15):
+                u, v = x[q : q + (1 << 15)], y[q : q + (1 << 15)]
+                bound = np.minimum(cells[u], cells[v]).sum(1, dtype=np.int32)
                 good = (100 + least) * bound >= least * (n[u] + n[v])
                 u, v = u[good], v[good]
-                u, v = np.where(cls[u] < cls[v], u, v), np.where(cls[u] < cls[v], v, u)
-                found.append(np.stack([cls[u], cls[v], np.ones(len(u), np.int64), pos[u], pos[v]], 1))
-        if sum(map(len, found)) > 1 << 20:
+                if len(u):
+                    u, v = np.where(cls[u] < cls[v], u, v), np.where(cls[u] < cls[v], v, u)
+                    found.append(np.stack([cls[u], cls[v], np.ones(len(u), np.int64), pos[u], pos[v]], 1))
+
+    for lo, hi in zip(at, np.append(at[1:], len(h))):
+        own = np.arange(lo, hi)
+        if side[lo] != 2:
+            compare(own[side[lo:hi] == 0], own[side[lo:hi] == 1], False)
+        else:  # most of a list often is one group: only the rest is compared, with that group and with itself
+            names, back, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+            most = back == count.argmax()
+            rest = own[~most]
+            compare(rest, own[most], False)
+            compare(rest, rest, True)
+        if sum(map(len, found)) > 1 << 19:
             found = [_merged(np.concatenate(found))]
     ab = _merged(np.concatenate(found))
     size = dict(zip(cls.tolist(), n.tolist()))
@@ -262,6 +278,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
             ok.append(100 * both >= least * (len(x) + len(y) - both))
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    trim()
 
 
 def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -271,6 +288,7 @@ def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             cls.append(class_of(u))
             sets.append(u.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "grams"])
+    trim()
 
 
 class Join:
