@@ -30,6 +30,8 @@ from .kernel import LOWER, U, mix, slices, span_hash, strings, words
 
 #: Words known to every task; words and endings that are classes; hidden states; rounds of training; tokens of a segment.
 HEAD, OWN, REST, STATES, ROUNDS, SEGMENT = 1 << 18, 2047, 1024, 8, 4, 64
+#: Tokens that each state is taken to have seen beforehand, in the proportions of all.
+PRIOR = 200.0
 #: Documents for each bucket of words; fewest buckets.
 PER_BUCKET, BUCKETS = 8000, 16
 #: Distinct words held by a task before it hands its counts on; documents of a batch.
@@ -365,7 +367,7 @@ def train(classes: DataFrame, log_class: np.ndarray, states: int = STATES, round
     sc = classes.sparkSession.sparkContext
     p, told = Params.first(log_class, states), []
     groups = max(1, int(classes.rdd.getNumPartitions() ** 0.5))
-    prior = np.exp(log_class)[None, :]
+    prior = PRIOR * np.exp(log_class)[None, :]
     for _ in range(rounds):
         sent = sc.broadcast(p)
         part = classes.mapInArrow(lambda it: _expect(it, sent, groups), _SUMS)
