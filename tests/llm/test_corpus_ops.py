@@ -141,6 +141,25 @@ def test_neighbours(spark):
     assert got[0].n_links >= 40  # a saturated list, enlarged
 
 
+def crowd(n, spread, near, seed=5, dim=16):
+    """One dense region: ``n`` vectors around one direction, ``near`` of them with a near copy each."""
+    r = np.random.default_rng(seed)
+    x = np.append(4.0, np.zeros(dim - 1)) + spread * r.standard_normal((n, dim))
+    copy = x[:near] + 0.02 * r.standard_normal((near, dim))
+    return [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, copy]))]
+
+
+@pytest.mark.parametrize("send", [256, -10000])
+def test_neighbours_crowded_pattern(spark, monkeypatch, send):
+    monkeypatch.setattr(neighbours, "SEND", send, raising=False)  # below 0: sign patterns whatever the work
+    rows = crowd(700, 0.35, 100)
+    want = brute_links(rows)
+    got = {x.id: x for x in neighbours.Graph(spark.createDataFrame([(*x, 1, "z") for x in rows], VEC)).result().collect()}
+    true, found = sum(n for n, _ in want.values()), sum(min(got[i].n_links, n) for i, (n, _) in want.items())
+    print("recall", found / true)
+    assert found >= (0.995 if send < 0 else 1) * true
+
+
 def test_neighbours_empty(spark):
     assert neighbours.Graph(spark.createDataFrame([], VEC)).result().count() == 0
 

@@ -2,7 +2,8 @@
 
 Equal vectors are one class with a number of copies. The first graph links vectors that share a sign pattern of random planes;
 the number of bits grows with the largest label, the number of tables follows from the bits so that a pair at the threshold meets
-in one table with ``SURE`` probability, and crowded patterns are salted, each member being linked to the next few of its part.
+in one table with ``SURE`` probability, and all members of a pattern are compared, crowded ones in pairs of blocks; labels for which one whole
+comparison is less work are compared whole. Everyone's best ``K`` of a pattern are kept, and links that join what all its links join.
 Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours until hardly any list changes. Edges at or over the
 threshold stay and give the components. Where lists are saturated (all ``K`` of them over the threshold) they are enlarged to
 everything: the members of such a component are compared in blocks, which counts their links without making the pairs.
@@ -30,8 +31,10 @@ from .base import connected_components, store, table
 
 #: Threshold; neighbours in a list; rounds at most, and the share of changed lists that ends them.
 COSINE, K, ROUNDS, STILL = 0.98, 8, 6, 0.01
-#: Chance that a pair at the threshold meets in a table; members of a part of a pattern; members that each is linked to.
-SURE, PART, AHEAD = 0.997, 64, 4
+#: Chance that a pair at the threshold meets in a table; members of a block of a pattern; rows that a task compares in small patterns.
+SURE, PART, POOL = 0.997, 2048, 4096
+#: Comparisons that cost as much as sending a vector to one more table.
+SEND = 256
 #: Vectors of a block; audited vectors; recall asked for.
 BLOCK, AUDIT, RECALL = 1024, 400, 0.97
 
@@ -87,6 +90,61 @@ def _sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["a", "b", "s"])
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (left, right) that join what all links of the matrix join, found breadth first."""
+    free, left, right = [near.any(1), near.any(0)], [], []
+    while free[0].any():
+        at = np.array([free[0].argmax()])
+        free[0][at] = False
+        while len(at):
+            step = near[at] & free[1]
+            to = np.flatnonzero(step.any(0))
+            left.append(at[step[:, to].argmax(0)] if len(to) else to)
+            right.append(to)
+            free[1][to] = False
+            step = near[:, to] & free[0][:, None]
+            at = np.flatnonzero(step.any(1))
+            right.append(to[step[at].argmax(1)] if len(at) else at)
+            left.append(at)
+            free[0][at] = False
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's best ``k``."""
+    if s.shape[1] <= k:
+        return tuple(x.ravel() for x in np.indices(s.shape))
+    return np.repeat(np.arange(len(s)), k), np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
+
+
+def _compare(t: pa.Table, threshold: float, k: int) -> pa.Table:
+    """All members of each bucket against each other: everyone's best ``k``, and links that join what all links join."""
+    bucket, cls, side = (t[c].to_numpy() for c in ("bucket", "cls", "side"))
+    v = t["v"].to_pylist()
+    dims = np.array([len(x) for x in v])
+    order = np.lexsort((dims, bucket))
+    cut = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
+    out: list[tuple] = []
+    for at in np.split(order, cut):
+        left, right = at[side[at] != 1], at[side[at] != 0]
+        if not len(left) or not len(right) or len(at) < 2:
+            continue
+        x, y = (np.frombuffer(b"".join([v[i] for i in z]), np.float64).reshape(len(z), -1) for z in (left, right))
+        s = x @ y.T
+        s[cls[left][:, None] == cls[right][None, :]] = -2.0
+        got = [_best(s, k)]
+        if side[at[0]] != 2:
+            got.append(_best(s.T, k)[::-1])
+        near = s >= threshold
+        if max(near.sum(0).max(), near.sum(1).max()) > k:
+            got.append(_forest(near))
+        i, j = (np.concatenate(z) for z in zip(*got))
+        out.append((cls[left[i]], cls[right[j]], s[i, j]))
+    a, b, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ok = s > -2.0
+    return pa.table({"a": pa.array(np.minimum(a, b)[ok], pa.int64()), "b": pa.array(np.maximum(a, b)[ok], pa.int64()), "s": pa.array(s[ok], pa.float64())})
+
+
 def _block_links(t: pa.Table, threshold: float) -> pa.Table:
     """Links of the members of two blocks of one component, counted with copies."""
     cls, side, copies, v = (t[c].to_pylist() for c in ("cls", "side", "copies", "v"))
@@ -127,17 +185,30 @@ class Graph:
         return x.mapInArrow(_sims, "a long, b long, s double")
 
     def first(self, bits: int, tables: range) -> DataFrame:
-        """Candidate pairs (a < b) from shared sign patterns."""
+        """Edges (a < b, s) from shared sign patterns, each pattern compared in full; labels for which that is more work than
+        comparing all their vectors once are compared so."""
+        size = self.vectors.groupBy("label").agg(F.count("*").alias("size"))
         p = self.vectors.mapInArrow(lambda it: _patterns(it, bits, tables), f"cls long, label {self.kind}, t int, code long")
-        p = store(p.select("cls", F.xxhash64("label", "t", "code").alias("bucket"), "t"), "patterns")
-        n = p.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        p = p.join(n, "bucket").withColumn("o", F.xxhash64("cls", "t"))
-        p = p.withColumn("part", F.pmod(F.col("o"), F.ceil(F.col("n") / PART)))
-        w = W.partitionBy("bucket", "part").orderBy("o", "cls")
-        ahead = F.array(*[F.lead("cls", k).over(w) for k in range(1, AHEAD + 1)])
-        p = p.withColumn("ahead", F.array_compact(ahead))
-        pairs = p.select("cls", F.explode("ahead").alias("other")).where("cls <> other")
-        return pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+        p = store(p.select("cls", "label", F.xxhash64("label", "t", "code").alias("bucket")), "patterns")
+        n = p.groupBy("bucket").agg(F.count("*").alias("n"), F.first("label").alias("label"))
+        work = n.groupBy("label").agg(F.sum(F.col("n") * (F.col("n") + SEND)).alias("work")).join(size, "label")
+        whole = store(work.where(F.col("work") >= F.col("size") * F.col("size")).select("label", "size"), "whole")
+        some = p.join(whole, "label", "left_anti").select("cls", "bucket").join(n.where("n > 1").select("bucket", "n"), "bucket")
+        all_ = self.vectors.join(whole, "label").select("cls", F.xxhash64("label").alias("bucket"), F.col("size").alias("n"))
+        return self.compared(some.select("cls", "bucket", "n").unionByName(all_))
+
+    def compared(self, members: DataFrame) -> DataFrame:
+        """The edges that ``_compare`` gives for (cls, bucket, n), small buckets many to a task, large ones in pairs of blocks."""
+        m = store(members.withColumn("nb", F.ceil(F.col("n") / PART)), "members")
+        pools = (m.where("nb = 1").count() // POOL) + 1
+        m = m.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb"))).join(self.vectors.select("cls", "v"), "cls")
+        m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        side = F.when(F.col("with") == F.col("blk"), 2).when(F.col("blk") < F.col("with"), 0).otherwise(1)
+        g = F.when(F.col("nb") == 1, F.pmod("bucket", F.lit(pools))).otherwise(F.col("bucket"))
+        m = m.select(g.alias("g"), F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), side.alias("side"), "bucket", "cls", "v")
+        t = self.threshold
+        e = m.groupBy("g", "i", "j").applyInArrow(lambda x: _compare(x, t, K), "a long, b long, s double")
+        return e.groupBy("a", "b").agg(F.max("s").alias("s"))
 
     @staticmethod
     def lists(edges: DataFrame, k: int) -> DataFrame:
@@ -145,9 +216,9 @@ class Graph:
         w = W.partitionBy("a").orderBy(F.col("s").desc(), F.xxhash64("a", "b"))
         return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
-    def descend(self, pairs: DataFrame) -> DataFrame:
+    def descend(self, edges: DataFrame) -> DataFrame:
         """All edges (a < b, s) at or over the threshold that the rounds came across."""
-        seen = store(self.sims(pairs).withColumn("new", F.lit(True)), "edges")
+        seen = store(edges.select("a", "b", "s").withColumn("new", F.lit(True)), "edges")
         for _ in range(ROUNDS):
             both = seen.select("a", "b", "s", "new").union(seen.select(F.col("b"), F.col("a"), "s", "new"))
             near = store(self.lists(both, K), "lists")
