@@ -160,6 +160,33 @@ def test_neighbours_crowded_pattern(spark, monkeypatch, send):
     assert found >= (0.995 if send < 0 else 1) * true
 
 
+def test_neighbours_audit_counts_vectors(spark):
+    r = np.random.default_rng(1)
+    big = [0.01 * r.standard_normal(16) + np.eye(16)[0] for _ in range(150)]
+    one = [r.standard_normal(16) for _ in range(60)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*big, *one, *one_more(one, r)])]
+    g = neighbours.Graph(spark.createDataFrame([(*x, 1, "z") for x in rows], VEC))
+    bits, tables = neighbours._plan(len(rows))
+    whole = g.counted(g.descend(g.first(bits, range(tables))))
+    lost = whole.where(F.col("links") >= 100)  # the pairs are lost, the large group is exact
+    assert g.audit(whole) >= 0.97 and g.audit(lost) < 0.5
+
+
+def one_more(rows, r):
+    return [v + 0.01 * r.standard_normal(len(v)) for v in rows]
+
+
+def test_neighbours_falls_back_to_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_plan", lambda *a: (40, 300))  # too many bits for 300 tables of these
+    monkeypatch.setattr(neighbours, "SEND", -10000, raising=False)
+    monkeypatch.setattr(neighbours, "_patterns", lambda it, bits, tables, f=neighbours._patterns: f(it, bits, range(1)))
+    rows = crowd(100, 0.35, 40)
+    want = brute_links(rows)
+    g = neighbours.Graph(spark.createDataFrame([(*x, 1, "z") for x in rows], VEC))
+    got = {x.id: x for x in g.result().collect()}
+    assert g.recall == 1.0 and all((got[i].n_links, got[i].component_id) == x for i, x in want.items())
+
+
 def test_neighbours_empty(spark):
     assert neighbours.Graph(spark.createDataFrame([], VEC)).result().count() == 0
 

@@ -8,8 +8,9 @@ Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours u
 threshold stay and give the components. Where lists are saturated (all ``K`` of them over the threshold) they are enlarged to
 everything: the members of such a component are compared in blocks, which counts their links without making the pairs.
 
-The audit compares the links of ``AUDIT`` vectors (smallest hash) with brute force over all vectors; under ``RECALL`` the graph is
-built again with twice the tables.
+The audit compares the links of ``AUDIT`` vectors (smallest hash) with brute force over all vectors, as a share for each vector, and
+apart for saturated components; under ``RECALL`` the graph is built again with twice the tables, and after ``MOST`` tables all
+vectors of each label are compared.
 
 Defined cases: null ids, null labels, vectors that are null or zero, or hold null or non-finite components, or are of another
 length than most of their block, link with nothing and are components of their own; repeated rows are copies of each other; ties
@@ -37,6 +38,8 @@ SURE, PART, POOL = 0.997, 2048, 4096
 SEND = 256
 #: Vectors of a block; audited vectors; recall asked for.
 BLOCK, AUDIT, RECALL = 1024, 400, 0.97
+#: Tables after which no more are tried, and all vectors of a label are compared.
+MOST = 256
 
 
 def _plan(largest: int, threshold: float = COSINE) -> tuple[int, int]:
@@ -242,7 +245,7 @@ class Graph:
         return seen.where(F.col("s") >= self.threshold).select("a", "b")
 
     def counted(self, links: DataFrame) -> DataFrame:
-        """(cls, comp, links): saturated lists enlarged to all members of the component."""
+        """(cls, comp, links, full): saturated lists enlarged to all members of the component."""
         comp = store(connected_components(links), "components")
         both = links.union(links.select("b", "a")).toDF("cls", "other")
         copies = self.classes.select(F.col("cls").alias("other"), "copies")
@@ -258,33 +261,37 @@ class Graph:
         t = self.threshold
         exact = m.groupBy("comp", "i", "j").applyInArrow(lambda g: _block_links(g, t), "cls long, links long")
         exact = exact.groupBy("cls").agg(F.sum("links").alias("all"))
-        return store(plain.join(exact, "cls", "left").select("cls", "comp", F.coalesce("all", "links").alias("links")), "counted")
+        return store(plain.join(exact, "cls", "left").select("cls", "comp", F.coalesce("all", "links").alias("links"), F.col("all").isNotNull().alias("full")), "counted")
 
     def audit(self, counted: DataFrame, size: int = AUDIT) -> float:
-        """Links found of those that brute force finds for ``size`` vectors against all vectors."""
+        """The mean share of its links that is found, over those of ``size`` vectors that have any; the smaller of the mean over
+        members of saturated components, which are compared in full, and over all others."""
         q = self.vectors.join(self.classes.select("cls", "copies"), "cls").orderBy(F.xxhash64("cls", F.lit(7))).limit(size)
-        asked = q.join(counted.select("cls", "links"), "cls", "left").select("cls", "label", "v", F.coalesce("links", F.lit(0)).alias("links")).collect()
+        asked = q.join(counted.select("cls", "links", "full"), "cls", "left").select("cls", "label", "v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("full", F.lit(False)).alias("full")).collect()
         if not asked:
             return 1.0
         sent = self.rows.sparkSession.sparkContext.broadcast([(r["cls"], r["label"], bytes(r["v"])) for r in asked])
         t = self.threshold
 
         def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = 0
+            total = np.zeros(len(sent.value), np.int64)
             for b in batches:
                 cls, label, copies = np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist()), b.column(3).to_numpy()
                 v = b.column(2).to_pylist()
                 dims = np.array([len(x) for x in v])
-                for c, l, x in sent.value:
+                for k, (c, l, x) in enumerate(sent.value):
                     at = np.flatnonzero((dims == len(x)) & (label == l) & (cls != c))
                     if len(at):
                         m = np.frombuffer(b"".join([v[i] for i in at]), np.float64).reshape(len(at), -1)
-                        total += int(copies[at][m @ np.frombuffer(x, np.float64) >= t].sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+                        total[k] += int(copies[at][m @ np.frombuffer(x, np.float64) >= t].sum())
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([asked_cls[k] for k in some], pa.int64()), pa.array(total[some])], ["cls", "n"])
 
+        asked_cls = [r["cls"] for r in asked]
         all_ = self.vectors.join(self.classes.select("cls", "copies"), "cls").select("cls", "label", "v", "copies")
-        true = all_.mapInArrow(against, "n long").agg(F.sum("n")).first()[0] or 0
-        return sum(r["links"] for r in asked) / true if true else 1.0
+        true = {r["cls"]: r["n"] for r in all_.mapInArrow(against, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect()}
+        shares = [[min(1.0, r["links"] / true[r["cls"]]) for r in asked if r["cls"] in true and r["full"] == f] for f in (False, True)]
+        return min((float(np.mean(x)) for x in shares if x), default=1.0)
 
     def run(self) -> tuple[DataFrame, float]:
         """((cls, comp, links), recall)."""
@@ -293,9 +300,16 @@ class Graph:
         while True:
             out = self.counted(self.descend(self.first(bits, range(tables))))
             recall = self.audit(out)
-            if recall >= RECALL or tables > 256:
+            if recall >= RECALL:
                 return out, recall
+            if tables > MOST:
+                break
             tables *= 2
+        # Patterns do not find the links of this table: all vectors of each label are compared.
+        size = self.vectors.groupBy("label").agg(F.count("*").alias("n"))
+        all_ = self.vectors.join(size, "label").select("cls", F.xxhash64("label").alias("bucket"), "n")
+        out = self.counted(self.compared(all_).where(F.col("s") >= self.threshold).select("a", "b"))
+        return out, self.audit(out)
 
     def result(self) -> DataFrame:
         """(id, n_links, component_id, kept) for every row."""
