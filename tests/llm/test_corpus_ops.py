@@ -187,6 +187,16 @@ def test_neighbours_falls_back_to_all_pairs(spark, monkeypatch):
     assert g.recall == 1.0 and all((got[i].n_links, got[i].component_id) == x for i, x in want.items())
 
 
+def test_neighbours_rounds_keep_closer_pairs(spark, monkeypatch):
+    turn = lambda d, k: math.cos(math.radians(d)) * np.eye(16)[0] + math.sin(math.radians(d)) * np.eye(16)[k]
+    v = [turn(0, 1), turn(20, 1), turn(40, 1), turn(60, 1), turn(5, 2)]  # only the first and the last are a link
+    g = neighbours.Graph(spark.createDataFrame([(i, x.tolist(), 0, 1, "z") for i, x in enumerate(v)], VEC))
+    c = {x.rep: x.cls for x in g.classes.collect()}
+    path = [(0, 1), (1, 2), (2, 3), (3, 4)]
+    edges = spark.createDataFrame([(min(c[i], c[j]), max(c[i], c[j]), float(v[i] @ v[j])) for i, j in path], "a long, b long, s double")
+    assert {frozenset(x) for x in g.descend(edges).collect()} == {frozenset((c[0], c[4]))}
+
+
 def test_neighbours_empty(spark):
     assert neighbours.Graph(spark.createDataFrame([], VEC)).result().count() == 0
 

@@ -4,8 +4,8 @@ Equal vectors are one class with a number of copies. The first graph links vecto
 the number of bits grows with the largest label, the number of tables follows from the bits so that a pair at the threshold meets
 in one table with ``SURE`` probability, and all members of a pattern are compared, crowded ones in pairs of blocks; labels for which one whole
 comparison is less work are compared whole. Everyone's best ``K`` of a pattern are kept, and links that join what all its links join.
-Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours until hardly any list changes. Edges at or over the
-threshold stay and give the components. Where lists are saturated (all ``K`` of them over the threshold) they are enlarged to
+Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours, saturated ones ``K`` longer every round, until hardly
+any list changes; found pairs stay if they get into a list. Edges at or over the threshold then give the components. Where lists are saturated (all ``K`` of them over the threshold) they are enlarged to
 everything: the members of such a component are compared in blocks, which counts their links without making the pairs.
 
 The audit compares the links of ``AUDIT`` vectors (smallest hash) with brute force over all vectors, as a share for each vector, and
@@ -83,16 +83,6 @@ def _patterns(batches: Iterator[pa.RecordBatch], bits: int, tables: range) -> It
                 yield pa.RecordBatch.from_arrays([cls, label, pa.array([t * 4096 + dim % 4096] * len(at), pa.int32()), pa.array(code)], ["cls", "label", "t", "code"])
 
 
-def _sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-        ok = [len(p) == len(q) for p, q in zip(x, y)]
-        b = b.filter(pa.array(ok, pa.bool_()))
-        x, y = ([np.frombuffer(p, np.float64) for p, o in zip(z, ok) if o] for z in (x, y))
-        s = np.array([p @ q for p, q in zip(x, y)], np.float64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["a", "b", "s"])
-
-
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (left, right) that join what all links of the matrix join, found breadth first."""
     free, left, right = [near.any(1), near.any(0)], [], []
@@ -148,6 +138,28 @@ def _compare(t: pa.Table, threshold: float, k: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)[ok], pa.int64()), "b": pa.array(np.maximum(a, b)[ok], pa.int64()), "s": pa.array(s[ok], pa.float64())})
 
 
+def _around(t: pa.Table, threshold: float) -> pa.Table:
+    """Of the pairs around each vector, one of them new there: those that get into a list of either end, and links."""
+    mid, cls, new, low = (t[c].to_numpy() for c in ("mid", "cls", "new", "low"))
+    v = t["v"].to_pylist()
+    dims = np.array([len(x) for x in v])
+    order = np.lexsort((dims, mid))
+    cut = np.flatnonzero((np.diff(mid[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
+    out: list[tuple] = []
+    for at in np.split(order, cut):
+        n, c = new[at], cls[at]
+        if len(at) < 2 or not n.any():
+            continue
+        x = np.frombuffer(b"".join([v[i] for i in at]), np.float64).reshape(len(at), -1)
+        s = x @ x.T
+        ok = (n[:, None] | n[None, :]) & (c[:, None] < c[None, :])
+        ok &= (s >= threshold) | (s > low[at][:, None]) | (s > low[at][None, :])
+        i, j = np.nonzero(ok)
+        out.append((c[i], c[j], s[i, j]))
+    a, b, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+
+
 def _block_links(t: pa.Table, threshold: float) -> pa.Table:
     """Links of the members of two blocks of one component, counted with copies."""
     cls, side, copies, v = (t[c].to_pylist() for c in ("cls", "side", "copies", "v"))
@@ -182,11 +194,6 @@ class Graph:
         self.classes = classes.select("cls", "rep", "copies").join(self.vectors.select("cls"), "cls", "left_semi")
         self.kind = kind
 
-    def sims(self, pairs: DataFrame) -> DataFrame:
-        v = self.vectors.select("cls", "v")
-        x = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
-        return x.mapInArrow(_sims, "a long, b long, s double")
-
     def first(self, bits: int, tables: range) -> DataFrame:
         """Edges (a < b, s) from shared sign patterns, each pattern compared in full; labels for which that is more work than
         comparing all their vectors once are compared so."""
@@ -214,35 +221,36 @@ class Graph:
         return e.groupBy("a", "b").agg(F.max("s").alias("s"))
 
     @staticmethod
-    def lists(edges: DataFrame, k: int) -> DataFrame:
-        """(a, b, s, new): each vector's best ``k`` neighbours."""
+    def lists(edges: DataFrame, k: int, turn: int = 0, threshold: float = 2.0) -> DataFrame:
+        """(a, b, s, new): each vector's best ``k`` neighbours, and of links ``k`` more in every turn; those are new there."""
         w = W.partitionBy("a").orderBy(F.col("s").desc(), F.xxhash64("a", "b"))
-        return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+        ranked = edges.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) | ((F.col("s") >= threshold) & (F.col("r") <= k * (turn + 1))))
+        return ranked.withColumn("new", F.col("new") | (F.col("r") > k * max(turn, 1))).drop("r")
 
     def descend(self, edges: DataFrame) -> DataFrame:
-        """All edges (a < b, s) at or over the threshold that the rounds came across."""
+        """All links (a < b) that the rounds came across. A found pair stays if it gets into a list of either end, or is a link."""
         seen = store(edges.select("a", "b", "s").withColumn("new", F.lit(True)), "edges")
-        for _ in range(ROUNDS):
+        t = self.threshold
+        for turn in range(ROUNDS):
             both = seen.select("a", "b", "s", "new").union(seen.select(F.col("b"), F.col("a"), "s", "new"))
-            near = store(self.lists(both, K), "lists")
+            near = store(self.lists(both, K, turn, t), "lists")
             # Of each neighbour's list and the lists it stands in, as many again at most, so no vector is a hub.
-            back = self.lists(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"), K)
+            back = self.lists(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"), K, turn, t)
             around = near.union(back).groupBy("a", "b").agg(F.max("new").alias("new"))
-            x = around.select(F.col("a").alias("mid"), F.col("b").alias("p"), F.col("new").alias("np"))
-            y = around.select(F.col("a").alias("mid"), F.col("b").alias("q"), F.col("new").alias("nq"))
-            c = x.join(y, "mid").where("p < q AND (np OR nq)").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-            c = c.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-            found = store(self.sims(c).withColumn("new", F.lit(True)), "found")
-            # A found pair counts as a change only if it gets into a list.
-            worst = near.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("low"))
-            hits = found.select("a", "s").union(found.select("b", "s")).join(worst, "a", "left")
-            changed = hits.where(f"low IS NULL OR n < {K} OR s > low").select("a").distinct().count()
+            worst = store(near.groupBy("a").agg(F.when(F.count("*") < K, -2.0).otherwise(F.min("s")).alias("low")), "worst")
             total = worst.count()
-            keep = found.where(f"s >= {self.threshold}") if total else found
-            seen = store(seen.select("a", "b", "s", F.lit(False).alias("new")).union(keep), "edges")
-            if changed <= STILL * max(total, 1) or found.isEmpty():
+            x = around.select(F.col("a").alias("mid"), F.col("b").alias("cls"), "new").join(worst.toDF("cls", "low"), "cls").join(self.vectors.select("cls", "v"), "cls")
+            pools = total // (POOL // K) + 1
+            c = x.groupBy(F.pmod(F.xxhash64("mid"), F.lit(pools)).alias("g")).applyInArrow(lambda z: _around(z, t), "a long, b long, s double")
+            c = c.groupBy("a", "b").agg(F.max("s").alias("s")).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+            found = store(c.withColumn("new", F.lit(True)), "found")
+            # A found pair counts as a change of the lists that it gets into.
+            hits = found.select("a", "s").union(found.select("b", "s")).join(worst, "a")
+            changed = hits.where("s > low").select("a").distinct().count()
+            seen = store(seen.select("a", "b", "s", F.lit(False).alias("new")).union(found), "edges")
+            if changed <= STILL * max(total, 1):
                 break
-        return seen.where(F.col("s") >= self.threshold).select("a", "b")
+        return seen.where(F.col("s") >= t).select("a", "b")
 
     def counted(self, links: DataFrame) -> DataFrame:
         """(cls, comp, links, full): saturated lists enlarged to all members of the component."""
