@@ -5,6 +5,7 @@ import zipfile
 import numpy as np
 import pytest
 
+from tidemark.config import Config
 from tidemark.operators import causality as g
 from tidemark.plans import pipeline
 from tidemark.sources import readers, sinks
@@ -101,3 +102,12 @@ def test_stream_momentum(spark, tmp_path):
     streams.run_available(streams.momentum(s), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
     assert [r.sentiment_momentum for r in got] == [None, 2.0, -1.0] and got[2].sentiment_acceleration == -3.0
+
+
+def test_stage_3_averages_two_models(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, T0 + dt.timedelta(hours=i), float(c), float(r.normal()), int(r.random() < 0.5)) for k in "AB" for i, c in enumerate(r.normal(size=200))]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, Close double, Volume double, target int")
+    got = pipeline.train_stage(d, Config(boost_rounds=3, boost_depth=2)).collect()
+    assert len(got) == 2 * (40 - 24) and any(abs(x.p1 - x.p2) > 1e-6 for x in got)
+    assert all(x.prob_up == pytest.approx((x.p1 + x.p2) / 2) for x in got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,11 +78,16 @@ def sequences(df: DataFrame, cols: list[str], steps: int = STEPS, keys: list[str
 
 def sequence_network(df: DataFrame, width: int, hidden: int = 64, rounds: int = 50) -> PipelineModel:
     """A feed-forward network over flattened sequences, in place of a recurrent one."""
-    d = df.withColumn("_flat", F.flatten("seq"))
-    from pyspark.ml.functions import array_to_vector
-
     net = MultilayerPerceptronClassifier(layers=[width, hidden, hidden, 2], labelCol="target", featuresCol="features", maxIter=rounds, seed=42)
-    return Pipeline(stages=[net]).fit(d.withColumn("features", array_to_vector("_flat")))
+    return Pipeline(stages=[net]).fit(df.withColumn("features", array_to_vector(F.flatten("seq"))))
+
+
+def sequence_probability(d: DataFrame, cols: list[str], out: str, steps: int = STEPS) -> DataFrame:
+    """Test rows that have a whole sequence in their split, with the probability of the network trained on the training rows."""
+    part = lambda s: sequences(d.where(F.col("split") == s), cols, steps)
+    net = sequence_network(part("train"), steps * len(cols))
+    test = part("test").withColumn("features", array_to_vector(F.flatten("seq")))
+    return probability_up(net, test, out).drop("features", "seq")
 
 
 def ensemble(p1: Column, p2: Column, up: float = UP, down: float = DOWN, weights=WEIGHTS) -> dict[str, Column]:

@@ -769,6 +769,15 @@ def _(v: Views):
     return out(m, "ticker", "ts", "split", "target", *model.available(m, model.FULL))
 
 
+@query("sequence_mlp")
+def _(v: Views):
+    d = model_matrix(v).na.fill(0.0).where("target IS NOT NULL")
+    cols = model.available(d, model.SENTIMENT)
+    d = model.finite(d, cols)
+    d = model.scale(d, model.scaler(d.where("split = 'train'"), cols))
+    return out(model.sequence_probability(d, cols, "prob_up"), "ticker", "ts", "target", "prob_up")
+
+
 @query("gbt_ablation")
 def _(v: Views):
     rows = model.ablation(model_matrix(v).na.fill(0.0), rounds=5, depth=3)
