@@ -4,10 +4,12 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.operators import causality as g
-from tidemark.plans import pipeline
+from tidemark.operators import model
+from tidemark.plans import catalogue, pipeline
 from tidemark.sources import readers, sinks
 from tidemark.streaming import streams
 
@@ -111,3 +113,18 @@ def test_stage_3_averages_two_models(spark):
     got = pipeline.train_stage(d, Config(boost_rounds=3, boost_depth=2)).collect()
     assert len(got) == 2 * (40 - 24) and any(abs(x.p1 - x.p2) > 1e-6 for x in got)
     assert all(x.prob_up == pytest.approx((x.p1 + x.p2) / 2) for x in got)
+
+
+def test_ablation_is_the_whole_job(spark, sf_dir, monkeypatch):
+    asked = []
+    rows = [("A", T0 + dt.timedelta(hours=i), "train" if i < 12 else "val" if i < 16 else "test", i % 2, float(i), 1) for i in range(20)]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, split string, target int, Close double, sentiment_available int")
+
+    def trees(train, cols, rounds=400, depth=6, rate=0.05, val=None):
+        asked.append((rounds, depth, rate, train.count(), 0 if val is None else train.where(val).count()))
+
+    monkeypatch.setattr(catalogue, "model_matrix", lambda v: d)
+    monkeypatch.setattr(model, "boosted_trees", trees)
+    monkeypatch.setattr(model, "probability_up", lambda m, x, name: x.withColumn(name, F.lit(0.5)))
+    got = catalogue.QUERIES["gbt_ablation"](spark, sf_dir).collect()
+    assert len(got) == 4 and asked == [(400, 6, 0.05, 16, 4)] * 4

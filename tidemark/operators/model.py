@@ -121,8 +121,9 @@ def best_threshold(df: DataFrame, prob: str = "prob_up", y: str = "target", low:
     return m.select("t", "accuracy", "f1_weighted", "step").orderBy(F.desc("accuracy"), F.desc("f1_weighted"), "step").limit(1).drop("step")
 
 
-def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSIONS) -> list[dict]:
-    """Accuracy and F1 of each feature set on the test rows; ``splits`` has columns split and target."""
+def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSIONS, rate: float = 0.05) -> list[dict]:
+    """Accuracy and F1 of each feature set on the test rows; ``splits`` has columns split and target. Rounds stop early by the
+    validation rows."""
     from .fuse import quality_filter
 
     out = []
@@ -131,9 +132,8 @@ def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSI
         cols = available(splits, names)
         d = quality_filter(splits) if name in ("v3_sentiment", "v4_full") else splits
         d = finite(d.where("target IS NOT NULL"), cols).cache()
-        train = d.where("split = 'train'")
-        fit = scaler(train, cols)
-        model = boosted_trees(scale(train, fit), cols, rounds, depth)
+        fit = scaler(d.where("split = 'train'"), cols)
+        model = boosted_trees(scale(d.where("split <> 'test'"), fit), cols, rounds, depth, rate, val=F.col("split") == "val")
         val = probability_up(model, scale(d.where("split = 'val'"), fit), "prob_up")
         best = best_threshold(val).first()
         t = best["t"] if best else 0.5

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Config
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import causality, clean, entity, features, fuse, ingest, market, model, score, weight
@@ -780,7 +781,8 @@ def _(v: Views):
 
 @query("gbt_ablation")
 def _(v: Views):
-    rows = model.ablation(model_matrix(v).na.fill(0.0), rounds=5, depth=3)
+    cfg = Config()
+    rows = model.ablation(model_matrix(v).na.fill(0.0), cfg.boost_rounds, cfg.boost_depth, rate=cfg.boost_rate)
     return v.spark.createDataFrame([(r["version"], r["n_features"], r["n_samples"], float(r["accuracy"] or 0), float(r["f1_weighted"] or 0), float(r["decision_threshold"])) for r in rows], "version string, n_features int, n_samples long, accuracy double, f1_weighted double, decision_threshold double")
 
 

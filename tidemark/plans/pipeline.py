@@ -89,7 +89,7 @@ def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars
         elif s == "3":
             out[s] = train_stage(out["2C"], cfg)
         else:
-            rows = model.ablation(market.time_split(out["2C"], cfg.train, cfg.val).na.fill(0.0), cfg.boost_rounds, cfg.boost_depth)
+            rows = model.ablation(market.time_split(out["2C"], cfg.train, cfg.val).na.fill(0.0), cfg.boost_rounds, cfg.boost_depth, rate=cfg.boost_rate)
             out[s] = spark.createDataFrame(rows) if rows else out["2C"].limit(0)
     return out
 
