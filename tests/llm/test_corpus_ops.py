@@ -95,6 +95,14 @@ def test_ngram_join_odd_cases(spark):
     assert ngram_join.Join(empty_docs(spark)).groups().count() == 0
 
 
+def test_ngram_join_repeated_id_keeps_its_other_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = [(3, b), (7, b), (7, a), (9, a + " more")]
+    j = ngram_join.Join(spark.createDataFrame(docs, "doc_id long, text string"))
+    sent = {r.text for r in j.representatives().collect()}
+    assert sent == {a, b, a + " more"} and j.links().count() == 1
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 400):
         assert ngram_join.prefix_length(n) == n - math.ceil(0.75 * n) + 1

@@ -309,6 +309,8 @@ class Join:
     def representatives(self) -> DataFrame:
         """The texts of one document per class; ids that are null or come with several texts may add more."""
         copies = self.rows.join(self.classes.where("copies > 1"), "cls").where("id <> rep").select("id").distinct()
+        # An id that stands for another of its texts stays.
+        copies = copies.join(self.classes.select(F.col("rep").alias("id")), "id", "left_anti")
         return without(self.docs, copies, "id")
 
     def postings(self) -> DataFrame:
