@@ -77,13 +77,38 @@ def near_texts(seed, groups=6, members=9, n=90):
     return out
 
 
-@pytest.mark.parametrize(("apart", "hot"), [(48, 20_000), (1, 3), (10**9, 20_000)])
-def test_ngram_join(spark, monkeypatch, apart, hot):
-    monkeypatch.setattr(ngram_join, "APART", apart)
-    monkeypatch.setattr(ngram_join, "HOT", hot)
+@pytest.mark.parametrize("how", [{}, {"turns": 1, "deal": 500, "block": 4000}, {"heavy": 3, "often": 2, "deal": 2000}])
+def test_ngram_join(spark, how):
     docs = list(enumerate(near_texts(4), 1))
-    got = ngram_join.Join(spark.createDataFrame(docs, "doc_id long, text string")).groups().collect()
-    assert sorted(map(tuple, got)) == brute_groups(docs)
+    got = ngram_join.Join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **how).groups().collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
+
+
+@pytest.mark.parametrize("how", [{}, {"turns": 1, "block": 200_000}])
+def test_ngram_join_crowded_passage(spark, how):
+    """One passage in 5000 texts, in shares from just under to just over what links; brute force over sets of numbers."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    docs = []
+    for i in range(5000):
+        own = [f"u{i}x{j}" for j in range(r.choice([2, 5, 7, 9, 12, 20]))]
+        cut = r.choice([0, 0, 0, 3, 8])
+        docs.append((i + 1, " ".join(own + passage[cut:]) if r.random() < 0.5 else " ".join(passage[cut:] + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {x.id: x.component_id for x in ngram_join.Join(df, **how).groups().collect()}
+    sets = {i: grams(t) for i, t in docs}
+    shared = np.zeros((5000, 60), np.float32)
+    col = {}
+    for i, x in sets.items():
+        for g in x:
+            if all(w[0] == "p" for w in g):
+                shared[i - 1, col.setdefault(g, len(col))] = 1
+    size = np.array([len(sets[i + 1]) for i in range(5000)])
+    both = shared @ shared.T
+    s = Sets()
+    for a, b in zip(*np.nonzero(np.triu(100 * both >= 75 * (size[:, None] + size[None] - both), 1))):
+        s.join(int(a) + 1, int(b) + 1)
+    assert got == {i: s.find(i) for i, _ in docs}
 
 
 def test_ngram_join_odd_cases(spark):

@@ -1,47 +1,51 @@
 """Jaccard self-join on word n-grams: rare-first prefix filter, then length, positional and suffix filters, one check per pair.
 
-Documents with equal n-gram sets are one class; classes are joined. N-grams are ordered rare first by a sketch of ``WIDTH``
-counters over all documents (fixed size, so it can go to every task; a collision can only change the order, never the result),
-then by hash. Two sets with the similarity share an n-gram in their prefixes, so only prefixes are dealt out by n-gram, and only
-n-grams that two classes share are kept ("postings").
-
-No n-gram's classes are ever paired all with all while that is avoidable: in each n-gram one class is the hub and the others are
-compared with it, which is linear; pairs whose classes are already known to be connected need no comparison; what is left, classes
-of one n-gram that are in different groups, is compared in full, block by block, so no link between groups is lost. More rounds with other hubs
-run first while any n-gram still holds many groups. Hot n-grams are salted when they are dealt out.
-
-A pair passes, in this order: lengths; positions, bounds on the overlap from the places of a shared n-gram in both sets and, where
-all shared prefix n-grams were seen, from their number and last places; the suffix filter, a bound from the counts of n-grams in
-``CELLS`` cells of the hash range; the check on the whole sets, once.
+Documents with equal n-gram sets are one class, named by 128 bits; classes are joined. N-grams are ordered by the number of
+classes that have them, counted over all documents: every n-gram is dealt to a bucket by its hash (five bytes each and the
+class's place in its batch), counted there, and those that two classes or more have go back to their batch. A class whose own
+n-grams fill its prefix has no partner and is out; of the others only the shared part of the prefix becomes postings. N-grams so
+frequent that they would swell one bucket are counted by a bounded list of heavy ones beforehand and are not dealt at all. Two
+n-grams that get one five-byte name in one bucket are taken for one n-gram in the order; that can add a candidate but lose none.
+
+A pair is looked for at the first n-gram of the order that both classes have: there the overlap is at most the rest of either set,
+which is the positional filter and holds the length filter. Pairs are never made of whole lists: in each n-gram one class is the
+hub and the others are compared with it, which is linear, in ``TURNS`` rounds with other hubs. What is left, classes of one
+n-gram that are not known to be connected, is compared in full: lists with the same hub share a task, large ones are cut into
+blocks by bytes, each class's set goes to a task once, and a task returns no more links than classes, those that join something.
+So no link between groups is lost; inside a group that is already connected no more links are looked for.
 
 Defined cases: null and empty texts have no n-grams and are a group of their own; fewer words than ``n`` are one n-gram; repeated
-rows are in one group; the component id is the smallest id of the group; classes of which all ids are null are compared with
-nothing and have a null component id; an empty table gives an empty result; extra columns are ignored.
+rows are in one group; an id with several texts is in the group of each; the component id is the smallest id of the group; classes
+of which all ids are null are compared with nothing and have a null component id; an empty table gives an empty result; extra
+columns are ignored; texts may be as long as memory holds one text's set.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .base import connected_components, forget, only, store, table, without
 from .kernel import LOWER, U, mix, shingles, slices, span_hash, strings, trim, words
 
 #: Words of an n-gram; least intersection as a share of the union, in hundredths.
 WORDS, LEAST = 5, 75
-#: Counters of the sketch, pieces that it travels in, cells of the suffix filter.
-WIDTH, PIECES, CELLS = 1 << 20, 64, 128
-#: Sketch count from which an n-gram is salted, and over how many buckets; documents for each bucket.
-HOT, SALTS, PER_BUCKET, BUCKETS = 20_000, 64, 4000, 12
-#: Classes of one n-gram still apart, over which another round of hubs runs; most such rounds.
-APART, MORE = 48, 2
-#: Classes of an n-gram that are compared in one task; postings of a task that holds several n-grams.
-LIST, TASK = 2048, 50_000
+#: N-grams that a task deals out at once, and those of a bucket, at least (it grows with the root of their number); fewest buckets.
+DEAL, BUCKETS = 1 << 20, 12
+#: An n-gram is heavy in a batch if this share of its classes have it, and ``HEAVY_LEAST`` of them; it is not dealt if ``HEAVY``
+#: classes have it. Where more than ``HEAVY_MOST`` are so frequent (the list is broadcast), the rest only make larger buckets.
+HEAVY_SHARE, HEAVY_LEAST, HEAVY, HEAVY_MOST = 64, 32, 1 << 18, 1 << 17
+#: Rounds of hubs; bytes of sets in a block; cells of the suffix filter.
+TURNS, BLOCK, CELLS = 2, 16 << 20, 128
+#: Bytes of an n-gram's name in its bucket.
+NAME = 5
 
 
 def _sets(b: pa.RecordBatch, col: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,228 +59,221 @@ def _sets(b: pa.RecordBatch, col: int, k: int) -> Iterator[tuple[int, np.ndarray
             yield i + r, np.unique(x[xo[r] : xo[r + 1]])
 
 
-def _kind(n: int):
-    """The smallest type that holds a cell's count."""
-    return np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
-
-
-def class_of(u: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+def class_of(u: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
     if not len(u):
-        return 0
+        return bytes(16)
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(u + U(0x1234567)).sum(dtype=U) + U(len(u))]))[0].astype(np.int64))
+        two = [mix(u + U(0x1234567)).sum(dtype=U), mix(u ^ U(0x9E3779B97F4A7C15)).sum(dtype=U)]
+    return blake2b(np.array([*two, len(u)], U).tobytes(), digest_size=16).digest()
+
+
+def prefix_length(n, least: int = LEAST):
+    return n + (-least * n) // 100 + 1
+
+
+_SCAN = "kind int, id long, n int, cls binary, h long, m long"
+_SCAN_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("h", pa.int64()), ("m", pa.int64())])
+
 
+def _heavy(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that a large share of these sets has, and how many have each."""
+    least = max(least, len(sets) // HEAVY_SHARE)
+    h = np.concatenate(sets)
+    cell = (h & U(0xFFFF)).astype(np.int64)
+    h, m = np.unique(h[np.bincount(cell, minlength=1 << 16)[cell] >= least], return_counts=True)
+    return h[m >= least].astype(np.int64), m[m >= least]
 
-_SCAN = "kind int, id long, n int, cls long, cells binary, piece int, counts binary"
 
+def _scan(batches: Iterator[pa.RecordBatch], k: int, deal: int, often: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 tell each row's class; rows of kind 1 count n-grams that many classes of one batch have."""
 
-def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("cells", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
-    sketch, any_ = np.zeros(WIDTH, np.uint32), False
+    def rows(kind: int, count: int, **cols) -> pa.RecordBatch:
+        full = {"kind": [kind] * count} | cols
+        return pa.RecordBatch.from_arrays([pa.array(full.get(f.name, [None] * count), f.type) for f in _SCAN_ARROW], schema=_SCAN_ARROW)
+
+    hold: dict[bytes, np.ndarray] = {}
+    size = 0
     for b in batches:
-        n, cls, cells = [], [], []
+        n, cls = [], []
         for _, u in _sets(b, 1, k):
-            sketch[(u % U(WIDTH)).astype(np.int64)] += 1  # of one text, n-grams that share a counter count once
             n.append(len(u))
             cls.append(class_of(u))
-            cells.append(np.bincount((u >> U(57)).astype(np.int64), minlength=CELLS).astype(_kind(len(u))).tobytes())
-        any_ = any_ or bool(n)
-        none = [None] * len(n)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[0] * len(n), b.column(0).to_pylist(), n, cls, cells, none, none], schema)], schema=schema)
-    if any_:
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)]
-        none = [None] * PIECES
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[1] * PIECES, none, none, none, none, range(PIECES), parts], schema)], schema=schema)
+            if len(u) and cls[-1] not in hold:
+                hold[cls[-1]] = u
+                size += len(u)
+            if size >= deal:
+                h, m = _heavy(list(hold.values()), often)
+                yield rows(1, len(h), h=h, m=m)
+                hold, size = {}, 0
+        yield rows(0, len(n), id=b.column(0).to_pylist(), n=n, cls=cls)
+    if hold:
+        h, m = _heavy(list(hold.values()), often)
+        yield rows(1, len(h), h=h, m=m)
     trim()
 
 
-def _add(t: pa.Table) -> pa.Table:
-    total = np.zeros(WIDTH // PIECES, np.uint64)
-    for x in t["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-    return pa.table({"piece": pa.array([t["piece"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+_DEALT = "bucket int, batch long, name binary, who binary, cls binary, n binary, heavy binary"
+_DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in ("name", "who", "cls", "n", "heavy")]])
 
 
-def prefix_length(n: int, least: int = LEAST) -> int:
-    return n - -(-least * n // 100) + 1
+def _split(x: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+    """One binary value for each range of items of ``width`` bytes; ``at`` has the starts and the end."""
+    off = (at * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-_DEALT = "bucket int, h binary, i binary, pos binary, cls binary, n binary"
-_DEALT_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("h", "i", "pos", "cls", "n")]])
+def _join(col: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all items, number of items of each row) of a binary column without nulls."""
+    parts = [np.frombuffer(x, kind) for x in col.to_pylist()]
+    return np.concatenate([*parts, np.zeros(0, kind)]), np.array([len(x) for x in parts], np.int64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], sketch, buckets: int, k: int, least: int) -> Iterator[pa.RecordBatch]:
-    counts = sketch.value
-    hold: list[tuple] = []
-    size = 0
+def _name(b: np.ndarray) -> np.ndarray:
+    """Numbers from their ``NAME`` bytes."""
+    out = np.zeros((len(b) // NAME, 8), np.uint8)
+    out[:, :NAME] = b.reshape(-1, NAME)
+    return out.reshape(-1).view(U)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], heavy, buckets: int, k: int, deal: int) -> Iterator[pa.RecordBatch]:
+    """N-grams by bucket, for every batch of classes; and each batch's classes, which travel through a bucket unread.
 
-    def dealt():
-        h, pos, i = (np.concatenate([x[c] for x in hold]) for c in (0, 1, 2))
-        cls, n = np.array([x[3] for x in hold], np.int64), np.array([x[4] for x in hold], np.uint32)
-        hot = counts[(h % U(WIDTH)).astype(np.int64)] >= HOT
-        salt = np.where(hot, (cls[i].astype(U) % U(SALTS)) * U(0x9E3779B1), U(0))
-        to = (mix(h + salt) % U(buckets)).astype(np.int32)
+    A batch is named by its classes, so a task that runs again deals the same."""
+    known = heavy.value
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    hold: dict[bytes, np.ndarray] = {}
+    size = number = 0
+
+    def dealt() -> pa.RecordBatch:
+        cls = sorted(hold)
+        n = np.array([len(hold[c]) for c in cls], np.uint32)
+        h, who = np.concatenate([hold[c] for c in cls]), np.repeat(np.arange(len(cls), dtype=np.uint16), n)
+        batch = int.from_bytes(blake2b(b"".join(cls) + b"%d %d" % (task, number), digest_size=8).digest(), "little", signed=True)
+        own = b""
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hot = known[at] == h
+            own = np.stack([who[hot].astype(U), at[hot].astype(U)], 1).tobytes()
+            h, who = h[~hot], who[~hot]
+        to = ((h >> U(8 * NAME)) % U(buckets)).astype(np.uint16 if buckets <= 65536 else np.int32)
         order = np.argsort(to, kind="stable")
-        h, pos, i, to = h[order], pos[order], i[order], to[order]
-        at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        cols = [[], [], [], [], []]
-        for a, z in zip(at, np.append(at[1:], len(to))):
-            who, local = np.unique(i[a:z], return_inverse=True)
-            for c, x in zip(cols, (h[a:z], local.astype(np.uint32), pos[a:z], cls[who], n[who])):
-                c.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(to[at], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], schema=_DEALT_ARROW)
+        h, who, to = h[order], who[order], to[order]
+        at = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        ends = np.append(at, len(to))
+        cells = [pa.array(to[at].astype(np.int32)), pa.array([batch] * len(at), pa.int64()), _split(h.view(np.uint8).reshape(-1, 8)[:, :NAME], ends, NAME), _split(who, ends, 2)]
+        cells += [pa.nulls(len(at), pa.binary())] * 3
+        about = [[batch % buckets], [batch], [None], [None], [b"".join(cls)], [n.tobytes()], [own]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([c, pa.array(a, f.type)]) for c, a, f in zip(cells, about, _DEALT_ARROW)], schema=_DEALT_ARROW)
 
     for b in batches:
         for _, u in _sets(b, 0, k):
             if not len(u):
                 continue
-            p = prefix_length(len(u), least)
-            rank = np.lexsort((u, counts[(u % U(WIDTH)).astype(np.int64)]))[:p]
-            hold.append((u[rank], np.arange(p, dtype=np.uint32), np.full(p, len(hold), np.uint32), class_of(u), len(u)))
-            size += p
-            if size > 1 << 19:
+            c = class_of(u)
+            if c not in hold:
+                hold[c] = u
+                size += len(u)
+            if size >= deal or len(hold) == 60_000:
                 yield dealt()
-                hold, size = [], 0
+                hold, size, number = {}, 0, number + 1
     if hold:
         yield dealt()
     trim()
 
 
-_POSTINGS = "h long, cls long, n int, pos int"
-
-
-def _shared(t: pa.Table, sketch) -> pa.Table:
-    """The n-grams of a bucket that two classes have; of salted ones all, as their other classes may be elsewhere."""
-    h, cls, n, pos = [], [], [], []
-    for hb, ib, pb, cb, nb in zip(*[t[c].to_pylist() for c in ("h", "i", "pos", "cls", "n")]):
-        i = np.frombuffer(ib, np.uint32)
-        h.append(np.frombuffer(hb, U))
-        pos.append(np.frombuffer(pb, np.uint32))
-        cls.append(np.frombuffer(cb, np.int64)[i])
-        n.append(np.frombuffer(nb, np.uint32)[i])
-    h, cls, n, pos = (np.concatenate(x) for x in (h, cls, n, pos))
-    order = np.argsort(h, kind="stable")
-    h, cls, n, pos = h[order], cls[order], n[order], pos[order]
-    same = np.append(False, h[1:] == h[:-1])
-    twin = same | np.append(same[1:], False) | (sketch.value[(h % U(WIDTH)).astype(np.int64)] >= HOT)
-    h, cls, n, pos = h[twin], cls[twin], n[twin], pos[twin]
-    return pa.table({"h": pa.array(h.astype(np.int64)), "cls": pa.array(cls), "n": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32())})
-
-
-def _need(a: str, b: str, least: int):
-    """Least intersection of sets of these sizes: least / (100 + least) of both sizes together."""
-    return F.ceil(F.lit(least) * (F.col(a) + F.col(b)) / F.lit(100 + least))
-
+_COUNTED = "bucket int, batch long, name binary, who binary, df binary, cls binary, n binary, heavy binary"
+_COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in ("name", "who", "df", "cls", "n", "heavy")]])
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """For each batch the n-grams of this bucket that two classes or more have, with the number of those."""
+    about = t.filter(t["cls"].is_valid())
+    cells = t.filter(t["name"].is_valid())
+    raw, size = _join(cells["name"], np.uint8)
+    name, size = _name(raw), size // NAME
+    who, _ = _join(cells["who"], np.uint16)
+    # Sorted by name with the entry's place in the low bits, where that fits; else by way of an index.
+    if len(name) <= 1 << 24:
+        x = np.sort(name << U(24) | np.arange(len(name), dtype=U))
+        entry, name = (x & U(0xFFFFFF)).astype(np.int64), x >> U(24)
+    else:
+        entry = np.argsort(name, kind="stable")
+        name = name[entry]
+    start = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+    run = np.diff(np.append(start, len(name)))
+    df = np.repeat(run, run)
+    many = df > 1
+    entry, name, df = entry[many], name[many], df[many].astype(np.uint32)
+    back = np.argsort(entry)
+    entry, name, df = entry[back], name[back], df[back]
+    ends = np.searchsorted(entry, np.append(0, np.cumsum(size)))
+    cells = cells.combine_chunks()
+    none = pa.nulls(len(cells), pa.binary())
+    out = [cells["bucket"].combine_chunks(), cells["batch"].combine_chunks(), _split(name.view(np.uint8).reshape(-1, 8)[:, :NAME], ends, NAME), _split(who[entry], ends, 2), _split(df, ends, 4), none, none, none]
+    out = pa.Table.from_arrays(out, schema=_COUNTED_ARROW)
+    out = out.filter(pa.array(np.diff(ends) > 0))
+    rest = pa.Table.from_arrays([about[f.name] if f.name in about.column_names else pa.nulls(len(about), f.type) for f in _COUNTED_ARROW], schema=_COUNTED_ARROW)
+    return pa.concat_tables([out, rest])
+
+
+_POSTINGS = "h long, cls binary, n int, pos int"
+
+
+def _prefixes(t: pa.Table, heavy, least: int) -> pa.Table:
+    """The prefix n-grams that others have too, of each class of a batch, with their places in the set's order."""
+    about = t.filter(t["cls"].is_valid())
+    if len(about) != 1:
+        raise RuntimeError("a batch of n-grams came without its classes, or with several lists of them")
+    cells = t.filter(t["name"].is_valid())
+    raw, size = _join(cells["name"], np.uint8)
+    name = _name(raw) | np.repeat(cells["bucket"].to_numpy().astype(U), size // NAME) << U(8 * NAME)
+    who, _ = _join(cells["who"], np.uint16)
+    df, _ = _join(cells["df"], np.uint32)
+    df, who, name = df.astype(np.int64), who.astype(np.int64), name.astype(np.int64)
+    own = np.frombuffer(about["heavy"][0].as_py(), U).reshape(-1, 2).astype(np.int64)
+    if len(own):  # heavy ones come after all others, by their place in the list; their names are negative
+        df, who, name = np.append(df, own[:, 1] + (1 << 40)), np.append(who, own[:, 0]), np.append(name, -1 - own[:, 1])
+    cls, n = about["cls"][0].as_py(), np.frombuffer(about["n"][0].as_py(), np.uint32).astype(np.int64)
+    order = np.lexsort((name, df, who))
+    who, name = who[order], name[order]
+    many = np.bincount(who, minlength=len(n))
+    pos = n[who] - many[who] + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    keep = pos < prefix_length(n[who], least)
+    who, name, pos = who[keep], name[keep], pos[keep]
+    names = pa.array([cls[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary())
+    return pa.table({"h": pa.array(name), "cls": names.take(pa.array(who)), "n": pa.array(n[who], pa.int32()), "pos": pa.array(pos, pa.int32())})
 
-def _close(least: int):
-    """Lengths and the place of the one n-gram allow the similarity."""
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-    return (100 * small >= least * large) & (most >= _need("n", "n2", least))
 
-
-def _pairs(c: DataFrame) -> DataFrame:
-    """(a, b, na, nb) from candidates of single n-grams, each pair once."""
-    up = F.col("cls") < F.col("cls2")
-    c = c.select(
-        F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"),
-        F.when(up, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(up, F.col("n2")).otherwise(F.col("n")).alias("nb"),
-    )
-    return c.distinct()
+def _kind(n: int):
+    """The smallest type that holds a cell's count."""
+    return np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
 
 
-def _counts(cells: list[bytes], n: np.ndarray) -> np.ndarray:
-    kinds = [_kind(k) for k in n.tolist()]
-    most = max(kinds, key=lambda k: np.dtype(k).itemsize, default=np.uint8)
-    out = np.empty((len(cells), CELLS), most)
-    for i, (x, k) in enumerate(zip(cells, kinds)):
-        out[i] = np.frombuffer(x, k)
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams of each set fall into each cell of the hash range."""
+    out = np.empty((len(sets), CELLS), _kind(max(map(len, sets), default=0)))
+    for i, u in enumerate(sets):
+        out[i] = np.bincount((u >> U(57)).astype(np.int64), minlength=CELLS)
     return out
 
 
-def _merged(x: np.ndarray) -> np.ndarray:
-    """One row (a, b, number, last place in a, in b) for each pair."""
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    at = np.flatnonzero(np.append(True, (x[1:, :2] != x[:-1, :2]).any(1))) if len(x) else np.zeros(0, np.int64)
-    if not len(at):
-        return x
-    add, most = np.add.reduceat(x[:, 2], at), np.maximum.reduceat(x[:, 3:], at)
-    return np.column_stack([x[at, :2], add, most])
-
-
-def _across(t: pa.Table, least: int) -> pa.Table:
-    """Pairs of classes with different labels in one n-gram that pass lengths, positions and cells; each pair once a task, with
-    the number of n-grams here that both prefixes have and the last places of those.
-
-    ``side`` is 2 where a list is one block, else 0 and 1 tell the two blocks apart.
-    """
-    t = t.sort_by("h")
-    h, cls, label, side = (t[c].to_numpy() for c in ("h", "cls", "label", "side"))
-    n, pos = t["n"].to_numpy().astype(np.int32), t["pos"].to_numpy().astype(np.int32)
-    after = n - pos
-    cells = _counts(t["cells"].to_pylist(), n)
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    found = [np.zeros((0, 5), np.int64)]
-
-    def compare(left: np.ndarray, right: np.ndarray, above: bool) -> None:
-        """Adds the pairs of these rows; ``above``: both are one list in one order, and a pair is looked at once."""
-        for k in range(0, len(left), 256):
-            i, j = left[k : k + 256, None], (right[k:] if above else right)[None, :]
-            both = n[i] + n[j]
-            ok = (100 + least) * (np.minimum(pos[i], pos[j]) + np.minimum(after[i], after[j])) >= least * both
-            ok &= label[i] != label[j]
-            ok &= (100 + least) * np.minimum(n[i], n[j]) >= least * both
-            if above:
-                ok &= np.arange(len(i))[:, None] < np.arange(j.shape[1])[None, :]
-            x, y = np.nonzero(ok)
-            x, y = i[x, 0], j[0, y]
-            for q in range(0, len(x), 1 << 15):
-                u, v = x[q : q + (1 << 15)], y[q : q + (1 << 15)]
-                bound = np.minimum(cells[u], cells[v]).sum(1, dtype=np.int32)
-                good = (100 + least) * bound >= least * (n[u] + n[v])
-                u, v = u[good], v[good]
-                if len(u):
-                    u, v = np.where(cls[u] < cls[v], u, v), np.where(cls[u] < cls[v], v, u)
-                    found.append(np.stack([cls[u], cls[v], np.ones(len(u), np.int64), pos[u], pos[v]], 1))
-
-    for lo, hi in zip(at, np.append(at[1:], len(h))):
-        own = np.arange(lo, hi)
-        if side[lo] != 2:
-            compare(own[side[lo:hi] == 0], own[side[lo:hi] == 1], False)
-        else:  # most of a list often is one group: only the rest is compared, with that group and with itself
-            names, back, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
-            most = back == count.argmax()
-            rest = own[~most]
-            compare(rest, own[most], False)
-            compare(rest, rest, True)
-        if sum(map(len, found)) > 1 << 19:
-            found = [_merged(np.concatenate(found))]
-    ab = _merged(np.concatenate(found))
-    size = dict(zip(cls.tolist(), n.tolist()))
-    return pa.table({
-        "a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1]),
-        "na": pa.array([size[x] for x in ab[:, 0].tolist()], pa.int32()), "nb": pa.array([size[x] for x in ab[:, 1].tolist()], pa.int32()),
-        "m": pa.array(ab[:, 2], pa.int32()), "pa": pa.array(ab[:, 3], pa.int32()), "pb": pa.array(ab[:, 4], pa.int32()),
-    })
-
-
-def _suffix(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-        bound = np.minimum(_counts(b.column(4).to_pylist(), na), _counts(b.column(5).to_pylist(), nb)).sum(1, dtype=np.int64)
-        yield b.select(["a", "b"]).filter(pa.array((100 + least) * bound >= least * (na + nb)))
+def _similar(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= least * (len(x) + len(y) - both)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both sets those that link: the suffix filter, then the sets."""
     for b in batches:
-        ok = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            ok.append(100 * both >= least * (len(x) + len(y) - both))
+        x, y = ([np.frombuffer(s, U) for s in b.column(c).to_pylist()] for c in ("ga", "gb"))
+        sizes = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64)
+        ok = (100 + least) * np.minimum(_counts(x), _counts(y)).sum(1, dtype=np.int64) >= least * sizes
+        for i in np.flatnonzero(ok):
+            ok[i] = _similar(x[i], y[i], least)
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     trim()
 
@@ -287,99 +284,183 @@ def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         for _, u in _sets(b, 0, k):
             cls.append(class_of(u))
             sets.append(u.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "grams"])
     trim()
 
 
+def _candidates(t: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a task that pass the positional filter in one n-gram and whose labels differ, list by list.
+
+    Rows are classes with ``at`` (n-gram and place, two numbers each). In a task of two blocks only pairs across them count."""
+    n, blk = t["n"].to_numpy().astype(np.int64), t["blk"].to_numpy()
+    label = pa.compute.index_in(t["label"], t["label"].unique()).to_numpy()
+    at, size = _join(t["at"], np.int64)
+    at, row = at.reshape(-1, 2), np.repeat(np.arange(len(n)), size // 2)
+    order = np.lexsort((n[row], at[:, 0]))
+    h, row = at[order, 0], row[order]
+    size = n[row]
+    rest = size - at[order, 1]
+    across = bool((blk != blk[0]).any())
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    for lo, hi in zip(start, np.append(start[1:], len(h))):
+        if hi - lo < 2 or (label[row[lo:hi]] == label[row[lo]]).all():
+            continue
+        most = ((100 + least) * rest[lo:hi] - least * size[lo:hi]) // least  # the largest partner
+        for a in range(lo, hi, 256):
+            z = min(a + 256, hi)
+            end = lo + int(np.searchsorted(size[lo:hi], most[a - lo : z - lo].max(), "right"))
+            if end <= a:
+                continue
+            i, j = np.arange(a, z)[:, None], np.arange(a, end)[None, :]
+            ok = (i < j) & ((100 + least) * np.minimum(rest[i], rest[j]) >= least * (size[i] + size[j]))
+            ok &= label[row[i]] != label[row[j]]
+            if across:
+                ok &= blk[row[i]] != blk[row[j]]
+            x, y = np.nonzero(ok)
+            if len(x):
+                yield row[a + x], row[a + y]
+
+
+def _near(t: pa.Table, least: int) -> pa.Table:
+    """The classes of a task that have a candidate."""
+    hit = np.zeros(len(t), bool)
+    for x, y in _candidates(t, least):
+        hit[x] = hit[y] = True
+    return t.select(["g", "cls"]).filter(pa.array(hit))
+
+
+def _prove(t: pa.Table, least: int) -> pa.Table:
+    """Links that join what is not joined yet: at most one less than classes. Each pair is looked at once."""
+    sets = [np.frombuffer(s, U) for s in t["grams"].to_pylist()]
+    cells = _counts(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    root = pa.compute.index_in(t["label"], t["label"].unique()).to_numpy().astype(np.int64)
+    seen = np.zeros(0, np.int64)
+    out: list[tuple[int, int]] = []
+    for x, y in _candidates(t, least):
+        code = np.unique(np.minimum(x, y) * len(n) + np.maximum(x, y))
+        if len(seen):
+            code = code[seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code]
+        seen = np.union1d(seen, code) if len(seen) < 1 << 22 else code  # forgotten pairs are only looked at again
+        for q in range(0, len(code), 1 << 14):
+            x, y = np.divmod(code[q : q + (1 << 14)], len(n))
+            ok = (100 + least) * np.minimum(cells[x], cells[y]).sum(1, dtype=np.int64) >= least * (n[x] + n[y])
+            for i, j in zip(x[ok].tolist(), y[ok].tolist()):
+                if root[i] != root[j] and _similar(sets[i], sets[j], least):
+                    root[root == root[j]] = root[i]
+                    out.append((i, j))
+    i, j = (pa.array([p[c] for p in out], pa.int64()) for c in (0, 1))
+    return pa.table({"a": t["cls"].take(i), "b": t["cls"].take(j)})
+
+
 class Join:
-    """The classes of a table of documents and the links between them."""
+    """The classes of a table of documents and the links between them.
+
+    ``deal``, ``heavy`` and ``often`` (the least count of a batch that is told), ``block`` and ``turns`` change how the work is
+    laid out, never the result."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: int = LEAST):
-        self.k, self.least = k, least
+    def __init__(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: int = LEAST,
+        *, deal: int = DEAL, heavy: int = HEAVY, often: int = HEAVY_LEAST, block: int = BLOCK, turns: int = TURNS,
+    ):
+        self.k, self.least, self.deal, self.heavy_at, self.block, self.turns = k, least, deal, heavy, block, turns
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        scanned = store(self.docs.mapInArrow(lambda it: _scan(it, k), _SCAN), "grams")
-        self.rows = scanned.where("kind = 0").select("id", "n", "cls")
-        self.cells = scanned.where("kind = 0 AND n > 0").select("cls", "cells")
-        self.classes = store(self.rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-        total = scanned.where("kind = 1").select("piece", "counts").groupBy("piece").applyInArrow(_add, "piece int, counts binary")
-        got = sorted(total.collect())  # WIDTH counters, whatever the input
-        counts = np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint32) for r in got]) if got else np.zeros(WIDTH, np.uint32)
-        self.sketch = docs.sparkSession.sparkContext.broadcast(counts)
+        self.scanned = store(self.docs.mapInArrow(lambda it: _scan(it, k, deal, often), _SCAN), "grams")
+        self.rows = self.scanned.where("kind = 0").select("id", "n", "cls")
+        c = self.rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+        self.classes = store(c, "classes")
 
     def representatives(self) -> DataFrame:
-        """The texts of one document per class; ids that are null or come with several texts may add more."""
-        copies = self.rows.join(self.classes.where("copies > 1"), "cls").where("id <> rep").select("id").distinct()
+        """(id, text) of one document per class; ids that come with several texts may add more."""
+        copies = self.rows.join(self.classes.where("copies > 1").select("cls", "rep"), "cls").where("id <> rep").select("id").distinct()
         # An id that stands for another of its texts stays.
         copies = copies.join(self.classes.select(F.col("rep").alias("id")), "id", "left_anti")
-        return without(self.docs, copies, "id")
+        return without(self.docs.where("id IS NOT NULL"), copies, "id")
+
+    def heavy(self) -> np.ndarray:
+        """The sorted hashes of n-grams that are not dealt."""
+        m = self.scanned.where("kind = 1").groupBy("h").agg(F.sum("m").alias("m")).where(F.col("m") >= self.heavy_at)
+        got = m.orderBy(F.desc("m"), "h").limit(HEAVY_MOST).select("h").collect()  # at most HEAVY_MOST numbers
+        return np.sort(np.array([r["h"] for r in got], np.int64).view(U))
 
     def postings(self) -> DataFrame:
-        k, least, sketch = self.k, self.least, self.sketch
-        buckets = max(BUCKETS, self.rows.count() // PER_BUCKET)
-        d = self.representatives().select("text").mapInArrow(lambda it: _prefixes(it, sketch, buckets, k, least), _DEALT)
-        return store(d.groupBy("bucket").applyInArrow(lambda t: _shared(t, sketch), _POSTINGS), "postings")
-
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """The links (a, b) among stored pairs (a, b, na, nb)."""
-        least, k = self.least, self.k
-        cells = self.cells.groupBy("cls").agg(F.first("cells").alias("cells"))
-        x = pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("ca")), "a")
-        x = x.join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb")
-        left = store(x.mapInArrow(lambda it: _suffix(it, least), "a long, b long"), "close")
-        who = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
+        """(h, cls, n, pos) of n-grams that two classes have in their prefixes' shared parts."""
+        k, least, deal = self.k, self.least, self.deal
+        total = self.classes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+        buckets = min(max(BUCKETS, int(total // max(deal, 4 * total**0.5))), 1 << 23)
+        heavy = self.docs.sparkSession.sparkContext.broadcast(self.heavy())
+        d = self.representatives().select("text").mapInArrow(lambda it: _deal(it, heavy, buckets, k, deal), _DEALT)
+        c = d.groupBy("bucket").applyInArrow(_count, _COUNTED)
+        p = store(c.groupBy("batch").applyInArrow(lambda t: _prefixes(t, heavy, least), _POSTINGS), "prefixes")
+        many = p.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h")
+        many = store(many, "many")
+        out = store(p.join(many, "h", "left_semi").distinct(), "postings")
+        forget(p, many)
+        return out
+
+    def sets(self, posts: DataFrame) -> DataFrame:
+        """(cls, grams) of every class with postings, read from its representative's text."""
+        who = store(posts.select("cls").distinct(), "who")
         ids = self.classes.join(who, "cls", "left_semi").select(F.col("rep").alias("id"))
-        texts = only(self.docs, ids, "id").select("text").mapInArrow(lambda it: _whole(it, k), "cls long, grams binary")
-        sets = store(texts.join(who, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-        y = left.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
-        y = y.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-        links = store(y.mapInArrow(lambda it: _verify(it, least), "a long, b long"), "links")
-        forget(left, sets)
-        return links
+        k = self.k
+        texts = only(self.docs, ids.distinct(), "id").select("text").mapInArrow(lambda it: _whole(it, k), "cls binary, grams binary")
+        out = store(texts.join(who, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        forget(who)
+        return out
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes that join the same classes as all links do."""
-        posts, least = self.postings(), self.least
-        found, done, label = None, None, None
-        for turn in range(MORE + 1):
-            p = posts
-            if label is not None:
-                p = self._apart(posts, label)
-                widest = p.groupBy("h").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
-                if widest <= APART or turn == MORE:
-                    break
-            hub = p.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos")).alias("x"))
-            hub = hub.select("h", F.col("x.cls").alias("cls2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2"))
-            c = p.join(hub, "h").where((F.col("cls") != F.col("cls2")) & _close(least))
-            found, done = self._grow(_pairs(c), found, done)
+        posts = self.postings()
+        sets = self.sets(posts)
+        found = tried = label = None
+        for turn in range(self.turns):
+            p = posts if label is None else self._apart(posts, label)
+            new = self._pairs(p, turn, tried)
+            links = self._check(new, sets)
+            found = links if found is None else found.union(links)
+            tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
             label = self._labels(found)
-        found, _ = self._grow(self._rest(p), found, done)
-        forget(posts)
-        return found
+        out = store(found.union(self._rest(self._apart(posts, label), sets)), "links")
+        forget(posts, sets)
+        return out
 
-    def _rest(self, p: DataFrame) -> DataFrame:
-        """All pairs that are left in n-grams with several labels. Short lists share a task, long ones are cut into blocks and
-        each pair of blocks is a task's; the pairs themselves are never rows, only those that pass the filters are."""
+    def _pairs(self, p: DataFrame, turn: int, tried: DataFrame | None) -> DataFrame:
+        """Each class of a list with the list's hub, where the place of the n-gram allows the similarity; each pair once."""
         least = self.least
-        p = p.join(self.cells.groupBy("cls").agg(F.first("cells").alias("cells")), "cls")
-        m = p.groupBy("h").agg(F.ceil(F.count("*") / LIST).alias("nb"))
-        tasks = max(1, p.count() // TASK)
-        p = p.join(m, "h").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")))
-        p = p.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        side = F.when(F.col("with") == F.col("blk"), 2).when(F.col("blk") < F.col("with"), 0).otherwise(1)
-        g = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("h", F.lit(4)), F.lit(tasks))).otherwise(F.col("h"))
-        p = p.select(g.alias("g"), F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), "h", "cls", "n", "pos", "label", side.alias("side"), "cells")
-        c = p.groupBy("g", "i", "j").applyInArrow(lambda t: _across(t, least), "a long, b long, na int, nb int, m int, pa int, pb int")
-        c = c.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("na", "nb")], F.sum("m").alias("m"), *[F.max(x).alias(x) for x in ("pa", "pb")])
-        most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-        return c.where(most >= _need("na", "nb", least)).select("a", "b", "na", "nb")
-
-    def _grow(self, pairs: DataFrame, found: DataFrame | None, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        new = self.check(pairs)
-        pairs_ = pairs.select("a", "b")
-        return (new, pairs_) if found is None else (found.union(new), done.union(pairs_))
+        hub = p.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos")).alias("x"))
+        hub = store(hub.select("h", F.col("x.cls").alias("cls2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2")), "hubs")
+        left = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        c = p.join(hub, "h").where((F.col("cls") != F.col("cls2")) & ((100 + least) * left >= least * (F.col("n") + F.col("n2"))))
+        c = c.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+        out = store(c if tried is None else c.join(tried, ["a", "b"], "left_anti"), "pairs")
+        forget(hub)
+        return out
+
+    def _check(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        least = self.least
+        x = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
+        x = x.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+        return store(x.mapInArrow(lambda it: _verify(it, least), "a binary, b binary"), "found")
+
+    def _blocks(self, p: DataFrame) -> DataFrame:
+        """Rows (g, cls, n, label, at) dealt to the tasks (g, i, j): each pair of a hub's blocks meets in one task."""
+        nb = p.groupBy("g").agg(F.ceil(F.sum(F.lit(8) * F.col("n")) / self.block).cast("int").alias("nb"))
+        p = p.join(nb, "g").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
+        p = p.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        return p.select("g", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), "cls", "n", "label", "at", "blk")
+
+    def _rest(self, p: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links between differently labelled classes of one n-gram, a spanning forest for each task."""
+        least = self.least
+        hub = p.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", F.lit(self.turns)).alias("o"), "cls")).alias("x"))
+        hub = store(hub.select("h", F.col("x.cls").alias("g")), "hubs")
+        p = p.join(hub, "h").groupBy("g", "cls").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("h", "pos")).alias("at"))
+        p = store(p.mapInArrow(_pack, "g binary, cls binary, n int, label binary, at binary"), "lists")
+        near = store(self._blocks(p).groupBy("g", "i", "j").applyInArrow(lambda t: _near(t, least), "g binary, cls binary").distinct(), "near")
+        left = self._blocks(p.join(near, ["g", "cls"], "left_semi")).join(sets, "cls")
+        out = store(left.groupBy("g", "i", "j").applyInArrow(lambda t: _prove(t, least), "a binary, b binary"), "found")
+        forget(hub, p, near)
+        return out
 
     @staticmethod
     def _labels(links: DataFrame) -> DataFrame:
@@ -390,29 +471,77 @@ class Join:
         for _ in range(2):
             near = both.join(label.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("label").alias("label"))
             label = near
-        return store(label, "label")
+        out = store(label, "label")
+        forget(both)
+        return out
 
     @staticmethod
     def _apart(posts: DataFrame, label: DataFrame) -> DataFrame:
         """The postings of n-grams that hold classes with different labels."""
         p = posts.join(label, "cls", "left").select("h", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
         p = store(p, "labelled")
-        many = p.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        return p.join(many, "h", "left_semi")
+        many = store(p.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h"), "many")
+        out = store(p.join(many, "h", "left_semi"), "apart")
+        forget(p, many)
+        return out
 
     def components(self) -> DataFrame:
         """(cls, component_id) for every class."""
-        comp = store(connected_components(self.links()), "components")
+        links = self.links()
+        comp = store(connected_components(links), "components")
         of = self.classes.join(comp, self.classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
         low = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        return of.join(low, "comp").select("cls", "component_id")
+        out = store(of.join(low, "comp").select("cls", "component_id"), "classes")
+        forget(links, comp)
+        return out
 
     def groups(self) -> DataFrame:
-        """(id, n_shingles, component_id) for every document."""
+        """(id, n_shingles, component_id, cls) for every document."""
         r = self.rows.join(self.components(), "cls", "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-        return r.select("id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+        return r.select("id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "cls")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of (n-gram, place) as bytes."""
+    for b in batches:
+        at = b.column(4)
+        flat = at.flatten()
+        x = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)], 1)
+        ends = np.append(0, np.cumsum(at.value_lengths().to_numpy()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], _split(x, ends, 16)], ["g", "cls", "n", "label", "at"])
+
+
+def _named(batches: Iterator[pa.RecordBatch], col: int, name: str, k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cls = [class_of(u) for _, u in _sets(b, col, k)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls, pa.binary())], [*b.schema.names, name])
+    trim()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies: of its smallest (id, class) the smallest text. Rows without an id or without n-grams
+    all stay. An id decides where it occurs once; of ids that occur more than once each text is judged by itself, so a text goes
+    only if a row of its own group stays."""
+    groups = store(Join(docs, id_col, text_col).groups(), "groups")
+    again = store(groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"), "again")
+    go = groups.where("id <> component_id").select("id").union(again).distinct().withColumnRenamed("id", id_col)
+    go = store(go, "copies")
+    out = without(docs, go, id_col)
+    if not again.isEmpty():
+        name = "_cls"
+        while name in docs.columns:
+            name += "_"
+        k, col, columns = WORDS, docs.columns.index(text_col), docs.columns
+        schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
+        rows = only(docs, again.withColumnRenamed("id", id_col), id_col).mapInArrow(lambda it: _named(it, col, name, k), schema)
+        first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "cls")).alias("x"))
+        first = store(first.select(F.col("x.id").alias(id_col), F.col("x.cls").alias(name)), "first")
+        one = rows.join(first, [id_col, name], "left_semi").groupBy(id_col, name).agg(F.min_by(F.struct(*columns), text_col).alias("x")).select("x.*")
+        none = rows.where(F.col(name) == F.lit(bytes(16))).select(*columns)
+        out = out.unionByName(one).unionByName(none)
+    return out
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Join(table(spark, sf_dir, "documents")).groups().withColumnRenamed("id", "doc_id")
+    return Join(table(spark, sf_dir, "documents")).groups().select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
