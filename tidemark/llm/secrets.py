@@ -1,26 +1,28 @@
 """Secret scans over every historical version of every path, through an incremental ledger of blobs.
 
 A version's text is addressed by its SHA-256. The ledger keeps (blob, rule, version) triples that were scanned and what was
-found; a run scans only triples that the ledger lacks, once per distinct blob however many paths hold it, appends them, and
-joins the findings back to all paths. Everything is DataFrame expressions; texts are shuffled at most once, and exact
-copies meet in an aggregate of (blob, smallest path) with map-side combine, never in one task.
+found, in a folder for each run; a run scans only triples that the ledger lacks, once per distinct blob however many paths hold
+it, writes them under its own name, so that a repeated run replaces itself, and joins the findings of its own blobs back to all
+paths. Everything is DataFrame expressions; texts are shuffled at most once, and exact copies meet in an aggregate with map-side
+combine, never in one task. The registered query keeps a new ledger in the folder of spark.checkpoint.dir.
 
 Positions come from splitting the text at the rule's pattern: the lengths of the pieces and of the matches give every
 start, in code points.
 
 Defined cases: null text is the empty text; a repeated (path, text) row is scanned once and reported for every row; an
 empty table gives an empty result and an unchanged ledger; extra columns are ignored; spans of different kinds may overlap,
-those of one kind never do.
+those of one kind never do; spans with one start stand in the order of the rules; a text of any length is one row's value.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import store, table
+from .base import forget, shared_dir, store, table
 
 
 class Rule(NamedTuple):
@@ -41,8 +43,8 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", "[0-9a-f]{16,}", 0, 16),
 )
-#: Blobs with findings and their spans together are sent to every task up to this many (under 20 MB).
-BROADCAST_SPANS = 200_000
+#: Blobs with findings and their spans together are sent to every task up to this many (under 20 MB); unseen blobs (100 bytes each).
+BROADCAST_SPANS, BROADCAST_BLOBS = 200_000, 100_000
 _EMPTY = "array<struct<start:long,end:long>>"
 LEDGER = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
 
@@ -72,41 +74,43 @@ def find(text: Column, rule: Rule) -> Column:
     return F.when(gate, kept).otherwise(F.array().cast(_EMPTY))
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+def _there(spark: SparkSession, path: str) -> bool:
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here)
+
+
+def read_ledger(spark: SparkSession, path: str, without_run: str | None = None) -> DataFrame:
+    """The ledger stored at ``path`` (empty if there is none yet), one folder for each run; ``without_run`` is left out."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(f"{LEDGER}, run string").parquet(path)
+    return (rows if without_run is None else rows.where(F.col("run") != without_run)).drop("run")
 
 
 def scan(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = None, rules=RULES, text_col: str = "text"):
     """(paths with their blobs, new ledger rows). ``versions`` holds one row per path and version."""
-    spark = versions.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = store(versions.select(*path_cols, F.sha2(text, 256).alias("blob")), "paths")
-    first = F.min(F.struct(*path_cols)) if len(path_cols) > 1 else F.min(path_cols[0])
-    wanted = paths.groupBy("blob").agg(first.alias("path"))
+    wanted = paths.select("blob").distinct()
+    asked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    pairs = wanted.select("blob", F.explode(asked).alias("r")).select("blob", "r.kind", "r.version")
+    bodies = versions.select(F.sha2(text, 256).alias("blob"), text.alias("body"))
     if ledger is None:
         todo = wanted.withColumn("rules", F.array(*[F.lit(r.kind) for r in rules]))
     else:
-        asked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        pairs = wanted.select("blob", "path", F.explode(asked).alias("r")).select("blob", "path", "r.kind", "r.version")
         pairs = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        todo = pairs.groupBy("blob", "path").agg(F.collect_set("kind").alias("rules"))
-    hit = _texts(versions, path_cols, text, todo)
+        todo = store(pairs.groupBy("blob").agg(F.collect_set("kind").alias("rules")), "todo")
+        n, all_ = todo.count(), wanted.count()
+        if n < all_:  # most blobs were seen before: their texts are not sent anywhere
+            bodies = bodies.join(F.broadcast(todo.select("blob")) if n <= BROADCAST_BLOBS else todo.select("blob"), "blob", "left_semi")
+    # One text for each blob: copies meet in an aggregate, at first where they are read, so a blob of very many paths is sent
+    # a few times. The texts are dealt by blob once, and their rules meet them there.
+    hit = bodies.groupBy("blob").agg(F.first("body").alias("body")).join(todo, "blob")
     found = [F.when(F.array_contains("rules", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), find(F.col("body"), r).alias("spans"))) for r in rules]
     fresh = hit.select("blob", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("blob", "f.*")
     return paths, fresh
 
 
-def _texts(versions: DataFrame, path_cols: list[str], text: Column, todo: DataFrame) -> DataFrame:
-    """One text for each blob of ``todo``: the rows of its smallest path, repeated rows once."""
-    key = F.xxhash64("blob", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path_cols])
-    there = versions.select(*path_cols, text.alias("body"), F.sha2(text, 256).alias("blob")).select("body", key.alias("at"))
-    if len(path_cols) > 1:
-        todo = todo.select("blob", "rules", *[F.col("path")[c].alias(c) for c in path_cols])
-    else:
-        todo = todo.select("blob", "rules", F.col("path").alias(path_cols[0]))
-    return there.join(todo.select("blob", "rules", key.alias("at")), "at")
-
-
 def findings(fresh: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(blob, spans: array of (start, order, kind, end)) for blobs in which anything was found."""
     known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "kind", "version", "spans"))
@@ -122,32 +126,47 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def report(paths: DataFrame, found: DataFrame, base=RULES) -> DataFrame:
-    """Every path with its spans; an empty array where nothing was found."""
+def report(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """Every path with its spans; an empty array where nothing was found. Both are stored tables: a blob of very many paths is
+    split when it is joined, and few findings go to every task."""
     none = F.array().cast("array<struct<start:long,ord:int,kind:string,end:long>>")
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
-def update(versions: DataFrame, path_cols: list[str], ledger_path: str, rules=RULES) -> DataFrame:
-    """Scans what the ledger stored at ``ledger_path`` lacks, appends it there, and reports every path of ``versions``."""
-    spark = versions.sparkSession
-    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
-    there = here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here)
-    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else None
-    paths, fresh = scan(versions, path_cols, ledger, rules)
-    fresh.write.mode("append").parquet(ledger_path)
-    return report(paths, findings(spark.read.schema(LEDGER).parquet(ledger_path), rules=rules))
+def record(versions: DataFrame, path_cols: list[str], ledger_path: str, rules=RULES, run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans what the ledger at ``ledger_path`` lacks and appends it there as ``run``; (paths, stored findings of their blobs).
+
+    A run that is repeated under its name, after a failure say, replaces its own rows and no others."""
+    spark, run = versions.sparkSession, run or uuid.uuid4().hex
+    paths, fresh = scan(versions, path_cols, read_ledger(spark, ledger_path, run), rules)
+    fresh.write.mode("overwrite").parquet(f"{ledger_path}/run={run}")
+    known = read_ledger(spark, ledger_path).where(F.size("spans") > 0)
+    known = known.join(paths.select("blob").distinct(), "blob", "left_semi")
+    return paths, store(findings(known, rules=rules), "findings")
+
+
+def update(versions: DataFrame, path_cols: list[str], ledger_path: str, rules=RULES, run: str | None = None) -> DataFrame:
+    """Every path of ``versions`` with its spans, after ``record``."""
+    return report(*record(versions, path_cols, ledger_path, rules, run))
+
+
+def own_ledger(spark: SparkSession) -> str:
+    """A new ledger's folder, for callers that keep none."""
+    return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+
 
+def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, ledger_path: str | None = None) -> DataFrame:
+    """``docs`` with every found span replaced by ``mask``; overlapping spans are replaced as one. n_chars follows the text.
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``; overlapping spans are replaced as one. n_chars follows the text."""
-    _, fresh = scan(docs, ["doc_id"], rules=rules)
-    found = findings(store(fresh.where(F.size("spans") > 0), "findings"), rules=rules)
-    found = store(found.select("blob", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_spans")), "spans")
-    load = found.agg(F.count("*") + F.sum(F.size("_spans"))).first()[0] or 0
+    Null texts stay null; rows, other columns and repeats stay as they are, whatever their names."""
+    paths, found = record(docs, ["doc_id"], ledger_path or own_ledger(docs.sparkSession), rules)
+    forget(paths)
+    blob = "_blob" + "_" * max(len(c) for c in docs.columns)  # a name no column has
+    found = found.select(F.col("blob").alias(blob), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias(blob + "s"))
+    load = found.agg(F.count("*") + F.sum(F.size(blob + "s"))).first()[0] or 0
     found = F.broadcast(found) if load <= BROADCAST_SPANS else found
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("blob", F.sha2(text, 256)).join(found, "blob", "left")
+    out = docs.withColumn(blob, F.sha2(text, 256)).join(found, blob, "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -155,8 +174,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
         more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
-    hit = F.col("_spans").isNotNull()
+    clean = F.aggregate(blob + "s", start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    hit = F.col(blob + "s").isNotNull()
     out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -164,10 +183,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    paths, fresh = scan(docs, ["doc_id"])
-    found = findings(store(fresh.where(F.size("spans") > 0), "findings"))
-    r = report(paths, found)
+    r = update(table(spark, sf_dir, "documents"), ["doc_id"], own_ledger(spark))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     count = [of(rule.kind) for rule in RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(*[x.kind for x in RULES]))
