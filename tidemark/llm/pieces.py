@@ -8,9 +8,10 @@ without a pair leave. Occurrences of one rank are merged at once only if no merg
 smaller rank (checked per piece when the model is loaded); otherwise the leftmost one is merged alone. This gives what the
 sequential algorithm gives: best score first, leftmost among equals.
 
-Segments that were encoded are remembered in two generations of about ``KNOWN``; when the newer is full the older goes, and
-what is met again moves up, so memory is bounded whatever the vocabulary. Rows are
-independent: no shuffle, nothing is skewed.
+Segments that were encoded are remembered in two generations of about ``KNOWN`` bytes each, what Python adds to a string
+counted in; when the newer is full the older goes, and what is met again moves up. Segments over ``LONG`` characters (texts
+without spaces) are encoded where they are met and not remembered. So a worker holds two generations and what one slice of
+texts needs, whatever the vocabulary. Rows are independent: no shuffle, nothing is skewed.
 
 Defined cases: null and empty texts give the end id alone and decode to the empty text; repeated rows are repeated; an empty
 table gives an empty result; very long texts, and words, take more rounds, never less text; extra columns are ignored.
@@ -33,8 +34,9 @@ from .tokencount import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Segments a worker remembers in a generation; symbols of the segments encoded at once.
-KNOWN, FLAT = 120_000, 1 << 17
+#: Bytes of the segments a worker remembers in a generation, and what Python's objects add to each; characters from which a
+#: segment is not remembered; symbols of the segments encoded at once.
+KNOWN, EACH, LONG, FLAT = 48 << 20, 360, 256, 1 << 17
 _SLOTS = 21
 _SEGMENT = re.compile(" *[^ ]+| +")
 _NONE = np.int64(1 << 40)
@@ -184,39 +186,58 @@ def load(path: str) -> Model:
     return Model(vocabulary_path(path))
 
 
+class _Both(dict):
+    """A small dictionary in front of another."""
+
+    def __init__(self, first: dict, then: dict):
+        super().__init__(first)
+        self.then = then
+
+    def __missing__(self, key):
+        return self.then[key]
+
+
 class Encoder:
     """Encodes many texts, remembering segments: for each its ids as text and the bytes they decode to."""
 
     def __init__(self, path: str = MODEL):
-        self.model, self.known, self.older = load(path), {}, {}
+        self.model, self.known, self.older, self.size = load(path), {}, {}, 0
 
-    def learn(self, segments: set[str]) -> None:
+    def learn(self, segments: set[str], into: dict[str, tuple[str, bytes]]) -> None:
         todo, size = [], 0
         for s in segments:
             todo.append(s)
             size += len(s)
             if size >= FLAT:
-                self._put(todo)
+                self._put(todo, into)
                 todo, size = [], 0
         if todo:
-            self._put(todo)
+            self._put(todo, into)
 
-    def _put(self, todo: list[str]) -> None:
-        name, text, known = self.model.ids, self.model.text, self.known
+    def _put(self, todo: list[str], into: dict[str, tuple[str, bytes]]) -> None:
+        name, text = self.model.ids, self.model.text
         for s, ids in zip(todo, self.model.encode(todo)):
-            known[s] = " ".join([name[i] for i in ids]), b"".join([text[i] for i in ids])
+            into[s] = " ".join([name[i] for i in ids]), b"".join([text[i] for i in ids])
+
+    def _weight(self, segments: set[str]) -> int:
+        return sum(EACH + len(s) + len(self.known[s][0]) + len(self.known[s][1]) for s in segments)
 
     def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """(ids and the end id joined by spaces, decoded bytes) of each text."""
         cut = [self.model.segments(t) for t in texts]
-        if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
+        if self.size > KNOWN:
+            self.known, self.older, self.size = {}, self.known, 0
         new = set().union(*cut) - self.known.keys()
         again = new & self.older.keys()
         self.known.update((s, self.older[s]) for s in again)
-        new -= again
-        self.learn(new)
+        once = {s for s in new if len(s) > LONG}
+        self.learn(new - again - once, self.known)
+        self.size += self._weight(new - once)
         known, end = self.known, str(self.model.eos)
+        if once:
+            here: dict[str, tuple[str, bytes]] = {}
+            self.learn(once, here)
+            known = _Both(here, known)
         out = []
         for parts in cut:
             both = [known[p] for p in parts]
@@ -224,9 +245,9 @@ class Encoder:
         return out
 
 
-def _digest(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     enc = Encoder(path)
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
     for b in batches:
         data, off = strings(b.column(1))
         for i, j in slices(off):  # a slice is a batch of its own, so what is held follows the slice
@@ -236,20 +257,22 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterato
                 n.append(ids.count(" ") + 1)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                if keep:
+                if "ids" in keep:
                     all_ids.append(ids)
+                if "decoded" in keep:
                     all_text.append(text)
-            cols = [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids_sha, text_sha, *((all_ids, all_text) if keep else ()))]]
+            more = {"ids": all_ids, "decoded": all_text}
+            cols = [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids_sha, text_sha, *[more[c] for c in keep])]]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], names)
     del enc
     trim()
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256), and with ``keep`` the ids (joined by spaces) and the decoded text."""
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256), and as asked by ``keep`` "ids" (joined by spaces) and the "decoded" text."""
     kind = dict(docs.dtypes)[id_col]
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    more = ", ids string, decoded string" if keep else ""
+    more = "".join(f", {c} string" for c in keep)
     return d.mapInArrow(lambda it: _digest(it, model, keep), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
