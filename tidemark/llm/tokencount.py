@@ -3,11 +3,13 @@
 The byte-level vocabulary is run through its rank file, which gives the ids of the JSON file's library several times faster;
 a test holds both against each other, special strings included. A text over ``HUGE`` bytes is encoded in overlapping chunks.
 Token lengths give every token's byte offset; two neighbouring chunks are spliced at a byte where both have a token boundary
-and which is proven stable: a space between two printable ASCII characters. The pattern that cuts text before merging always
-begins a piece there, whatever stands further left or right, and no special string holds a space. Where an overlap has no
-such place it is widened, at last to the whole chunk, which then grows.
+and which is proven stable: a space between two printable ASCII characters, or the end of a run of letters before a character
+that is none. The pattern that cuts text before merging always begins a piece there, whatever stands further left or right, and
+no special string holds such a place (a bar after a letter is left out for that). Where an overlap has no such place it is
+widened, at last to the whole chunk, which then doubles, so the work stays in proportion to the text.
 
-Memory is bounded by one Arrow batch plus one chunk. Rows are independent, so there is no shuffle and nothing is skewed.
+Memory is bounded by one Arrow batch plus one chunk, or the longest run without a stable place. Rows are independent, so there
+is no shuffle and nothing is skewed.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are repeated; an empty table gives an empty
 result; a text without any stable place is encoded whole; extra columns are ignored.
@@ -71,11 +73,40 @@ def token_offsets(data: bytes, name: str = VOCABULARY) -> np.ndarray:
     return out
 
 
+#: Characters that every version of Unicode calls letters, and beyond ASCII some that it does not.
+LETTERS = (
+    (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x481), (0x48A, 0x513),
+    (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+OTHERS = ((0x3001, 0x3002), (0xFF01, 0xFF01), (0xFF0C, 0xFF0C), (0xFF0E, 0xFF0E), (0xFF1A, 0xFF1B), (0xFF1F, 0xFF1F), (0x300C, 0x300D))
+
+
+def _within(c: np.ndarray, ranges) -> np.ndarray:
+    out = np.zeros(len(c), bool)
+    for a, b in ranges:
+        out |= (c >= a) & (c <= b)
+    return out
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the characters that begin at ``at``; -1 for those of four bytes and for bytes that begin none."""
+    pad = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    a, b, c = pad[at], pad[at + 1] & 0x3F, pad[at + 2] & 0x3F
+    two, three = (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c
+    return np.select([a < 0x80, a & 0xE0 == 0xC0, a & 0xF0 == 0xE0], [a, two, three], -1)
+
+
 def stable(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a piece begins at each byte whatever surrounds it: a space between printable ASCII characters."""
+    """The bytes at which a piece begins whatever surrounds them."""
     at = at[(at > 0) & (at < len(data) - 1)]
     plain = lambda x: (x > 0x20) & (x < 0x7F)
-    return at[(data[at] == 0x20) & plain(data[at - 1]) & plain(data[at + 1])]
+    space = (data[at] == 0x20) & plain(data[at - 1]) & plain(data[at + 1])
+    before = at - 1
+    for _ in range(2):  # to the first byte of a character of up to three
+        before = np.where((data[before] & 0xC0 == 0x80) & (before > 0), before - 1, before)
+    left, right = _points(data, before), _points(data, at)
+    other = ((right >= 0) & (right < 0x80) & ~_within(right, LETTERS[:2]) & (right != 0x7C)) | _within(right, OTHERS)
+    return at[space | (_within(left, LETTERS) & other)]
 
 
 def _char_start(data: np.ndarray, i: int) -> int:
@@ -95,7 +126,7 @@ def count_spliced(text: bytes, name: str = VOCABULARY, chunk: int = CHUNK, overl
         while True:
             s = _char_start(data, max(start, end - width))
             if s <= max(start, cut):  # the whole chunk overlaps: let it grow instead
-                end = _char_start(data, min(n, end + chunk))
+                end = _char_start(data, min(n, start + 2 * (end - start)))
                 left = token_offsets(text[start:end], name) + start
                 break
             e = _char_start(data, min(n, s + chunk + width))
