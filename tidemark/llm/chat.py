@@ -1,17 +1,21 @@
 """Chat formatting with Spark expressions only, and reading the turns and the loss mask back from the formatted text.
 
 Rows of a conversation become one array of turn structs, sorted by (turn, role, text). Adjacent turns of one role are merged
-into one block by an array aggregate; inside the block a join mark keeps the turns apart, so the rows can be read back.
+into one block: the places where the role changes cut the array, and each cut's texts are one array, so the work is in proportion
+to the turns; inside the block a join mark keeps the turns apart, so the rows can be read back.
 Blocks are concatenated: ``[INST]..[/INST]`` for the user, ``[ANS]..</s>`` for the assistant, ``<<SYS>>..<</SYS>>`` for the
 system, ``[ROLE:name]..[/ROLE]`` for any other role, ``[+]`` between merged turns, ``<s>`` before everything.
 
 Inside texts and role names ``\\``, ``[`` and ``<`` are written ``\\b``, ``\\o`` and ``\\l`` (and ``]`` in role names ``\\c``): no
 control string can appear there, and the writing is undone by replacing in reverse order. The loss mask covers the assistant texts, not the marks.
 
-A conversation's turns must meet in one row, as the result is one text; that row, not the table, bounds a task.
+A conversation's turns must meet in one row, as the result is one text; that row, not the table, bounds a task. Places in the
+text are running sums, kept for ``RUN`` blocks at a time, so no array grows by copies of itself.
 
 Defined cases: null text and null role are empty; a null turn sorts first; equal turns are ordered by role, then text, and
-repeated rows stay repeated; a null conv_id is one conversation; an empty table gives an empty result.
+repeated rows stay repeated; a null conv_id is one conversation; an empty table gives an empty result; extra columns, whatever
+their names, are ignored; a conversation of any length is one row; in the query, rows of a conversation -7 in the table and the
+extra one's are one conversation.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from .base import table
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER, JOIN, BEGIN = ("[ROLE:", "]", "[/ROLE]"), "[+]", "<s>"
 _CLOSE = "\\[/INST\\]|</s>|<</SYS>>|\\[/ROLE\\]"
-_TURNS = "array<struct<role:string,text:string>>"
+#: Blocks whose places are summed up together.
+RUN = 256
 
 
 def escape(c: Column) -> Column:
@@ -60,14 +65,16 @@ def format_chats(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col=
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))))
     g = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(turns.alias("turns"))
 
-    def merge(acc, t):
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        new = F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == t["role"]), grown).otherwise(new)
+    n = F.size("turns")
+    at = lambda i: F.get(F.col("turns"), i)
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
+    g = g.withColumn("heads", heads)
 
-    start = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    g = g.withColumn("blocks", F.aggregate("turns", start, merge))
+    def merged(first, k):
+        own = F.slice("turns", first + 1, F.coalesce(F.get("heads", k + 1), n) - first)
+        return F.struct(at(first)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+
+    g = g.withColumn("blocks", F.transform("heads", merged))
     block = lambda b: F.concat(_open(b["role"]), F.array_join(F.transform(b["texts"], escape), JOIN), _close(b["role"]))
     g = g.withColumn("formatted", F.concat(F.lit(BEGIN), F.array_join(F.transform("blocks", block), "")))
     return g.select("conv_id", "formatted", loss_spans(F.col("formatted")).alias("loss_spans"))
@@ -101,30 +108,52 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(_blocks(formatted), each))
 
 
+def _chunks(a: Column) -> Column:
+    """Parts of an array of ``RUN`` items each."""
+    n = F.size(a)
+    first = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(first, lambda i: F.slice(a, i + 1, F.lit(RUN)))
+
+
+def _placed(rows: Column, at: Column | int) -> Column:
+    """(start, end, kept) of consecutive stretches (size, gap, kept) from ``at`` on, those to keep only."""
+    spans = "array<struct<start:long,end:long>>"
+    parts = F.transform(_chunks(rows), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["size"] + x["gap"]).alias("n")))
+    # Where each part begins; the list of those is short, so it may grow by copies.
+    begun = F.struct(F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), F.array().cast("array<long>").alias("all"))
+    starts = F.aggregate(parts, begun, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+
+    def inside(z):
+        first = F.struct(z["s"].alias("at"), F.array().cast(spans).alias("out"))
+
+        def step(s, x):
+            one = F.array(F.struct(s["at"].alias("start"), (s["at"] + x["size"]).alias("end")))
+            return F.struct((s["at"] + x["size"] + x["gap"]).alias("at"), F.when(x["kept"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(z["p"], first, step, lambda s: s["out"])
+
+    return F.flatten(F.transform(F.arrays_zip(F.transform(parts, lambda p: p["p"]).alias("p"), starts.alias("s")), inside))
+
+
 def loss_spans(formatted: Column) -> Column:
     """(start, end) of every assistant text in the formatted text, code points, end exclusive."""
-    a, b = MARKS["assistant"]
+    a, _ = MARKS["assistant"]
     lens = {r: len(x[1]) for r, x in MARKS.items()}
 
-    def step(acc, blk):
+    def stretches(blk):
+        """The block's stretches: of an assistant's each text and what follows it, else one."""
         role = _role_of(blk)
         close = F.lit(len(OTHER[2]))
         for r, n in lens.items():
             close = F.when(role == r, F.lit(n)).otherwise(close)
+        kind = lambda size, gap, kept: F.struct(size.cast("long").alias("size"), gap.cast("long").alias("gap"), F.lit(kept).alias("kept"))
         texts = F.split(F.substr(blk, F.lit(len(a) + 1)), "\\[\\+\\]", -1)
-        inner = F.aggregate(
-            texts,
-            F.struct((acc["at"] + len(a)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-            lambda x, t: F.struct(
-                (x["at"] + F.length(t) + len(JOIN)).alias("at"),
-                F.concat(x["out"], F.array(F.struct(x["at"].alias("start"), (x["at"] + F.length(t)).alias("end")))).alias("out"),
-            ),
-            lambda x: x["out"],
-        )
-        return F.struct((acc["at"] + F.length(blk) + close).alias("at"), F.when(role == "assistant", F.concat(acc["out"], inner)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(len(BEGIN)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(_blocks(formatted), start, step, lambda x: x["out"])
+        last = F.size(texts) - 1
+        own = F.transform(texts, lambda t, i: kind(F.length(t), F.when(i < last, F.lit(len(JOIN))).otherwise(close), True))
+        mark = F.array(kind(F.lit(len(a)), F.lit(0), False))
+        return F.when(role == "assistant", F.concat(mark, own)).otherwise(F.array(kind(F.length(blk), close, False)))
+
+    return _placed(F.flatten(F.transform(_blocks(formatted), stretches)), len(BEGIN))
 
 
 #: The query's extra conversation, full of control strings.
