@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, pieces, quality, secrets
-from tidemark.llm.base import store, table, without
+from tidemark.llm.base import store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without an id stay."""
-    groups = ngram_join.Join(docs).groups()
-    go = store(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    return without(docs, go, "doc_id").select(*docs.columns)
+    """One row of each group of near copies: the smallest id's, and of that id's texts in the group the first class's smallest text.
+    A text goes only if a row of its own group stays, whatever other texts its id has. Rows without an id or without words stay."""
+    return ngram_join.keep_first(docs).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's id with its piece ids (joined by spaces), their number and digests."""
-    return pieces.encode_decode(docs, keep=True).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return pieces.encode_decode(docs, keep=("ids",)).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [
