@@ -43,7 +43,7 @@ DEAL, BUCKETS = 1 << 20, 12
 #: classes have it. Where more than ``HEAVY_MOST`` are so frequent (the list is broadcast), the rest only make larger buckets.
 HEAVY_SHARE, HEAVY_LEAST, HEAVY, HEAVY_MOST = 64, 32, 1 << 18, 1 << 17
 #: Rounds of hubs; bytes of sets in a block; cells of the suffix filter.
-TURNS, BLOCK, CELLS = 2, 16 << 20, 128
+TURNS, BLOCK, CELLS = 2, 4 << 20, 128
 #: Bytes of an n-gram's name in its bucket.
 NAME = 5
 
@@ -456,8 +456,10 @@ class Join:
         hub = store(hub.select("h", F.col("x.cls").alias("g")), "hubs")
         p = p.join(hub, "h").groupBy("g", "cls").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("h", "pos")).alias("at"))
         p = store(p.mapInArrow(_pack, "g binary, cls binary, n int, label binary, at binary"), "lists")
-        near = store(self._blocks(p).groupBy("g", "i", "j").applyInArrow(lambda t: _near(t, least), "g binary, cls binary").distinct(), "near")
-        left = self._blocks(p.join(near, ["g", "cls"], "left_semi")).join(sets, "cls")
+        # Dealt anew by block: the join by hub would leave all blocks of one hub in one task.
+        blocks = self._blocks(p).repartition("g", "i", "j")
+        near = store(blocks.groupBy("g", "i", "j").applyInArrow(lambda t: _near(t, least), "g binary, cls binary").distinct(), "near")
+        left = self._blocks(p.join(near, ["g", "cls"], "left_semi")).join(sets, "cls").repartition("g", "i", "j")
         out = store(left.groupBy("g", "i", "j").applyInArrow(lambda t: _prove(t, least), "a binary, b binary"), "found")
         forget(hub, p, near)
         return out
