@@ -4,15 +4,19 @@ Counts: every task counts its training tokens by 64-bit word hash and deals the
 The most frequent ``HEAD`` words (a bounded table) go to every task, so most tokens are looked up where they are; only tokens of
 rarer words travel, to the bucket that holds their count, and come back as one sum for each document of a batch.
 
-Model: p(word | state) = p(class | state) p(word) / p(class). The ``OWN`` most frequent words are classes of their own, the end is
-one, and all other words fall into ``REST`` classes by their last two bytes. Baum-Welch: each task adds up expected counts over
-segments of ``SEGMENT`` tokens of all training documents, a tree of tasks adds those, the driver normalises (states x classes
-numbers, whatever the corpus) and the next round begins. Scoring runs the scaled forward recursion over each whole document, all
-documents of a batch at once, so the likelihood is exact. log10 p(text) = base score + log10 of (HMM / product of p(class)).
+Model: p(word | state) = p(class | state) p(word) / p(class). The most frequent words are classes of their own, the end is one, and
+all other words fall into classes by their last two bytes and their hash. The number of classes of both kinds grows with the
+distinct words of the training documents (one for ``SHARE`` of them, up to what two bytes can name: it bounds what travels).
+
+Baum-Welch over whole documents: each task adds up expected counts of all its training documents, a tree of tasks adds those, the
+driver normalises (states x classes numbers) and the next round begins. Texts over ``SEGMENT`` tokens are cut only to work on their
+segments side by side: of each the transfer matrix (states by states) is computed, the matrices are chained over the text both
+ways, and every segment then begins and ends with the exact distribution that its neighbours give it, the step over the edge counted. Scoring runs the scaled forward recursion in the same way, so the likelihood is exact.
+log10 p(text) = base score + log10 of (HMM / product of p(class)).
 
 Defined cases: null and empty texts are the end token alone; null ids are learned from like the empty id; repeated rows count and
 are scored each; an empty table gives an empty result; with no training documents the base is uniform and the model has no effect;
-extra columns are ignored.
+very long texts take more segments, not more memory at once than a batch; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,26 +32,41 @@ from pyspark.sql import functions as F
 from .base import store, table
 from .kernel import LOWER, U, mix, slices, span_hash, strings, words
 
-#: Words known to every task; words and endings that are classes; hidden states; rounds of training; tokens of a segment.
-HEAD, OWN, REST, STATES, ROUNDS, SEGMENT = 1 << 18, 2047, 1024, 8, 4, 64
+#: Words known to every task; hidden states; rounds of training; tokens of a segment.
+HEAD, STATES, ROUNDS, SEGMENT = 1 << 18, 8, 4, 2048
+#: Distinct words for each class; fewest and most frequent words that are classes, and classes of all others.
+SHARE, OWN, OWN_MOST, REST, REST_MOST = 64, 2047, 24_575, 1024, 40_000
+#: Rows of sums that are added in one task; tokens of documents that are worked on at once.
+FAN, AT_ONCE = 16, 1 << 19
 #: Tokens that each state is taken to have seen beforehand, in the proportions of all.
 PRIOR = 200.0
 #: Documents for each bucket of words; fewest buckets.
 PER_BUCKET, BUCKETS = 8000, 16
-#: Distinct words held by a task before it hands its counts on; documents of a batch.
-HELD, BATCH = 1 << 20, 4096
+#: Distinct words held by a task before it hands its counts on.
+HELD = 1 << 20
 END = U(0x5851F42D4C957F2D)
-_CLASSES = OWN + 1 + REST
+
+
+def sizes(words_: int) -> tuple[int, int]:
+    """(words that are classes, classes of the others) for this many distinct words."""
+    return min(max(OWN, words_ // SHARE), OWN_MOST), min(max(REST, words_ // SHARE), REST_MOST)
+
+
+def rest_class(h: np.ndarray, ending: np.ndarray, rest: int) -> np.ndarray:
+    """The class, from 0, of words that are no class of their own: by ending, and the more classes there are the more by hash."""
+    split = U(max(1, rest // REST))
+    with np.errstate(over="ignore"):
+        return (mix(ending.astype(U) * split + h % split + U(1)) % U(rest)).astype(np.int64)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, ending class, offsets) of the tokens of each text, its end included."""
+    """(hash, hash of the last two bytes, offsets) of the tokens of each text, its end included."""
     data = LOWER[data]
     s, e, first = words(data, offsets)
     h = span_hash(data, s, e)
     last = data[e - 1].astype(np.int64) if len(e) else np.zeros(0, np.int64)
     pair = np.where(e - s > 1, data[np.maximum(e - 2, 0)], 0).astype(np.int64) if len(e) else last
-    ending = (mix((pair << 8 | last).astype(U)) % U(REST)).astype(np.uint16)
+    ending = (mix((pair << 8 | last).astype(U)) & U(0xFFFF)).astype(np.uint16)
     at = first[1:]  # each text's end goes after its last word
     h, ending = np.insert(h, at, END), np.insert(ending, at, np.uint16(0))
     return h, ending, first + np.arange(len(first))
@@ -124,13 +143,14 @@ def _level(n: np.ndarray) -> np.ndarray:
 _HEADS = "h binary, n binary, e binary, words array<long>, tokens array<long>"
 
 
-def _heads(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The words at or over a level, and for each ending its words and tokens."""
+def _heads(batches: Iterator[pa.RecordBatch], least: int, rest: int) -> Iterator[pa.RecordBatch]:
+    """The words at or over a level, and for each class of other words its words and tokens."""
     for b in batches:
         for k in range(b.num_rows):
             h, n, e = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in ((0, U), (1, np.int64), (2, np.uint16)))
             up = _level(n) >= least
-            sums = np.bincount(e, minlength=REST), np.bincount(e, weights=n, minlength=REST).astype(np.int64)
+            c = rest_class(h, e, rest)
+            sums = np.bincount(c, minlength=rest), np.bincount(c, weights=n, minlength=rest).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[up].tobytes()], pa.binary()) for x in (h, n, e)] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in sums], ["h", "n", "e", "words", "tokens"]
             )
@@ -139,19 +159,22 @@ def _heads(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 class Vocabulary:
     """What every task knows: the head's hashes, counts and classes, the totals, and each class's share of tokens."""
 
-    def __init__(self, h, n, e, words_by_ending, tokens_by_ending, words, tokens):
+    def __init__(self, h, n, e, words_by_class, tokens_by_class, words, tokens):
+        self.own, self.rest = sizes(int(words))
         order = np.lexsort((h, -n))[:HEAD]
         h, n, e = h[order], n[order], e[order]
-        own = np.flatnonzero(h != END)[:OWN]
-        cls = (OWN + 1 + e.astype(np.int64)).astype(np.uint16)
+        own = np.flatnonzero(h != END)[: self.own]
+        other = self.own + 1 + rest_class(h, e, self.rest)
+        cls = other.astype(np.uint16)
         cls[own] = np.arange(len(own))
-        cls[h == END] = OWN
+        cls[h == END] = self.own
         self.tokens, self.words = int(tokens), int(words)
         self.base = self.tokens + 0.5 * (self.words + 1)
-        mass = np.full(_CLASSES, 0.5 / _CLASSES)
-        mass[OWN + 1 :] += tokens_by_ending + 0.5 * words_by_ending
+        total = self.own + 1 + self.rest
+        mass = np.full(total, 0.5 / total)
+        mass[self.own + 1 :] += tokens_by_class + 0.5 * words_by_class
         single = np.append(own, np.flatnonzero(h == END))
-        np.subtract.at(mass, OWN + 1 + e[single].astype(np.int64), n[single] + 0.5)
+        np.subtract.at(mass, other[single], n[single] + 0.5)
         mass[cls[single]] += n[single] + 0.5
         self.log_class = np.log(mass / mass.sum())
         up = np.argsort(h)
@@ -160,10 +183,10 @@ class Vocabulary:
     def find(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1, class) of each hash; -1 where only its bucket knows."""
         if not len(self.h):
-            return np.full(len(h), -1), OWN + 1 + ending.astype(np.int64)
+            return np.full(len(h), -1), self.own + 1 + rest_class(h, ending, self.rest)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         ok = self.h[at] == h
-        cls = np.where(h == END, OWN, OWN + 1 + ending.astype(np.int64))
+        cls = np.where(h == END, self.own, self.own + 1 + rest_class(h, ending, self.rest))
         return np.where(ok, self.n[at], -1), np.where(ok, self.cls[at], cls)
 
 
@@ -258,75 +281,127 @@ class Params:
         return Params(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
 
-def _segments(seqs: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, lengths): the texts cut into segments, the last ones filled up with 0."""
-    flat = np.concatenate(seqs).astype(np.int64)
-    sizes = np.array([len(s) for s in seqs])
-    n = -(-sizes // length)
-    row0 = np.cumsum(n) - n
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.zeros((int(n.sum()), length), np.int64)
-    row = np.repeat(row0, sizes) + inside // length
-    out[row, inside % length] = flat
-    return out, np.bincount(row, minlength=len(out))
+class Segments:
+    """Texts cut into segments, with the exact distributions at their edges. Tokens lie in order of their place in the segment, of
+    one place those of longer segments first, so a step of the recursions works on one stretch and nothing is filled up.
+
+    ``before`` is the distribution after the token before a segment (for a text's first segment unused), ``after`` the backward
+    vector at its last token, up to a factor."""
+
+    def __init__(self, seqs: list[np.ndarray], p: Params, length: int = SEGMENT, both: bool = True):
+        self.p = p
+        flat = np.concatenate(seqs).astype(np.int64)
+        whole = np.array([len(s) for s in seqs])
+        n = -(-whole // length)
+        begin = np.cumsum(whole) - whole
+        text = np.repeat(np.arange(len(seqs)), n)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(whole[text] - part * length, length)
+        order = np.argsort(-size, kind="stable")
+        self.size, self.text, self.part = size[order], text[order], part[order]
+        self.row = np.empty(len(order), np.int64)  # by text, then place in it
+        self.row[order] = np.arange(len(order))
+        self.first, self.n = np.cumsum(n) - n, n
+        steps = int(self.size[0])
+        self.live = np.searchsorted(-self.size, -np.arange(steps), "left")  # segments with a token at t
+        self.at = np.append(0, np.cumsum(self.live))  # where the tokens at t begin
+        place = np.repeat(np.arange(steps), self.live)
+        row = np.arange(len(flat)) - self.at[place]
+        self.x = flat[(begin[self.text] + self.part * length)[row] + place]
+        self.last = self.at[self.size - 1] + np.arange(len(order))
+        self.emit = np.ascontiguousarray(p.emit.T)
+        states = len(p.start)
+        self.before, self.after = np.zeros((len(order), states)), np.ones((len(order), states))
+        if (n > 1).any():
+            self._chain(both)
+
+    def start(self) -> np.ndarray:
+        """What each segment expects of its first state."""
+        return np.where((self.part == 0)[:, None], self.p.start[None, :], self.before @ self.p.move)
+
+    def _transfer(self, rows: np.ndarray) -> np.ndarray:
+        """For each segment the matrix from the state before it to the state at its last token, up to a factor; of a text's first
+        segment all its rows are the distribution that it ends with."""
+        p, size = self.p, self.size[rows]
+        states = len(p.start)
+        m = np.where((self.part[rows] == 0)[:, None, None], p.start[None, None, :], p.move[None, :, :]) * self.emit[self.x[rows]][:, None, :]
+        live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        for t in range(1, len(live)):
+            k = live[t]
+            m[:k] = (m[:k].reshape(-1, states) @ p.move).reshape(k, states, states) * self.emit[self.x[self.at[t] + rows[:k]]][:, None, :]
+            if t % 8 == 0:
+                m[:k] /= m[:k].max((1, 2))[:, None, None]
+        return m / m.max((1, 2))[:, None, None]
+
+    def _chain(self, both: bool) -> None:
+        many = np.flatnonzero(self.n[self.text] > 1)  # still longest first
+        moved = np.empty(len(self.size), np.int64)
+        moved[many] = np.arange(len(many))
+        m = self._transfer(many)
+        texts = np.flatnonzero(self.n > 1)
+        texts = texts[np.argsort(-self.n[texts], kind="stable")]
+        count = self.n[texts]
+        now = m[moved[self.row[self.first[texts]]], 0]
+        now /= now.sum(1, keepdims=True)
+        for k in range(1, int(count[0])):
+            some = int(np.searchsorted(-count, -k, "left"))
+            rows = self.row[self.first[texts[:some]] + k]
+            self.before[rows] = now[:some]
+            now = np.einsum("ij,ijk->ik", now[:some], m[moved[rows]])
+            now /= now.sum(1, keepdims=True)
+        if not both:
+            return
+        for k in range(int(count[0]) - 1, 0, -1):
+            some = int(np.searchsorted(-count, -k, "left"))
+            rows = self.row[self.first[texts[:some]] + k]
+            b = np.einsum("ijk,ik->ij", m[moved[rows]], self.after[rows])
+            self.after[self.row[self.first[texts[:some]] + k - 1]] = b / b.max(1, keepdims=True)
 
 
 def expected(seqs: list[np.ndarray], p: Params, length: int = SEGMENT):
-    """Expected counts (start, move, emit) over the segments, and their log likelihood."""
-    x, size = _segments(seqs, length)
-    order = np.argsort(-size, kind="stable")
-    x, size = x[order], size[order]
-    rows, states = len(x), len(p.start)
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(length)]  # segments with a token at t
-    emit = np.ascontiguousarray(p.emit.T)
-    alpha, scale = np.zeros((length, rows, states)), np.ones((length, rows))
-    seen = np.zeros((length, rows, states))
-    a = p.start
-    for t in range(length):
-        m = live[t]
-        if not m:
-            break
-        seen[t, :m] = emit[x[:m, t]]
-        a = (p.start if t == 0 else alpha[t - 1, :m] @ p.move) * seen[t, :m]
-        scale[t, :m] = a.sum(1)
-        alpha[t, :m] = a / scale[t, :m, None]
+    """Expected counts (start, move, emit) of the texts, and their log likelihood."""
+    s = Segments(seqs, p, length)
+    at, live, begin = s.at, s.live, s.start()
+    seen = s.emit[s.x]
+    alpha, scale = np.empty_like(seen), np.empty(len(seen))
+    for t, m in enumerate(live):
+        now = slice(at[t], at[t] + m)
+        a = np.multiply(begin if t == 0 else alpha[at[t - 1] : at[t - 1] + m] @ p.move, seen[now], out=alpha[now])
+        c = np.sum(a, axis=1, out=scale[now])
+        a /= c[:, None]
     loglik = float(np.log(scale).sum())
-    move, beta = np.zeros((states, states)), np.ones((rows, states))
-    gamma = alpha.copy()
-    for t in range(length - 2, -1, -1):
-        m = live[t + 1]
-        if not m:
-            continue
-        ahead = seen[t + 1, :m] * beta[:m] / scale[t + 1, :m, None]
-        move += alpha[t, :m].T @ ahead
-        beta[:m] = ahead @ p.move.T
-        gamma[t, :m] *= beta[:m]
-    move *= p.move
-    there = np.arange(length)[:, None] < size[None, :]
-    cls, g = x.T[there], gamma[there]
-    counts = np.stack([np.bincount(cls, weights=g[:, k], minlength=p.emit.shape[1]) for k in range(states)])
-    return gamma[0].sum(0), move, counts, loglik
-
-
-def likelihood(seqs: list[np.ndarray], p: Params) -> np.ndarray:
+    seen /= scale[:, None]
+    # Backward, scaled so that its product with alpha sums to one at every token; ``seen`` becomes what the step before it needs.
+    beta = np.empty_like(seen)
+    beta[s.last] = s.after / (alpha[s.last] * s.after).sum(1, keepdims=True)
+    back = np.ascontiguousarray(p.move.T)
+    for t in range(len(live) - 1, 0, -1):
+        now, m = slice(at[t], at[t] + live[t]), live[t]
+        seen[now] *= beta[now]
+        np.matmul(seen[now], back, out=beta[at[t - 1] : at[t - 1] + m])
+    seen[: live[0]] *= beta[: live[0]]
+    inner = s.part > 0
+    # The steps inside segments, then those over their edges.
+    place = np.repeat(np.arange(1, len(live)), live[1:])
+    before = at[place - 1] + np.arange(at[1], len(seen)) - at[place]
+    move = (alpha[before].T @ seen[at[1] :] + s.before[inner].T @ seen[: live[0]][inner]) * p.move
+    beta *= alpha
+    counts = np.stack([np.bincount(s.x, weights=beta[:, k], minlength=p.emit.shape[1]) for k in range(len(p.start))])
+    return beta[: live[0]][~inner].sum(0), move, counts, loglik
+
+
+def likelihood(seqs: list[np.ndarray], p: Params, length: int = SEGMENT) -> np.ndarray:
     """The natural logarithm of each whole text's probability, by the scaled forward recursion."""
-    size = np.array([len(s) for s in seqs])
-    order = np.argsort(-size, kind="stable")
-    flat = np.concatenate([seqs[i] for i in order]).astype(np.int64) if len(seqs) else np.zeros(0, np.int64)
-    size = size[order]
-    begin = np.cumsum(size) - size
-    emit = np.ascontiguousarray(p.emit.T)
-    out, total, a = np.zeros(len(seqs)), np.zeros(len(seqs)), None
-    steps = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(steps), "left")
-    for t in range(steps):
-        m = live[t]
-        a = (p.start if t == 0 else a[:m] @ p.move) * emit[flat[begin[:m] + t]]
+    if not len(seqs):
+        return np.zeros(0)
+    s = Segments(seqs, p, length, both=False)
+    a, total = s.start(), np.zeros(len(s.size))
+    for t, m in enumerate(s.live):
+        a = (a if t == 0 else a[:m] @ p.move) * s.emit[s.x[s.at[t] : s.at[t] + m]]
         c = a.sum(1)
         a /= c[:, None]
         total[:m] += np.log(c)
-    out[order] = total
-    return out
+    return np.bincount(s.text, weights=total, minlength=len(seqs))
 
 
 def _seqs(b: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -337,28 +412,34 @@ _SUMS = "grp long, start binary, move binary, emit binary, loglik double"
 
 
 def _sums_of(grp: int, start, move, emit, loglik) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([grp], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (start, move, emit)], pa.array([loglik], pa.float64())], ["grp", "start", "move", "emit", "loglik"]
-    )
+    blobs = [start.astype(np.float64).tobytes(), move.astype(np.float64).tobytes(), emit.astype(np.float32).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], pa.array([loglik], pa.float64())], ["grp", "start", "move", "emit", "loglik"])
+
+
+def _at_once(seqs: list[np.ndarray], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` tokens, one text at least."""
+    ends = np.cumsum([0, *[len(s) for s in seqs]])
+    at = 0
+    while at < len(seqs):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
 
-def _expect(batches: Iterator[pa.RecordBatch], params, groups: int) -> Iterator[pa.RecordBatch]:
+def _expect(batches: Iterator[pa.RecordBatch], params) -> Iterator[pa.RecordBatch]:
     p, acc = params.value, None
+    p = Params(*[x.astype(np.float32) for x in (p.start, p.move, p.emit)])  # sums are in double precision
     for b in batches:
         seqs = _seqs(b, 0)
-        sizes = np.cumsum([0, *[len(s) for s in seqs]])
-        at = 0
-        while at < len(seqs):
-            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (1 << 18), "right")) - 1)
-            r = expected(seqs[at:to], p)
+        for i, j in _at_once(seqs):
+            r = expected(seqs[i:j], p)
             acc = r if acc is None else tuple(x + y for x, y in zip(acc, r))
-            at = to
     if acc is not None:
-        yield _sums_of(TaskContext.get().partitionId() % groups, *acc)
+        yield _sums_of(TaskContext.get().partitionId(), *acc)
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    sums = [sum(np.frombuffer(x, np.float64) for x in t[c].to_pylist()) for c in ("start", "move", "emit")]
+    sums = [sum(np.frombuffer(x, kind).astype(np.float64) for x in t[c].to_pylist()) for c, kind in (("start", np.float64), ("move", np.float64), ("emit", np.float32))]
     return pa.Table.from_batches([_sums_of(t["grp"][0].as_py(), *sums, sum(t["loglik"].to_pylist()))])
 
 
@@ -366,29 +447,33 @@ def train(classes: DataFrame, log_class: np.ndarray, states: int = STATES, round
     """Baum-Welch over ``classes(classes)``; the parameters and each round's log likelihood."""
     sc = classes.sparkSession.sparkContext
     p, told = Params.first(log_class, states), []
-    groups = max(1, int(classes.rdd.getNumPartitions() ** 0.5))
+    tasks = classes.rdd.getNumPartitions()
     prior = PRIOR * np.exp(log_class)[None, :]
     for _ in range(rounds):
         sent = sc.broadcast(p)
-        part = classes.mapInArrow(lambda it: _expect(it, sent, groups), _SUMS)
-        rows = part.groupBy("grp").applyInArrow(_merge, _SUMS).collect()  # the root of the number of tasks, each of fixed size
+        part, n = classes.mapInArrow(lambda it: _expect(it, sent), _SUMS), tasks
+        while n > FAN:  # a tree: no task adds more than about FAN rows, each of fixed size
+            n = -(-n // FAN)
+            part = part.withColumn("grp", F.col("grp") % n).groupBy("grp").applyInArrow(_merge, _SUMS)
+        rows = part.withColumn("grp", F.lit(0).cast("long")).groupBy("grp").applyInArrow(_merge, _SUMS).collect()  # one row
         if not rows:
             break
-        start, move, emit = (sum(np.frombuffer(r[c], np.float64) for r in rows) for c in ("start", "move", "emit"))
-        move, emit = move.reshape(states, states) + 0.01, emit.reshape(states, -1) + prior
+        start, move = (np.frombuffer(rows[0][c], np.float64) for c in ("start", "move"))
+        emit = np.frombuffer(rows[0]["emit"], np.float32).astype(np.float64).reshape(states, -1) + prior
+        move = move.reshape(states, states) + 0.01
         p = Params((start + 0.01) / (start + 0.01).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-        told.append(sum(r["loglik"] for r in rows))
+        told.append(rows[0]["loglik"])
     return p, told
 
 
-def _score(batches: Iterator[pa.RecordBatch], params, log_class: np.ndarray) -> Iterator[pa.RecordBatch]:
-    p = params.value
+def _score(batches: Iterator[pa.RecordBatch], params) -> Iterator[pa.RecordBatch]:
+    p, log_class = params.value
     for b in batches:
-        for i in range(0, b.num_rows, BATCH):
-            part = b.slice(i, BATCH)
-            seqs = _seqs(part, part.schema.get_field_index("classes"))
+        whole = _seqs(b, b.schema.get_field_index("classes"))
+        for i, j in _at_once(whole):
+            part, seqs = b.slice(i, j - i), whole[i:j]
             off = np.cumsum([0, *[len(s) for s in seqs]])
-            plain = np.add.reduceat(log_class[np.concatenate(seqs)], off[:-1]) if seqs else np.zeros(0)
+            plain = np.add.reduceat(log_class[np.concatenate(seqs)], off[:-1])
             gain = (likelihood(seqs, p) - plain) / np.log(10)
             cols = [part.column(part.schema.get_field_index(c)) for c in ("batch", "row", "id", "train", "n_tokens", "s", "known")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gain)], ["batch", "row", "id", "train", "n_tokens", "s", "known", "gain"])
@@ -412,14 +497,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         if rest < 0:
             least = r["level"] + 1
             break
-    heads = totals.select("h", "n", "e").mapInArrow(lambda it: _heads(it, least), _HEADS)
+    others = sizes(words_)[1]
+    heads = totals.select("h", "n", "e").mapInArrow(lambda it: _heads(it, least, others), _HEADS)
     sums = heads.select(*[F.posexplode("words").alias("k", "v")], F.lit(0).alias("w")).unionByName(heads.select(F.posexplode("tokens").alias("k", "v"), F.lit(1).alias("w")))
-    by_ending = np.zeros((2, REST))
+    by_class = np.zeros((2, others))
     for r in sums.groupBy("w", "k").agg(F.sum("v").alias("v")).collect():
-        by_ending[r["w"], r["k"]] = r["v"]
+        by_class[r["w"], r["k"]] = r["v"]
     got = heads.select("h", "n", "e").collect()  # HEAD words at most
     join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in got), kind)
-    voc = Vocabulary(join("h", U), join("n", np.int64), join("e", np.uint16), by_ending[0], by_ending[1], words_, tokens)
+    voc = Vocabulary(join("h", U), join("n", np.int64), join("e", np.uint16), by_class[0], by_class[1], words_, tokens)
     sent = sc.broadcast(voc)
     coded = store(d.mapInArrow(lambda it: _encode(it, sent, buckets), _ENCODED), "encoded")
 
@@ -427,11 +513,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     away = totals.select("bucket", "h", "n").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_away, "batch long, i binary, s binary, k binary")
     away = away.groupBy("batch").applyInArrow(_back, "batch long, row int, s_away double, known_away long")
     p, _ = train(coded.where("kind = 0 AND train").select("classes"), voc.log_class, states, rounds)
-    model = sc.broadcast(p)
+    model = sc.broadcast((p, voc.log_class))
     rows = coded.where("kind = 0").select("batch", "row", "id", "train", "n_tokens", "s", "known", "classes")
     kinds = "batch long, row int, id long, train boolean, n_tokens long, s double, known long, gain double"
-    log_class = voc.log_class
-    scored = rows.mapInArrow(lambda it: _score(it, model, log_class), kinds)
+    scored = rows.mapInArrow(lambda it: _score(it, model), kinds)
     r = scored.join(away, ["batch", "row"], "left")
     base = F.col("s") + F.coalesce("s_away", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(voc.base)))
     return r.select(
