@@ -1,20 +1,26 @@
 """Near-duplicate vectors by NN-descent, with equal labels only.
 
-Equal vectors are one class with a number of copies. The first graph links vectors that share a sign pattern of random planes;
-the number of bits grows with the largest label, the number of tables follows from the bits so that a pair at the threshold meets
-in one table with ``SURE`` probability, and all members of a pattern are compared, crowded ones in pairs of blocks; labels for which one whole
-comparison is less work are compared whole. Everyone's best ``K`` of a pattern are kept, and links that join what all its links join.
-Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours, saturated ones ``K`` longer every round, until hardly
-any list changes; found pairs stay if they get into a list. Edges at or over the threshold then give the components. Where lists are saturated (all ``K`` of them over the threshold) they are enlarged to
-everything: the members of such a component are compared in blocks, which counts their links without making the pairs.
+Equal vectors (by 128 bits of hash) are one class with a number of copies. The first graph links vectors that share a sign pattern
+of random planes; the number of bits grows with the largest label, the number of tables follows from the bits so that a pair at the
+threshold meets in one table with ``SURE`` probability, and all members of a pattern are compared; labels for which one whole comparison
+is less work are compared whole. Everyone's best ``K`` of a pattern are kept, and links that join what all its links join. Rounds of
+neighbours-of-neighbours joins then refine lists of ``K`` neighbours, saturated ones ``K`` longer every round, until hardly any list
+changes; found pairs stay if they get into a list. Edges at or over the threshold then give the components. Where lists are saturated
+(all ``K`` of them over the threshold) they are enlarged to everything in the component.
+
+Neither step pairs a tight group with itself. Every crowded pattern and every saturated component has a centre; members within half
+the threshold's angle of it, its core, all link with each other by the triangle inequality, so the core is joined and counted without
+a comparison. Only the others, the rim, are compared, with each other and with the core, in pairs of blocks, inside tasks that return
+lists, joining links or counts, never all pairs. That is the square of the rim and the rim times the core.
 
 The audit compares the links of ``AUDIT`` vectors (smallest hash) with brute force over all vectors, as a share for each vector, and
 apart for saturated components; under ``RECALL`` the graph is built again with twice the tables, and after ``MOST`` tables all
-vectors of each label are compared.
+vectors of each label are compared, which is exact. So no result is returned under the asked recall; ``Graph.recall`` has it.
 
 Defined cases: null ids, null labels, vectors that are null or zero, or hold null or non-finite components, or are of another
-length than most of their block, link with nothing and are components of their own; repeated rows are copies of each other; ties
-are ordered by a hash; an empty table gives an empty result; extra columns are ignored.
+length than most of their block, link with nothing and are components of their own; repeated rows are copies of each other; an id
+given with several vectors has a row for each, and a component has the smallest id of its vectors; ties are ordered by a hash; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,11 +55,6 @@ def _plan(largest: int, threshold: float = COSINE) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - SURE) / math.log(1 - same))
 
 
-def _matrix(col) -> np.ndarray:
-    rows = col.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
-
-
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, label, dim, v): normalised vectors in double precision; those that link with nothing are left out."""
     for b in batches:
@@ -180,15 +181,31 @@ def _block_links(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"cls": pa.array(cls, pa.int64()), "links": pa.array(out, pa.int64())})
 
 
+def _spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's cosine with its centre, the last two columns; vectors of another length get -2."""
+    for b in batches:
+        out = np.full(b.num_rows, -2.0)
+        for i, (x, y) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+            if len(x) == len(y):
+                out[i] = np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], [*b.schema.names[:-2], "s"])
+
+
 class Graph:
     def __init__(self, rows: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold: float = COSINE):
         self.threshold = threshold
         self.rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
         fit = self.rows.where("id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL")
-        self.key = F.xxhash64("label", "vec")
         kind = dict(fit.dtypes)["label"]
-        classes = fit.groupBy(self.key.alias("cls")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-        classes = store(classes, "classes")
+        # A class is known by two hashes and named by the first; of classes that share that one all but one get another name.
+        first, second = F.xxhash64("label", "vec"), F.xxhash64(F.lit(1), "label", "vec")
+        there = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
+        keyed = store(self.rows.select("id", F.when(there, first).alias("h1"), F.when(there, second).alias("h2")), "keys")
+        clash = store(keyed.where("h1 IS NOT NULL").groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo < hi").select("h1", "lo"), "clash")
+        name = lambda d: d.join(clash, "h1", "left").withColumn("cls", F.when(F.col("lo").isNull() | (F.col("h2") == F.col("lo")), F.col("h1")).otherwise(F.xxhash64("h1", "h2")))
+        self.named = name(keyed).select("id", "cls")
+        classes = fit.groupBy(first.alias("h1"), second.alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+        classes = store(name(classes).select("cls", "rep", "copies", "label", "vec"), "classes")
         v = classes.select("cls", "label", "vec").mapInArrow(_unit, f"cls long, label {kind}, v binary")
         self.vectors = store(v, "vectors")
         self.classes = classes.select("cls", "rep", "copies").join(self.vectors.select("cls"), "cls", "left_semi")
@@ -207,17 +224,42 @@ class Graph:
         all_ = self.vectors.join(whole, "label").select("cls", F.xxhash64("label").alias("bucket"), F.col("size").alias("n"))
         return self.compared(some.select("cls", "bucket", "n").unionByName(all_))
 
-    def compared(self, members: DataFrame) -> DataFrame:
-        """The edges that ``_compare`` gives for (cls, bucket, n), small buckets many to a task, large ones in pairs of blocks."""
-        m = store(members.withColumn("nb", F.ceil(F.col("n") / PART)), "members")
-        pools = (m.where("nb = 1").count() // POOL) + 1
-        m = m.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb"))).join(self.vectors.select("cls", "v"), "cls")
-        m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    def spokes(self, members: DataFrame, group: str, order) -> DataFrame:
+        """``members`` (with cls) with their group's centre, the first of it by ``order``, their cosine with it, and whether they
+        are in the core: within half the threshold's angle, less what rounding may add."""
+        centre = store(members.groupBy(group).agg(F.min(F.struct(order.alias("o"), "cls")).alias("x")).select(group, F.col("x.cls").alias("centre")), "centres")
+        v = self.vectors.select("cls", "v")
+        x = members.join(centre, group).join(v, "cls").join(v.select(F.col("cls").alias("centre"), F.col("v").alias("cv")), "centre")
+        kinds = ", ".join(f"{c} {t}" for c, t in x.drop("v", "cv").dtypes)
+        half = math.cos(math.acos(self.threshold) / 2 - 1e-6)
+        return store(x.mapInArrow(_spokes, f"{kinds}, s double").withColumn("core", F.col("s") >= half), "spokes")
+
+    def rim_blocks(self, m: DataFrame, group: str, size: int) -> DataFrame:
+        """``m`` (with core and v) dealt so that every pair of a group with one of the rim in it meets in one task (g, i, j)."""
+        n = m.groupBy(group).agg(*[F.ceil(F.count_if(x) / size).alias(c) for c, x in (("nr", ~F.col("core")), ("nc", F.col("core")))]).where("nr > 0")
+        m = m.join(n, group)
+        own = F.pmod(F.xxhash64("cls", F.lit(1)), F.when(F.col("core"), F.col("nc")).otherwise(F.col("nr")))
+        m = m.withColumn("blk", own + F.when(F.col("core"), F.col("nr")).otherwise(F.lit(0)))
+        m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("core"), F.col("nr")).otherwise(F.col("nr") + F.col("nc")) - 1)))
         side = F.when(F.col("with") == F.col("blk"), 2).when(F.col("blk") < F.col("with"), 0).otherwise(1)
-        g = F.when(F.col("nb") == 1, F.pmod("bucket", F.lit(pools))).otherwise(F.col("bucket"))
-        m = m.select(g.alias("g"), F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), side.alias("side"), "bucket", "cls", "v")
-        t = self.threshold
-        e = m.groupBy("g", "i", "j").applyInArrow(lambda x: _compare(x, t, K), "a long, b long, s double")
+        m = m.withColumns({"i": F.least("blk", "with"), "j": F.greatest("blk", "with"), "side": side})
+        return m.repartition(group, "i", "j")  # else all blocks of a group would stay where the join by group put them
+
+    def compared(self, members: DataFrame) -> DataFrame:
+        """The edges of (cls, bucket, n): of small buckets, many to a task, what ``_compare`` gives; of crowded ones the core's
+        links with the centre, and what it gives for the rim."""
+        m, t, kind = store(members, "members"), self.threshold, "a long, b long, s double"
+        v = self.vectors.select("cls", "v")
+        pools = m.where(F.col("n") <= PART).count() // POOL + 1
+        small = m.where(F.col("n") <= PART).join(v, "cls").select(F.pmod("bucket", F.lit(pools)).alias("g"), F.lit(2).alias("side"), "bucket", "cls", "v")
+        e = small.groupBy("g").applyInArrow(lambda x: _compare(x, t, K), kind)
+        crowd = m.where(F.col("n") > PART)
+        if not crowd.isEmpty():
+            crowd = self.spokes(crowd.select("cls", "bucket"), "bucket", F.xxhash64("cls", F.lit(2)))
+            near = crowd.where((F.col("core") | (F.col("s") >= t)) & (F.col("cls") != F.col("centre")))
+            e = e.union(near.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"), "s"))
+            rim = self.rim_blocks(crowd.join(v, "cls"), "bucket", PART).select("bucket", "i", "j", "side", "cls", "v")
+            e = e.union(rim.groupBy("bucket", "i", "j").applyInArrow(lambda x: _compare(x, t, K), kind))
         return e.groupBy("a", "b").agg(F.max("s").alias("s"))
 
     @staticmethod
@@ -259,16 +301,16 @@ class Graph:
         copies = self.classes.select(F.col("cls").alias("other"), "copies")
         plain = both.join(copies, "other").groupBy("cls").agg(F.count("*").alias("n"), F.sum("copies").alias("links"))
         plain = store(comp.withColumnRenamed("node", "cls").join(plain, "cls"), "plain")
-        full = plain.groupBy("comp").agg(F.max("n").alias("most"), F.count("*").alias("size")).where(f"most >= {K}")
-        m = plain.select("cls", "comp").join(full.select("comp", "size"), "comp").withColumn("nb", F.ceil(F.col("size") / BLOCK))
-        m = m.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nb"))).join(self.vectors.select("cls", "v"), "cls")
+        full = store(plain.groupBy("comp").agg(F.max("n").alias("most")).where(f"most >= {K}").select("comp"), "full")
+        m = self.spokes(plain.select("cls", "comp", "n").join(full, "comp"), "comp", F.struct(-F.col("n"), F.xxhash64("cls")))
         m = m.join(self.classes.select("cls", "copies"), "cls")
-        m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        side = F.when(F.col("with") == F.col("blk"), 2).when(F.col("blk") < F.col("with"), 0).otherwise(1)
-        m = m.select("comp", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), side.alias("side"), "cls", "copies", "v")
         t = self.threshold
-        exact = m.groupBy("comp", "i", "j").applyInArrow(lambda g: _block_links(g, t), "cls long, links long")
-        exact = exact.groupBy("cls").agg(F.sum("links").alias("all"))
+        core = m.where("core").groupBy("comp").agg(F.sum("copies").alias("sum"))
+        inside = m.where("core").join(core, "comp").select("cls", (F.col("sum") - F.col("copies")).alias("links"))
+        rim = self.rim_blocks(m.join(self.vectors.select("cls", "v"), "cls"), "comp", BLOCK).select("comp", "i", "j", "side", "cls", "copies", "v")
+        exact = inside.union(rim.groupBy("comp", "i", "j").applyInArrow(lambda g: _block_links(g, t), "cls long, links long"))
+        none = m.select("cls", F.lit(0).cast("long").alias("links"))
+        exact = exact.union(none).groupBy("cls").agg(F.sum("links").alias("all"))
         return store(plain.join(exact, "cls", "left").select("cls", "comp", F.coalesce("all", "links").alias("links"), F.col("all").isNotNull().alias("full")), "counted")
 
     def audit(self, counted: DataFrame, size: int = AUDIT) -> float:
@@ -325,8 +367,7 @@ class Graph:
         c = self.classes.join(counted, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
         low = c.groupBy("comp").agg(F.min("rep").alias("component_id"))
         c = c.join(low, "comp").select("cls", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-        key = F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull(), self.key)
-        r = self.rows.select("id", key.alias("cls")).join(c, "cls", "left")
+        r = self.named.join(store(c, "result"), "cls", "left")
         r = r.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         return r.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
