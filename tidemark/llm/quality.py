@@ -6,11 +6,14 @@ text. A score is the
 logistic function of a sparse dot product.
 
 Training reads at most ``ROWS`` labelled documents, those with the smallest hash of their id, whole; their features are made in
-parallel and one task runs the updates over them ``EPOCHS`` times in hash order. The weights (fixed size) go to every task.
+parallel, sorted by pass and hash outside Python, and one task runs the updates over them as they stream by, holding the weights and
+one batch. The weights (fixed size) go to every task.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; null or missing labels are not learned
-from; several labels of one document count as their mean; without any label every score is 0.5; repeated rows are scored each; null
-ids are scored and are held out as the empty id would be; an empty table gives an empty result; extra columns are ignored.
+from; several labels of one document count as their mean; an id given with several texts is learned from once, by the smallest
+text; without any label every score is 0.5; repeated rows are scored each; null ids are scored and are held out as the empty id
+would be; a very long text is a row of its own; an empty table gives an empty result; extra columns, whatever their names, are
+kept by ``score`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import store, table
+from .base import forget, store, table
 from .kernel import LOWER, U, mix, slices, span_hash, strings, trim, words
 
 #: Labelled documents learned from at most; weights; passes.
@@ -113,17 +116,14 @@ class Ftrl:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    f, any_ = Ftrl(), False
     for b in batches:
-        rows += zip(*[b.column(c).to_pylist() for c in range(4)])
-    rows.sort()
-    data = [(np.append(np.frombuffer(i, np.int32), DIMS), np.append(np.frombuffer(v, np.float32), 1.0), y) for _, y, i, v in rows]
-    f = Ftrl()
-    for _ in range(EPOCHS):
-        for i, x, y in data:
-            f.learn(i, x, y)
-    yield pa.RecordBatch.from_arrays([pa.array([f.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["w"])
-    del rows, data, f
+        for y, i, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            i, v = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((i, np.int32), (v, np.float32)))
+            f.learn(np.append(i, DIMS), np.append(v, 1.0), y)
+            any_ = True
+    if any_:
+        yield pa.RecordBatch.from_arrays([pa.array([f.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["w"])
     trim()
 
 
@@ -136,9 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> np.ndarray:
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")).withColumn("at", F.xxhash64("doc_id"))
     y = store(y.orderBy("at", "doc_id").limit(rows), "sample")
-    d = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("at", "y", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    d = d.groupBy("doc_id", "at", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("at", "y", "text")
     sparse = store(d.mapInArrow(_sparse, _SPARSE), "sparse")
-    got = sparse.repartition(1).mapInArrow(_train, "w binary").collect()
+    passes = sparse.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(1).sortWithinPartitions("epoch", "at", "y", "idx")
+    got = passes.select("y", "idx", "val").mapInArrow(_train, "w binary").collect()  # one row of fixed size
+    forget(y, sparse)
     return np.frombuffer(bytes(got[0]["w"]), np.float32) if got else np.zeros(DIMS + 1, np.float32)
 
 
