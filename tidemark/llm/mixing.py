@@ -7,11 +7,13 @@ each stretch of similar sizes gets its share and the taken words stay close to t
 
 The running sum is a rank times a constant. The rank is the number of rows in earlier cells plus the row number inside
 the cell; a cell is (source, band of sizes, salt) with about ``CELL`` rows, so a source with a third of all rows is
-still spread over many tasks.
+still spread over many tasks. Cells are summed in runs of ``RUN``, so the one window of a source has a row for each
+262,144 documents. The targets are one window over one row for each source.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, last; a source whose
 documents are all empty has target 0; an empty table gives an empty result; rows repeated with the same id are documents
-of their own; extra columns are ignored.
+of their own; ties of size are ordered by id; a very long text is one document like any other; extra columns, whatever their
+names (band, salt), are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .base import BROADCAST_IDS, int_hash, store, table, unit_hash, words_patter
 
 #: Weights of the sources by code point, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Rows of a cell, on average.
-CELL = 256
+#: Rows of a cell, on average; cells of a run.
+CELL, RUN = 256, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -73,9 +75,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights=WEIG
     salted = d.select("*", *key).join(groups.select(*key, "band", "salts"), ["skey", "snull", "band"])
     salted = salted.withColumn("salt", F.pmod(int_hash(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.col("salts")))
     cells = salted.groupBy("skey", "snull", "band", "salt").agg(F.count("*").alias("m"))
-    cells = cells.withColumn(
-        "earlier", F.coalesce(F.sum("m").over(W.partitionBy("skey", "snull").orderBy("band", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
+    cells = store(cells.withColumn("run", F.floor(F.col("salt") / RUN)), "cells")
+    # Rows before a cell: before its run of cells, summed over one row for each run, and inside the run.
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = cells.groupBy("skey", "snull", "band", "run").agg(F.sum("m").alias("m"))
+    runs = runs.withColumn("runs_before", before(W.partitionBy("skey", "snull").orderBy("band", "run"))).drop("m")
+    cells = cells.withColumn("inside_run", before(W.partitionBy("skey", "snull", "band", "run").orderBy("salt")))
+    cells = cells.join(runs, ["skey", "snull", "band", "run"]).withColumn("earlier", F.col("runs_before") + F.col("inside_run"))
     goal = goal.select(*key, "source_size", "target")
     cells = cells.join(goal, ["skey", "snull"]).select("skey", "snull", "band", "salt", "earlier", "source_size", "target")
     inside = F.row_number().over(W.partitionBy("skey", "snull", "band", "salt").orderBy("size", F.col("id").asc_nulls_last()))
