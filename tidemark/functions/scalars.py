@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: Time formats that are tried in this order.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "MM/dd/yyyy HH:mm", "yyyy-MM-dd")
-_TWITTER = "^[A-Z][a-z]{2} ([A-Z][a-z]{2} \\d{2} \\d{2}:\\d{2}:\\d{2}) \\+0000 (\\d{4})$"
+#: Time formats that are tried in this order; numbers may have one digit or two, fractions one to six.
+TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]'Z'", "M/d/yyyy H:m", "yyyy-M-d")
+_TWITTER = "^[A-Z][a-z]{2} ([A-Z][a-z]{2} \\d{1,2} \\d{1,2}:\\d{1,2}:\\d{1,2}) \\+0000 (\\d{4})$"
 
 
 def parse_time(c: Column, fallback: Column) -> Column:
     t = F.trim(c)
     tried = [F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]
-    tweet = F.when(t.rlike(_TWITTER), F.try_to_timestamp(F.regexp_replace(t, _TWITTER, "$1 $2"), F.lit("MMM dd HH:mm:ss yyyy")))
+    tweet = F.when(t.rlike(_TWITTER), F.try_to_timestamp(F.regexp_replace(t, _TWITTER, "$1 $2"), F.lit("MMM d H:m:s yyyy")))
     return F.coalesce(*tried[:4], tweet, *tried[4:], fallback)
 
 

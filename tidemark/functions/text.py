@@ -32,9 +32,14 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
 
-def clean_a(c: Column, full_entities: bool = False) -> Column:
+def decode(c: Column) -> Column:
+    """Every entity; texts without an ampersand are not sent to Python."""
+    return F.coalesce(decode_entities(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
+def clean_a(c: Column, full_entities: bool = True) -> Column:
     """Entities, tags, web addresses, cashtags, then only letters, digits and common marks."""
-    c = decode_entities(c) if full_entities else decode_common_entities(c)
+    c = decode(c) if full_entities else decode_common_entities(c)
     c = F.regexp_replace(strip_tags(c), "http\\S+|www\\.\\S+", "")
     c = F.regexp_replace(c, "\\$[A-Z]{1,5}\\b", "")
     return F.coalesce(squeeze(F.regexp_replace(c, "[^a-zA-Z0-9\\s.,!?'\"-]", " ")), F.lit(""))
@@ -47,9 +52,13 @@ def clean_b(c: Column) -> Column:
     return squeeze(c)
 
 
-def strip_handles(c: Column, source: Column, twitter_like: tuple[str, ...] = ("twitter", "stocktwits", "kaggle")) -> Column:
+#: Sources whose texts hold handles and hash marks.
+TWITTER_LIKE = ("huggingface", "kaggle", "kaggle_india_stocktwits", "stocktwits")
+
+
+def strip_handles(c: Column, source: Column, twitter_like: tuple[str, ...] = TWITTER_LIKE) -> Column:
     """Handles and hash marks of twitter-like sources; web addresses of all."""
-    plain = F.regexp_replace(F.regexp_replace(c, "@[A-Za-z0-9_]+", " "), "#", "")
+    plain = F.regexp_replace(F.regexp_replace(c, "@[\\p{L}\\p{N}_]+", " "), "#", "")
     c = F.when(F.lower(source).isin(*twitter_like), plain).otherwise(c)
     return squeeze(F.regexp_replace(c, "http\\S+|www\\S+", " "))
 
@@ -65,12 +74,12 @@ def text_hash(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between white space; a null counts as one word, as a missing text is read as a word."""
-    t = F.trim(F.regexp_replace(c, "\\s+", " "))
-    return F.when(c.isNull(), 1).when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("int")
+    return F.coalesce(F.regexp_count(c, F.lit("\\S+")), F.lit(1)).cast("int")
 
 
-def letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+def has_letters(c: Column, n: int) -> Column:
+    """Whether a text has ``n`` letters; the search ends at the last of them."""
+    return c.rlike(f"(?:[A-Za-z][^A-Za-z]*+){{{n}}}")
 
 
 def is_url_only(c: Column) -> Column:
@@ -113,7 +122,7 @@ def cashtags(c: Column) -> Column:
 
 
 def plain_tickers(c: Column) -> Column:
-    found = F.regexp_extract_all(F.upper(c), F.lit("\\b[A-Z]{2,10}(?:_NS)?\\b"), F.lit(0))
+    found = F.regexp_extract_all(F.upper(c), F.lit("(?U)\\b[A-Z]{2,10}(?:_NS)?\\b"), F.lit(0))
     return F.transform(found, lambda t: F.when(t.isin(*BARE_INDIAN), F.concat(t, F.lit("_NS"))).otherwise(t))
 
 
@@ -131,8 +140,10 @@ def bare(ticker: Column) -> Column:
     return F.regexp_replace(ticker, "\\.(NS|BO)$", "")
 
 
-def looks_like_ticker(c: Column) -> Column:
-    return F.upper(F.regexp_replace(c, "[- ]", "")).rlike("^[A-Z]{1,6}$")
+def bare_ticker(c: Column) -> Column:
+    """The name as a symbol, upper case without hyphens and spaces, if that is one to six letters; else null."""
+    t = F.upper(F.regexp_replace(F.trim(c), "[- ]", ""))
+    return F.when(t.rlike("^\\p{L}{1,6}$"), t)
 
 
 def queries_for(ticker: Column) -> Column:
@@ -150,40 +161,37 @@ def swap_suffix(c: Column, to_dot: bool = False) -> Column:
 # Labels: three maps that disagree and are kept apart ---------------------------------------------------------------
 
 
+#: The words of each map.
+HUB_BLANK = ("none", "nan", "na", "n/a", "null", "unlabeled", "unlabelled", "unknown", "")
+HUB = {"Bullish": ("bullish", "positive", "pos", "buy", "1"), "Bearish": ("bearish", "negative", "neg", "sell", "-1"), "Neutral": ("neutral", "neu", "0")}
+STATIC = {2: ("positive", "pos", "bullish", "buy", "1"), 1: ("neutral", "neu", "hold", "0"), 0: ("negative", "neg", "bearish", "sell", "-1")}
+TRAIN = {"positive": ("positive", "pos", "bullish", "2", "buy"), "negative": ("negative", "neg", "bearish", "0", "-1", "sell"), "neutral": ("neutral", "neu", "hold", "1")}
+
+
+def _named(low: Column, words: dict, start: Column | None = None) -> Column:
+    out = start if start is not None else F
+    for name, ws in words.items():
+        out = out.when(low.isin(*ws), name)
+    return out
+
+
 def label_hub(c: Column) -> Column:
     """Words to Bullish, Bearish, Neutral; blanks to null; anything else as it is."""
     t = F.trim(c)
     low = F.lower(t)
-    return (
-        F.when(low.isin("none", "nan", "na", "n/a", "null", "unlabeled", "unlabelled", "unknown", ""), None)
-        .when(low.isin("bullish", "positive", "pos", "buy", "1"), "Bullish")
-        .when(low.isin("bearish", "negative", "neg", "sell", "-1"), "Bearish")
-        .when(low.isin("neutral", "neu", "0"), "Neutral")
-        .otherwise(t)
-    )
+    return _named(low, HUB, F.when(low.isin(*HUB_BLANK), None)).otherwise(t)
 
 
 def label_static(c: Column) -> Column:
     """2, 1, 0; text forms first, so a bare 1 is positive; then whole numbers."""
     low = F.lower(F.trim(c))
     n = low.try_cast("double").try_cast("int")
-    return (
-        F.when(low.isin("positive", "pos", "bullish", "buy", "1"), 2)
-        .when(low.isin("neutral", "neu", "hold", "0"), 1)
-        .when(low.isin("negative", "neg", "bearish", "sell", "-1"), 0)
-        .when(n.isin(0, 1, 2), n)
-        .when(n == -1, 0)
-    )
+    return _named(low, STATIC).when(n.isin(0, 1, 2), n).when(n == -1, 0)
 
 
 def label_train(c: Column) -> Column:
     """Words, here with 2 positive, 1 neutral, 0 and -1 negative."""
-    low = F.lower(F.trim(c))
-    return (
-        F.when(low.isin("positive", "pos", "bullish", "2", "buy"), "positive")
-        .when(low.isin("negative", "neg", "bearish", "0", "-1", "sell"), "negative")
-        .when(low.isin("neutral", "neu", "hold", "1"), "neutral")
-    )
+    return _named(F.lower(F.trim(c)), TRAIN)
 
 
 # Log lines ---------------------------------------------------------------------------------------------------------
@@ -194,15 +202,26 @@ def event_frame(stage: Column, status: Column, rows: Column) -> Column:
     return F.to_json(F.struct(stage.alias("stage"), status.alias("status"), rows.alias("rows")))
 
 
-#: Words of a line that name its stage, in order of preference.
-STAGE_WORDS = (("1A", ("bot", "spam", "sarcasm", "ticker")), ("1B", ("sentiment",)), ("1C", ("aggregat",)), ("2A", ("feature",)), ("2B", ("granger",)), ("2C", ("fusion",)), ("3", ("train", "ensemble")))
+#: Words of a line that name its stage, in order of preference; the end needs one of each pair.
+STAGE_WORDS = (
+    ("1A", ("stage 1a", "data cleaning", "bot detection")), ("1B", ("stage 1b", "finbert", "sentiment analysis")), ("1C", ("stage 1c", "aggregat", "sentiment feature")),
+    ("2A", ("stage 2a", "market data", "technical indicator")), ("2B", ("stage 2b", "granger")), ("2C", ("stage 2c", "feature fusion", "fusing")),
+    ("3", ("stage 3", "prediction model", "ensemble")),
+)
+STAGE_END = ("pipeline", ("complete", "summary"))
+
+
+def stage_of(message: Column) -> Column:
+    """The stage that a message names, null if none."""
+    low = F.lower(message)
+    has = lambda ws: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws])
+    out = F.when(has(STAGE_END[:1]) & has(STAGE_END[1]), "complete")
+    for name, ws in reversed(STAGE_WORDS):
+        out = F.when(has(ws), name).otherwise(out)
+    return out
 
 
 def parse_log(c: Column) -> dict[str, Column]:
     """Time, level, logger, message and stage of ``time | LEVEL | logger | message`` lines."""
     part = lambda n: F.regexp_extract(c, "^([0-9: -]+) \\| ([A-Z]+) \\| ([^|]+) \\| (.*)$", n)
-    msg = F.lower(part(4))
-    stage = F.lit(None).cast("string")
-    for name, ws in reversed(STAGE_WORDS):
-        stage = F.when(reduce(lambda a, b: a | b, [F.contains(msg, F.lit(w)) for w in ws]), name).otherwise(stage)
-    return {"time": part(1), "level": part(2), "logger": part(3), "message": part(4), "stage": stage}
+    return {"time": part(1), "level": part(2), "logger": part(3), "message": part(4), "stage": stage_of(part(4))}

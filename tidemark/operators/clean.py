@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..schemas import VOTES as VOTE_COLUMNS
+from ..schemas import first_existing
 
 LIVE = ("reddit", "stocktwits")
 #: Posts an hour, copies and seconds of a burst, votes, words, letters.
@@ -46,8 +48,8 @@ def flag_bots(posts: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
     p = p.withColumn("post_count_last_hour", count)
     p = p.withColumn("text_hash", tx.text_hash(F.col("text")))
     same = Window.partitionBy("source", "_author", "text_hash")
-    span = F.max(F.unix_seconds(ts)).over(same) - F.min(F.unix_seconds(ts)).over(same)
-    burst = named & (F.count("*").over(same) >= COPIES) & (span <= SPAN)
+    span = F.max(F.unix_micros(ts)).over(same) - F.min(F.unix_micros(ts)).over(same)
+    burst = named & (F.count("*").over(same) >= COPIES) & (span <= SPAN * 1_000_000)
     p = p.withColumns({
         "freq_bot": F.coalesce(F.col("post_count_last_hour") > RATE, F.lit(False)),
         "username_bot": live & suspicious_name(F.col("author")),
@@ -64,8 +66,12 @@ def vote_gate(posts: DataFrame, votes: str = "upvotes") -> DataFrame:
     return posts.agg(F.coalesce((known > 0.3 * F.count_if(live)) & (mean > 1), F.lit(False)).alias("_gate"))
 
 
-def vote_filter(posts: DataFrame, votes: str = "upvotes") -> DataFrame:
-    """Live posts need votes if most have them; the gate is one row, so joining it is a broadcast of one row."""
+def vote_filter(posts: DataFrame, votes: str | None = None) -> DataFrame:
+    """Live posts need votes if most have them; the gate is one row, so joining it is a broadcast of one row. Without a column
+    of votes all stay."""
+    votes = votes or first_existing(posts, VOTE_COLUMNS)
+    if votes is None:
+        return posts
     gated = posts.join(F.broadcast(vote_gate(posts, votes)))
     keep = ~F.col("_gate") | ~is_live(F.col("source")) | F.coalesce(F.col(votes) >= VOTES, F.lit(False))
     return gated.where(keep).drop("_gate")
@@ -76,12 +82,12 @@ def enough_words(text: Column, source: Column) -> Column:
 
 
 def enough_letters(text: Column) -> Column:
-    return F.coalesce(tx.letters(text) >= LETTERS, F.lit(False))
+    return F.coalesce(tx.has_letters(text, LETTERS), F.lit(False))
 
 
 def filter_spam(posts: DataFrame) -> DataFrame:
     """Votes, words, addresses alone, letters; then the text is cleaned."""
-    p = vote_filter(posts)
-    p = p.withColumn("word_count", tx.word_count(F.col("text"))).where(enough_words(F.col("text"), F.col("source")))
-    p = p.where(~F.coalesce(tx.is_url_only(F.col("text")), F.lit(False)) & enough_letters(F.col("text")))
+    p = vote_filter(posts).where(enough_letters(F.col("text")) & ~F.coalesce(tx.is_url_only(F.col("text")), F.lit(False)))
+    p = p.withColumn("word_count", tx.word_count(F.col("text")))
+    p = p.where(F.col("word_count") >= F.when(is_live(F.col("source")), WORDS_LIVE).otherwise(WORDS_ELSE))
     return p.withColumn("text", tx.clean_b(F.col("text")))

@@ -1,4 +1,4 @@
-"""Ticker linking: hints, cashtags, plain symbols, then names; one row for each ticker of a post."""
+"""Ticker linking: cashtags, plain symbols, hints, then names; one row for each ticker of a post."""
 
 from __future__ import annotations
 
@@ -10,23 +10,37 @@ from ..functions import text as tx
 
 def candidates(text: Column, hints: list[Column]) -> Column:
     own = F.array_compact(F.array(*[tx.normalise_ticker(h) for h in hints])) if hints else F.array().cast("array<string>")
-    return F.concat(own, tx.cashtags(text), tx.plain_tickers(text))
+    return F.concat(tx.cashtags(text), tx.plain_tickers(text), own)
 
 
-def link(posts: DataFrame, valid: tuple[str, ...] | None = tx.KNOWN, names: dict[str, str] = tx.NAMES) -> DataFrame:
-    """Names are looked at only where nothing else was found; posts without a ticker go."""
+def organisation_tickers(organisations: Column, companies: dict[str, str]) -> Column:
+    """Tickers of the organisation names (an array of strings) that a company list has, whatever their case."""
+    known = F.create_map(*[F.lit(x) for k, v in companies.items() for x in (k.lower(), v)])
+    return F.array_compact(F.transform(organisations, lambda o: known[F.lower(o)]))
+
+
+def link(posts: DataFrame, valid: tuple[str, ...] | None = tx.KNOWN, names: dict[str, str] = tx.NAMES, organisations=None, companies: dict[str, str] | None = None) -> DataFrame:
+    """Names are looked at only where nothing else was found; posts without a ticker go. ``organisations`` is a recogniser of
+    organisation names (a text column to an array of names, an Arrow function for instance): what it finds in ``companies`` comes
+    before the names. It is given the texts that nothing else was found in, null for the others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hints = [F.col(c).cast("string") for c in ("ticker", "post_flair", "symbol") if c in posts.columns]
-    known = lambda a: F.array_distinct(F.filter(a, lambda t: t.isin(*valid)) if valid else F.array_compact(a))
-    first = known(candidates(text, hints))
-    p = posts.withColumn("_first", first)
-    found = F.when(F.size("_first") > 0, F.col("_first")).otherwise(known(tx.named_tickers(text, names)))
-    return p.withColumn("_tickers", found).withColumn("ticker", F.explode("_tickers")).drop("_first", "_tickers")
+    # Distinct, in order of first appearance.
+    known = lambda a: F.array_intersect(a, F.array(*[F.lit(t) for t in valid])) if valid else F.array_distinct(F.array_compact(a))
+    p = posts.withColumn("_first", known(candidates(text, hints)))
+    none = F.size("_first") == 0
+    later = tx.named_tickers(text, names)
+    if organisations is not None and companies:
+        p = p.withColumn("_organisations", organisations(F.when(none, text)))
+        later = F.concat(F.coalesce(organisation_tickers(F.col("_organisations"), companies), F.array().cast("array<string>")), later)
+    found = F.when(none, known(later)).otherwise(F.col("_first"))
+    # The outer form, as the plain one makes the optimiser push a test of the array's size, and so all of the search, to the scan.
+    p = p.withColumn("ticker", F.explode_outer(found)).where("ticker IS NOT NULL")
+    return p.drop("_first", "_organisations")
 
 
 def resolve_company(names: DataFrame, companies: DataFrame, name: str = "name") -> DataFrame:
     """The ticker of a company: its row in the list, else the name itself if it looks like a symbol."""
     c = companies.groupBy(F.lower(F.trim("company")).alias("_key")).agg(F.min("ticker").alias("_ticker"))
     j = names.join(c, F.lower(F.trim(name)) == F.col("_key"), "left")
-    own = F.when(tx.looks_like_ticker(F.col(name)), F.upper(F.trim(name)))
-    return j.withColumn("ticker", F.coalesce("_ticker", own)).drop("_key", "_ticker")
+    return j.withColumn("ticker", F.coalesce("_ticker", tx.bare_ticker(F.col(name)))).drop("_key", "_ticker")

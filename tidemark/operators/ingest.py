@@ -30,7 +30,10 @@ def label_by_source(df: DataFrame, labels: list, source: str = "source", label:
 
 
 def describe(df: DataFrame, c: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high"))
+    """Count, mean, deviation, least, quartiles (between neighbours in proportion) and most."""
+    cut = F.percentile(c, [0.25, 0.5, 0.75])
+    g = df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), cut.alias("_q"), F.max(c).alias("high"))
+    return g.select(*keys, "n", "mean", "sd", "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
 
 
 def report_by_file(df: DataFrame, label: str = "label") -> DataFrame:
@@ -62,12 +65,21 @@ def long_enough(df: DataFrame, c: str = "text", n: int = 20) -> DataFrame:
     return df.where(F.length(tx.clean_a(F.col(c))) >= n)
 
 
+def tickers_of(df: DataFrame) -> DataFrame:
+    return df.select(F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
+
+
 def ticker_universe(*tables: DataFrame | None, default: tuple[str, ...] = tx.KNOWN) -> DataFrame:
-    """Tickers of the first table that has any, upper case, distinct; else the default ones."""
-    for t in tables:
-        if t is not None and "ticker" in t.columns:
-            out = t.select(F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
-            if not out.isEmpty():
-                return out
-    some = next(t for t in tables if t is not None)
-    return some.sparkSession.createDataFrame([(x,) for x in default], "ticker string")
+    """Tickers of the first table that has any, upper case, distinct; else the default ones. No job runs while this is planned:
+    each table's tickers carry its place, and the smallest place that has any wins."""
+    spark = next(t for t in tables if t is not None).sparkSession
+    parts = [tickers_of(t) for t in tables if t is not None and "ticker" in t.columns] + [spark.createDataFrame([(x,) for x in default], "ticker string")]
+    u = parts[0].withColumn("_at", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        u = u.unionByName(p.withColumn("_at", F.lit(i)))
+    return u.join(F.broadcast(u.agg(F.min("_at").alias("_at"))), "_at", "left_semi").select("ticker")
+
+
+def common_tickers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The tickers that both tables have, as they are written."""
+    return a.select("ticker").intersect(b.select("ticker")).where("ticker IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -101,23 +103,49 @@ def ensemble(p1: Column, p2: Column, up: float = UP, down: float = DOWN, weights
 def confusion(df: DataFrame, y: str, pred: str, *keys: str) -> DataFrame:
     """Accuracy and weighted F1 from the four counts."""
     n = lambda a, b: F.count_if((F.col(y) == a) & (F.col(pred) == b)).cast("double")
-    g = df.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 0).alias("tn"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
+    return rated(df.groupBy(*keys).agg(n(1, 1).alias("tp"), n(0, 0).alias("tn"), n(0, 1).alias("fp"), n(1, 0).alias("fn")))
+
+
+def rated(g: DataFrame) -> DataFrame:
+    """n, accuracy and weighted F1 beside the four counts."""
     total = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     f1 = lambda a: F.coalesce(F.try_divide(2 * F.col(a), 2 * F.col(a) + F.col("fp") + F.col("fn")), F.lit(0.0))
     weighted = (f1("tp") * (F.col("tp") + F.col("fn")) + f1("tn") * (F.col("tn") + F.col("fp"))) / total
     return g.withColumn("n", total.cast("long")).withColumn("accuracy", (F.col("tp") + F.col("tn")) / total).withColumn("f1_weighted", weighted)
 
 
+def class_report(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """Precision, recall, F1 and support of each class, then their plain and weighted means."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    cells = df.groupBy(F.col(y).alias("y"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
+    sides = cells.select(F.col("y").alias("label"), (F.col("n") * (F.col("y") == F.col("p")).cast("int")).alias("hit"), F.col("n").alias("own"), F.lit(0.0).alias("said"))
+    sides = sides.unionByName(cells.select(F.col("p").alias("label"), F.lit(0.0).alias("hit"), F.lit(0.0).alias("own"), F.col("n").alias("said")))
+    c = sides.groupBy("label").agg(*[F.sum(x).alias(x) for x in ("hit", "own", "said")])
+    c = c.withColumns({"precision": share(F.col("hit"), F.col("said")), "recall": share(F.col("hit"), F.col("own"))})
+    c = c.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    c = c.select(F.col("label").cast("string").alias("label"), "precision", "recall", "f1", F.col("own").alias("support"))
+    names = ("precision", "recall", "f1")
+    plain = c.agg(F.lit("macro avg").alias("label"), *[F.avg(x).alias(x) for x in names], F.sum("support").alias("support"))
+    by = c.agg(F.lit("weighted avg").alias("label"), *[share(F.sum(F.col(x) * F.col("support")), F.sum("support")).alias(x) for x in names], F.sum("support").alias("support"))
+    return c.unionByName(plain).unionByName(by).withColumn("support", F.col("support").cast("long"))
+
+
 def sharpe(r: Column, periods: int = 8760) -> Column:
     s = F.stddev_pop(r)
     return F.when(s > 0, F.avg(r) / s * F.sqrt(F.lit(float(periods)))).otherwise(0.0)
 
 
 def best_threshold(df: DataFrame, prob: str = "prob_up", y: str = "target", low: float = 0.35, high: float = 0.65, n: int = 31) -> DataFrame:
-    """The threshold with the best accuracy, then weighted F1, then the smallest: one pass over each row's steps."""
-    steps = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i))
-    d = df.select(y, prob, steps.alias("step")).withColumn("t", F.lit(low) + F.col("step") * F.lit((high - low) / (n - 1)))
-    m = confusion(d.withColumn("pred", (F.col(prob) >= F.col("t")).cast("int")), y, "pred", "step", "t")
+    """The threshold with the best accuracy, then weighted F1, then the smallest. Each row counts once, at the number of steps
+    that its probability reaches; running sums over the steps give the four counts of each."""
+    t = [low + i * ((high - low) / (n - 1)) for i in range(n)]
+    reached = reduce(lambda a, b: a + b, [(F.col(prob) >= x).cast("int") for x in t])
+    c = df.where(F.col(prob).isNotNull()).groupBy(reached.alias("reached")).agg(*[F.count_if(F.col(y) == k).alias(f"y{k}") for k in (0, 1)])
+    steps = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(t)], "step int, t double")
+    over = F.col("reached") > F.col("step")
+    s = lambda k, at: F.coalesce(F.sum(F.when(at, F.col(f"y{k}"))), F.lit(0)).cast("double")
+    m = steps.join(F.broadcast(c)).groupBy("step", "t").agg(s(1, over).alias("tp"), s(0, ~over).alias("tn"), s(0, over).alias("fp"), s(1, ~over).alias("fn"))
+    m = rated(m)
     return m.select("t", "accuracy", "f1_weighted", "step").orderBy(F.desc("accuracy"), F.desc("f1_weighted"), "step").limit(1).drop("step")
 
 
@@ -145,6 +173,27 @@ def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSI
     return sorted(out, key=lambda r: -(r["accuracy"] or 0.0))
 
 
+def walk_forward_trees(df: DataFrame, cols: list[str], folds: int = 6, rounds: int = 400, depth: int = 6, rate: float = 0.05, ts: str = "ts") -> list[dict]:
+    """Accuracy and F1 of trees trained on each expanding window and judged on the part after it, by which their rounds stop early.
+    Folds whose training rows have one class, or whose validation part is empty, are left out."""
+    from .market import walk_forward
+
+    out = []
+    parts = walk_forward(finite(df.where("target IS NOT NULL"), cols), folds, ts).cache()
+    for k in range(1, folds + 1):
+        d = parts.where(F.col("fold") == k)
+        seen = d.agg(F.countDistinct(F.when(F.col("part") == "train", F.col("target"))).alias("classes"), F.count_if(F.col("part") == "val").alias("val")).first()
+        if seen["classes"] < 2 or not seen["val"]:
+            continue
+        fit = scaler(d.where("part = 'train'"), cols)
+        trees = boosted_trees(scale(d, fit), cols, rounds, depth, rate, val=F.col("part") == "val")
+        said = probability_up(trees, scale(d.where("part = 'val'"), fit), "prob_up").withColumn("pred", (F.col("prob_up") > 0.5).cast("int"))
+        m = confusion(said, "target", "pred").first()
+        out.append({"fold": k, "n": int(m["n"]), "accuracy": m["accuracy"], "f1_weighted": m["f1_weighted"]})
+    parts.unpersist()
+    return out
+
+
 def latest(df: DataFrame, ts: str = "ts") -> DataFrame:
     """The last row of each ticker."""
     return df.groupBy("ticker").agg(F.max_by(F.struct(*df.columns), ts).alias("r")).select("r.*")
@@ -161,6 +210,13 @@ def overlay_latest(df: DataFrame, sentiment: DataFrame, ts: str = "ts") -> DataF
     return j.withColumns(new).select(*df.columns)
 
 
+def score_latest(df: DataFrame, sentiment: DataFrame, trees: PipelineModel, cols: list[str], fit: dict[str, tuple[float, float]], up: float = UP, down: float = DOWN, ts: str = "ts") -> DataFrame:
+    """Each ticker's last row with fresh sentiment over it, scored by trained trees: (ticker, prob_up, prediction)."""
+    rows = scale(overlay_latest(df, sentiment, ts).na.fill(0.0), fit)
+    p = probability_up(trees, rows, "_p")
+    return p.withColumns(ensemble(F.col("_p"), F.col("_p"), up, down)).select("ticker", ts, "prob_up", "prediction")
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

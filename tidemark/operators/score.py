@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_handles
+
 #: Confidence under which a label is uncertain, and the weight of such a row.
 UNCERTAIN, UNCERTAIN_WEIGHT = 0.70, 0.30
 POSITIVE = ("good", "great", "gain", "gains", "up", "bull", "bullish", "buy", "beat", "strong", "profit", "win")
@@ -36,6 +38,46 @@ def lexicon(text: Column) -> dict[str, Column]:
     return {"sentiment_label": label, "sentiment_numeric": num, "sentiment_confidence": conf, "is_uncertain": conf < UNCERTAIN}
 
 
+#: Marks of irony and how far each speaks for it.
+IRONY = ((0.9, "(^|\\s)/s\\s*$"), (0.8, "#(sarcasm|irony)\\b"), (0.7, "\\byeah,? right\\b|\\bwhat could go wrong\\b"), (0.5, "\\b(oh|just) (great|wonderful|perfect)\\b|\\bthanks a lot\\b|\\bgood luck with that\\b|\\bsure thing\\b"))
+
+
+def irony(text: Column) -> Column:
+    """The strongest mark of irony in a text, 0 without any: a native stand-in for a trained classifier."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(0.0)
+    for value, pattern in reversed(IRONY):
+        out = F.when(low.rlike(pattern), value).otherwise(out)
+    return out
+
+
+def probability_scorer(load: Callable[[], Callable[[list[str]], list[float]]], batch: int = 96):
+    """An Arrow function text -> probability around a model that ``load`` returns; rows with a null text are not sent to it."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in batches:
+            out = pd.Series([None] * len(s), dtype="float64")
+            at = [i for i, x in enumerate(s) if x is not None]
+            for k in range(0, len(at), batch):
+                part = at[k : k + batch]
+                out.iloc[part] = model([s.iloc[i] for i in part])
+            yield out
+
+    return score
+
+
+def sarcasm(text: Column, source: Column, scorer=irony, live: Column | None = None, most: Column | None = None) -> Column:
+    """The score of prepared texts (handles, hash marks and addresses gone) of rows in scope, 0 for all others and for texts of which
+    nothing is left. ``live`` marks the rows in scope (all if None); ``most`` may narrow them, for a deterministic cap."""
+    ready = strip_handles(F.coalesce(text, F.lit("")), source)
+    scope = ready != ""
+    for more in (live, most):
+        scope = scope & F.coalesce(more, F.lit(False)) if more is not None else scope
+    return F.coalesce(F.when(scope, scorer(F.when(scope, ready))), F.lit(0.0))
+
+
 def best_class(scores: Column) -> dict[str, Column]:
     """Label and confidence from a map of class scores; ties go to the first class by name."""
     top = F.array_max(F.transform(F.map_entries(scores), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("k"))))

@@ -30,11 +30,22 @@ LABELLED = _table(("text", _S), ("label", T.IntegerType()), ("source", _S), ("ty
 #: Names that stand for a column, the first that exists wins.
 ALIASES = {
     "text": ("text", "clean_text", "tweet", "Tweet", "content", "body", "message"),
-    "author": ("author", "username", "user"),
+    "author": ("author", "user", "username", "author_name", "screen_name", "handle"),
     "source": ("source", "platform"),
-    "timestamp_utc": ("timestamp_utc", "timestamp", "created_at", "created_utc", "date"),
-    "upvotes": ("upvotes", "ups", "score", "likes"),
+    "timestamp_utc": ("timestamp_utc", "created_utc", "timestamp", "created_at", "datetime", "date", "Date"),
+    "upvotes": ("upvotes", "likes", "like_count", "favorite_count", "favorites", "votes"),
 }
+#: The shorter lists that single steps go by when they are run alone.
+_TEXT, _SOURCE = ("text", "tweet", "Tweet", "content", "body"), ("source", "platform")
+STEP_ALIASES = {
+    "bots": {"text": _TEXT, "author": ("author", "user", "username", "screen_name", "handle"), "source": _SOURCE, "timestamp_utc": ALIASES["timestamp_utc"]},
+    "spam": {"text": _TEXT, "source": _SOURCE, "upvotes": ("upvotes", "likes", "like_count", "favorite_count", "favorites")},
+    "sarcasm": {"text": _TEXT, "source": _SOURCE},
+}
+#: What a column holds if none of its names exists; others are null.
+DEFAULTS = {"text": "", "author": "[unknown]", "source": "unknown"}
+#: Columns that hold votes, the first that exists wins.
+VOTES = ("ups", "upvotes")
 
 
 def first_existing(df: DataFrame, names: Iterable[str]) -> str | None:
@@ -49,11 +60,12 @@ def role_column(df: DataFrame, names: Iterable[str]) -> str | None:
 
 def coalesce_aliases(df: DataFrame, defaults: dict[str, Column] | None = None, aliases=ALIASES) -> DataFrame:
     """Each canonical column from the first of its names that exists, else its default, else null."""
+    defaults = {k: F.lit(v) for k, v in DEFAULTS.items()} | (defaults or {})
     out = {}
     for name, names in aliases.items():
         have = first_existing(df, names)
         if have is None:
-            out[name] = (defaults or {}).get(name, F.lit(None).cast("string"))
+            out[name] = defaults.get(name, F.lit(None).cast("string"))
         elif have != name:
             out[name] = F.col(have)
     return df.withColumns(out) if out else df

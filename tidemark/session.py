@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset a single-machine session gets one of its own; a
+    cluster must name one, as no other folder is seen by all of it."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir().rstrip("/")
