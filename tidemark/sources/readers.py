@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import parse_rfc2822
 from ..functions.text import title_and_description
-from ..schemas import PRICE, VIX, plain_headers
+from ..schemas import PRICE, VIX, plain_headers, role_column, union_drifting
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, tolerant: bool = False, recursive: bool = False) -> DataFrame:
@@ -120,6 +120,35 @@ def read_feed(spark: SparkSession, path: str, market: str = "US", pulled=None) -
     )
 
 
+def read_chart(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Bars of quote payloads (one a row, with the symbol that was asked for as ``ticker``): times are seconds and become UTC."""
+    kind = "struct<timestamp:array<long>,open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<long>>"
+    c = raw.select("ticker", F.from_json(column, kind).alias("c"))
+    rows = F.arrays_zip("c.timestamp", "c.open", "c.high", "c.low", "c.close", "c.volume")
+    r = c.select("ticker", F.explode(rows).alias("r")).select("ticker", "r.*")
+    return r.select(F.timestamp_seconds("timestamp").alias("timestamp_utc"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), "ticker")
+
+
+def volatility_of(charts: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(timestamp_utc, vix_close, index) of the symbols that are volatility indices."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return charts.where(F.col("ticker").isin(*labels)).select("timestamp_utc", F.col("Close").alias("vix_close"), names[F.col("ticker")].alias("index"))
+
+
+def indices_of(charts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(timestamp_utc, Close, index_name, ticker) of a basket of index symbols."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return charts.where(F.col("ticker").isin(*names)).select("timestamp_utc", "Close", known[F.col("ticker")].alias("index_name"), "ticker")
+
+
+def read_calendar(raw: DataFrame, column: str = "value") -> DataFrame:
+    """(ticker, earnings_date) of calendar payloads; a payload has one date, a list of them, or none."""
+    many, one = F.from_json(column, "struct<earnings:array<string>>")["earnings"], F.get_json_object(column, "$.earnings")
+    dates = F.coalesce(many, F.array(one))
+    d = raw.select("ticker", F.explode(dates).alias("d")).select("ticker", F.substring("d", 1, 10).try_cast("date").alias("earnings_date"))
+    return d.where("earnings_date IS NOT NULL").distinct()
+
+
 def with_fallback(primary: DataFrame, *others: DataFrame, key: str = "ticker") -> DataFrame:
     """For each key the rows of the first table that has any: symbol fallback."""
     out = primary
@@ -131,7 +160,17 @@ def with_fallback(primary: DataFrame, *others: DataFrame, key: str = "ticker") -
 def read_labelled(spark: SparkSession, path: str, text=("text", "sentence", "tweet"), label=("label", "sentiment")) -> DataFrame:
     """(text, label) of a labelled CSV, its columns found by name whatever their case."""
     df = plain_headers(read_csv(spark, path, tolerant=True))
-    t, y = (next((n for n in names if n in df.columns), None) for names in (text, label))
+    t, y = role_column(df, text), role_column(df, label)
     if t is None or y is None:
         raise ValueError(f"no text or label column among {df.columns}")
     return df.select(F.col(t).alias("text"), F.col(y).cast("string").alias("label"))
+
+
+def read_hub(spark: SparkSession, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(dataset, split, text, label) of labelled datasets: name -> paths of its splits, each file's split in its name."""
+    parts = []
+    for name, paths in sets.items():
+        for p in paths:
+            split = F.lit(p.rstrip("/").rsplit("/", 1)[-1].split(".")[0])
+            parts.append(read_labelled(spark, p).select(F.lit(name).alias("dataset"), split.alias("split"), "text", "label"))
+    return union_drifting(*parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,27 @@ def author_rate(posts: DataFrame, ts: str = "timestamp_utc", late: str = "1 hour
     return g.select("author", F.col("window.start").alias("window_start"), "posts")
 
 
+_RATE = "id long, author string, timestamp_utc timestamp, posts long"
+
+
+def author_rate_exact(posts: DataFrame, ts: str = "timestamp_utc", late: str = "1 hour") -> DataFrame:
+    """Each post with the posts of its author in (t - 1 hour, t], itself included, of all that had come by then. The state of an
+    author is the times of the last two hours, so a post that is up to an hour late is counted right."""
+    hour = 3_600_000_000
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["t", "id"])
+        known = np.array(state.get[0] if state.exists else [], np.int64)
+        new = rows["t"].to_numpy(np.int64)
+        times = np.sort(np.concatenate([known, new]))
+        rows["posts"] = np.searchsorted(times, new, "right") - np.searchsorted(times, new - hour, "right")
+        state.update((times[times > times[-1] - 2 * hour].tolist(),))
+        yield rows.assign(author=key[0])[["id", "author", "timestamp_utc", "posts"]]
+
+    p = posts.withWatermark(ts, late).select("id", "author", F.col(ts).alias("timestamp_utc"), F.unix_micros(ts).alias("t"))
+    return p.groupBy("author").applyInPandasWithState(step, _RATE, "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def bursts(posts: DataFrame, ts: str = "timestamp_utc", late: str = "1 hour", gap: str = "45 minutes", least: int = 4) -> DataFrame:
     """Sessions of one author's repeated text with at least ``least`` copies."""
     g = posts.withWatermark(ts, late).groupBy(F.session_window(ts, gap), "source", "author", "text_hash").agg(F.count("*").alias("copies"))
