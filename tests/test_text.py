@@ -31,7 +31,7 @@ def test_hash_form_keeps_letters_of_all_scripts(spark):
 
 def test_words_letters_addresses(spark):
     assert run(spark, tx.word_count, ["a b  c", "", "   ", None]) == [3, 0, 0, 1]
-    assert run(spark, tx.letters, ["ab1 c", "é"]) == [3, 0]
+    assert run(spark, lambda c: tx.has_letters(c, 3), ["ab1 c", "é", "ab", "a1b2c3d4"]) == [True, False, False, True]
     assert run(spark, tx.is_url_only, [" https://x.y ", "https://x.y z", "http://"]) == [True, False, False]
 
 

@@ -5,7 +5,8 @@ Times leave as seconds, floats rounded to nine digits, booleans as 0 and 1, so b
 
 from __future__ import annotations
 
-import tempfile
+import html.entities
+import time
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +18,8 @@ from ..config import Config
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import causality, clean, entity, features, fuse, ingest, market, model, score, weight
-from ..schemas import canonical, coalesce_aliases, union_drifting
+from ..schemas import STEP_ALIASES, canonical, coalesce_aliases, union_drifting
+from ..session import shared_dir
 from ..streaming import streams
 from .views import Views, sql
 
@@ -132,10 +134,27 @@ def _(v: Views):
     return v.posts.select("ticker", "source", "k").distinct()
 
 
-@query("alias_coalesce", "SELECT doc_id, text AS text, NULL::VARCHAR AS author, source FROM documents")
+@query("alias_coalesce", "SELECT doc_id, text, lang AS author, source, 'at ' || doc_id AS timestamp_utc, n_chars AS upvotes FROM documents")
 def _(v: Views):
-    d = v.table("documents").select("doc_id", F.col("text").alias("tweet"), F.col("source").alias("platform"))
-    return coalesce_aliases(d, aliases={k: x for k, x in {"text": ("text", "clean_text", "tweet"), "author": ("author",), "source": ("source", "platform")}.items()}).select("doc_id", "text", "author", "source")
+    d = v.table("documents").select(
+        "doc_id", F.lit("later").alias("content"), F.col("text").alias("tweet"), F.col("source").alias("platform"), F.lit("later").alias("handle"), F.col("lang").alias("username"),
+        F.lit("later").alias("created_at"), F.concat(F.lit("at "), F.col("doc_id").cast("string")).alias("created_utc"), F.lit(-1).alias("votes"), F.col("n_chars").alias("like_count"),
+    )
+    return coalesce_aliases(d).select("doc_id", "text", "author", "source", "timestamp_utc", "upvotes")
+
+
+@query("alias_defaults", "SELECT doc_id, '' AS text, '[unknown]' AS author, 'unknown' AS source, NULL::VARCHAR AS upvotes FROM documents")
+def _(v: Views):
+    return coalesce_aliases(v.table("documents").select("doc_id")).select("doc_id", "text", "author", "source", "upvotes")
+
+
+@query("alias_by_step", "SELECT doc_id, lang AS bots_text, '[unknown]' AS bots_author, lang AS spam_text, n_chars AS spam_upvotes, source AS sarcasm_source FROM documents")
+def _(v: Views):
+    d = v.table("documents").select("doc_id", F.lit("no").alias("clean_text"), F.col("lang").alias("body"), F.lit("no").alias("author_name"), F.col("source").alias("platform"), F.col("n_chars").alias("favorites"), F.lit(-1).alias("votes"))
+    bots, spam, sarcasm = (coalesce_aliases(d, aliases=STEP_ALIASES[s]) for s in ("bots", "spam", "sarcasm"))
+    b = bots.select("doc_id", F.col("text").alias("bots_text"), F.col("author").alias("bots_author"))
+    s = spam.select("doc_id", F.col("text").alias("spam_text"), F.col("upvotes").alias("spam_upvotes"))
+    return b.join(s, "doc_id").join(sarcasm.select("doc_id", F.col("source").alias("sarcasm_source")), "doc_id")
 
 
 @query("canonical_post", "SELECT doc_id::VARCHAR AS id, source, text, NULL::VARCHAR AS author, NULL::DOUBLE AS upvotes, lang FROM documents")
@@ -167,12 +186,15 @@ def _(v: Views):
 _RAW = "CASE k % 12 WHEN 0 THEN 'positive' WHEN 1 THEN ' Bearish ' WHEN 2 THEN 'NEU' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '-1' WHEN 6 THEN '2' WHEN 7 THEN '1.0' WHEN 8 THEN '' WHEN 9 THEN 'n/a' WHEN 10 THEN 'weird' END"
 
 
+def _words_sql(words: dict) -> str:
+    quote = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return " ".join(f"WHEN low IN ({', '.join(map(quote, ws))}) THEN {quote(name)}" for name, ws in words.items())
+
+
 @query("label_maps", f"""WITH r AS (SELECT id, {_RAW} AS raw FROM posts), l AS (SELECT id, trim(raw) AS t, lower(trim(raw)) AS low FROM r)
-SELECT id, CASE WHEN low IN ('none', 'nan', 'na', 'n/a', 'null', 'unlabeled', 'unlabelled', 'unknown', '') THEN NULL WHEN low IN ('bullish', 'positive', 'pos', 'buy', '1') THEN 'Bullish'
-  WHEN low IN ('bearish', 'negative', 'neg', 'sell', '-1') THEN 'Bearish' WHEN low IN ('neutral', 'neu', '0') THEN 'Neutral' ELSE t END AS hub,
-  CASE WHEN low IN ('positive', 'pos', 'bullish', 'buy', '1') THEN 2 WHEN low IN ('neutral', 'neu', 'hold', '0') THEN 1 WHEN low IN ('negative', 'neg', 'bearish', 'sell', '-1') THEN 0
-  WHEN trunc(try_cast(low AS DOUBLE)) IN (0, 1, 2) THEN trunc(try_cast(low AS DOUBLE))::INT WHEN trunc(try_cast(low AS DOUBLE)) = -1 THEN 0 END AS static,
-  CASE WHEN low IN ('positive', 'pos', 'bullish', '2', 'buy') THEN 'positive' WHEN low IN ('negative', 'neg', 'bearish', '0', '-1', 'sell') THEN 'negative' WHEN low IN ('neutral', 'neu', 'hold', '1') THEN 'neutral' END AS train FROM l""".replace("WITH r AS", ", r AS"), "posts")
+SELECT id, CASE WHEN low IN ({", ".join(f"'{w}'" for w in tx.HUB_BLANK)}) THEN NULL {_words_sql(tx.HUB)} ELSE t END AS hub,
+  CASE {_words_sql(tx.STATIC)} WHEN trunc(try_cast(low AS DOUBLE)) IN (0, 1, 2) THEN trunc(try_cast(low AS DOUBLE))::INT WHEN trunc(try_cast(low AS DOUBLE)) = -1 THEN 0 END AS static,
+  CASE {_words_sql(tx.TRAIN)} END AS train FROM l""".replace("WITH r AS", ", r AS"), "posts")
 def _(v: Views):
     p = v.posts.select("id", F.expr(_RAW).alias("raw"))
     return p.select("id", tx.label_hub(F.col("raw")).alias("hub"), tx.label_static(F.col("raw")).alias("static"), tx.label_train(F.col("raw")).alias("train"))
@@ -183,12 +205,13 @@ def _(v: Views):
     return v.events.select("event_id", tx.stable_id(F.lit("ev"), F.col("event_id")).alias("sid"))
 
 
-@query("time_formats", """, t AS (SELECT id, timestamp_utc AS ts, CASE k % 6 WHEN 0 THEN strftime(timestamp_utc, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%SZ')
-  WHEN 3 THEN strftime(timestamp_utc, '%m/%d/%Y %H:%M') WHEN 4 THEN strftime(timestamp_utc, '%Y-%m-%d') ELSE 'not a time' END AS raw FROM posts)
-SELECT id, epoch(coalesce(try_strptime(raw, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%SZ', '%m/%d/%Y %H:%M', '%Y-%m-%d']), TIMESTAMP '2024-02-01'))::BIGINT AS ts FROM t""", "posts")
+@query("time_formats", """, t AS (SELECT id, timestamp_utc AS ts, CASE k % 9 WHEN 0 THEN strftime(timestamp_utc, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%SZ')
+  WHEN 3 THEN strftime(timestamp_utc, '%m/%d/%Y %H:%M') WHEN 4 THEN strftime(timestamp_utc, '%Y-%m-%d') WHEN 5 THEN strftime(timestamp_utc, '%-m/%-d/%Y %-H:%-M') WHEN 6 THEN strftime(timestamp_utc, '%Y-%-m-%-d')
+  WHEN 7 THEN strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%fZ') ELSE 'not a time' END AS raw FROM posts)
+SELECT id, epoch(coalesce(CASE k % 9 WHEN 3 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('day', ts) WHEN 8 THEN NULL ELSE ts END, TIMESTAMP '2024-02-01') - INTERVAL 0 SECOND)::BIGINT AS ts FROM t JOIN posts USING (id)""".replace("SELECT id, epoch(coalesce(CASE k % 9", "SELECT id, floor(epoch(coalesce(CASE k % 9").replace("INTERVAL 0 SECOND)::BIGINT", "INTERVAL 0 SECOND))::BIGINT").replace("THEN NULL ELSE ts END", "THEN NULL ELSE t.ts END").replace("('minute', ts)", "('minute', t.ts)").replace("('day', ts)", "('day', t.ts)"), "posts")
 def _(v: Views):
-    k, ts = F.col("k") % 6, F.col("timestamp_utc")
-    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy HH:mm", "yyyy-MM-dd")
+    k, ts = F.col("k") % 9, F.col("timestamp_utc")
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy HH:mm", "yyyy-MM-dd", "M/d/yyyy H:m", "yyyy-M-d", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     raw = F.lit("not a time")
     for i, f in enumerate(forms):
         raw = F.when(k == i, F.date_format(ts, f)).otherwise(raw)
@@ -258,9 +281,14 @@ def _(v: Views):
     return v.table("pages").select("page_id", F.md5(tx.decode_common_entities(F.col("html"))).alias("decoded"))
 
 
-@query("entity_decode_full")
+_ENTITIES = ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{x.replace(chr(39), chr(39) * 2)}'" for k, x in html.entities.html5.items() if k.endswith(";"))
+
+
+@query("entity_decode_full", f"""WITH e AS (SELECT MAP {{{_ENTITIES}}} AS m),
+p AS (SELECT page_id, unnest(regexp_extract_all(html, '&#?[0-9a-zA-Z]+;|[^&]+|&', 0)) AS x, generate_subscripts(regexp_extract_all(html, '&#?[0-9a-zA-Z]+;|[^&]+|&', 0), 1) AS i FROM pages)
+SELECT page_id, md5(string_agg(CASE WHEN regexp_full_match(x, '&#[0-9]+;') THEN chr(substr(x, 3, length(x) - 3)::INT) WHEN regexp_full_match(x, '&[a-zA-Z0-9]+;') THEN coalesce(m[substr(x, 2)], x) ELSE x END, '' ORDER BY i)) AS decoded FROM p, e GROUP BY 1""")
 def _(v: Views):
-    return v.table("pages").select("page_id", F.md5(tx.decode_entities(F.col("html"))).alias("decoded"))
+    return v.table("pages").select("page_id", F.md5(tx.decode(F.col("html"))).alias("decoded"))
 
 
 @query("norm_md5", "SELECT id, md5(regexp_replace(lower(plain), '[^\\p{L}\\p{N}_]+', '', 'g')) AS h FROM texts", "texts")
@@ -283,31 +311,38 @@ def _(v: Views):
     return v.table("documents").where(clean.enough_letters(F.col("text"))).select("doc_id")
 
 
-@query("url_only", "SELECT id, (k % 3 = 0)::INT AS url_only FROM posts", "posts")
+@query("url_only", "SELECT page_id, regexp_full_match(trim(t), 'https?://[^\\s]+')::INT AS url_only FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ' ' || url || ' ' ELSE url || ' and ' || html END AS t FROM pages)")
 def _(v: Views):
-    t = F.when(F.col("k") % 3 == 0, F.concat(F.lit(" https://x.y/"), F.col("k").cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("https://x.y and "), "text"))
-    return v.posts.select("id", bit(tx.is_url_only(t)).alias("url_only"))
+    t = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), "url", F.lit(" "))).otherwise(F.concat("url", F.lit(" and "), "html"))
+    return v.table("pages").select("page_id", bit(tx.is_url_only(t)).alias("url_only"))
 
 
-@query("handle_strip", "SELECT id, trim(regexp_replace(regexp_replace(CASE WHEN source = 'src0' THEN regexp_replace(regexp_replace(text, '@[A-Za-z0-9_]+', ' ', 'g'), '#', '', 'g') ELSE text END, 'http\\S+|www\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM texts", "texts")
+@query("handle_strip", "SELECT id, trim(regexp_replace(regexp_replace(CASE WHEN source IN ('huggingface', 'kaggle', 'kaggle_india_stocktwits', 'stocktwits') THEN regexp_replace(regexp_replace(text, '@[\\p{L}\\p{N}_]+', ' ', 'g'), '#', '', 'g') ELSE text END, 'http\\S+|www\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM (SELECT id, source, text || ' @Jürgen_9 #tag http://x.y end' AS text FROM said)", "said")
 def _(v: Views):
-    return v.texts.select("id", tx.strip_handles(F.col("text"), F.col("source"), ("src0",)).alias("cleaned"))
+    return v.said.select("id", tx.strip_handles(F.concat("text", F.lit(" @Jürgen_9 #tag http://x.y end")), F.col("source")).alias("cleaned"))
 
 
-@query("title_description", "SELECT page_id, trim(url || '. ' || '', '. ') AS joined FROM pages")
+@query("title_description", "SELECT page_id, trim(CASE WHEN page_id % 5 = 0 THEN '' ELSE url END || '. ' || CASE WHEN page_id % 7 = 0 THEN '' ELSE html END, '. ') AS joined FROM pages")
 def _(v: Views):
-    return v.table("pages").select("page_id", tx.title_and_description(F.col("url"), F.lit("")).alias("joined"))
+    title, text = F.when(F.col("page_id") % 5 != 0, F.col("url")), F.when(F.col("page_id") % 7 != 0, F.col("html"))
+    return v.table("pages").select("page_id", tx.title_and_description(title, text).alias("joined"))
+
+
+#: Log messages and the stage that each names.
+_LOGGED = (
+    ("STAGE 1A: start", "1A"), ("Data Cleaning done", "1A"), ("Bot detection removed rows", "1A"), ("FinBERT loaded", "1B"), ("Sentiment analysis of rows", "1B"), ("Aggregating windows", "1C"),
+    ("Sentiment feature table", "1C"), ("Downloading market data", "2A"), ("Technical indicators ready", "2A"), ("Granger lag", "2B"), ("Feature fusion starts", "2C"), ("Fusing frames", "2C"),
+    ("Prediction model ready", "3"), ("Ensemble answers", "3"), ("Pipeline complete", "complete"), ("Pipeline summary", "complete"), ("Running the robot", None), ("Spam removed", None),
+    ("Training", None), ("Complete", None),
+)
 
 
-@query("log_router", """, l AS (SELECT id, CASE k % 5 WHEN 0 THEN 'Bot filter removed ' || k WHEN 1 THEN 'Sentiment of ' || k || ' rows' WHEN 2 THEN 'Granger lag ' || k WHEN 3 THEN 'Feature matrix' ELSE 'Done' END AS m FROM posts)
-SELECT id, '12:00:00' AS time, 'INFO' AS level, m AS message, CASE WHEN contains(lower(m), 'bot') THEN '1A' WHEN contains(lower(m), 'sentiment') THEN '1B' WHEN contains(lower(m), 'feature') THEN '2A' WHEN contains(lower(m), 'granger') THEN '2B' END AS stage FROM l""", "posts")
+@query("log_router", f""", l(i, m, stage) AS (VALUES {", ".join(f"({i}, '{m}', {'NULL' if s is None else repr(s)})" for i, (m, s) in enumerate(_LOGGED))})
+SELECT id, '12:00:00' AS time, 'INFO' AS level, m || ' ' || k AS message, stage FROM posts JOIN l ON id % {len(_LOGGED)} = i""", "posts")
 def _(v: Views):
-    k = F.col("k") % 5
-    ks = F.col("k").cast("string")
-    m = F.when(k == 0, F.concat(F.lit("Bot filter removed "), ks)).when(k == 1, F.concat(F.lit("Sentiment of "), ks, F.lit(" rows"))).when(k == 2, F.concat(F.lit("Granger lag "), ks)).when(k == 3, "Feature matrix").otherwise("Done")
-    p = v.posts.withColumn("line", F.concat(F.lit("12:00:00 | INFO | run | "), m))
-    parsed = tx.parse_log(F.col("line"))
-    return p.select("id", *[parsed[c].alias(c) for c in ("time", "level", "message", "stage")])
+    m = F.element_at(F.array(*[F.lit(m) for m, _ in _LOGGED]), (F.col("id") % len(_LOGGED) + 1).cast("int"))
+    parsed = tx.parse_log(F.concat(F.lit("12:00:00 | INFO | run | "), m, F.lit(" "), F.col("k").cast("string")))
+    return v.posts.select("id", *[parsed[c].alias(c) for c in ("time", "level", "message", "stage")])
 
 
 # Bots and spam -----------------------------------------------------------------------------------------------------
@@ -330,7 +365,7 @@ def _(v: Views):
 
 _BOTS = """, h AS (SELECT *, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')) AS h, source IN ('reddit', 'stocktwits') AS live FROM posts),
 f AS (SELECT *, CASE WHEN live THEN count(text) OVER (PARTITION BY live, author ORDER BY timestamp_utc RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) END AS n,
-  live AND (count(*) OVER (PARTITION BY source, author, h) >= 4) AND (floor(epoch(max(timestamp_utc) OVER (PARTITION BY source, author, h))) - floor(epoch(min(timestamp_utc) OVER (PARTITION BY source, author, h))) <= 2700) AS burst FROM h)"""
+  live AND (count(*) OVER (PARTITION BY source, author, h) >= 4) AND (epoch_us(max(timestamp_utc) OVER (PARTITION BY source, author, h)) - epoch_us(min(timestamp_utc) OVER (PARTITION BY source, author, h)) <= 2700000000) AS burst FROM h)"""
 
 
 @query("dup_burst", _BOTS + " SELECT id, h AS text_hash, burst::INT AS duplicate_bot FROM f", "posts")
@@ -351,48 +386,67 @@ def _(v: Views):
     return clean.vote_filter(v.posts).select("id", "source", "upvotes")
 
 
-@query("spam_filter", f"""SELECT id, {_clean_b_sql('text')} AS text, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::INT AS word_count FROM texts
-WHERE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 2 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 6""", "texts")
+@query("spam_filter", f"""SELECT id, {_clean_b_sql('text')} AS text, len(regexp_extract_all(text, '\\S+'))::INT AS word_count FROM said
+WHERE len(regexp_extract_all(text, '\\S+')) >= CASE WHEN source = 'news' THEN 2 ELSE 4 END AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 6 AND (source = 'news' OR upvotes >= 6
+  OR NOT (SELECT count(upvotes) > 0.3 * count(*) AND avg(upvotes) > 1 FROM said WHERE source <> 'news'))""", "said")
 def _(v: Views):
-    return clean.filter_spam(v.texts.withColumn("upvotes", F.lit(1).cast("long"))).select("id", "text", "word_count")
+    return clean.filter_spam(v.said).select("id", "text", "word_count")
 
 
 # Tickers -----------------------------------------------------------------------------------------------------------
 
-_SAY = "CASE k % 6 WHEN 0 THEN 'Buy $TSLA and $GME now' WHEN 1 THEN 'TCS and AAPL rally' WHEN 2 THEN 'I like pineapple and tesla' WHEN 3 THEN 'nothing here' WHEN 4 THEN 'RELIANCE_NS or $NVDA or NVDA' ELSE 'state bank of india, infosys' END"
 _VALID = "[" + ", ".join(f"'{t}'" for t in tx.KNOWN) + "]"
 _INDIAN = "(" + ", ".join(f"'{t}'" for t in tx.BARE_INDIAN) + ")"
 _NAMES = "[" + ", ".join(f"{{n: '{a}', t: '{b}'}}" for a, b in tx.NAMES.items()) + "]"
 
 
-@query("cashtags", f"SELECT id, array_to_string(regexp_extract_all({_SAY}, '\\$([A-Z]{{1,5}})', 1), ',') AS found FROM posts", "posts")
+_CASHTAGS = "regexp_extract_all(text, '\\$([A-Z]{1,5})', 1)"
+_PLAIN = f"list_transform(list_filter(regexp_extract_all(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS'), '[\\p{{L}}\\p{{N}}_]+', 0), lambda x: regexp_full_match(x, '[A-Z]{{2,10}}(_NS)?')), lambda x: CASE WHEN x IN {_INDIAN} THEN x || '_NS' ELSE x END)"
+_NAMED = f"list_transform(list_filter({_NAMES}, lambda p: contains(lower(text), p.n)), lambda p: p.t)"
+_ORDERED = "list_filter({0}, lambda x, i: list_contains({1}, x) AND list_position({0}, x) = i)"
+
+
+@query("cashtags", f"SELECT id, array_to_string({_CASHTAGS}, ',') AS found FROM said", "said")
 def _(v: Views):
-    return v.posts.select("id", F.array_join(tx.cashtags(F.expr(_SAY)), ",").alias("found"))
+    return v.said.select("id", F.array_join(tx.cashtags(F.col("text")), ",").alias("found"))
 
 
-@query("plain_tickers", f"SELECT id, array_to_string(list_transform(regexp_extract_all(upper({_SAY}), '\\b[A-Z]{{2,10}}(?:_NS)?\\b', 0), lambda x: CASE WHEN x IN {_INDIAN} THEN x || '_NS' ELSE x END), ',') AS found FROM posts", "posts")
+@query("plain_tickers", f"SELECT id, md5(array_to_string({_PLAIN}, ',')) AS found, len({_PLAIN}) AS n FROM said", "said")
 def _(v: Views):
-    return v.posts.select("id", F.array_join(tx.plain_tickers(F.expr(_SAY)), ",").alias("found"))
+    found = tx.plain_tickers(F.col("text"))
+    return v.said.select("id", F.md5(F.array_join(found, ",")).alias("found"), F.size(found).cast("long").alias("n"))
 
 
-@query("alias_scan", f"SELECT id, array_to_string(list_transform(list_filter({_NAMES}, lambda p: contains(lower({_SAY}), p.n)), lambda p: p.t), ',') AS found FROM posts", "posts")
+@query("alias_scan", f"SELECT id, array_to_string({_NAMED}, ',') AS found FROM said", "said")
 def _(v: Views):
-    return v.posts.select("id", F.array_join(tx.named_tickers(F.expr(_SAY)), ",").alias("found"))
+    return v.said.select("id", F.array_join(tx.named_tickers(F.col("text")), ",").alias("found"))
 
 
-@query("ticker_explode", f""", s AS (SELECT id, {_SAY} AS say FROM posts),
-c AS (SELECT id, say, list_filter(list_concat(regexp_extract_all(say, '\\$([A-Z]{{1,5}})', 1), list_transform(regexp_extract_all(upper(say), '\\b[A-Z]{{2,10}}(?:_NS)?\\b', 0), lambda x: CASE WHEN x IN {_INDIAN} THEN x || '_NS' ELSE x END)),
-  lambda x: list_contains({_VALID}, x)) AS a FROM s),
-d AS (SELECT id, CASE WHEN len(a) > 0 THEN list_distinct(a) ELSE list_distinct(list_transform(list_filter({_NAMES}, lambda p: contains(lower(say), p.n)), lambda p: p.t)) END AS a FROM c)
-SELECT id, unnest(a) AS ticker FROM d""", "posts")
+@query("ticker_explode", f""", c AS (SELECT id, text, list_concat({_CASHTAGS}, {_PLAIN}, CASE WHEN id % 4 = 0 THEN ['WIPRO_NS'] ELSE [] END) AS a, {_NAMED} AS b FROM said),
+d AS (SELECT id, {_ORDERED.format("a", _VALID)} AS a, {_ORDERED.format("b", _VALID)} AS b FROM c), e AS (SELECT id, CASE WHEN len(a) > 0 THEN a ELSE b END AS a FROM d)
+SELECT id, unnest(a) AS ticker, generate_subscripts(a, 1) AS place FROM e""", "said")
 def _(v: Views):
-    return entity.link(v.posts.select("id", F.expr(_SAY).alias("text"))).select("id", "ticker")
+    linked = entity.link(v.said.withColumn("symbol", F.when(F.col("id") % 4 == 0, " wipro.ns ")))
+    # The order of a post's tickers is part of the answer.
+    order = F.array_intersect(F.concat(tx.cashtags(F.col("text")), tx.plain_tickers(F.col("text")), F.array_compact(F.array(tx.normalise_ticker(F.col("symbol")))), tx.named_tickers(F.col("text"))), F.array(*[F.lit(t) for t in tx.KNOWN]))
+    return linked.select("id", "ticker", F.array_position(order, F.col("ticker")).alias("place"))
 
 
-@query("resolve_company", """SELECT p_partkey, CASE lower(trim(p_name)) WHEN 'red widget' THEN 'REDW' WHEN 'blue bolt' THEN 'BLUB' WHEN 'small ring' THEN 'SMRG' ELSE CASE WHEN regexp_matches(upper(regexp_replace(p_name, '[- ]', '', 'g')), '^[A-Z]{1,6}$') THEN upper(trim(p_name)) END END AS ticker FROM part""")
+@query("organisations", f""", w AS (SELECT id, list_filter(regexp_extract_all(lower(text), 'tesla|infosys', 0), lambda x, i: list_position(regexp_extract_all(lower(text), 'tesla|infosys', 0), x) = i) AS o, {_CASHTAGS} AS c, {_PLAIN} AS p, {_NAMED} AS b FROM said),
+c AS (SELECT id, list_concat(c, p) AS a, list_concat(list_transform(o, lambda x: CASE WHEN x = 'tesla' THEN 'GME' ELSE 'TCS_NS' END), b) AS b FROM w),
+d AS (SELECT id, {_ORDERED.format("a", _VALID)} AS a, {_ORDERED.format("b", _VALID)} AS b FROM c) SELECT id, unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS ticker FROM d""", "said")
 def _(v: Views):
-    p = v.table("part").select("p_partkey", F.col("p_name").alias("name"))
-    return entity.resolve_company(p, v.companies).select("p_partkey", "ticker")
+    names = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("tesla|infosys"), F.lit(0)))
+    return entity.link(v.said, organisations=names, companies={"Tesla": "GME", "Infosys": "TCS_NS"}).select("id", "ticker")
+
+
+@query("resolve_company", """SELECT p_partkey, CASE lower(trim(name)) WHEN 'red widget' THEN 'REDW' WHEN 'blue bolt' THEN 'BLUB' WHEN 'small ring' THEN 'SMRG'
+  ELSE CASE WHEN regexp_full_match(upper(regexp_replace(trim(name), '[- ]', '', 'g')), '\\p{L}{1,6}') THEN upper(regexp_replace(trim(name), '[- ]', '', 'g')) END END AS ticker
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'br' || chr(97 + (p_partkey % 26)::INT) || '-' || p_size ELSE CASE WHEN p_partkey % 3 = 1 THEN ' brk-' || chr(97 + (p_partkey % 26)::INT) ELSE p_name END END AS name FROM part)""")
+def _(v: Views):
+    letter = F.chr(F.lit(97) + F.col("p_partkey") % 26)
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("br"), letter, F.lit("-"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" brk-"), letter)).otherwise(F.col("p_name"))
+    return entity.resolve_company(v.table("part").select("p_partkey", name.alias("name")), v.companies).select("p_partkey", "ticker")
 
 
 @query("query_builder", "SELECT id, CASE WHEN k % 2 = 0 THEN ticker || ',' || ticker || '.NS' ELSE '$' || ticker || ',' || ticker END AS queries FROM posts", "posts")
@@ -507,12 +561,17 @@ def _(v: Views):
     return out(market.technicals(v.bars, clip_at=None), *_FILLED_COLS.split(), "ts", "ticker")
 
 
-_CLIPPED = ("return_1h", "bb_width", "macd", "volume_change", "rsi_14", "Close")
+_CLIPPED = ("Open", "High", "Low", "Close", "rsi_14", "macd", "macd_signal", "macd_hist", "return_1h", "return_3h", "return_24h", "bb_upper", "bb_lower", "bb_width", "bb_position", "volume_change", "atr_14", "volume_ma_ratio", "obv", "volatility_24h")
+
 
+def _clip_sql(c: str) -> str:
+    m, sd = f'avg("{c}") OVER w', f'stddev_samp("{c}") OVER w'
+    return f'CASE WHEN "{c}" IS NULL THEN NULL WHEN {sd} > 0 THEN least(greatest("{c}", {m} - 5 * {sd}), {m} + 5 * {sd}) ELSE "{c}" END'
 
-@query("technicals_all", f", filled AS ({_FILLED}) SELECT ticker, epoch(ts)::BIGINT AS ts, " + ", ".join(f"round(CASE WHEN \"{c}\" IS NULL THEN NULL WHEN stddev_samp(\"{c}\") OVER w > 0 THEN least(greatest(\"{c}\", avg(\"{c}\") OVER w - 5 * stddev_samp(\"{c}\") OVER w), avg(\"{c}\") OVER w + 5 * stddev_samp(\"{c}\") OVER w) ELSE \"{c}\" END, 9) + 0.0 AS {c.lower()}" for c in _CLIPPED) + " FROM filled WINDOW w AS (PARTITION BY ticker)", "technicals")
+
+@query("technicals_all", f", filled AS ({_FILLED}) SELECT ticker, epoch(ts)::BIGINT AS ts, \"Volume\" AS volume, " + ", ".join(f"round({_clip_sql(c)}, 9) + 0.0 AS {c.lower()}" for c in _CLIPPED) + " FROM filled WINDOW w AS (PARTITION BY ticker)", "technicals")
 def _(v: Views):
-    t = out(market.technicals(v.bars), "ticker", "ts", *_CLIPPED)
+    t = out(market.technicals(v.bars), "ticker", "ts", "Volume", *_CLIPPED)
     return t.toDF(*[c.lower() for c in t.columns])
 
 
@@ -525,13 +584,13 @@ _Z = 'CASE WHEN count({0}) OVER w20 = 20 THEN ({0} - avg({0}) OVER w20) / nullif
 
 
 @query("daily_variant", f"""SELECT ticker, epoch(ts)::BIGINT AS ts, round(CASE WHEN count("Close") OVER w20 = 20 THEN avg("Close") OVER w20 END, 6) AS ma20, round(CASE WHEN count("Close") OVER w50 = 50 THEN avg("Close") OVER w50 END, 6) AS ma50,
-  round(CASE WHEN count("Close") OVER w20 = 20 THEN 4 * stddev_pop("Close") OVER w20 / nullif(avg("Close") OVER w20, 0) END, 6) + 0.0 AS bb_width, round({_Z.format('"Close"')}, 6) + 0.0 AS price_zscore,
-  round(ln("Close" / lag("Close") OVER w), 9) + 0.0 AS log_return, round(("High" - "Low") / "Close", 9) + 0.0 AS intraday_range FROM bars_daily
-WINDOW w AS (PARTITION BY ticker ORDER BY ts), w20 AS (PARTITION BY ticker ORDER BY ts ROWS 19 PRECEDING), w50 AS (PARTITION BY ticker ORDER BY ts ROWS 49 PRECEDING)""", "bars_daily")
+  round(CASE WHEN count("Close") OVER w20 = 20 THEN 4 * stddev_pop("Close") OVER w20 / nullif(avg("Close") OVER w20, 0) END, 6) + 0.0 AS bb_width, round({_Z.format('"Close"')}, 6) + 0.0 AS price_zscore, round({_Z.format('"Volume"')}, 6) + 0.0 AS volume_zscore,
+  round(a.atr_14, 6) AS atr_14, round(ln("Close" / lag("Close") OVER w), 9) + 0.0 AS log_return, round(("High" - "Low") / "Close", 9) + 0.0 AS intraday_range FROM daily_numbered JOIN daily_atr a USING (ticker, rn)
+WINDOW w AS (PARTITION BY ticker ORDER BY ts), w20 AS (PARTITION BY ticker ORDER BY ts ROWS 19 PRECEDING), w50 AS (PARTITION BY ticker ORDER BY ts ROWS 49 PRECEDING)""", "daily_atr")
 def _(v: Views):
     t = market.technicals_daily(v.bars_daily)
     r6 = lambda c: (F.round(c, 6) + 0.0).alias(c)
-    return t.select("ticker", sec("ts").alias("ts"), r6("ma20"), r6("ma50"), r6("bb_width"), r6("price_zscore"), r9("log_return").alias("log_return"), r9("intraday_range").alias("intraday_range"))
+    return t.select("ticker", sec("ts").alias("ts"), *[r6(c) for c in ("ma20", "ma50", "bb_width", "price_zscore", "volume_zscore", "atr_14")], r9("log_return").alias("log_return"), r9("intraday_range").alias("intraday_range"))
 
 
 @query("vix_pivot", "SELECT epoch(timestamp_utc)::BIGINT AS ts, max(vix_close) FILTER (WHERE index = 'US_VIX') AS vix_us_vix, max(vix_close) FILTER (WHERE index = 'INDIA VIX') AS vix_india_vix FROM vix GROUP BY 1", "vix")
@@ -548,33 +607,56 @@ def _(v: Views):
     return v.vix.select(sec("timestamp_utc").alias("ts"), "index", market.regime(F.col("vix_close")).alias("regime"))
 
 
-_SHIFTED = ", s AS (SELECT timestamp_utc + INTERVAL 30 MINUTE AS at, vix_close FROM vix WHERE index = 'US_VIX')"
+_VIX_COLUMNS = ("vix_us_vix", "vix_india_vix")
+_SHIFTED = """, s AS (SELECT timestamp_utc + INTERVAL 30 MINUTE AS shifted, max(vix_close) FILTER (WHERE index = 'US_VIX') AS vix_us_vix, max(vix_close) FILTER (WHERE index = 'INDIA VIX') AS vix_india_vix FROM vix GROUP BY 1)"""
+_VIX_OUT = "b.ticker, epoch(b.ts)::BIGINT AS ts, round({0}.vix_us_vix, 9) AS vix_us_vix, round({1}.vix_india_vix, 9) AS vix_india_vix"
+
+
+def _vix_dim(v: Views) -> DataFrame:
+    s = v.vix.withColumn("timestamp_utc", F.col("timestamp_utc") + F.expr("INTERVAL 30 MINUTES"))
+    return market.vix_wide(s, ["US_VIX", "INDIA VIX"])
+
+
+@query("vix_exact_join", _SHIFTED + f" SELECT {_VIX_OUT.format('s', 's')} FROM bars b LEFT JOIN s ON b.ts = s.shifted", "bars", "vix")
+def _(v: Views):
+    return out(market.join_time(v.bars, _vix_dim(v)), "ticker", "ts", *_VIX_COLUMNS)
+
+
+@query("vix_asof_join", _SHIFTED + f", u AS (SELECT shifted, vix_us_vix FROM s WHERE vix_us_vix IS NOT NULL), i AS (SELECT shifted, vix_india_vix FROM s WHERE vix_india_vix IS NOT NULL) SELECT {_VIX_OUT.format('u', 'i')} FROM bars b ASOF LEFT JOIN u ON b.ts >= u.shifted ASOF LEFT JOIN i ON b.ts >= i.shifted", "bars", "vix")
+def _(v: Views):
+    return out(market.join_time(v.bars, _vix_dim(v), how="asof"), "ticker", "ts", *_VIX_COLUMNS)
 
 
-@query("vix_exact_join", _SHIFTED + " SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, round(s.vix_close, 9) AS vix_close FROM bars b LEFT JOIN s ON b.ts = s.at", "bars", "vix")
+@query("vix_hour_join", _SHIFTED + f" SELECT {_VIX_OUT.format('s', 's')} FROM bars b LEFT JOIN s ON b.ts = date_trunc('hour', s.shifted)", "bars", "vix")
 def _(v: Views):
-    s = v.vix.where("index = 'US_VIX'").select((F.col("timestamp_utc") + F.expr("INTERVAL 30 MINUTES")).alias("timestamp_utc"), "vix_close")
-    return out(market.join_time(v.bars, s), "ticker", "ts", "vix_close")
+    return out(market.join_time(v.bars, _vix_dim(v), how="hour"), "ticker", "ts", *_VIX_COLUMNS)
 
 
-@query("vix_asof_join", _SHIFTED + " SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, round(s.vix_close, 9) AS vix_close FROM bars b ASOF LEFT JOIN s ON b.ts >= s.at", "bars", "vix")
+_QUOTED = ("AAPL", "TSLA", "NVDA", "GME", "AMZN")
+
+
+@query("index_returns", f""", q AS (SELECT date_trunc('hour', ts) AS h, ticker AS name, last(price ORDER BY ts, seq) AS close FROM ticks GROUP BY 1, 2),
+g AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM q), w AS (SELECT g.h, {", ".join(f"max(close) FILTER (WHERE name = '{t}') AS {t.lower()}" for t in _QUOTED)} FROM g LEFT JOIN q ON g.h = q.h GROUP BY 1)
+SELECT epoch(h)::BIGINT AS ts, {", ".join(f"round({t.lower()} / nullif(lag({t.lower()}) OVER (ORDER BY h), 0) - 1, 9) + 0.0 AS idx_{t.lower()}" for t in _QUOTED)} FROM w""", "ticks")
 def _(v: Views):
-    s = v.vix.where("index = 'US_VIX'").select((F.col("timestamp_utc") + F.expr("INTERVAL 30 MINUTES")).alias("timestamp_utc"), "vix_close")
-    return out(market.join_time(v.bars, s, how="asof"), "ticker", "ts", "vix_close")
+    q = v.ticks.select("ts", F.col("ticker").alias("name"), F.col("price").alias("close"), "seq")
+    return out(market.index_returns(q, list(_QUOTED)))
 
 
-@query("vix_hour_join", _SHIFTED + " SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, round(s.vix_close, 9) AS vix_close FROM bars b LEFT JOIN s ON b.ts = date_trunc('hour', s.at)", "bars", "vix")
+@query("bars_index_join", f""", q AS (SELECT date_trunc('hour', ts) AS h, last(price ORDER BY ts, seq) AS close FROM ticks WHERE ticker = 'AAPL' GROUP BY 1), g AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM q),
+w AS (SELECT g.h, close / nullif(lag(close) OVER (ORDER BY g.h), 0) - 1 AS r FROM g LEFT JOIN q ON g.h = q.h) SELECT ticker, epoch(ts)::BIGINT AS ts, round(r, 9) + 0.0 AS idx_aapl FROM bars LEFT JOIN w ON ts = h""", "ticks", "bars")
 def _(v: Views):
-    s = v.vix.where("index = 'US_VIX'").select((F.col("timestamp_utc") + F.expr("INTERVAL 30 MINUTES")).alias("timestamp_utc"), "vix_close")
-    return out(market.join_time(v.bars, s, how="hour"), "ticker", "ts", "vix_close")
+    q = v.ticks.where("ticker = 'AAPL'").select("ts", F.col("ticker").alias("name"), F.col("price").alias("close"), "seq")  # the index that is joined
+    return out(market.join_time(v.bars, market.index_returns(q, ["AAPL"]).withColumnRenamed("ts", "timestamp_utc")), "ticker", "ts", "idx_aapl")
 
 
-@query("index_returns", """, q AS (SELECT date_trunc('hour', ts) AS h, ticker AS name, last(price ORDER BY ts, seq) AS close FROM ticks WHERE ticker IN ('AAPL', 'TSLA') GROUP BY 1, 2),
-g AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM q), w AS (SELECT g.h, max(close) FILTER (WHERE name = 'AAPL') AS a, max(close) FILTER (WHERE name = 'TSLA') AS t FROM g LEFT JOIN q ON g.h = q.h GROUP BY 1)
-SELECT epoch(h)::BIGINT AS ts, round(a / nullif(lag(a) OVER (ORDER BY h), 0) - 1, 9) + 0.0 AS idx_aapl, round(t / nullif(lag(t) OVER (ORDER BY h), 0) - 1, 9) + 0.0 AS idx_tsla FROM w""", "ticks")
+@query("daily_vix_fill", """, d AS (SELECT date_trunc('day', timestamp_utc)::TIMESTAMP AS day, last(vix_close ORDER BY timestamp_utc) AS x FROM vix WHERE index = 'US_VIX' GROUP BY 1), b AS (SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS day, max("High") AS high FROM bars GROUP BY 1, 2)
+SELECT b.ticker, epoch(b.day)::BIGINT AS ts, high, round(last_value(x IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.day ROWS UNBOUNDED PRECEDING), 9) AS vix FROM b LEFT JOIN d ON b.day = d.day""", "vix", "bars")
 def _(v: Views):
-    q = v.ticks.where("ticker IN ('AAPL', 'TSLA')").select("ts", F.col("ticker").alias("name"), F.col("price").alias("close"), "seq")
-    return out(market.index_returns(q, ["AAPL", "TSLA"]))
+    day = F.date_trunc("day", "timestamp_utc")
+    d = v.vix.where("index = 'US_VIX'").groupBy(day.alias("ts")).agg(F.max_by("vix_close", "timestamp_utc").alias("vix"))
+    b = v.bars.groupBy("ticker", F.date_trunc("day", "ts").alias("ts")).agg(F.max("High").alias("high")).join(d, "ts", "left")
+    return out(b.withColumn("vix", sc.fill_forward(F.col("vix"), sc.ordered("ticker", "ts"))), "ticker", "ts", "high", "vix")
 
 
 @query("earnings_flags", """SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, (EXISTS (SELECT 1 FROM earnings e WHERE e.ticker = b.ticker AND e.earnings_date = b.ts::DATE))::INT AS earnings_today,
@@ -614,9 +696,10 @@ def _(v: Views):
     return model.latest(v.bars).select("ticker", sec("ts").alias("ts"), F.col("Close").alias("close"))
 
 
-@query("walk_forward")
+@query("walk_forward", """, r AS (SELECT ticker, ts, row_number() OVER (ORDER BY ts, ticker) AS r, count(*) OVER () // 7 AS size FROM bars)
+SELECT ticker, epoch(ts)::BIGINT AS ts, fold, CASE WHEN r <= size * fold THEN 'train' ELSE 'val' END AS part FROM r, (SELECT range AS fold FROM range(1, 7)) WHERE r <= size * (fold + 1)""", "bars")
 def _(v: Views):
-    return market.walk_forward(v.bars.select("ticker", "ts")).groupBy("fold", "part").agg(F.count("*").alias("n"))
+    return out(market.walk_forward(v.bars.select("ticker", "ts")).withColumn("fold", F.col("fold").cast("long")))
 
 
 # Fusion ------------------------------------------------------------------------------------------------------------
@@ -647,10 +730,16 @@ def _(v: Views):
     return out(f, "ticker", "ts", "rsi_x_sentiment", "macd_x_sentiment", "vol_x_sentiment", "sentiment_x_earnings_tomorrow")
 
 
+@query("quality_fallback", "SELECT ticker, epoch(ts)::BIGINT AS ts, split FROM (SELECT *, CASE WHEN row_number() OVER w <= floor(count(*) OVER p * 0.6::DOUBLE) THEN 'train' WHEN row_number() OVER w <= floor(count(*) OVER p * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts), p AS (PARTITION BY ticker))", "bars")
+def _(v: Views):
+    # More rows are asked for than there are, so the gate closes and all rows stay.
+    return out(fuse.quality_filter(market.time_split(v.fused, 0.6, 0.2), least=10**9), "ticker", "ts", "split")
+
+
 @query("sentiment_quality_filter", f"""SELECT ticker, ts, split FROM (SELECT {_JOIN}, CASE WHEN row_number() OVER w <= floor(count(*) OVER p * 0.6::DOUBLE) THEN 'train' WHEN row_number() OVER w <= floor(count(*) OVER p * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split {_LEFT}
-WINDOW w AS (PARTITION BY b.ticker ORDER BY b.ts), p AS (PARTITION BY b.ticker)) WHERE sentiment_available = 1""", "bars", "features")
+WINDOW w AS (PARTITION BY b.ticker ORDER BY b.ts), p AS (PARTITION BY b.ticker)) QUALIFY sentiment_available = 1 OR least(count(*) FILTER (WHERE sentiment_available = 1 AND split = 'train') OVER (), count(*) FILTER (WHERE sentiment_available = 1 AND split = 'val') OVER (), count(*) FILTER (WHERE sentiment_available = 1 AND split = 'test') OVER ()) < 200""", "bars", "features")
 def _(v: Views):
-    return out(fuse.quality_filter(market.time_split(v.fused, 0.6, 0.2), least=0), "ticker", "ts", "split")
+    return out(fuse.quality_filter(market.time_split(v.fused, 0.6, 0.2)), "ticker", "ts", "split")
 
 
 # Causality ---------------------------------------------------------------------------------------------------------
@@ -687,13 +776,30 @@ def _(v: Views):
     return causality.valid_for(t, r).select("ticker", bit("sentiment_is_valid").alias("valid"))
 
 
-@query("align_ladder", """, p AS (SELECT ticker, date_trunc('hour', ts) AS ts, last(price ORDER BY ts, seq) AS price FROM ticks GROUP BY 1, 2), s AS (SELECT ticker, date_trunc('hour', timestamp_utc) AS ts, avg(sentiment_numeric) AS sentiment FROM posts WHERE k < 30 GROUP BY 1, 2),
+@query("align_ladder", """, p AS (SELECT ticker, date_trunc('hour', ts) AS ts, last(price ORDER BY ts, seq) AS price FROM ticks GROUP BY 1, 2), s AS (SELECT ticker, date_trunc('hour', timestamp_utc) AS ts, avg(sentiment_numeric) AS sentiment FROM posts GROUP BY 1, 2),
 j AS (SELECT p.ticker, p.ts, p.price, last_value(s.sentiment IGNORE NULLS) OVER (PARTITION BY p.ticker ORDER BY p.ts ROWS UNBOUNDED PRECEDING) AS s FROM p LEFT JOIN s ON p.ticker = s.ticker AND p.ts = s.ts)
-SELECT ticker, 'hour' AS grain, epoch(ts)::BIGINT AS ts, price, round(coalesce(s, 0), 9) + 0.0 AS sentiment FROM j""", "ticks", "posts")
+SELECT ticker, 'hour' AS grain, epoch(ts)::BIGINT AS ts, price, round(coalesce(s, 0), 9) + 0.0 AS sentiment FROM j QUALIFY count(*) OVER (PARTITION BY ticker) >= 24""", "ticks", "posts")
 def _(v: Views):
-    price = v.ticks.select("ticker", "ts", "price")
-    s = v.posts.where("k < 30").select("ticker", F.col("timestamp_utc").alias("ts"), F.col("sentiment_numeric").cast("double").alias("sentiment"))
-    return out(causality.align(price, s))
+    s = v.posts.select("ticker", F.col("timestamp_utc").alias("ts"), F.col("sentiment_numeric").cast("double").alias("sentiment"))
+    return out(causality.align(v.ticks.select("ticker", "ts", "price"), s))
+
+
+@query("align_daily", """, p AS (SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS ts, last(price ORDER BY ts, seq) AS price FROM ticks GROUP BY 1, 2), s AS (SELECT ticker, date_trunc('day', timestamp_utc)::TIMESTAMP AS ts, avg(sentiment_numeric) AS sentiment FROM posts GROUP BY 1, 2)
+SELECT p.ticker, 'day' AS grain, epoch(p.ts)::BIGINT AS ts, price, round(coalesce(sentiment, 0), 9) + 0.0 AS sentiment FROM p LEFT JOIN s ON p.ticker = s.ticker AND p.ts = s.ts QUALIFY count(*) OVER (PARTITION BY p.ticker) >= 10""", "ticks", "posts")
+def _(v: Views):
+    s = v.posts.select("ticker", F.col("timestamp_utc").alias("ts"), F.col("sentiment_numeric").cast("double").alias("sentiment"))
+    return out(causality.align(v.ticks.select("ticker", "ts", "price"), s, least_hourly=10**9, fill="zero"))
+
+
+@query("common_tickers", "SELECT DISTINCT ticker FROM earnings WHERE ticker IN (SELECT ticker FROM posts WHERE ticker <> 'GME')", "earnings", "posts")
+def _(v: Views):
+    return ingest.common_tickers(v.earnings, v.posts.where("ticker <> 'GME'"))
+
+
+@query("align_inner", """SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, round("Close", 9) AS price, round(f.avg_sentiment, 9) + 0.0 AS sentiment FROM bars b JOIN features f ON b.ticker = f.ticker AND b.ts = f.window_start WHERE f.avg_sentiment IS NOT NULL""", "bars", "features")
+def _(v: Views):
+    s = v.features.select("ticker", F.col("window_start").alias("ts"), F.col("avg_sentiment").alias("sentiment"))
+    return out(causality.align(v.bars.select("ticker", "ts", F.col("Close").alias("price")), s, least_hourly=0, fill="strict").select("ticker", "ts", "price", "sentiment"))
 
 
 @query("is_constant", "SELECT ticker, (count(DISTINCT sentiment_numeric) <= 1)::INT AS constant, count(DISTINCT value) AS n FROM posts GROUP BY 1", "posts")
@@ -740,6 +846,14 @@ def _(v: Views):
     return out(model.best_threshold(_probs(v), prob="p1"))
 
 
+@query("class_report", _PROBS + """, c AS (SELECT target AS y, (p1 >= 0.5)::INT AS p FROM p), l AS (SELECT k, count(*) FILTER (WHERE y = k AND p = k)::DOUBLE AS hit, count(*) FILTER (WHERE y = k)::DOUBLE AS own, count(*) FILTER (WHERE p = k)::DOUBLE AS said FROM c, (SELECT unnest([0, 1]) AS k) GROUP BY 1),
+r AS (SELECT k::VARCHAR AS label, coalesce(hit / nullif(said, 0), 0) AS pr, coalesce(hit / nullif(own, 0), 0) AS re, coalesce(2 * hit / nullif(said + own, 0), 0) AS f, own FROM l),
+u AS (SELECT label, pr, re, f, own FROM r UNION ALL SELECT 'macro avg', avg(pr), avg(re), avg(f), sum(own) FROM r UNION ALL SELECT 'weighted avg', sum(pr * own) / sum(own), sum(re * own) / sum(own), sum(f * own) / sum(own), sum(own) FROM r)
+SELECT label, round(pr, 9) AS "precision", round(re, 9) AS recall, round(f, 9) AS f1, own::BIGINT AS support FROM u""", "posts")
+def _(v: Views):
+    return out(model.class_report(_probs(v).withColumn("pred", bit(F.col("p1") >= 0.5)), "target", "pred"))
+
+
 @query("sequences_24", """SELECT ticker, epoch(ts)::BIGINT AS ts, 24 AS steps, round(first_c, 9) AS first_close, round(last_c, 9) AS last_close FROM (SELECT ticker, ts, count(*) OVER w AS n, first_value("Close") OVER w AS first_c, last_value("Close") OVER w AS last_c FROM bars
 WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) WHERE n = 24""", "bars")
 def _(v: Views):
@@ -764,10 +878,23 @@ def model_matrix(v: Views) -> DataFrame:
     return market.time_split(fuse.interactions(fuse.fuse(t, v.features, "ffill")), 0.6, 0.2)
 
 
-@query("model_matrix")
+_F = ("avg_sentiment", "sentiment_std", "bull_bear_ratio", "mention_volume", "weighted_volume", "sentiment_momentum", "sentiment_acceleration", "high_confidence_ratio", "pos_count", "neg_count", "neu_count")
+_MATRIX = f""", filled AS ({_FILLED}), clipped AS (SELECT ticker, ts, "Volume", {", ".join(f'{_clip_sql(c)} AS "{c}"' for c in _CLIPPED)} FROM filled WINDOW w AS (PARTITION BY ticker)),
+nx AS (SELECT *, lead("Close") OVER (PARTITION BY ticker ORDER BY ts) / nullif("Close", 0) - 1 AS nr FROM clipped), tg AS (SELECT *, CASE WHEN nr > 0.005::DOUBLE THEN 1 WHEN nr < -0.005::DOUBLE THEN 0 END AS target FROM nx),
+jn AS (SELECT t.*, (f.avg_sentiment IS NOT NULL)::INT AS sentiment_available, {", ".join(f"f.{c} AS _{c}" for c in _F)} FROM tg t LEFT JOIN features f ON t.ticker = f.ticker AND t.ts = f.window_start WHERE t.target IS NOT NULL),
+fw AS (SELECT *, {", ".join(f"last_value(_{c} IGNORE NULLS) OVER w AS {c}" for c in _F)}, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM jn WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS 24 PRECEDING)),
+ea AS (SELECT *, (sentiment_available = 0 AND avg_sentiment IS NOT NULL)::INT AS sentiment_imputed, (EXISTS (SELECT 1 FROM earnings e WHERE e.ticker = fw.ticker AND e.earnings_date = fw.ts::DATE))::INT AS earnings_today,
+  (EXISTS (SELECT 1 FROM earnings e WHERE e.ticker = fw.ticker AND e.earnings_date = fw.ts::DATE + 1))::INT AS earnings_tomorrow FROM fw),
+mx AS (SELECT *, rsi_14 * avg_sentiment AS rsi_x_sentiment, macd * avg_sentiment AS macd_x_sentiment, volume_change * avg_sentiment AS vol_x_sentiment, avg_sentiment * earnings_tomorrow AS sentiment_x_earnings_tomorrow,
+  CASE WHEN r <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM ea)"""
+_WHOLE = ("Volume", "mention_volume", "pos_count", "neg_count", "neu_count", "sentiment_available", "sentiment_imputed", "earnings_today", "earnings_tomorrow")
+
+
+@query("model_matrix", _MATRIX + " SELECT ticker, epoch(ts)::BIGINT AS ts, split, target, " + ", ".join(f'"{c}" AS {c.lower()}' if c in _WHOLE else f'round("{c}", 7) + 0.0 AS {c.lower()}' for c in model.FULL) + " FROM mx", "technicals", "features", "earnings")
 def _(v: Views):
     m = model_matrix(v)
-    return out(m, "ticker", "ts", "split", "target", *model.available(m, model.FULL))
+    cols = [F.col(c).alias(c.lower()) if c in _WHOLE else (F.round(c, 7) + 0.0).alias(c.lower()) for c in model.available(m, model.FULL)]
+    return m.select("ticker", sec("ts").alias("ts"), "split", "target", *cols)
 
 
 @query("sequence_mlp")
@@ -789,7 +916,8 @@ def _(v: Views):
 # Reports and serving -----------------------------------------------------------------------------------------------
 
 
-@query("describe_bars", """SELECT ticker, count("Close") AS n, round(avg("Close"), 9) AS mean, round(stddev_samp("Close"), 9) AS sd, min("Close") AS low, max("Close") AS high FROM bars GROUP BY 1""", "bars")
+@query("describe_bars", """SELECT ticker, count("Close") AS n, round(avg("Close"), 9) AS mean, round(stddev_samp("Close"), 9) AS sd, min("Close") AS low, round(quantile_cont("Close", 0.25), 9) AS q1, round(quantile_cont("Close", 0.5), 9) AS median,
+  round(quantile_cont("Close", 0.75), 9) AS q3, max("Close") AS high FROM bars GROUP BY 1""", "bars")
 def _(v: Views):
     return out(ingest.describe(v.bars, "Close", "ticker"))
 
@@ -811,14 +939,18 @@ def _(v: Views):
 # Streams: run to the end of what is there, and compared with the same thing as a batch ------------------------------
 
 
+def _folder(v: Views) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(v.spark)}/run-{uuid.uuid4().hex}"
+
+
 def _stream(v: Views) -> tuple[Views, str]:
-    """Views whose events are a stream, and a folder of their own in the shared folder."""
+    """Views whose events are a stream, and a folder for it."""
     live = Views(v.spark, v.dir)
     schema = v.table("events").schema
     raw = v.spark.readStream.schema(schema).parquet(f"{v.dir}/events*.parquet")
     live.__dict__["events"] = raw.withColumn("ts", F.col("ts").cast("timestamp"))
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return live, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return live, _folder(v)
 
 
 def _drained(v: Views, df: DataFrame, path: str) -> DataFrame:
@@ -846,3 +978,56 @@ SELECT author, epoch(window_start)::BIGINT AS window_start, count(*) AS posts FR
 def _(v: Views):
     live, path = _stream(v)
     return out(_drained(v, streams.author_rate(live.posts), path))
+
+
+@query("stream_rate_exact", "SELECT id, author, epoch(timestamp_utc)::BIGINT AS timestamp_utc, count(*) OVER (PARTITION BY author ORDER BY timestamp_utc RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS posts FROM posts".replace("epoch(timestamp_utc)::BIGINT", "floor(epoch(timestamp_utc))::BIGINT"), "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    return out(_drained(v, streams.author_rate_exact(live.posts), path))
+
+
+@query("stream_bursts", """, g AS (SELECT *, CASE WHEN timestamp_utc < lag(timestamp_utc) OVER w + INTERVAL 45 MINUTE THEN 0 ELSE 1 END AS fresh FROM posts WINDOW w AS (PARTITION BY source, author ORDER BY timestamp_utc)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY source, author ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT source, author, md5(source) AS text_hash, floor(epoch(min(timestamp_utc)))::BIGINT AS start, count(*) AS copies FROM s GROUP BY source, author, n HAVING max(timestamp_utc) + INTERVAL 45 MINUTE <= (SELECT max(timestamp_utc) - INTERVAL 1 HOUR FROM posts) AND count(*) >= 1""", "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    return out(_drained(v, streams.bursts(live.posts.withColumn("text_hash", tx.text_hash(F.col("source"))), least=1), path))
+
+
+_CLOSED_WINDOWS = "c AS (SELECT ticker, window_start, avg_sentiment FROM windows WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(timestamp_utc) FROM posts))"
+
+
+def _closed(v: Views) -> tuple[DataFrame, str]:
+    """Closed windows as a stream of their own, from what the first stream wrote."""
+    live, path = _stream(v)
+    done = _drained(v, streams.hourly_sentiment(live.scored).select("ticker", "window_start", "avg_sentiment"), path)
+    done.coalesce(1).write.parquet(f"{path}/closed")
+    return v.spark.readStream.schema(done.schema).parquet(f"{path}/closed"), f"{path}/next"
+
+
+@query("stream_momentum", f""", {_CLOSED_WINDOWS}, m AS (SELECT *, avg_sentiment - lag(avg_sentiment) OVER w AS m FROM c WINDOW w AS (PARTITION BY ticker ORDER BY window_start))
+SELECT ticker, epoch(window_start)::BIGINT AS window_start, round(avg_sentiment, 9) + 0.0 AS avg_sentiment, round(m, 9) + 0.0 AS sentiment_momentum, round(m - lag(m) OVER (PARTITION BY ticker ORDER BY window_start), 9) + 0.0 AS sentiment_acceleration FROM m""", "windows", "posts")
+def _(v: Views):
+    w, path = _closed(v)
+    return out(_drained(v, streams.momentum(w), path))
+
+
+@query("stream_join_lagged", f""", {_CLOSED_WINDOWS} SELECT b.ticker, epoch(b.ts)::BIGINT AS ts, round(b."Close", 9) AS close, round(c.avg_sentiment, 9) + 0.0 AS avg_sentiment FROM bars b JOIN c ON b.ticker = c.ticker AND b.ts = c.window_start + INTERVAL 1 HOUR""", "windows", "posts", "bars")
+def _(v: Views):
+    w, path = _closed(v)
+    v.bars.select("ticker", "ts", F.col("Close").alias("close")).write.parquet(f"{path}-bars")
+    b = v.spark.readStream.schema("ticker string, ts timestamp, close double").parquet(f"{path}-bars")
+    j = _drained(v, streams.join_lagged(b, w).select("ticker", "ts", "close", "avg_sentiment"), path)
+    return out(j.where("avg_sentiment IS NOT NULL"))
+
+
+@query("stream_hourly_trigger", "SELECT id, ticker, sentiment_numeric FROM posts", "posts")
+def _(v: Views):
+    live, path = _stream(v)
+    p = live.posts.select("id", "ticker", "sentiment_numeric")
+    q = streams.run_hourly(p, f"{path}/out", f"{path}/state")
+    end = time.monotonic() + 120
+    while not q.lastProgress and q.isActive and time.monotonic() < end:  # the first batch begins at once, the next in an hour
+        q.awaitTermination(1)
+    q.stop()
+    return v.spark.read.schema(p.schema).parquet(f"{path}/out")

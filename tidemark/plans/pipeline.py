@@ -20,19 +20,19 @@ NEEDS = {"1A": (), "1B": ("1A",), "1C": ("1B",), "2A": (), "2B": ("1C", "2A"), "
 FULL, QUICK = tuple(NEEDS), ("1A", "1B", "1C")
 
 
-def preprocess(posts: DataFrame, cfg: Config = Config(), sarcasm=None) -> DataFrame:
-    """Bots, spam, sarcasm, tickers, credibility, in this order. ``sarcasm`` turns a text column into a score."""
+def preprocess(posts: DataFrame, cfg: Config = Config(), sarcasm=score.irony, organisations=None, companies: dict[str, str] | None = None) -> DataFrame:
+    """Bots, spam, sarcasm, tickers, credibility, in this order. ``sarcasm`` turns a text column into a score (``score.irony``, or
+    ``score.probability_scorer`` around a model); ``organisations`` into an array of names that are looked up in ``companies``."""
     p = coalesce_aliases(posts)
     p = p.withColumns({"author": F.coalesce("author", F.lit("[unknown]")), "timestamp_utc": F.col("timestamp_utc").try_cast("timestamp"), "upvotes": F.col("upvotes").try_cast("double")})
     if "id" not in p.columns:
         p = p.withColumn("id", F.md5(F.concat_ws("|", "source", "author", F.col("timestamp_utc").cast("string"), "text")))
     p = clean.flag_bots(p).where(~F.col("is_bot"))
     p = clean.filter_spam(p)
-    live = clean.is_live(F.col("source")) if cfg.sarcasm_only_live else F.lit(True)
-    value = sarcasm(F.col("text")) if sarcasm is not None else F.lit(0.0)
-    p = p.withColumn("sarcasm_score", F.when(live, value).otherwise(0.0))
+    live = clean.is_live(F.col("source")) if cfg.sarcasm_only_live else None
+    p = p.withColumn("sarcasm_score", score.sarcasm(F.col("text"), F.col("source"), sarcasm, live))
     p = p.withColumn("sarcasm_flag", weight.sarcasm_flag(F.col("sarcasm_score")))
-    p = entity.link(p, cfg.tickers)
+    p = entity.link(p, cfg.tickers, organisations=organisations, companies=companies)
     uncertain = F.col("sarcasm_flag") == "uncertain"
     ratio = F.col("upvote_ratio") if "upvote_ratio" in p.columns else F.lit(None).cast("double")
     cred = weight.credibility(weight.engagement(F.col("source"), F.col("upvotes"), ratio), weight.source_weight(F.col("source")), uncertain)
@@ -82,6 +82,7 @@ def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars
         elif s == "2A":
             out[s] = market_stage(bars, earnings, vix, cfg=cfg)
         elif s == "2B":
+            # A ticker without prices, or without sentiment, is in neither.
             series = causality.align(out["2A"].select("ticker", "ts", F.col("Close").alias("price")), out["1C"].select("ticker", F.col("window_start").alias("ts"), F.col("avg_sentiment").alias("sentiment")))
             out[s] = causality.run_granger(series, lags=cfg.granger_lags, jitter=cfg.granger_jitter)
         elif s == "2C":

@@ -20,6 +20,11 @@ SOURCES = {"click": "reddit", "view": "stocktwits", "purchase": "news", "signup"
 COMPANIES = (("Tesla", "TSLA"), ("GameStop", "GME"), ("Apple", "AAPL"), ("red widget", "REDW"), ("blue bolt", "BLUB"), ("small ring", "SMRG"))
 
 
+#: Sources and endings that documents are given as posts.
+SAID_BY = ("reddit", "stocktwits", "news")
+SAYINGS = ("Buy $TSLA and $GME now", "TCS and AAPL rally", "I like pineapple and tesla", "nothing here", "RELIANCE_NS or $NVDA or NVDA", "state bank of india, infosys")
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -80,6 +85,15 @@ class Views:
         t = F.concat(F.lit("$TSLA &amp; <b>"), F.coalesce("text", F.lit("")), F.lit("</b> http://x.y/z #tag @someone $GMEX *bold*"))
         return self.table("documents").select(F.col("doc_id").alias("id"), "source", t.alias("text"), F.col("text").alias("plain"))
 
+    @cached_property
+    def said(self) -> DataFrame:
+        """Documents as posts of live and other sources, each followed by one of six sayings."""
+        k = (F.col("doc_id") % 6).cast("int")
+        source = F.element_at(F.array(*[F.lit(s) for s in SAID_BY]), (F.col("doc_id") % 3 + 1).cast("int"))
+        saying = F.element_at(F.array(*[F.lit(s) for s in SAYINGS]), k + 1)
+        text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), saying)
+        return self.table("documents").select(F.col("doc_id").alias("id"), source.alias("source"), text.alias("text"), (F.col("doc_id") % 13).alias("upvotes"))
+
     @cached_property
     def labelled(self) -> DataFrame:
         return self.table("labels").join(self.table("documents"), "doc_id").select("doc_id", "source", "lang", F.col("quality").alias("label"), "toxic")
@@ -121,6 +135,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "ticks_daily": ((), "SELECT o_orderpriority AS ticker, o_orderdate AS ts, o_orderkey AS seq, o_totalprice AS price, 1 AS volume FROM orders"),
     "bars_daily": (("ticks_daily",), f"SELECT ticker, date_trunc('day', t.ts)::TIMESTAMP AS ts, {_OHLCV.replace('ts, seq', 't.ts, seq')} FROM ticks_daily t GROUP BY 1, 2"),
     "texts": ((), "SELECT doc_id AS id, source, '$TSLA &amp; <b>' || coalesce(text, '') || '</b> http://x.y/z #tag @someone $GMEX *bold*' AS text, text AS plain FROM documents"),
+    "said": ((), f"SELECT doc_id AS id, {list(SAID_BY)}[(doc_id % 3 + 1)::INT] AS source, coalesce(text, '') || ' ' || {list(SAYINGS)}[(doc_id % 6 + 1)::INT] AS text, doc_id % 13 AS upvotes FROM documents"),
     "labelled": ((), "SELECT l.doc_id, d.source, d.lang, l.quality AS label, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id"),
     "vix": ((), "SELECT date_trunc('hour', ts) AS timestamp_utc, CASE WHEN user_id % 2 = 0 THEN 'US_VIX' ELSE 'INDIA VIX' END AS index, 10 + last(value ORDER BY ts, event_id) % 30 AS vix_close FROM events WHERE event_type = 'error' GROUP BY 1, 2"),
     "earnings": ((), f"SELECT {_T}[(n_nationkey % 5 + 1)::INT] AS ticker, (DATE '2024-01-01' + (n_nationkey * 11 % 30)::INT)::DATE AS earnings_date FROM nation"),
@@ -149,6 +164,9 @@ FROM ewm p JOIN numbered n ON n.ticker = p.ticker AND n.rn = p.rn + 1"""),
   "Volume"::DOUBLE / nullif(lag("Volume") OVER w, 0) - 1 AS volume_change, CASE WHEN rn >= 24 THEN "Volume" / nullif(avg("Volume") OVER w24, 0) END AS volume_ma_ratio,
   coalesce(sign(d) * "Volume", 0)::DOUBLE AS step FROM oscillators
 WINDOW w AS (PARTITION BY ticker ORDER BY ts), w20 AS (PARTITION BY ticker ORDER BY ts ROWS 19 PRECEDING), w24 AS (PARTITION BY ticker ORDER BY ts ROWS 23 PRECEDING)"""),
+    "daily_numbered": (("bars_daily",), """SELECT *, row_number() OVER w AS rn, greatest("High" - "Low", abs("High" - lag("Close") OVER w), abs("Low" - lag("Close") OVER w)) AS tr FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY ts)"""),
+    "daily_atr": (("daily_numbered",), """SELECT ticker, rn, tr::DOUBLE AS atr_14 FROM daily_numbered WHERE rn = 1
+UNION ALL SELECT n.ticker, n.rn, p.atr_14 * (1 - 1.0::DOUBLE / 14) + n.tr * (1.0::DOUBLE / 14) FROM daily_atr p JOIN daily_numbered n ON n.ticker = p.ticker AND n.rn = p.rn + 1"""),
     "technicals": (("raw_technicals",), """SELECT ticker, ts, "Open", "High", "Low", "Close", "Volume", rsi_14, macd, macd_signal, macd_hist, return_1h, return_3h, return_24h,
   mid + 2 * sd AS bb_upper, mid - 2 * sd AS bb_lower, (mid + 2 * sd - (mid - 2 * sd)) / nullif(mid, 0) AS bb_width, ("Close" - (mid - 2 * sd)) / (mid + 2 * sd - (mid - 2 * sd) + 1e-9::DOUBLE) AS bb_position,
   CASE WHEN rn >= 14 THEN avg(tr) OVER w14 END AS atr_14, volume_change, volume_ma_ratio, sum(step) OVER (PARTITION BY ticker ORDER BY ts) AS obv,
