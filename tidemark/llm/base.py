@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Ids are sent to every executor only below this many rows (8 bytes each); above it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Rows that go to a Python worker at once: rows hold whole texts or sets of some ten kilobytes.
@@ -16,22 +17,12 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. From here on the session sends at most ``BATCH_ROWS`` rows at once to Python workers."""
+    """A table of the folder. The queries of this subpackage call it first, and from here on the session sends at most
+    ``BATCH_ROWS`` rows at once to Python workers (a smaller number stays): Spark has that as a setting of the session alone."""
     spark.conf.set(_BATCH, str(min(int(spark.conf.get(_BATCH)), BATCH_ROWS)))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
