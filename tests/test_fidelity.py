@@ -100,7 +100,7 @@ def test_organisations_come_before_names(spark):
 
     @F.pandas_udf("array<string>")
     def find(s):
-        assert s.isna().any()  # texts that need none are not sent
+        assert not any(t is not None and "AAPL" in t for t in s)  # texts that need none are not sent
         return s.map(lambda t: [] if t is None else ["ACME"] if "Acme" in t else [])
 
     got = entity.link(df, organisations=find, companies={"Acme": "GME"}).select("id", "ticker").collect()
@@ -112,7 +112,7 @@ def test_sarcasm_scope_and_flags(spark):
     s = score.sarcasm(F.col("text"), F.col("source"), live=clean.is_live(F.col("source")))
     assert [r[0] for r in df.select(s).collect()] == [0.5, 0.0, 0.0, 0.9]
     udf = score.probability_scorer(lambda: lambda texts: [0.7] * len(texts))
-    posts = spark.createDataFrame([(str(i), "reddit", "joe", f"good gains for $TSLA number {i}", 9.0, T0 + dt.timedelta(hours=i)) for i in range(5)], "id string, source string, author string, text string, upvotes double, timestamp_utc timestamp")
+    posts = spark.createDataFrame([(str(i), "reddit", "joe", f"good gains for apple number {i}", 9.0, T0 + dt.timedelta(hours=i)) for i in range(5)], "id string, source string, author string, text string, upvotes double, timestamp_utc timestamp")
     got = pipeline.preprocess(posts, sarcasm=udf).collect()
     assert {(r.sarcasm_score, r.sarcasm_flag) for r in got} == {(0.7, "flip")}
     assert {r.sarcasm_score for r in pipeline.preprocess(posts).collect()} == {0.0}
