@@ -890,10 +890,10 @@ mx AS (SELECT *, rsi_14 * avg_sentiment AS rsi_x_sentiment, macd * avg_sentiment
 _WHOLE = ("Volume", "mention_volume", "pos_count", "neg_count", "neu_count", "sentiment_available", "sentiment_imputed", "earnings_today", "earnings_tomorrow")
 
 
-@query("model_matrix", _MATRIX + " SELECT ticker, epoch(ts)::BIGINT AS ts, split, target, " + ", ".join(f'"{c}" AS {c.lower()}' if c in _WHOLE else f'round("{c}", 7) + 0.0 AS {c.lower()}' for c in model.FULL) + " FROM mx", "technicals", "features", "earnings")
+@query("model_matrix", _MATRIX + " SELECT ticker, epoch(ts)::BIGINT AS ts, split, target, " + ", ".join(f'"{c}" AS {c.lower()}' if c in _WHOLE else f'round("{c}", 8) + 0.0 AS {c.lower()}' for c in model.FULL) + " FROM mx", "technicals", "features", "earnings")
 def _(v: Views):
     m = model_matrix(v)
-    cols = [F.col(c).alias(c.lower()) if c in _WHOLE else (F.round(c, 7) + 0.0).alias(c.lower()) for c in model.available(m, model.FULL)]
+    cols = [F.col(c).alias(c.lower()) if c in _WHOLE else (F.round(c, 8) + 0.0).alias(c.lower()) for c in model.available(m, model.FULL)]
     return m.select("ticker", sec("ts").alias("ts"), "split", "target", *cols)
 
 
