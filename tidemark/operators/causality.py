@@ -64,12 +64,15 @@ def tau_p(tau: float) -> float:
     return normal_cdf(sum(c * tau**i for i, c in enumerate(coef)))
 
 
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """(coefficients, residual sum of squares, their standard errors)."""
+def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(coefficients, residual sum of squares)."""
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    rss = float(((y - x @ beta) ** 2).sum())
-    dof = max(len(y) - x.shape[1], 1)
-    return beta, rss, np.sqrt(np.maximum(np.diag(np.linalg.pinv(x.T @ x)) * rss / dof, 0))
+    return beta, float(((y - x @ beta) ** 2).sum())
+
+
+def _error(x: np.ndarray, rss: float, k: int = 0) -> float:
+    """The standard error of the ``k``-th coefficient."""
+    return math.sqrt(max(float(np.linalg.pinv(x.T @ x)[k, k]) * rss / max(x.shape[0] - x.shape[1], 1), 0.0))
 
 
 def _df_design(x: np.ndarray, lags: int, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +89,14 @@ def adf(x: np.ndarray) -> tuple[float, float, int]:
     best, lags = math.inf, 0
     for k in range(top + 1):
         y, z = _df_design(x, k, top)
-        _, rss, _ = _ols(y, z)
+        _, rss = _ols(y, z)
         aic = len(y) * math.log(max(rss, 1e-300) / len(y)) + 2 * z.shape[1]
         if aic < best - 1e-12:
             best, lags = aic, k
     y, z = _df_design(x, lags, lags)
-    beta, _, se = _ols(y, z)
-    tau = float(beta[0] / se[0]) if se[0] > 0 else 0.0
+    beta, rss = _ols(y, z)
+    se = _error(z, rss)
+    tau = float(beta[0] / se) if se > 0 else 0.0
     return tau, tau_p(tau), lags
 
 
@@ -122,8 +126,8 @@ def granger(y: np.ndarray, x: np.ndarray, lag: int) -> tuple[float, float]:
     own = [y[lag - k : len(y) - k] for k in range(1, lag + 1)]
     other = [x[lag - k : len(x) - k] for k in range(1, lag + 1)]
     one = np.ones(n)
-    _, less, _ = _ols(y[lag:], np.column_stack([*own, one]))
-    _, more, _ = _ols(y[lag:], np.column_stack([*own, *other, one]))
+    _, less = _ols(y[lag:], np.column_stack([*own, one]))
+    _, more = _ols(y[lag:], np.column_stack([*own, *other, one]))
     dof = n - 2 * lag - 1
     f = ((less - more) / lag) / (more / dof) if more > 0 and dof > 0 else 0.0
     return f, f_tail(f, lag, dof)
