@@ -212,14 +212,18 @@ class Graph:
         self.kind = kind
 
     def first(self, bits: int, tables: range) -> DataFrame:
-        """Edges (a < b, s) from shared sign patterns, each pattern compared in full; labels for which that is more work than
-        comparing all their vectors once are compared so."""
-        size = self.vectors.groupBy("label").agg(F.count("*").alias("size"))
-        p = self.vectors.mapInArrow(lambda it: _patterns(it, bits, tables), f"cls long, label {self.kind}, t int, code long")
+        """Edges (a < b, s) from shared sign patterns, each pattern compared in full; labels for which that, and the rounds that
+        follow, are more work than comparing all their vectors once are compared so."""
+        size = store(self.vectors.groupBy("label").agg(F.count("*").alias("size")), "labels")
+        # What the rounds send for each vector of a graph from patterns; labels smaller than that are compared whole in any case.
+        rounds = ROUNDS * 2 * K * SEND
+        sure = size.where(F.col("size") <= rounds)
+        p = self.vectors.join(sure.select("label"), "label", "left_anti").select("cls", "label", "v").mapInArrow(lambda it: _patterns(it, bits, tables), f"cls long, label {self.kind}, t int, code long")
         p = store(p.select("cls", "label", F.xxhash64("label", "t", "code").alias("bucket")), "patterns")
         n = p.groupBy("bucket").agg(F.count("*").alias("n"), F.first("label").alias("label"))
         work = n.groupBy("label").agg(F.sum(F.col("n") * (F.col("n") + SEND)).alias("work")).join(size, "label")
-        whole = store(work.where(F.col("work") >= F.col("size") * F.col("size")).select("label", "size"), "whole")
+        more = work.where(F.col("work") + rounds * F.col("size") >= F.col("size") * F.col("size")).select("label", "size")
+        whole = store(more.union(sure), "whole")
         some = p.join(whole, "label", "left_anti").select("cls", "bucket").join(n.where("n > 1").select("bucket", "n"), "bucket")
         all_ = self.vectors.join(whole, "label").select("cls", F.xxhash64("label").alias("bucket"), F.col("size").alias("n"))
         return self.compared(some.select("cls", "bucket", "n").unionByName(all_))
