@@ -19,10 +19,11 @@ def organisation_tickers(organisations: Column, companies: dict[str, str]) -> Co
     return F.array_compact(F.transform(organisations, lambda o: known[F.lower(o)]))
 
 
-def link(posts: DataFrame, valid: tuple[str, ...] | None = tx.KNOWN, names: dict[str, str] = tx.NAMES, organisations=None, companies: dict[str, str] | None = None) -> DataFrame:
+def link(posts: DataFrame, valid: tuple[str, ...] | None = tx.KNOWN, names: dict[str, str] = tx.NAMES, organisations=None, companies: dict[str, str] | None = None, place: str | None = None) -> DataFrame:
     """Names are looked at only where nothing else was found; posts without a ticker go. ``organisations`` is a recogniser of
     organisation names (a text column to an array of names, an Arrow function for instance): what it finds in ``companies`` comes
-    before the names. It is given the texts that nothing else was found in, null for the others."""
+    before the names. It is given the texts that nothing else was found in, null for the others. ``place`` names a column for the
+    ticker's place among the post's, from 1."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hints = [F.col(c).cast("string") for c in ("ticker", "post_flair", "symbol") if c in posts.columns]
     # Distinct, in order of first appearance.
@@ -35,8 +36,9 @@ def link(posts: DataFrame, valid: tuple[str, ...] | None = tx.KNOWN, names: dict
         later = F.concat(F.coalesce(organisation_tickers(F.col("_organisations"), companies), F.array().cast("array<string>")), later)
     found = F.when(none, known(later)).otherwise(F.col("_first"))
     # The outer form, as the plain one makes the optimiser push a test of the array's size, and so all of the search, to the scan.
-    p = p.withColumn("ticker", F.explode_outer(found)).where("ticker IS NOT NULL")
-    return p.drop("_first", "_organisations")
+    kept = [F.col(c) for c in posts.columns if c not in ("ticker", place)]
+    p = p.select(*kept, F.posexplode_outer(found).alias("_place", "ticker")).where("ticker IS NOT NULL")
+    return p.withColumn(place, F.col("_place") + 1).drop("_place") if place else p.drop("_place")
 
 
 def resolve_company(names: DataFrame, companies: DataFrame, name: str = "name") -> DataFrame:

@@ -426,10 +426,8 @@ def _(v: Views):
 d AS (SELECT id, {_ORDERED.format("a", _VALID)} AS a, {_ORDERED.format("b", _VALID)} AS b FROM c), e AS (SELECT id, CASE WHEN len(a) > 0 THEN a ELSE b END AS a FROM d)
 SELECT id, unnest(a) AS ticker, generate_subscripts(a, 1) AS place FROM e""", "said")
 def _(v: Views):
-    linked = entity.link(v.said.withColumn("symbol", F.when(F.col("id") % 4 == 0, " wipro.ns ")))
-    # The order of a post's tickers is part of the answer.
-    order = F.array_intersect(F.concat(tx.cashtags(F.col("text")), tx.plain_tickers(F.col("text")), F.array_compact(F.array(tx.normalise_ticker(F.col("symbol")))), tx.named_tickers(F.col("text"))), F.array(*[F.lit(t) for t in tx.KNOWN]))
-    return linked.select("id", "ticker", F.array_position(order, F.col("ticker")).alias("place"))
+    linked = entity.link(v.said.withColumn("symbol", F.when(F.col("id") % 4 == 0, " wipro.ns ")), place="place")
+    return linked.select("id", "ticker", F.col("place").cast("long").alias("place"))
 
 
 @query("organisations", f""", w AS (SELECT id, list_filter(regexp_extract_all(lower(text), 'tesla|infosys', 0), lambda x, i: list_position(regexp_extract_all(lower(text), 'tesla|infosys', 0), x) = i) AS o, {_CASHTAGS} AS c, {_PLAIN} AS p, {_NAMED} AS b FROM said),
