@@ -44,6 +44,8 @@ DEAL, BUCKETS = 1 << 20, 12
 HEAVY_SHARE, HEAVY_LEAST, HEAVY, HEAVY_MOST = 64, 32, 1 << 18, 1 << 17
 #: Rounds of hubs; bytes of sets in a block; cells of the suffix filter.
 TURNS, BLOCK, CELLS = 2, 4 << 20, 128
+#: Classes of one hub in a block, as long as that makes no more blocks than ``SHARED``.
+APART, SHARED = 256, 16
 #: Bytes of an n-gram's name in its bucket.
 NAME = 5
 
@@ -444,7 +446,9 @@ class Join:
 
     def _blocks(self, p: DataFrame) -> DataFrame:
         """Rows (g, cls, n, label, at) dealt to the tasks (g, i, j): each pair of a hub's blocks meets in one task."""
-        nb = p.groupBy("g").agg(F.ceil(F.sum(F.lit(8) * F.col("n")) / self.block).cast("int").alias("nb"))
+        # By bytes, and for groups that would fit into one task by classes, so that several tasks share them.
+        blocks = F.greatest(F.ceil(F.sum(F.lit(8) * F.col("n")) / self.block), F.least(F.ceil(F.count("*") / APART), F.lit(SHARED)))
+        nb = p.groupBy("g").agg(blocks.cast("int").alias("nb"))
         p = p.join(nb, "g").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
         p = p.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         return p.select("g", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), "cls", "n", "label", "at", "blk")
