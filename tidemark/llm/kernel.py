@@ -77,13 +77,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte ranges of the words, and for each text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte ranges of the words, runs of the bytes ``inside``, and for each text the index of its first word
+    (one more at the end)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    w = ~WS[data]
+    w = inside[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = False, w[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False

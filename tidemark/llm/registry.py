@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, hmm, mixing, neighbours, ngram_join, pieces, quality, secrets, tokencount
+from . import chat, chunks, decontaminate, hmm, infill, mixing, neighbours, ngram_join, pieces, quality, secrets, tokencount, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_fingerprints": chunks.op9_fingerprints,
     "op10_lm_scores": hmm.op10_lm_scores,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLES = {
     "op1_secret_scan": secrets.OP1_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op12_decontamination": decontaminate.OP12_SQL,
+    "op13_fill_in_middle": infill.OP13_SQL,
 }
