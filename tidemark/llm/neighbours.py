@@ -1,12 +1,18 @@
 """Near-duplicate vectors by NN-descent, with equal labels only.
 
 Equal vectors (by 128 bits of hash) are one class with a number of copies. The first graph links vectors that share a sign pattern
-of random planes; the number of bits grows with the largest label, the number of tables follows from the bits so that a pair at the
-threshold meets in one table with ``SURE`` probability, and all members of a pattern are compared; labels for which one whole comparison
-is less work are compared whole. Everyone's best ``K`` of a pattern are kept, and links that join what all its links join. Rounds of
-neighbours-of-neighbours joins then refine lists of ``K`` neighbours, saturated ones ``K`` longer every round, until hardly any list
-changes; found pairs stay if they get into a list. Edges at or over the threshold then give the components. Where lists are saturated
-(all ``K`` of them over the threshold) they are enlarged to everything in the component.
+of random planes; the number of bits grows with the label, so that some ``K`` vectors share a pattern, the number of tables follows
+from the bits so that a pair at the threshold meets in one table with ``SURE`` probability, and all members of a pattern are compared. Everyone's best ``K`` of a pattern
+are kept, and links that join what all its links join.
+
+Rounds of neighbours-of-neighbours joins then refine lists of ``K`` neighbours: around every vector its neighbours and those that have
+it as one are compared with each other, if one of the two is new there. What gets into a list stays in it, at or over the threshold or
+not; a list whose entries are all links is saturated and grows by ``K`` every round. Rounds end when hardly any list changes, or
+when a round after the first brings hardly any link into a list that is not saturated (unrelated vectors change theirs for long). Vectors
+are dealt into blocks of neighbours (label, length and some sign bits), a block gets each vector it needs once, and a pair is
+compared in it once; a block returns only what gets into lists, and links that join what all links it saw join, so the work of a
+round is in proportion to the vectors. Edges at or over the threshold then give the components. Where lists are saturated they are
+enlarged to everything in the component.
 
 Neither step pairs a tight group with itself. Every crowded pattern and every saturated component has a centre; members within half
 the threshold's angle of it, its core, all link with each other by the triangle inequality, so the core is joined and counted without
@@ -15,10 +21,11 @@ lists, joining links or counts, never all pairs. That is the square of the rim a
 
 The audit compares the links of ``AUDIT`` vectors (smallest hash) with brute force over all vectors, as a share for each vector, and
 apart for saturated components; under ``RECALL`` the graph is built again with twice the tables, and after ``MOST`` tables all
-vectors of each label are compared, which is exact. So no result is returned under the asked recall; ``Graph.recall`` has it.
+vectors of each label are compared, which is exact and the square of a label. So no result is returned under the asked recall;
+``Graph.recall`` has it.
 
-Defined cases: null ids, null labels, vectors that are null or zero, or hold null or non-finite components, or are of another
-length than most of their block, link with nothing and are components of their own; repeated rows are copies of each other; an id
+Defined cases: null ids, null labels, and vectors that are null, empty or zero, or hold null or non-finite components, link with
+nothing and are components of their own; only vectors of equal length are compared; repeated rows are copies of each other; an id
 given with several vectors has a row for each, and a component has the smallest id of its vectors; ties are ordered by a hash; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -34,54 +41,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .base import connected_components, store, table
+from .base import BROADCAST_IDS, connected_components, forget, store, table
+from .whitening import rows_of
 
-#: Threshold; neighbours in a list; rounds at most, and the share of changed lists that ends them.
-COSINE, K, ROUNDS, STILL = 0.98, 8, 6, 0.01
-#: Chance that a pair at the threshold meets in a table; members of a block of a pattern; rows that a task compares in small patterns.
-SURE, PART, POOL = 0.997, 2048, 4096
-#: Comparisons that cost as much as sending a vector to one more table.
-SEND = 256
+#: Threshold; neighbours in a list; rounds at most; the share of lists that change, and from the second round on new links a vector in
+#: lists that are not saturated, that end them.
+COSINE, K, ROUNDS, STILL, FEW = 0.98, 8, 6, 0.02, 0.001
+#: Chance that a pair at the threshold meets in a table; members of a block of a pattern; rows that a task compares in small patterns;
+#: numbers in the vectors of a block of the rounds, and products that are held at once there.
+SURE, PART, POOL, NUMBERS, PRODUCTS = 0.98, 2048, 4096, 1 << 18, 1 << 20
 #: Vectors of a block; audited vectors; recall asked for.
 BLOCK, AUDIT, RECALL = 1024, 400, 0.97
+#: Sign bits of a label of up to SMALL vectors.
+FEWEST, SMALL = 3, 64
+#: The number of the table whose bits deal the blocks of the rounds: its planes are no other table's.
+APART = 1 << 20
 #: Tables after which no more are tried, and all vectors of a label are compared.
 MOST = 256
 
 
 def _plan(largest: int, threshold: float = COSINE) -> tuple[int, int]:
     """(bits, tables) for labels of this size."""
-    bits = min(max(6, math.ceil(math.log2(max(largest, 2)))), 60)
+    bits = min(max(FEWEST, math.ceil(math.log2(max(largest, 1) / K))), 60)
     same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - SURE) / math.log(1 - same))
+    return bits, max(2, math.ceil(math.log(1 - SURE) / math.log(1 - same)))  # one table alone has no way between its patterns
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, label, dim, v): normalised vectors in double precision; those that link with nothing are left out."""
+def _unit(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(cls, label, v): vectors as bytes of ``kind``; those that link with nothing are left out."""
     for b in batches:
-        out = []
-        for x in b.column(2).to_pylist():
-            x = np.array(x, np.float64)  # null components become NaN
-            n = np.sqrt(x @ x) if len(x) else 0.0
-            out.append((x / n).tobytes() if np.isfinite(n) and n > 0 and np.isfinite(x).all() else None)
-        v = pa.array(out, pa.binary())
-        t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), v], ["cls", "label", "v"])
-        yield t.filter(v.is_valid())
+        for at, x in rows_of(b.column(2)):
+            some = x.any(axis=1)
+            at, x = pa.array(at[some]), np.ascontiguousarray(x[some], kind)
+            off = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+            v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), v], ["cls", "label", "v"])
+
+
+def _rows(v: list[bytes], kind: str) -> np.ndarray:
+    """The unit vectors, of one length, in double precision."""
+    x = np.frombuffer(b"".join(v), kind).astype(np.float64).reshape(len(v), -1)
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))
+    far = ~np.isfinite(n) | (n < 1e-140)
+    if far.any():
+        x[far] /= np.abs(x[far]).max(axis=1)[:, None]
+        n[far] = np.sqrt(np.einsum("ij,ij->i", x[far], x[far]))
+    return x / n[:, None]
 
 
 def _planes(dim: int, bits: int, at: int) -> np.ndarray:
     return np.random.default_rng([dim, bits, at]).standard_normal((bits, dim))
 
 
-def _patterns(batches: Iterator[pa.RecordBatch], bits: int, tables: range) -> Iterator[pa.RecordBatch]:
+def _patterns(batches: Iterator[pa.RecordBatch], bits: int, tables: range, kind: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        v = [np.frombuffer(x, np.float64) for x in b.column(2).to_pylist()]
-        for dim in sorted({len(x) for x in v}):
-            at = [i for i, x in enumerate(v) if len(x) == dim]
-            m = np.stack([v[i] for i in at])
+        v = b.column(2).to_pylist()
+        size = np.array([len(x) for x in v])
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            m = _rows([v[i] for i in at], kind)
+            dim = m.shape[1]
             cls, label = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
             for t in tables:
                 code = ((m @ _planes(dim, bits, t).T > 0) * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(1)
-                yield pa.RecordBatch.from_arrays([cls, label, pa.array([t * 4096 + dim % 4096] * len(at), pa.int32()), pa.array(code)], ["cls", "label", "t", "code"])
+                yield pa.RecordBatch.from_arrays([cls, label, pa.array([t] * len(at), pa.int32()), pa.array([dim] * len(at), pa.int32()), pa.array(code)], ["cls", "label", "t", "dim", "code"])
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +127,27 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
+def _joining(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Places of links (i, j) among ``n`` nodes that join what all of them join: every group takes one link out, until none leads out."""
+    group, out, at = np.arange(n), [], np.arange(len(i))
+    while True:
+        gi, gj = group[i[at]], group[j[at]]
+        apart = gi != gj
+        at, gi, gj = at[apart], gi[apart], gj[apart]
+        if not len(at):
+            return np.concatenate(out) if out else at
+        # Each group takes the link to the smallest group beside it, if that is smaller than itself: no circles.
+        high, low = np.maximum(gi, gj), np.minimum(gi, gj)
+        order = np.lexsort((low, high))
+        first = order[np.append(True, np.diff(high[order]) != 0)]
+        out.append(at[first])
+        up = np.arange(n)
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        group = up[group]
+
+
 def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's best ``k``."""
     if s.shape[1] <= k:
@@ -111,7 +155,7 @@ def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(s)), k), np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
 
 
-def _compare(t: pa.Table, threshold: float, k: int) -> pa.Table:
+def _compare(t: pa.Table, threshold: float, k: int, kind: str) -> pa.Table:
     """All members of each bucket against each other: everyone's best ``k``, and links that join what all links join."""
     bucket, cls, side = (t[c].to_numpy() for c in ("bucket", "cls", "side"))
     v = t["v"].to_pylist()
@@ -123,7 +167,8 @@ def _compare(t: pa.Table, threshold: float, k: int) -> pa.Table:
         left, right = at[side[at] != 1], at[side[at] != 0]
         if not len(left) or not len(right) or len(at) < 2:
             continue
-        x, y = (np.frombuffer(b"".join([v[i] for i in z]), np.float64).reshape(len(z), -1) for z in (left, right))
+        x = _rows([v[i] for i in left], kind)
+        y = x if len(left) == len(right) == len(at) else _rows([v[i] for i in right], kind)
         s = x @ y.T
         s[cls[left][:, None] == cls[right][None, :]] = -2.0
         got = [_best(s, k)]
@@ -139,29 +184,62 @@ def _compare(t: pa.Table, threshold: float, k: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)[ok], pa.int64()), "b": pa.array(np.maximum(a, b)[ok], pa.int64()), "s": pa.array(s[ok], pa.float64())})
 
 
-def _around(t: pa.Table, threshold: float) -> pa.Table:
-    """Of the pairs around each vector, one of them new there: those that get into a list of either end, and links."""
-    mid, cls, new, low = (t[c].to_numpy() for c in ("mid", "cls", "new", "low"))
-    v = t["v"].to_pylist()
-    dims = np.array([len(x) for x in v])
-    order = np.lexsort((dims, mid))
-    cut = np.flatnonzero((np.diff(mid[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
+def _around(lists: pa.Table, vectors: pa.Table, threshold: float, kind: str) -> pa.Table:
+    """Of the pairs around each vector of a block, one of them new there: (a, b, s) where b gets into a's list, for each vector as
+    many as its list has room for, and links that join what all links found here join. ``vectors`` has each one's room and ``low``,
+    what an entry of its list must exceed."""
+    mid, new = lists["mid"].to_numpy(), lists["new"].to_numpy(zero_copy_only=False)
+    cls, low, room = (vectors[c].to_numpy() for c in ("cls", "low", "room"))
+    order = np.argsort(cls)
+    cls, low, room = cls[order], low[order], room[order]
+    x = _rows([vectors["v"][i].as_py() for i in order.tolist()], kind)
+    at = np.searchsorted(cls, lists["cls"].to_numpy())
+    order = np.argsort(mid, kind="stable")
+    at, new = at[order], new[order]
+    begin = np.flatnonzero(np.append(True, np.diff(mid[order]) != 0))
+    size = np.diff(np.append(begin, len(at)))
+    by = np.argsort(size, kind="stable")
     out: list[tuple] = []
-    for at in np.split(order, cut):
-        n, c = new[at], cls[at]
-        if len(at) < 2 or not n.any():
-            continue
-        x = np.frombuffer(b"".join([v[i] for i in at]), np.float64).reshape(len(at), -1)
-        s = x @ x.T
-        ok = (n[:, None] | n[None, :]) & (c[:, None] < c[None, :])
-        ok &= (s >= threshold) | (s > low[at][:, None]) | (s > low[at][None, :])
-        i, j = np.nonzero(ok)
-        out.append((c[i], c[j], s[i, j]))
-    a, b, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
-
-
-def _block_links(t: pa.Table, threshold: float) -> pa.Table:
+    done = 0
+    while done < len(by):
+        # Vectors with lists of about one length are compared at once; shorter ones are filled up with a place that counts for nothing.
+        width = int(size[by[done]])
+        while True:
+            n = max(1, min(PRODUCTS // max(width * width, width * x.shape[1]), len(by) - done))
+            longest = int(size[by[done + n - 1]])
+            if longest <= width * 1.25 + 1 or n == 1:
+                break
+            width = longest if PRODUCTS // max(longest * longest, longest * x.shape[1]) >= n // 2 else width + 1
+        now = by[done : done + n]
+        done += n
+        width = int(size[now].max())
+        place = np.minimum(begin[now][:, None] + np.arange(width), len(at) - 1)
+        real = np.arange(width) < size[now][:, None]
+        p, fresh = at[place], new[place] & real
+        y = x[p]
+        s = y @ y.transpose(0, 2, 1)
+        ok = (p[:, :, None] < p[:, None, :]) & real[:, :, None] & real[:, None, :] & (fresh[:, :, None] | fresh[:, None, :])
+        ok &= (s >= threshold) | (s > low[p][:, :, None]) | (s > low[p][:, None, :])
+        m, i, j = np.nonzero(ok)
+        a, b, s = p[m, i], p[m, j], s[m, i, j]
+        _, once = np.unique(a * len(cls) + b, return_index=True)
+        out.append((a[once], b[once], s[once]))
+    a, b, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    _, once = np.unique(a * len(cls) + b, return_index=True)
+    a, b, s = a[once], b[once], s[once]
+    link = np.flatnonzero(s >= threshold)
+    link = link[_joining(a[link], b[link], len(cls))]
+    # Each vector's best, both ways.
+    i, j, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+    gets = np.flatnonzero(both > low[i])
+    gets = gets[np.lexsort((-both[gets], i[gets]))]
+    rank = np.arange(len(gets)) - np.searchsorted(i[gets], i[gets])
+    gets = gets[rank < room[i[gets]]]
+    i, j, s = np.concatenate([i[gets], a[link]]), np.concatenate([j[gets], b[link]]), np.concatenate([both[gets], s[link]])
+    return pa.table({"a": pa.array(cls[i], pa.int64()), "b": pa.array(cls[j], pa.int64()), "s": pa.array(s, pa.float64())})
+
+
+def _block_links(t: pa.Table, threshold: float, kind: str) -> pa.Table:
     """Links of the members of two blocks of one component, counted with copies."""
     cls, side, copies, v = (t[c].to_pylist() for c in ("cls", "side", "copies", "v"))
     cls, copies, side = np.array(cls), np.array(copies, np.int64), np.array(side)
@@ -172,7 +250,7 @@ def _block_links(t: pa.Table, threshold: float) -> pa.Table:
         left, right = np.flatnonzero(here & (side != 1)), np.flatnonzero(here & (side != 0))
         if not len(left) or not len(right):
             continue
-        a, b = (np.stack([np.frombuffer(v[i], np.float64) for i in at]) for at in (left, right))
+        a, b = (_rows([v[i] for i in at], kind) for at in (left, right))
         near = a @ b.T >= threshold
         near &= cls[left][:, None] != cls[right][None, :]
         out[left] += near @ copies[right]
@@ -181,62 +259,88 @@ def _block_links(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"cls": pa.array(cls, pa.int64()), "links": pa.array(out, pa.int64())})
 
 
-def _spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spokes(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector's cosine with its centre, the last two columns; vectors of another length get -2."""
     for b in batches:
         out = np.full(b.num_rows, -2.0)
-        for i, (x, y) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
-            if len(x) == len(y):
-                out[i] = np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)
+        x, y = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        size = np.array([len(v) if len(v) == len(w) else 0 for v, w in zip(x, y)])
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            out[at] = np.einsum("ij,ij->i", _rows([x[i] for i in at], kind), _rows([y[i] for i in at], kind))
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], [*b.schema.names[:-2], "s"])
 
 
 class Graph:
+    """Stored tables are deleted when nothing reads them any more; what the result reads stays."""
+
     def __init__(self, rows: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold: float = COSINE):
         self.threshold = threshold
-        self.rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
-        fit = self.rows.where("id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL")
-        kind = dict(fit.dtypes)["label"]
+        rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
+        kinds = dict(rows.dtypes)
+        self.spark, self.label = rows.sparkSession, kinds["label"]
+        self.kind = "float32" if kinds["vec"] == "array<float>" else "float64"
         # A class is known by two hashes and named by the first; of classes that share that one all but one get another name.
-        first, second = F.xxhash64("label", "vec"), F.xxhash64(F.lit(1), "label", "vec")
         there = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
-        keyed = store(self.rows.select("id", F.when(there, first).alias("h1"), F.when(there, second).alias("h2")), "keys")
-        clash = store(keyed.where("h1 IS NOT NULL").groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo < hi").select("h1", "lo"), "clash")
-        name = lambda d: d.join(clash, "h1", "left").withColumn("cls", F.when(F.col("lo").isNull() | (F.col("h2") == F.col("lo")), F.col("h1")).otherwise(F.xxhash64("h1", "h2")))
+        first, second = F.xxhash64("label", "vec"), F.xxhash64(F.lit(1), "label", "vec")
+        keyed = rows.select("id", F.when(there, first).alias("h1"), F.when(there, second).alias("h2"))
+        classes = rows.where(there).groupBy(first.alias("h1"), second.alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+        self.whole = classes = store(classes, "classes")
+        clash = classes.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo < hi").select("h1", "lo")
+        if clash.isEmpty():
+            name = lambda d: d.withColumn("cls", F.col("h1"))
+        else:
+            clash = store(clash, "clash")
+            name = lambda d: d.join(clash, "h1", "left").withColumn("cls", F.when(F.col("lo").isNull() | (F.col("h2") == F.col("lo")), F.col("h1")).otherwise(F.xxhash64("h1", "h2")))
         self.named = name(keyed).select("id", "cls")
-        classes = fit.groupBy(first.alias("h1"), second.alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-        classes = store(name(classes).select("cls", "rep", "copies", "label", "vec"), "classes")
-        v = classes.select("cls", "label", "vec").mapInArrow(_unit, f"cls long, label {kind}, v binary")
-        self.vectors = store(v, "vectors")
-        self.classes = classes.select("cls", "rep", "copies").join(self.vectors.select("cls"), "cls", "left_semi")
-        self.kind = kind
+        classes = name(classes)
+        kind = self.kind
+        self.vectors = store(classes.select("cls", "label", "vec").mapInArrow(lambda it: _unit(it, kind), f"cls long, label {self.label}, v binary"), "vectors")
+        self.classes = store(classes.select("cls", "rep", "copies").join(self.vectors.select("cls"), "cls", "left_semi"), "copies")
+
+    def patterns(self, bits: int, tables: range) -> DataFrame:
+        kind = self.kind
+        return self.vectors.select("cls", "label", "v").mapInArrow(lambda it: _patterns(it, bits, tables, kind), f"cls long, label {self.label}, t int, dim int, code long")
+
+    def sized(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the size of their label, which is small where it is not counted; sent to every task only if counted to be few."""
+        large = self.vectors.groupBy("label").agg(F.count("*").alias("size")).where(f"size > {SMALL}")
+        n = large.limit(BROADCAST_IDS + 1).count()
+        rows = rows.join(F.broadcast(large) if n <= BROADCAST_IDS else large, "label", "left")
+        return rows.withColumn("size", F.coalesce("size", F.lit(SMALL)))
 
     def first(self, bits: int, tables: range) -> DataFrame:
-        """Edges (a < b, s) from shared sign patterns, each pattern compared in full; labels for which that, and the rounds that
-        follow, are more work than comparing all their vectors once are compared so."""
-        size = store(self.vectors.groupBy("label").agg(F.count("*").alias("size")), "labels")
-        # What the rounds send for each vector of a graph from patterns; labels smaller than that are compared whole in any case.
-        rounds = ROUNDS * 2 * K * SEND
-        sure = size.where(F.col("size") <= rounds)
-        p = self.vectors.join(sure.select("label"), "label", "left_anti").select("cls", "label", "v").mapInArrow(lambda it: _patterns(it, bits, tables), f"cls long, label {self.kind}, t int, code long")
-        p = store(p.select("cls", "label", F.xxhash64("label", "t", "code").alias("bucket")), "patterns")
-        n = p.groupBy("bucket").agg(F.count("*").alias("n"), F.first("label").alias("label"))
-        work = n.groupBy("label").agg(F.sum(F.col("n") * (F.col("n") + SEND)).alias("work")).join(size, "label")
-        more = work.where(F.col("work") + rounds * F.col("size") >= F.col("size") * F.col("size")).select("label", "size")
-        whole = store(more.union(sure), "whole")
-        some = p.join(whole, "label", "left_anti").select("cls", "bucket").join(n.where("n > 1").select("bucket", "n"), "bucket")
-        all_ = self.vectors.join(whole, "label").select("cls", F.xxhash64("label").alias("bucket"), F.col("size").alias("n"))
-        return self.compared(some.select("cls", "bucket", "n").unionByName(all_))
+        """Edges (a < b, s) from shared sign patterns, each pattern compared in full."""
+        # A label's patterns have as many of the bits as let some K of its vectors share one.
+        own = F.least(F.greatest(F.lit(FEWEST), F.ceil(F.log2(F.col("size") / K))), F.lit(bits))
+        p = self.sized(self.patterns(bits, tables)).withColumn("code", F.pmod("code", F.pow(F.lit(2.0), own).cast("long")))
+        p = store(p.select("cls", F.xxhash64("label", "t", "dim", "code").alias("bucket")), "patterns")
+        n = p.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        e = store(self.compared(p.join(n, "bucket").select("cls", "bucket", "n")), "edges")
+        forget(p)
+        return e
+
+    def places(self, bits: int = 30) -> DataFrame:
+        """(cls, blk): blocks of the rounds, of one label and length and alike in some sign bits, more of them the larger the label."""
+        p = self.sized(self.patterns(bits, range(APART, APART + 1))).withColumn("most", F.lit(NUMBERS) / F.col("dim"))
+        near = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.greatest("most", F.lit(64)))))
+        p = p.withColumn("cell", F.xxhash64("label", "dim", F.pmod("code", F.pow(F.lit(2.0), F.least(near, F.lit(bits))).cast("long"))))
+        n = p.groupBy("cell").agg(F.ceil(F.count("*") / F.greatest(F.lit(64), F.min("most"))).alias("parts"))
+        p = p.select("cls", "cell").join(n, "cell")
+        return p.select("cls", F.xxhash64("cell", F.pmod(F.xxhash64("cls", F.lit(3)), "parts")).alias("blk"))
 
     def spokes(self, members: DataFrame, group: str, order) -> DataFrame:
         """``members`` (with cls) with their group's centre, the first of it by ``order``, their cosine with it, and whether they
         are in the core: within half the threshold's angle, less what rounding may add."""
+        kind = self.kind
         centre = store(members.groupBy(group).agg(F.min(F.struct(order.alias("o"), "cls")).alias("x")).select(group, F.col("x.cls").alias("centre")), "centres")
         v = self.vectors.select("cls", "v")
         x = members.join(centre, group).join(v, "cls").join(v.select(F.col("cls").alias("centre"), F.col("v").alias("cv")), "centre")
         kinds = ", ".join(f"{c} {t}" for c, t in x.drop("v", "cv").dtypes)
         half = math.cos(math.acos(self.threshold) / 2 - 1e-6)
-        return store(x.mapInArrow(_spokes, f"{kinds}, s double").withColumn("core", F.col("s") >= half), "spokes")
+        out = store(x.mapInArrow(lambda it: _spokes(it, kind), f"{kinds}, s double").withColumn("core", F.col("s") >= half), "spokes")
+        forget(centre)
+        return out
 
     def rim_blocks(self, m: DataFrame, group: str, size: int) -> DataFrame:
         """``m`` (with core and v) dealt so that every pair of a group with one of the rim in it meets in one task (g, i, j)."""
@@ -252,70 +356,85 @@ class Graph:
     def compared(self, members: DataFrame) -> DataFrame:
         """The edges of (cls, bucket, n): of small buckets, many to a task, what ``_compare`` gives; of crowded ones the core's
         links with the centre, and what it gives for the rim."""
-        m, t, kind = store(members, "members"), self.threshold, "a long, b long, s double"
+        m, t, f, kind = members, self.threshold, self.kind, "a long, b long, s double"
         v = self.vectors.select("cls", "v")
         pools = m.where(F.col("n") <= PART).count() // POOL + 1
         small = m.where(F.col("n") <= PART).join(v, "cls").select(F.pmod("bucket", F.lit(pools)).alias("g"), F.lit(2).alias("side"), "bucket", "cls", "v")
-        e = small.groupBy("g").applyInArrow(lambda x: _compare(x, t, K), kind)
+        e = small.groupBy("g").applyInArrow(lambda x: _compare(x, t, K, f), kind)
         crowd = m.where(F.col("n") > PART)
         if not crowd.isEmpty():
             crowd = self.spokes(crowd.select("cls", "bucket"), "bucket", F.xxhash64("cls", F.lit(2)))
             near = crowd.where((F.col("core") | (F.col("s") >= t)) & (F.col("cls") != F.col("centre")))
             e = e.union(near.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"), "s"))
             rim = self.rim_blocks(crowd.join(v, "cls"), "bucket", PART).select("bucket", "i", "j", "side", "cls", "v")
-            e = e.union(rim.groupBy("bucket", "i", "j").applyInArrow(lambda x: _compare(x, t, K), kind))
+            e = e.union(rim.groupBy("bucket", "i", "j").applyInArrow(lambda x: _compare(x, t, K, f), kind))
         return e.groupBy("a", "b").agg(F.max("s").alias("s"))
 
     @staticmethod
-    def lists(edges: DataFrame, k: int, turn: int = 0, threshold: float = 2.0) -> DataFrame:
-        """(a, b, s, new): each vector's best ``k`` neighbours, and of links ``k`` more in every turn; those are new there."""
+    def lists(edges: DataFrame, turn: int = 0, threshold: float = 2.0) -> DataFrame:
+        """(a, b, s, new): each vector's best ``K`` neighbours, and of links ``K`` more in every turn."""
         w = W.partitionBy("a").orderBy(F.col("s").desc(), F.xxhash64("a", "b"))
-        ranked = edges.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) | ((F.col("s") >= threshold) & (F.col("r") <= k * (turn + 1))))
-        return ranked.withColumn("new", F.col("new") | (F.col("r") > k * max(turn, 1))).drop("r")
-
-    def descend(self, edges: DataFrame) -> DataFrame:
-        """All links (a < b) that the rounds came across. A found pair stays if it gets into a list of either end, or is a link."""
-        seen = store(edges.select("a", "b", "s").withColumn("new", F.lit(True)), "edges")
-        t = self.threshold
-        for turn in range(ROUNDS):
-            both = seen.select("a", "b", "s", "new").union(seen.select(F.col("b"), F.col("a"), "s", "new"))
-            near = store(self.lists(both, K, turn, t), "lists")
+        ranked = edges.withColumn("r", F.row_number().over(w))
+        return ranked.where((F.col("r") <= K) | ((F.col("s") >= threshold) & (F.col("r") <= K * (turn + 1)))).drop("r")
+
+    def descend(self, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+        """Links (a < b) of the lists after the rounds, and those that joined what links a round came across."""
+        t, kind = self.threshold, self.kind
+        places = store(self.places(), "places")
+        both = edges.select("a", "b", "s").union(edges.select("b", "a", "s")).withColumn("new", F.lit(True))
+        near = store(self.lists(both, 0, t), "lists")
+        links = [store(edges.where(F.col("s") >= t).select("a", "b"), "links")]
+        for turn in range(rounds):
             # Of each neighbour's list and the lists it stands in, as many again at most, so no vector is a hub.
-            back = self.lists(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"), K, turn, t)
+            back = self.lists(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"), turn, t)
             around = near.union(back).groupBy("a", "b").agg(F.max("new").alias("new"))
-            worst = store(near.groupBy("a").agg(F.when(F.count("*") < K, -2.0).otherwise(F.min("s")).alias("low")), "worst")
-            total = worst.count()
-            x = around.select(F.col("a").alias("mid"), F.col("b").alias("cls"), "new").join(worst.toDF("cls", "low"), "cls").join(self.vectors.select("cls", "v"), "cls")
-            pools = total // (POOL // K) + 1
-            c = x.groupBy(F.pmod(F.xxhash64("mid"), F.lit(pools)).alias("g")).applyInArrow(lambda z: _around(z, t), "a long, b long, s double")
-            c = c.groupBy("a", "b").agg(F.max("s").alias("s")).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-            found = store(c.withColumn("new", F.lit(True)), "found")
-            # A found pair counts as a change of the lists that it gets into.
-            hits = found.select("a", "s").union(found.select("b", "s")).join(worst, "a")
-            changed = hits.where("s > low").select("a").distinct().count()
-            seen = store(seen.select("a", "b", "s", F.lit(False).alias("new")).union(found), "edges")
-            if changed <= STILL * max(total, 1):
+            around = around.join(around.where("new").select("a").distinct(), "a", "left_semi")
+            around = store(around.join(places.withColumnRenamed("cls", "a"), "a").select("blk", F.col("a").alias("mid"), F.col("b").alias("cls"), "new"), "around")
+            # Next turn's room of a list, and what an entry must exceed while it is full.
+            full = F.count("*") >= F.when(F.min("s") >= t, K * (turn + 2)).otherwise(K)
+            worst = near.groupBy("a").agg(F.when(F.min("s") >= t, K * (turn + 2)).otherwise(K).cast("long").alias("room"), F.when(full, F.min("s")).otherwise(-2.0).alias("low"))
+            v = self.vectors.select("cls", "v").join(worst.withColumnRenamed("a", "cls"), "cls")
+            v = around.select(F.col("blk").alias("at"), F.col("cls").alias("cls")).distinct().join(v, "cls")
+            found = around.groupBy("blk").cogroup(v.groupBy("at")).applyInArrow(lambda x, y: _around(x, y, t, kind), "a long, b long, s double")
+            found = store(found, "found")
+            links.append(store(found.where(F.col("s") >= t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"))
+            both = near.select("a", "b", "s", F.lit(False).alias("new")).union(found.select("a", "b", "s", F.lit(True)))
+            after = store(self.lists(both.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new")), turn + 1, t), "lists")
+            forget(around, near, found)
+            near = after
+            # A list is still if nothing came in; saturated lists get longer whatever is found, so theirs does not count.
+            state = near.groupBy("a").agg(F.count_if("new").alias("n"), F.count_if(F.col("new") & (F.col("s") >= t)).alias("links"), F.min("s").alias("low"))
+            total, changed, fresh = state.agg(F.count("*"), F.count_if(F.col("n") > 0), F.sum(F.when(F.col("low") < t, F.col("links")))).first()
+            if changed <= STILL * total or (turn > 0 and (fresh or 0) <= FEW * total):
                 break
-        return seen.where(F.col("s") >= t).select("a", "b")
+        both = links[0]
+        for x in links[1:]:
+            both = both.union(x)
+        out = store(both.distinct(), "links")
+        forget(places, near, *links)
+        return out
 
     def counted(self, links: DataFrame) -> DataFrame:
         """(cls, comp, links, full): saturated lists enlarged to all members of the component."""
         comp = store(connected_components(links), "components")
+        f = self.kind
         both = links.union(links.select("b", "a")).toDF("cls", "other")
         copies = self.classes.select(F.col("cls").alias("other"), "copies")
         plain = both.join(copies, "other").groupBy("cls").agg(F.count("*").alias("n"), F.sum("copies").alias("links"))
         plain = store(comp.withColumnRenamed("node", "cls").join(plain, "cls"), "plain")
         full = store(plain.groupBy("comp").agg(F.max("n").alias("most")).where(f"most >= {K}").select("comp"), "full")
-        m = self.spokes(plain.select("cls", "comp", "n").join(full, "comp"), "comp", F.struct(-F.col("n"), F.xxhash64("cls")))
-        m = m.join(self.classes.select("cls", "copies"), "cls")
+        members = self.spokes(plain.select("cls", "comp", "n").join(full, "comp"), "comp", F.struct(-F.col("n"), F.xxhash64("cls")))
+        m = members.join(self.classes.select("cls", "copies"), "cls")
         t = self.threshold
         core = m.where("core").groupBy("comp").agg(F.sum("copies").alias("sum"))
         inside = m.where("core").join(core, "comp").select("cls", (F.col("sum") - F.col("copies")).alias("links"))
         rim = self.rim_blocks(m.join(self.vectors.select("cls", "v"), "cls"), "comp", BLOCK).select("comp", "i", "j", "side", "cls", "copies", "v")
-        exact = inside.union(rim.groupBy("comp", "i", "j").applyInArrow(lambda g: _block_links(g, t), "cls long, links long"))
+        exact = inside.union(rim.groupBy("comp", "i", "j").applyInArrow(lambda g: _block_links(g, t, f), "cls long, links long"))
         none = m.select("cls", F.lit(0).cast("long").alias("links"))
         exact = exact.union(none).groupBy("cls").agg(F.sum("links").alias("all"))
-        return store(plain.join(exact, "cls", "left").select("cls", "comp", F.coalesce("all", "links").alias("links"), F.col("all").isNotNull().alias("full")), "counted")
+        out = store(plain.join(exact, "cls", "left").select("cls", "comp", F.coalesce("all", "links").alias("links"), F.col("all").isNotNull().alias("full")), "counted")
+        forget(comp, plain, full, members)
+        return out
 
     def audit(self, counted: DataFrame, size: int = AUDIT) -> float:
         """The mean share of its links that is found, over those of ``size`` vectors that have any; the smaller of the mean over
@@ -324,24 +443,28 @@ class Graph:
         asked = q.join(counted.select("cls", "links", "full"), "cls", "left").select("cls", "label", "v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("full", F.lit(False)).alias("full")).collect()
         if not asked:
             return 1.0
-        sent = self.rows.sparkSession.sparkContext.broadcast([(r["cls"], r["label"], bytes(r["v"])) for r in asked])
-        t = self.threshold
+        sent = self.spark.sparkContext.broadcast([(r["cls"], r["label"], bytes(r["v"])) for r in asked])
+        t, kind = self.threshold, self.kind
 
         def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(sent.value), np.int64)
+            asked: dict = {}
+            for k, (_, label, x) in enumerate(sent.value):
+                asked.setdefault((label, len(x)), []).append(k)
+            known = np.array([c for c, *_ in sent.value])
+            queries = {key: _rows([sent.value[k][2] for k in ks], kind) for key, ks in asked.items()}
+            total = np.zeros(len(known), np.int64)
             for b in batches:
-                cls, label, copies = np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist()), b.column(3).to_numpy()
-                v = b.column(2).to_pylist()
-                dims = np.array([len(x) for x in v])
-                for k, (c, l, x) in enumerate(sent.value):
-                    at = np.flatnonzero((dims == len(x)) & (label == l) & (cls != c))
-                    if len(at):
-                        m = np.frombuffer(b"".join([v[i] for i in at]), np.float64).reshape(len(at), -1)
-                        total[k] += int(copies[at][m @ np.frombuffer(x, np.float64) >= t].sum())
+                cls, copies, v = b.column(0).to_numpy(), b.column(3).to_numpy(), b.column(2).to_pylist()
+                here: dict = {}
+                for i, (label, x) in enumerate(zip(b.column(1).to_pylist(), v)):
+                    here.setdefault((label, len(x)), []).append(i)
+                for key in here.keys() & queries.keys():
+                    at, ks = np.array(here[key]), np.array(asked[key])
+                    near = (queries[key] @ _rows([v[i] for i in at], kind).T >= t) & (known[ks][:, None] != cls[at])
+                    total[ks] += near @ copies[at]
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([asked_cls[k] for k in some], pa.int64()), pa.array(total[some])], ["cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(known[some], pa.int64()), pa.array(total[some])], ["cls", "n"])
 
-        asked_cls = [r["cls"] for r in asked]
         all_ = self.vectors.join(self.classes.select("cls", "copies"), "cls").select("cls", "label", "v", "copies")
         true = {r["cls"]: r["n"] for r in all_.mapInArrow(against, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect()}
         shares = [[min(1.0, r["links"] / true[r["cls"]]) for r in asked if r["cls"] in true and r["full"] == f] for f in (False, True)]
@@ -352,17 +475,23 @@ class Graph:
         largest = self.vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
         bits, tables = _plan(largest, self.threshold)
         while True:
-            out = self.counted(self.descend(self.first(bits, range(tables))))
+            edges = self.first(bits, range(tables))
+            links = self.descend(edges)
+            out = self.counted(links)
+            forget(edges, links)
             recall = self.audit(out)
             if recall >= RECALL:
                 return out, recall
+            forget(out)
             if tables > MOST:
                 break
             tables *= 2
         # Patterns do not find the links of this table: all vectors of each label are compared.
         size = self.vectors.groupBy("label").agg(F.count("*").alias("n"))
         all_ = self.vectors.join(size, "label").select("cls", F.xxhash64("label").alias("bucket"), "n")
-        out = self.counted(self.compared(all_).where(F.col("s") >= self.threshold).select("a", "b"))
+        links = store(self.compared(all_).where(F.col("s") >= self.threshold).select("a", "b"), "links")
+        out = self.counted(links)
+        forget(links)
         return out, self.audit(out)
 
     def result(self) -> DataFrame:
@@ -370,8 +499,9 @@ class Graph:
         counted, self.recall = self.run()
         c = self.classes.join(counted, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
         low = c.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        c = c.join(low, "comp").select("cls", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-        r = self.named.join(store(c, "result"), "cls", "left")
+        c = store(c.join(low, "comp").select("cls", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "result")
+        forget(counted, self.classes, self.vectors, self.whole)
+        r = self.named.join(c, "cls", "left")
         r = r.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         return r.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
