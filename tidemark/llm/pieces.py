@@ -8,13 +8,17 @@ without a pair leave. Occurrences of one rank are merged at once only if no merg
 smaller rank (checked per piece when the model is loaded); otherwise the leftmost one is merged alone. This gives what the
 sequential algorithm gives: best score first, leftmost among equals.
 
+A segment over ``LONG`` characters (texts without spaces, runs of spaces) is cut further where two characters stand that no
+piece has side by side: no merge goes over such a place. What is still longer is merged one pair after the other from a
+heap over linked symbols, as rounds over a flat array would take a pass for every merge there.
+
 Segments that were encoded are remembered in two generations of about ``KNOWN`` bytes each, what Python adds to a string
 counted in; when the newer is full the older goes, and what is met again moves up. Segments over ``LONG`` characters (texts
 without spaces) are encoded where they are met and not remembered. So a worker holds two generations and what one slice of
 texts needs, whatever the vocabulary. Rows are independent: no shuffle, nothing is skewed.
 
 Defined cases: null and empty texts give the end id alone and decode to the empty text; repeated rows are repeated; an empty
-table gives an empty result; very long texts, and words, take more rounds, never less text; extra columns are ignored.
+table gives an empty result; a very long text or word takes time in proportion, but for a logarithm; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +78,8 @@ class Model:
                     for part in (p[:k], p[k:]):
                         if part in safe and rank[p] <= rank[part]:
                             safe[part] = False
+        beside = {ord(a) << 32 | ord(b) for p in normal for a, b in zip(p, p[1:])}
+        self.beside = np.array(sorted(beside) or [-1], np.int64)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
@@ -147,12 +154,57 @@ class Model:
         order = np.argsort(seg, kind="stable")
         return sym[order], seg[order]
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
+
+    def cut(self, segment: str) -> list[str]:
+        """A segment's parts between characters that no piece has side by side."""
+        c = np.frombuffer(segment.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        key = c[:-1] << 32 | c[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        ends = [*(np.flatnonzero(self.beside[at] != key) + 1).tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip([0, *ends], ends)]
+
+    def one_by_one(self, sym: np.ndarray) -> np.ndarray:
+        """Merges of one long segment: smallest rank first, leftmost among equals."""
+        n = len(sym)
+        rank, _ = self.lookup(sym[:-1], sym[1:])
+        at = np.flatnonzero(rank != _NONE)
+        at = at[np.argsort(rank[at], kind="stable")]
+        begun = ((rank[at] << 32) | at).tolist()[::-1]  # the pairs of the start, smallest last; the heap has those that arise
+        pairs, heap = self.pairs, []
+        sym, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while begun or heap:
+            x = heappop(heap) if heap and not (begun and begun[-1] < heap[0]) else begun.pop()
+            i = x & 0xFFFFFFFF
+            j = after[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            pair = pairs.get(sym[i] << 32 | sym[j])
+            if pair is None or pair[0] != x >> 32:  # one of the two was merged since
+                continue
+            sym[i], sym[j] = pair[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if right := pairs.get(sym[i] << 32 | sym[k]):
+                    heappush(heap, right[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (left := pairs.get(sym[h] << 32 | sym[i])):
+                heappush(heap, left[0] << 32 | h)
+        return np.array([s for s in sym if s >= 0], np.int64)
+
     def encode(self, segments: list[str]) -> list[list[int]]:
         """Piece ids of each segment; spaces stand for themselves."""
         lens = np.array([len(s) for s in segments], np.int64)
         points = np.frombuffer("".join(segments).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(lens) - lens
-        sym, seg = self.rounds(self.char[points].astype(np.int64), first)
+        if len(segments) == 1 and len(points) > LONG:
+            sym = self.one_by_one(self.char[points].astype(np.int64))
+            seg = np.zeros(len(sym), np.int64)
+        else:
+            sym, seg = self.rounds(self.char[points].astype(np.int64), first)
         odd = np.flatnonzero(sym >= self.n)
         if len(odd):  # characters without a piece become their bytes
             of = {x: self._spelled(x) for x in np.unique(sym[odd]).tolist()}
@@ -219,6 +271,17 @@ class Encoder:
         for s, ids in zip(todo, self.model.encode(todo)):
             into[s] = " ".join([name[i] for i in ids]), b"".join([text[i] for i in ids])
 
+    def cut_up(self, segments: set[str]) -> dict[str, tuple[str, bytes]]:
+        """Long segments from their parts, each of which is encoded once."""
+        cut = {s: self.model.cut(s) for s in segments}
+        parts = set().union(*cut.values())
+        here: dict[str, tuple[str, bytes]] = {}
+        self.learn({p for p in parts if len(p) <= LONG}, here)
+        for p in parts:
+            if len(p) > LONG:
+                self._put([p], here)
+        return {s: (" ".join([here[p][0] for p in ps]), b"".join([here[p][1] for p in ps])) for s, ps in cut.items()}
+
     def _weight(self, segments: set[str]) -> int:
         return sum(EACH + len(s) + len(self.known[s][0]) + len(self.known[s][1]) for s in segments)
 
@@ -235,9 +298,7 @@ class Encoder:
         self.size += self._weight(new - once)
         known, end = self.known, str(self.model.eos)
         if once:
-            here: dict[str, tuple[str, bytes]] = {}
-            self.learn(once, here)
-            known = _Both(here, known)
+            known = _Both(self.cut_up(once), known)
         out = []
         for parts in cut:
             both = [known[p] for p in parts]

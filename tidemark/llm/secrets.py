@@ -11,12 +11,14 @@ start, in code points.
 
 Defined cases: null text is the empty text; a repeated (path, text) row is scanned once and reported for every row; an
 empty table gives an empty result and an unchanged ledger; extra columns are ignored; spans of different kinds may overlap,
-those of one kind never do; spans with one start stand in the order of the rules; a text of any length is one row's value.
+those of one kind never do; spans with one start stand in the order of the rules; a text of any length is one row's value, and
+takes time in proportion to its length and its spans.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +47,41 @@ RULES = (
 )
 #: Blobs with findings and their spans together are sent to every task up to this many (under 20 MB); unseen blobs (100 bytes each).
 BROADCAST_SPANS, BROADCAST_BLOBS = 200_000, 100_000
+#: Items of an array that is built by appending.
+RUN = 256
 _EMPTY = "array<struct<start:long,end:long>>"
 LEDGER = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """An array in parts of ``RUN`` items each."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(items, i + 1, F.lit(RUN)))
+
+
+def _scan(items: Column, fold: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(state, item)`` of every item, the state being a long that starts at 0 and goes through ``fold(state, item)``.
+
+    Arrays grow by copies, so items are taken in runs: those of a run are short, and so is the list of the runs' first states."""
+    zero = F.lit(0).cast("long")
+
+    def begins(runs: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("all"))
+        step = lambda s, run: F.struct(F.aggregate(run, s["at"], fold).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        return F.aggregate(runs, start, step, lambda s: s["all"])
+
+    def inside(run: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        step = lambda s, x: F.struct(fold(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x))).alias("out"))
+        return F.aggregate(run, start, step, lambda s: s["out"])
+
+    return _let(items, lambda all_: _let(_runs(all_), lambda runs: F.flatten(F.zip_with(runs, begins(runs), inside))))
+
+
 def find(text: Column, rule: Rule) -> Column:
     """The kept matches of a rule as an array of (start, end), code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -59,15 +92,13 @@ def find(text: Column, rule: Rule) -> Column:
         F.transform(hits, lambda h: F.length(h).cast("long")).alias("len"),
         F.transform(values, lambda v: F.length(v).cast("long")).alias("val"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,val:long>>").alias("out"))
-
-    def step(acc, r):
-        s = acc["at"] + r["gap"]
-        e = s + r["len"]
-        one = F.array(F.struct(s.alias("start"), e.alias("end"), r["val"].alias("val")))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(r["len"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # What follows the last match has no length and no value, and is not kept.
+    found = _scan(
+        rows,
+        lambda at, r: at + r["gap"] + F.coalesce(r["len"], F.lit(0)),
+        lambda at, r: F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["len"]).alias("end"), r["val"].alias("val")),
+        "array<struct<start:long,end:long,val:long>>",
+    )
     kept = F.filter(found, lambda x: x["val"] >= rule.least)
     kept = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     gate = text.rlike(rule.gate or rule.pattern)
@@ -167,14 +198,21 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, ledger_path: st
     found = F.broadcast(found) if load <= BROADCAST_SPANS else found
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(blob, F.sha2(text, 256)).join(found, blob, "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    # The gaps before the spans, from the furthest end so far; a span that begins before it belongs to the one before.
+    gaps = _scan(
+        F.col(blob + "s"), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(at.alias("from"), x["start"].alias("to")), "array<struct<from:long,to:long>>"
+    )
+    part = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
 
-    def step(acc, s):
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    def cut(run: Column) -> Column:
+        """The gaps of a run with a mask behind each, cut from the run's own stretch, as a place in a text is found by walking there."""
+        first = F.get(run, F.lit(0))["from"]
+        inside = lambda t: F.array_join(F.transform(run, lambda x: F.concat(part(t, x["from"] - first, x["to"] - first), F.lit(mask))), "")
+        return F.when(F.size(run) > 0, _let(part(text, first, F.element_at(run, -1)["to"]), inside)).otherwise(F.lit(""))
 
-    clean = F.aggregate(blob + "s", start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    last = F.array_max(F.transform(blob + "s", lambda x: x["end"]))
+    masked = _let(F.filter(gaps, lambda x: x["to"] >= x["from"]), lambda kept: F.array_join(F.transform(_runs(kept), cut), ""))
+    clean = F.concat(masked, F.substr(text, (last + 1).cast("int")))
     hit = F.col(blob + "s").isNotNull()
     out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
