@@ -72,10 +72,7 @@ def test_readers(spark, tmp_path):
     assert readers.latest_file(spark, str(tmp_path), "*.csv", by="name").endswith("b_vix_2.csv")
 
 
-def test_listing_and_feed(spark, tmp_path):
-    page = {"data": {"children": [{"data": {"id": "p", "title": "T", "selftext": "body", "ups": 3, "created_utc": 0, "comments": [{"id": "c", "body": "yes"}, {"id": "d", "body": "[deleted]"}]}}]}}
-    posts = readers.read_listing(spark.createDataFrame([(json.dumps(page),)], "value string"))
-    assert posts.first().text == "T body" and [r.id for r in readers.comments_of(posts).collect()] == ["c"]
+def test_feed(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>A</title><description>B.</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>")
     r = readers.read_feed(spark, str(tmp_path / "f.xml")).first()
     assert (r.text, r.timestamp_utc) == ("A. B", dt.datetime(2024, 1, 2, 3, 4, 5))

@@ -168,6 +168,50 @@ def test_walk_forward_training(spark):
     assert [(r["fold"], r["n"], r["accuracy"]) for r in got] == [(k, 10, 1.0) for k in range(1, 7)]
 
 
+def test_walk_forward_cuts_all_rows_first(spark):
+    # 70 rows; rows 5 to 14 have no target and row 27 no feature: folds are still 10 rows each, some of them shorter inside.
+    rows = [("A", T0 + dt.timedelta(hours=i), None if i == 27 else float(i % 2), None if 5 <= i < 15 else i % 2) for i in range(70)]
+    got = model.walk_forward_trees(spark.createDataFrame(rows, "ticker string, ts timestamp, x double, target int"), ["x"], rounds=2, depth=2)
+    assert [(r["fold"], r["n"]) for r in got] == [(1, 5), (2, 9), (3, 10), (4, 10), (5, 10), (6, 10)]
+
+
+def _item(kind="t3", **more):
+    return {"kind": kind, "data": {"id": "p", "author": "joe", "title": "T", "selftext": "body", "score": 5, "ups": 9, "downs": 2, "created_utc": 0} | more}
+
+
+def test_listing_keeps_posts_only(spark):
+    items = [_item(), _item("t1", id="c"), _item(id="gone", removed_by_category="moderator"), _item(id="d", author="[deleted]"), _item(id="n", author=None), _item(id="z", score=None, title=None), _item(id="e", removed_by_category="", selftext="")]
+    page = json.dumps({"data": {"children": items, "after": None}})
+    got = readers.read_listing(spark.createDataFrame([(page,)], "value string")).collect()
+    assert [(r.id, r.upvotes, r.downvotes, r.text) for r in got] == [("p", 5.0, None, "T body"), ("z", 0.0, None, "body"), ("e", 5.0, None, "T")]
+
+
+def test_comments_come_from_each_posts_own_page(spark):
+    c = lambda kind="t1", **more: {"kind": kind, "data": {"id": "c", "author": "ann", "body": " yes ", "score": 2, "created_utc": 60} | more}
+    items = [c(), c(id="d", body="[deleted]"), c(id="r", body=" [removed]"), c("more", id="m"), c(id="x", body="  "), c(id="a", author=None, score=None, body="[Deleted] once"), c(id="late")]
+    page = json.dumps([{"data": {"children": [_item()]}}, {"data": {"children": items}}])
+    got = readers.read_comments(spark.createDataFrame([("s", page), ("s", "[]"), ("s", None)], "subreddit string, value string"), most=6).collect()
+    assert [(r.id, r.author, r.text, r.upvotes, r.type) for r in got] == [("c", "ann", "yes", 2.0, "comment"), ("a", "[deleted]", "[Deleted] once", 0.0, "comment")]
+
+
+def test_each_row_has_its_own_request(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p {i}.json").write_text(f"page {i}")
+    rows = spark.createDataFrame([(f"p {i}", i) for i in range(5)], "id string, n int").repartition(2)
+    got = paged.fetch_each(rows, f"file://{tmp_path}/{{id}}.json", tries=1)
+    assert sorted(map(tuple, got.collect())) == [(f"p {i}", i, f"page {i}") for i in range(3)]
+
+
+def test_log_lines(spark):
+    lines = {
+        "2024-01-01 12:00:00 | INFO    | PIPELINE   | Stage 1A": ("2024-01-01 12:00:00", "INFO", "PIPELINE", "Stage 1A", "1A"), "2024-01-01 12:00:00|INFO|run|Stage 1A": ("2024-01-01 12:00:00", "INFO", "run", "Stage 1A", "1A"),
+        "  2024-01-01\t12:00:00 | info\t|r_1| granger  ": ("2024-01-01\t12:00:00", "info", "r_1", "granger", "2B"), "2024-01-01 12:00:00 | INFO | run | a | b": ("2024-01-01 12:00:00", "INFO", "run", "a | b", None),
+        "12:00:00 | INFO | run | Stage 1A": (None,) * 5, "2024-01-01 12:00:00 | INFO | a b | Stage 1A": (None,) * 5, "2024-01-01 12:00:00 | INFO | run |": (None,) * 5, "Stage 1A": (None,) * 5, "": (None,) * 5,
+    }
+    f = lambda c: F.struct(*[v.alias(k) for k, v in tx.parse_log(c).items()])
+    assert [tuple(r) for r in column(spark, f, list(lines))] == list(lines.values())
+
+
 def test_requests_are_repeated():
     waits, asked = [], []
 
@@ -199,7 +243,7 @@ def test_requests_are_repeated():
 
 def test_symbol_candidates():
     assert paged.candidates("TCS.NS") == ["TCS.NS", "TCS.NSE", "TCS.BO", "TCS.BSE"] and paged.candidates("TCS.BO") == ["TCS.BO", "TCS.BSE", "TCS.NS", "TCS.NSE"]
-    assert paged.candidates("AAPL") == ["AAPL"]
+    assert paged.candidates("AAPL") == ["AAPL"] and paged.candidates(" tata.ns ") == ["TATA.NS", "TATA.NSE", "TATA.BO", "TATA.BSE"]
     got = paged.first_quote(lambda u: (200, '{"timestamp": [1]}' if u == "A.BO" else '{"timestamp": []}'), "{symbol}", "A.NS")
     assert got == ("A.BO", '{"timestamp": [1]}')
 

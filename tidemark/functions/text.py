@@ -221,7 +221,12 @@ def stage_of(message: Column) -> Column:
     return out
 
 
+#: Fixed value: a line's date and time, level, logger and message between bars, with any or no white space around them.
+LOG_LINE = "(?U)^(\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}:\\d{2})\\s*\\|\\s*(\\w+)\\s*\\|\\s*(\\w+)\\s*\\|\\s*(.+)$"
+
+
 def parse_log(c: Column) -> dict[str, Column]:
-    """Time, level, logger, message and stage of ``time | LEVEL | logger | message`` lines."""
-    part = lambda n: F.regexp_extract(c, "^([0-9: -]+) \\| ([A-Z]+) \\| ([^|]+) \\| (.*)$", n)
+    """Time, level, logger, message and stage of log lines; all of them null for a line of another form."""
+    line = F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    part = lambda n: F.when(line.rlike(LOG_LINE), F.regexp_extract(line, LOG_LINE, n))
     return {"time": part(1), "level": part(2), "logger": part(3), "message": part(4), "stage": stage_of(part(4))}

@@ -233,11 +233,11 @@ def walk_forward(df: DataFrame, folds: int = 6, ts: str = "ts", tie: str = "tick
     """(row, fold, part): expanding training windows over all rows in time order, each followed by its validation part; parts are
     n // (folds + 1) rows and what is left over at the end is in none. Rows of one time are ordered by ``tie``.
 
-    A row's place is the number of rows before its time, summed over one row for each time, and its place inside it."""
-    each = df.groupBy(F.col(ts).alias("_t")).agg(F.count("*").alias("_m"))
-    before = each.select("_t", (F.sum("_m").over(Window.orderBy("_t")) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_n"))
-    j = df.withColumn("_r", F.row_number().over(Window.partitionBy(ts).orderBy(tie))).join(before, F.col(ts) == F.col("_t"))
-    size, place = F.floor(F.col("_n") / (folds + 1)), F.col("_before") + F.col("_r")
+    Places are global row numbers: rows are dealt by ranges of time, and the counts of the ranges say what precedes each."""
+    from ..storage import numbered
+
+    j, n = numbered(df, ts, tie, out="_place")
+    size, place = n // (folds + 1), F.col("_place") + 1
     j = j.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     part = F.when(place <= size * F.col("fold"), "train").when(place <= size * (F.col("fold") + 1), "val")
-    return j.withColumn("part", part).where("part IS NOT NULL").drop("_t", "_m", "_before", "_n", "_r")
+    return j.withColumn("part", part).where("part IS NOT NULL").drop("_place")

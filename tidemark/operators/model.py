@@ -92,6 +92,16 @@ def sequence_probability(d: DataFrame, cols: list[str], out: str, steps: int = S
     return probability_up(net, test, out).drop("features", "seq")
 
 
+def recurrent_probability(d: DataFrame, cols: list[str], out: str, steps: int = STEPS, **how) -> DataFrame:
+    """Test rows that have a whole sequence in their split, with the probability of the recurrent model trained on the training rows
+    and stopped by the validation rows."""
+    from . import recurrent
+
+    part = lambda s: sequences(d.where(F.col("split") == s), cols, steps)
+    net = recurrent.train(part("train"), part("val"), **how)
+    return recurrent.probability(part("test"), net, out).drop("seq")
+
+
 def ensemble(p1: Column, p2: Column, up: float = UP, down: float = DOWN, weights=WEIGHTS) -> dict[str, Column]:
     """Mean probability and 1 up, 0 down, -1 no answer."""
     if not (0 < down < up < 1):
@@ -175,11 +185,12 @@ def ablation(splits: DataFrame, rounds: int = 20, depth: int = 4, versions=VERSI
 
 def walk_forward_trees(df: DataFrame, cols: list[str], folds: int = 6, rounds: int = 400, depth: int = 6, rate: float = 0.05, ts: str = "ts") -> list[dict]:
     """Accuracy and F1 of trees trained on each expanding window and judged on the part after it, by which their rounds stop early.
-    Folds whose training rows have one class, or whose validation part is empty, are left out."""
+    Folds are cut over all rows; rows without a target or with a gap are dropped inside each. Folds whose training rows have one
+    class, or whose validation part is empty, are left out."""
     from .market import walk_forward
 
     out = []
-    parts = walk_forward(finite(df.where("target IS NOT NULL"), cols), folds, ts).cache()
+    parts = finite(walk_forward(df, folds, ts).where("target IS NOT NULL"), cols).cache()
     for k in range(1, folds + 1):
         d = parts.where(F.col("fold") == k)
         seen = d.agg(F.countDistinct(F.when(F.col("part") == "train", F.col("target"))).alias("classes"), F.count_if(F.col("part") == "val").alias("val")).first()

@@ -337,12 +337,20 @@ _LOGGED = (
 )
 
 
-@query("log_router", f""", l(i, m, stage) AS (VALUES {", ".join(f"({i}, '{m}', {'NULL' if s is None else repr(s)})" for i, (m, s) in enumerate(_LOGGED))})
-SELECT id, '12:00:00' AS time, 'INFO' AS level, m || ' ' || k AS message, stage FROM posts JOIN l ON id % {len(_LOGGED)} = i""", "posts")
+# Forms of a line by id: with and without white space, other levels and loggers, and four that are no log lines.
+_FORMS = ("2024-01-01 12:00:00 | INFO | run | {}", "2024-01-01 12:00:00|info|run_2|{}", "2024-01-01\t12:00:00 |\tWARN  |  é1 |{}  ", "  2024-01-01  12:00:00 | INFO | run | {}", "12:00:00 | INFO | run | {}", "2024-01-01 12:00:00 | INFO | a b | {}", "{}", "2024-01-01 12:00:00 | INFO | run | ")
+_PARTS = (("2024-01-01 12:00:00", "INFO", "run"), ("2024-01-01 12:00:00", "info", "run_2"), ("2024-01-01\t12:00:00", "WARN", "é1"), ("2024-01-01  12:00:00", "INFO", "run"))
+
+
+@query("log_router", f""", l(i, m, stage) AS (VALUES {", ".join(f"({i}, '{m}', {'NULL' if s is None else repr(s)})" for i, (m, s) in enumerate(_LOGGED))}),
+f(j, t, lv, lg) AS (VALUES {", ".join(f"({j}, '{t}', '{lv}', '{lg}')" for j, (t, lv, lg) in enumerate(_PARTS))})
+SELECT id, t AS time, lv AS level, lg AS logger, CASE WHEN t IS NOT NULL THEN trim(m || ' ' || k) END AS message, CASE WHEN t IS NOT NULL THEN stage END AS stage
+FROM posts JOIN l ON id % {len(_LOGGED)} = i LEFT JOIN f ON k % {len(_FORMS)} = j""", "posts")
 def _(v: Views):
-    m = F.element_at(F.array(*[F.lit(m) for m, _ in _LOGGED]), (F.col("id") % len(_LOGGED) + 1).cast("int"))
-    parsed = tx.parse_log(F.concat(F.lit("12:00:00 | INFO | run | "), m, F.lit(" "), F.col("k").cast("string")))
-    return v.posts.select("id", *[parsed[c].alias(c) for c in ("time", "level", "message", "stage")])
+    m = F.concat(F.element_at(F.array(*[F.lit(m) for m, _ in _LOGGED]), (F.col("id") % len(_LOGGED) + 1).cast("int")), F.lit(" "), F.col("k").cast("string"))
+    form = F.element_at(F.array(*[F.lit(x) for x in _FORMS]), (F.col("k") % len(_FORMS) + 1).cast("int"))
+    parsed = tx.parse_log(F.replace(form, F.lit("{}"), m))
+    return v.posts.select("id", *[parsed[c].alias(c) for c in ("time", "level", "logger", "message", "stage")])
 
 
 # Bots and spam -----------------------------------------------------------------------------------------------------
@@ -904,6 +912,15 @@ def _(v: Views):
     return out(model.sequence_probability(d, cols, "prob_up"), "ticker", "ts", "target", "prob_up")
 
 
+@query("sequence_lstm")
+def _(v: Views):
+    d = model_matrix(v).na.fill(0.0).where("target IS NOT NULL")
+    cols = model.available(d, model.SENTIMENT)
+    d = model.finite(d, cols)
+    d = model.scale(d, model.scaler(d.where("split = 'train'"), cols))
+    return out(model.recurrent_probability(d, cols, "prob_up"), "ticker", "ts", "target", "prob_up")
+
+
 @query("gbt_ablation")
 def _(v: Views):
     cfg = Config()

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import Config
 from ..functions import scalars as sc
 from ..operators import clean, ingest, model, score
 from ..schemas import plain_headers, require, role_column
@@ -133,59 +136,103 @@ def _(v: Views):
     return readers.read_zipped_csv(v.spark, at, "n_nationkey long, n_name string, n_regionkey long", "nations.csv")
 
 
-def _listing(v: Views, size: int = 100) -> DataFrame:
-    """(n, value): posts as listing pages of one subreddit, each naming the next page; every post has two comments."""
-    ups = F.col("upvotes").cast("double")
-    seconds = F.unix_seconds("timestamp_utc").cast("double")
-    comment = lambda end, body: F.struct(F.concat(F.col("id").cast("string"), F.lit(end)).alias("id"), F.col("author"), body.alias("body"), ups.alias("ups"), seconds.alias("created_utc"))
-    body = F.when(F.col("id") % 4 == 0, "[deleted]").when(F.col("id") % 4 == 1, " [removed] ").otherwise(F.concat(F.lit("re: "), "text"))
-    post = F.struct(
-        F.col("id").cast("string").alias("id"), "author", F.lit("Title").alias("title"), F.col("text").alias("selftext"), ups.alias("ups"), F.lit(0.0).alias("downs"), F.lit(0.9).alias("upvote_ratio"),
-        seconds.alias("created_utc"), F.col("source").alias("subreddit"), F.col("ticker").alias("link_flair_text"), F.array(comment("a", F.lit("agreed")), comment("b", body)).alias("comments"),
+def write_texts(rows: DataFrame, root: str) -> None:
+    """(name, value) rows as one file each under ``root``, written by the tasks that hold them."""
+    address = _address(root).removeprefix("file://")
+    if "://" in address:
+        raise ValueError(f"tasks write to mounted folders only, not to {root}")
+
+    def put_all(batches):
+        for b in batches:
+            for name, value in zip(b["name"], b["value"]):
+                to = os.path.join(address, name)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                with open(f"{to}.{uuid.uuid4().hex}", "w", encoding="utf-8") as f:  # a repeated task replaces the file whole
+                    f.write(value)
+                os.replace(f.name, to)
+            yield b[["name"]]
+
+    rows.select("name", "value").mapInPandas(put_all, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _post(v: Views):
+    """A post as an item of a listing. Of every seven, one was removed, one is of a deleted account, and one is no post."""
+    at = F.col("id") % 7
+    data = F.struct(
+        F.col("id").cast("string").alias("id"), F.when(at == 1, "[deleted]").when(at != 2, F.col("author")).alias("author"), F.lit("Title").alias("title"), F.col("text").alias("selftext"),
+        F.when(F.col("upvotes") != 0, F.col("upvotes").cast("double")).alias("score"), F.lit(99.0).alias("ups"), F.lit(1.0).alias("downs"), F.lit(0.9).alias("upvote_ratio"),
+        F.unix_seconds("timestamp_utc").cast("double").alias("created_utc"), F.col("source").alias("subreddit"), F.col("ticker").alias("link_flair_text"), F.when(at == 3, "moderator").alias("removed_by_category"),
     )
+    return F.struct(F.when(at == 4, "t1").otherwise("t3").alias("kind"), data.alias("data"))
+
+
+def _listing(v: Views, size: int = 100) -> DataFrame:
+    """(n, value): posts as listing pages, each naming the next page."""
     n = F.floor(F.col("id") / size).cast("long")
-    p = v.posts.groupBy(n.alias("n")).agg(F.sort_array(F.collect_list(F.struct("id", F.struct(post.alias("data")).alias("x")))).alias("rows"))
+    p = v.posts.groupBy(n.alias("n")).agg(F.sort_array(F.collect_list(F.struct("id", _post(v).alias("x")))).alias("rows"))
     last = v.posts.agg(F.max(n).alias("last"))
     p = p.join(F.broadcast(last)).withColumn("after", F.when(F.col("n") < F.col("last"), F.concat(F.lit("p"), (F.col("n") + 1).cast("string"))))
     page = F.struct(F.struct("after", F.transform("rows", lambda r: r["x"]).alias("children")).alias("data"))
     return p.select("n", F.to_json(page).alias("value"))
 
 
-_LISTED = "SELECT id::VARCHAR AS id, 'reddit' AS source, source AS subreddit, author, 'Title ' || text AS text, upvotes::DOUBLE AS upvotes, ticker AS post_flair, floor(epoch(timestamp_utc))::BIGINT AS timestamp_utc FROM posts"
+_LISTED = "SELECT id::VARCHAR AS id, 'reddit' AS source, source AS subreddit, author, 'Title ' || text AS text, upvotes::DOUBLE AS upvotes, ticker AS post_flair, floor(epoch(timestamp_utc))::BIGINT AS timestamp_utc FROM posts WHERE id % 7 NOT IN (1, 2, 3, 4)"
+_LISTING_COLUMNS = ("id", "source", "subreddit", "author", "text", "upvotes", "post_flair", "timestamp_utc")
 
 
 @query("listing_posts", _LISTED, "posts")
 def _(v: Views):
-    return out(readers.read_listing(_listing(v)), "id", "source", "subreddit", "author", "text", "upvotes", "post_flair", "timestamp_utc")
+    return out(readers.read_listing(_listing(v)), *_LISTING_COLUMNS)
+
+
+def _replies(v: Views) -> DataFrame:
+    """(subreddit, id, value): every post's own page, itself and two comments, one of which may be taken away or no comment."""
+    body = F.when(F.col("id") % 4 == 0, "[deleted]").when(F.col("id") % 4 == 1, " [removed] ").otherwise(F.concat(F.lit(" re: "), "text", F.lit(" ")))
+    comment = lambda end, text, kind: F.struct(kind.alias("kind"), F.struct(F.concat(F.col("id").cast("string"), F.lit(end)).alias("id"), "author", text.alias("body"), F.col("upvotes").cast("double").alias("score"), F.unix_seconds("timestamp_utc").cast("double").alias("created_utc")).alias("data"))
+    items = F.array(comment("a", F.lit("agreed"), F.when(F.col("id") % 3 == 0, "more").otherwise("t1")), comment("b", body, F.lit("t1")))
+    listing = lambda children: F.struct(F.struct(F.lit(None).cast("string").alias("after"), children.alias("children")).alias("data"))
+    value = F.concat(F.lit("["), F.to_json(listing(F.array(_post(v)))), F.lit(","), F.to_json(listing(items)), F.lit("]"))
+    return v.posts.select(F.col("source").alias("subreddit"), F.col("id").cast("string").alias("id"), value.alias("value"))
+
 
+_REPLIED = "SELECT id || 'a' AS id, author, 'agreed' AS text, upvotes::DOUBLE AS upvotes FROM posts WHERE id % 3 <> 0 UNION ALL SELECT id || 'b', author, trim('re: ' || text), upvotes::DOUBLE FROM posts WHERE id % 4 > 1"
 
-@query("listing_comments", "SELECT id || 'a' AS id, author, 'agreed' AS text FROM posts UNION ALL SELECT id || 'b', author, 're: ' || text FROM posts WHERE id % 4 > 1", "posts")
+
+@query("listing_comments", _REPLIED, "posts")
 def _(v: Views):
-    return readers.comments_of(readers.read_listing(_listing(v))).select("id", "author", "text")
+    return out(readers.read_comments(_replies(v)), "id", "author", "text", "upvotes")
 
 
 @query("paged_source", _LISTED, "posts")
 def _(v: Views):
     paged.register(v.spark)
     at = _folder(v)
-    for r in _listing(v, 2000).toLocalIterator():  # page by page
-        put_bytes(v.spark, r["value"].encode(), f"{at}/r/market/{'' if r['n'] == 0 else 'p' + str(r['n'])}.json")
+    name = F.concat(F.lit("r/market/"), F.when(F.col("n") > 0, F.concat(F.lit("p"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".json"))
+    write_texts(_listing(v, 2000).select(name.alias("name"), "value"), at)
     url = _address(at) + "/r/{listing}/{after}.json"
     raw = v.spark.read.format("paged_listing").options(of=json.dumps(["market", "nothing here"]), url=url, limit=str(10**9)).load()
-    return out(readers.read_listing(raw), "id", "source", "subreddit", "author", "text", "upvotes", "post_flair", "timestamp_utc")
+    return out(readers.read_listing(raw), *_LISTING_COLUMNS)
+
+
+@query("comments_source", _REPLIED, "posts")
+def _(v: Views):
+    at = _folder(v)
+    r = _replies(v)
+    write_texts(r.select(F.concat_ws("/", "subreddit", F.concat("id", F.lit(".json"))).alias("name"), "value"), at)
+    posts = r.select("subreddit", "id").union(v.posts.select(F.col("source"), F.lit("gone")).distinct())  # these have no page
+    return out(readers.read_comments(paged.fetch_each(posts, _address(at) + "/{subreddit}/{id}.json", tries=1)), "id", "author", "text", "upvotes")
 
 
-@query("page_limit", "SELECT count(*) AS pages, 4000 AS items FROM (SELECT unnest(range(2)) AS p)")
+@query("page_limit", "SELECT count(*) AS pages, 20 * count(*) AS items FROM (SELECT id // 20 AS p FROM posts GROUP BY 1 ORDER BY 1 LIMIT greatest(1, (SELECT ceil(count(*) / 40.0) FROM posts)::BIGINT))", "posts")
 def _(v: Views):
     paged.register(v.spark)
     at = _folder(v)
-    ids = v.spark.range(8000)
-    for n in range(4):
-        page = {"data": {"after": f"p{n + 1}" if n < 3 else None, "children": [{"data": {"id": str(i)}} for i in range(2000 * n, 2000 * n + 2000)]}}
-        put_bytes(v.spark, json.dumps(page).encode(), f"{at}/{'' if n == 0 else 'p' + str(n)}.json")
-    raw = v.spark.read.format("paged_listing").options(of='["x"]', url=_address(at) + "/{after}.json", limit="3500").load()
-    items = readers.read_listing(raw).join(ids.select(F.col("id").cast("string").alias("id")), "id")
-    return raw.agg(F.count("*").alias("pages")).join(F.broadcast(items.agg(F.count("*").cast("int").alias("items"))))
+    name = F.concat(F.when(F.col("n") > 0, F.concat(F.lit("p"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".json"))
+    write_texts(_listing(v, 20).select(name.alias("name"), "value"), at)
+    half = v.posts.count() // 2  # items asked for: pages follow until there are as many
+    raw = v.spark.read.format("paged_listing").options(of='["x"]', url=_address(at) + "/{after}.json", limit=str(half)).load()
+    items = F.size(F.from_json("value", readers.LISTING)["data"]["children"])
+    return raw.agg(F.count("*").alias("pages"), F.sum(items).cast("long").alias("items"))
 
 
 def _charts(v: Views, of: dict[str, str], root: str) -> str:
@@ -193,10 +240,9 @@ def _charts(v: Views, of: dict[str, str], root: str) -> str:
     b = v.bars.withColumn("t", F.unix_seconds("ts"))
     cols = [("t", "timestamp"), ("Open", "open"), ("High", "high"), ("Low", "low"), ("Close", "close"), ("Volume", "volume")]
     g = b.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(*[c for c, _ in cols]))).alias("r"))
-    g = g.select("ticker", F.to_json(F.struct(*[F.col("r")[c].alias(n) for c, n in cols])).alias("value"))
-    for r in g.toLocalIterator():
-        if r["ticker"] in of:
-            put_bytes(v.spark, r["value"].encode(), f"{root}/{of[r['ticker']]}.json")
+    names = F.create_map(*[F.lit(x) for t, symbol in of.items() for x in (t, f"{symbol}.json")])
+    g = g.select(names[F.col("ticker")].alias("name"), F.to_json(F.struct(*[F.col("r")[c].alias(n) for c, n in cols])).alias("value"))
+    write_texts(g.where("name IS NOT NULL"), root)
     return _address(root) + "/{symbol}.json"
 
 
@@ -393,15 +439,16 @@ def _(v: Views):
     d = model_matrix(v).na.fill(0.0)
     cols = model.available(d, model.TECHNICAL)
     fit = model.scaler(d.where("split = 'train'"), cols)
-    trees = model.boosted_trees(model.scale(d.where("split <> 'test'"), fit), cols, rounds=20, depth=4, val=F.col("split") == "val")
+    cfg = Config()
+    trees = model.boosted_trees(model.scale(d.where("split <> 'test'"), fit), cols, cfg.boost_rounds, cfg.boost_depth, cfg.boost_rate, val=F.col("split") == "val")
     fresh = v.spark.createDataFrame([("AAPL", 0.5)], "ticker string, avg_sentiment double")
     return out(model.score_latest(d, fresh, trees, cols, fit))
 
 
 @query("walk_forward_trees")
 def _(v: Views):
-    d = model_matrix(v).na.fill(0.0)
-    rows = model.walk_forward_trees(d, model.available(d, model.TECHNICAL), rounds=20, depth=4)
+    d, cfg = model_matrix(v), Config()
+    rows = model.walk_forward_trees(d, model.available(d, model.TECHNICAL), rounds=cfg.boost_rounds, depth=cfg.boost_depth, rate=cfg.boost_rate)
     kind = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("accuracy", T.DoubleType()), T.StructField("f1_weighted", T.DoubleType())])
     return v.spark.createDataFrame([tuple(r.values()) for r in rows], kind)
 

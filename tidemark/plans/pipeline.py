@@ -96,14 +96,14 @@ def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars
 
 
 def train_stage(fused: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Test rows that have a whole sequence, with the trees' probability, the network's, and the ensemble's answer."""
+    """Test rows that have a whole sequence, with the trees' probability, the recurrent model's, and the ensemble's answer."""
     d = market.time_split(fused.na.fill(0.0), cfg.train, cfg.val)
     cols = model.available(d, model.SENTIMENT)
     d = model.finite(d.where("target IS NOT NULL"), cols)
     fit = model.scaler(d.where("split = 'train'"), cols)
     d = model.scale(d, fit)
     trees = model.boosted_trees(d.where("split <> 'test'"), cols, cfg.boost_rounds, cfg.boost_depth, cfg.boost_rate, val=F.col("split") == "val")
-    test = model.probability_up(trees, model.sequence_probability(d, cols, "p2"), "p1")
+    test = model.probability_up(trees, model.recurrent_probability(d, cols, "p2"), "p1")
     e = model.ensemble(F.col("p1"), F.col("p2"), cfg.up, cfg.down)
     return test.withColumns(e)
 

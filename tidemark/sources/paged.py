@@ -14,8 +14,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Seconds to wait after "too many requests" and after other failures, times the attempt; rows of a page.
 LIMITED, FAILED, PAGE = 15.0, 2.0, 100
@@ -66,8 +68,9 @@ def pages(get: Callable[[str], tuple[int, str]], template: str, listing: str, li
 
 def candidates(symbol: str) -> list[str]:
     """The symbol, then the same share's symbols at other exchanges."""
-    end = next((e for e in ENDINGS if symbol.upper().endswith(e)), None)
-    return [symbol] if end is None else [symbol, *[symbol[: -len(end)] + e for e in ENDINGS[end]]]
+    symbol = symbol.strip().upper()
+    end = next((e for e in ENDINGS if symbol.endswith(e)), None)
+    return [symbol] if end is None else [symbol, *[symbol.replace(end, e) for e in ENDINGS[end]]]
 
 
 def first_quote(get: Callable[[str], tuple[int, str]], template: str, symbol: str, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str] | None:
@@ -79,6 +82,19 @@ def first_quote(get: Callable[[str], tuple[int, str]], template: str, symbol: st
     return None
 
 
+def fetch_each(rows: DataFrame, template: str, tries: int = 3) -> DataFrame:
+    """``rows`` and the body of each one's own address (``template`` with its columns in braces) as ``value``; rows without an
+    answer go. Requests are made where the rows are, one after the other in a task."""
+    schema = StructType([*rows.schema.fields, StructField("value", StringType())])
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            urls = [template.format(**{k: urllib.parse.quote(str(x)) for k, x in r.items()}) for r in b.to_dict("records")]
+            yield b.assign(value=[patient(fetch, u, tries) for u in urls]).dropna(subset=["value"])
+
+    return rows.mapInPandas(get, schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], kind: str):
         self.options, self.kind = options, kind

@@ -87,27 +87,39 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: str, prefer: str | N
     return out.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema).fields])
 
 
-_COMMENT = "struct<id:string,author:string,body:string,ups:double,created_utc:double>"
-_POST = f"struct<id:string,author:string,title:string,selftext:string,ups:double,downs:double,upvote_ratio:double,created_utc:double,subreddit:string,link_flair_text:string,comments:array<{_COMMENT}>>"
-LISTING = f"struct<data:struct<after:string,children:array<struct<data:{_POST}>>>>"
+#: Kinds of a listing's items, and what stands for an account or a text that is gone.
+POST, COMMENT, GONE = "t3", "t1", ("[deleted]", "[removed]")
+#: Comments asked for with a post.
+COMMENTS = 50
+_COMMENT = "struct<id:string,author:string,body:string,score:double,created_utc:double>"
+_POST = "struct<id:string,author:string,title:string,selftext:string,score:double,upvote_ratio:double,created_utc:double,subreddit:string,link_flair_text:string,removed_by_category:string>"
+_PAGE = "struct<data:struct<after:string,children:array<struct<kind:string,data:{}>>>>"
+LISTING, REPLIES = _PAGE.format(_POST), f"array<{_PAGE.format(_COMMENT)}>"
 
 
 def read_listing(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Posts of JSON listing pages (one page a row), with their comments as an array."""
+    """Posts of JSON listing pages (one page a row): no other kinds of items, no removed posts, none of a deleted account. Votes
+    are the score, 0 where a page has none; votes against it are not known."""
     page = F.from_json(column, LISTING)
-    p = raw.select(F.explode(page["data"]["children"]).alias("c")).select("c.data.*")
-    text = F.trim(F.concat_ws(" ", "title", "selftext"))
+    p = raw.select(F.explode(page["data"]["children"]).alias("c")).where(F.col("c.kind") == POST).select("c.data.*")
+    p = p.where((F.coalesce("removed_by_category", F.lit("")) == "") & F.col("author").isNotNull() & (F.col("author") != GONE[0]))
+    text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit(""))))
     return p.select(
-        "id", F.lit("reddit").alias("source"), "subreddit", F.lit("post").alias("type"), "author", text.alias("text"), F.col("ups").alias("upvotes"),
-        F.col("downs").alias("downvotes"), "upvote_ratio", F.col("link_flair_text").alias("post_flair"), F.timestamp_seconds("created_utc").alias("timestamp_utc"), "comments",
+        "id", F.lit("reddit").alias("source"), "subreddit", F.lit("post").alias("type"), "author", text.alias("text"), F.coalesce("score", F.lit(0.0)).alias("upvotes"),
+        F.lit(None).cast("double").alias("downvotes"), "upvote_ratio", F.col("link_flair_text").alias("post_flair"), F.timestamp_seconds("created_utc").alias("timestamp_utc"),
     )
 
 
-def comments_of(posts: DataFrame) -> DataFrame:
-    """One row for each first-level comment that was not deleted."""
-    c = posts.select("subreddit", F.explode("comments").alias("c")).select("subreddit", "c.*")
-    c = c.where(F.col("body").isNotNull() & ~F.lower(F.trim("body")).isin("[deleted]", "[removed]", ""))
-    return c.select("id", F.lit("reddit").alias("source"), "subreddit", F.lit("comment").alias("type"), "author", F.col("body").alias("text"), F.col("ups").alias("upvotes"), F.timestamp_seconds("created_utc").alias("timestamp_utc"))
+def read_comments(raw: DataFrame, column: str = "value", most: int = COMMENTS) -> DataFrame:
+    """First-level comments of posts' own pages (subreddit, one page a row: the post, then its comments): of a page's first
+    ``most`` items those that are comments and have a text that was not taken away."""
+    page = F.from_json(column, REPLIES)
+    c = raw.select("subreddit", F.explode(F.slice(F.get(page, F.lit(1))["data"]["children"], 1, most)).alias("c")).where(F.col("c.kind") == COMMENT).select("subreddit", "c.data.*")
+    c = c.withColumn("body", F.trim("body")).where(~F.col("body").isin("", *GONE))
+    return c.select(
+        F.coalesce("id", F.lit("")).alias("id"), F.lit("reddit").alias("source"), "subreddit", F.lit("comment").alias("type"), F.coalesce("author", F.lit(GONE[0])).alias("author"), F.col("body").alias("text"),
+        F.coalesce("score", F.lit(0.0)).alias("upvotes"), F.timestamp_seconds("created_utc").alias("timestamp_utc"),
+    )
 
 
 def read_feed(spark: SparkSession, path: str, market: str = "US", pulled=None) -> DataFrame:
