@@ -78,7 +78,7 @@ def test_training_learns_and_is_a_plain_loop(spark):
     how = {"hidden": 8, "epochs": 3, "batch": 200, "drop": 0.0, "rate": 0.02}
     net = recurrent.train(_frame(spark, x, y), _frame(spark, vx, vy), **how)
     w, adam, best = recurrent.begin(net.shape), None, (np.inf, None)
-    adam = recurrent.Adam(len(w), 0.02)
+    adam = recurrent.Adam(len(w), 0.02, recurrent.DECAY, recurrent.CLIP)
     history = []
     for _ in range(3):
         for i in range(0, 700, 200):

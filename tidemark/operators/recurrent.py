@@ -1,8 +1,7 @@
 """A recurrent direction model: two LSTM layers over a sequence of bars, trained by back-propagation through time.
 
 The driver keeps the weights and Adam's moments (some 60,000 numbers). Sequences are stored once, numbered in time order and dealt into
-mini-batches. A step sends the weights to the tasks that hold its batch; each adds up the gradients of its rows, in Arrow batches
-of ``ROWS``, into one row; sums of many tasks are added ``FAN`` at a time, level by level, before the driver gets them. A task that
+mini-batches. A step sends the weights to the tasks that hold its batch, and ``descent`` adds their gradients up in levels. A task that
 is repeated gives the same gradient: what is dropped out depends on the seed, the step and the row's number.
 
 A step has ``batch`` sequences, or as many more as let an epoch have at most ``STEPS`` steps: each is a Spark job, so a larger
@@ -23,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from ..storage import forget, numbered, store
+from . import descent
+from .descent import ROWS, Adam, tasks_of
 
 #: Hidden units, units between them and the two classes, share dropped out, epochs, sequences of a step, learning rate,
 #: weight decay, largest norm of a gradient, epochs without a better loss before the rate falls and before training ends.
 HIDDEN, DENSE, DROP, EPOCHS, BATCH, RATE, DECAY, CLIP, FALL, PATIENCE = 64, 32, 0.3, 30, 256, 1e-3, 1e-4, 1.0, 3, 7
-#: Rows of a task at once, tasks whose sums are added at once, steps of an epoch at most.
-ROWS, FAN, STEPS = 256, 16, 8
+#: Steps of an epoch at most.
+STEPS = 8
 
 
 class Shape(NamedTuple):
@@ -138,58 +138,19 @@ def loss_and_gradient(flat: np.ndarray, shape: Shape, x: np.ndarray, y: np.ndarr
     return loss, packed(g, shape), q[:, 1]
 
 
-class Adam:
-    """The update with decay added to the gradient, which is cut to a largest norm before."""
-
-    def __init__(self, n: int, rate: float = RATE):
-        self.rate, self.m, self.v, self.t = rate, np.zeros(n), np.zeros(n), 0
-
-    def step(self, w: np.ndarray, g: np.ndarray) -> np.ndarray:
-        g = g * min(1.0, CLIP / (np.linalg.norm(g) + 1e-6)) + DECAY * w
-        self.t += 1
-        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
-        return w - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
 def _matrix(col: pa.Array, shape: Shape) -> np.ndarray:
     return np.asarray(col.flatten().flatten().cast(pa.float64())).reshape(len(col), shape.steps, shape.features)
 
 
-_SUMS = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("loss", pa.float64()), ("gradient", pa.list_(pa.float64()))])
-SUMS = "part long, n long, loss double, gradient array<double>"
-
-
-def _sums(batches: Iterator[pa.RecordBatch], weights, shape: Shape, drop: float, key: list[int] | None, gradient: bool) -> Iterator[pa.RecordBatch]:
-    n, loss, total = 0, 0.0, np.zeros(len(weights.value) if gradient else 0)
-    for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            c = b.slice(i, ROWS)
-            own = None if key is None else [*key, c.column(2)[0].as_py()]
-            one, g, _ = loss_and_gradient(weights.value, shape, _matrix(c.column(0), shape), np.asarray(c.column(1), np.int64), drop, own, gradient)
-            n, loss = n + c.num_rows, loss + one
-            if gradient:
-                total += g
-    if n:
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "n": n, "loss": loss, "gradient": total}], _SUMS)
-
-
-def _added(t: pa.Table) -> pa.Table:
-    rows = sorted(t.to_pylist(), key=lambda r: r["part"])  # always in one order, so sums come out the same
-    g = np.sum([r["gradient"] for r in rows], axis=0)
-    return pa.Table.from_pylist([{"part": rows[0]["part"] // FAN, "n": sum(r["n"] for r in rows), "loss": sum(r["loss"] for r in rows), "gradient": g}], _SUMS)
+def summed(rows: DataFrame, tasks: int, weights: np.ndarray, shape: Shape, drop: float = DROP, key: list[int] | None = None, gradient: bool = True) -> tuple[float, float, np.ndarray]:
+    """(rows, loss, gradient) of (seq, target, row): sums, however many tasks they come from."""
 
+    def loss(w: np.ndarray, b: pa.RecordBatch) -> tuple[float, float, np.ndarray | None]:
+        own = None if key is None else [*key, b.column(2)[0].as_py()]
+        total, g, _ = loss_and_gradient(w, shape, _matrix(b.column(0), shape), np.asarray(b.column(1), np.int64), drop, own, gradient)
+        return b.num_rows, total, g
 
-def summed(rows: DataFrame, tasks: int, weights: np.ndarray, shape: Shape, drop: float = DROP, key: list[int] | None = None, gradient: bool = True) -> tuple[int, float, np.ndarray]:
-    """(rows, loss, gradient) of (seq, target, row): sums, however many tasks they come from."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
-    level = rows.select("seq", "target", "row").mapInArrow(lambda it: _sums(it, sent, shape, drop, key, gradient), SUMS)
-    while tasks > FAN:
-        level = level.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(_added, SUMS)
-        tasks = -(-tasks // FAN)
-    got = sorted(level.collect(), key=lambda r: r["part"])
-    sent.unpersist()
-    g = np.sum([r["gradient"] for r in got], axis=0) if got else np.zeros(len(weights))
-    return sum(r["n"] for r in got), sum(r["loss"] for r in got), np.asarray(g)
+    return descent.summed(rows.select("seq", "target", "row"), tasks, weights, loss)
 
 
 class Recurrent(NamedTuple):
@@ -198,10 +159,6 @@ class Recurrent(NamedTuple):
     history: list[float]  # validation loss of each epoch
 
 
-def _tasks(df: DataFrame) -> int:
-    return (df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
-
-
 def train(rows: DataFrame, val: DataFrame, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, drop: float = DROP, seed: int = 42, order: tuple[str, ...] = ("ts", "ticker"), steps: int = STEPS) -> Recurrent:
     """A model of ``target`` (0 or 1) from ``seq`` (arrays of steps of features), in time order."""
     # Ties of the order are broken by the sequence, so a repeated run deals the same batches.
@@ -216,9 +173,9 @@ def train(rows: DataFrame, val: DataFrame, hidden: int = HIDDEN, epochs: int = E
     shape = Shape(len(one[0]), len(one), hidden)
     checked = store(val.select("seq", "target", F.lit(0).cast("long").alias("row")), "validation")
     parts = [data.where(F.col("batch") == k) for k in range(count)]
-    tasks, val_tasks = max(_tasks(p) for p in parts[:1]), _tasks(checked)
+    tasks, val_tasks = max(tasks_of(p) for p in parts[:1]), tasks_of(checked)
     w = begin(shape, seed)
-    adam, best, kept, waited, since, history = Adam(len(w), rate), np.inf, w, 0, 0, []
+    adam, best, kept, waited, since, history = Adam(len(w), rate, DECAY, CLIP), np.inf, w, 0, 0, []
     for epoch in range(epochs):
         for k, part in enumerate(parts):
             m, _, g = summed(part, tasks, w, shape, drop, [seed, epoch, k])

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..config import Config
 from ..functions import scalars as sc
 from ..functions import text as tx
-from ..operators import causality, clean, entity, features, fuse, ingest, market, model, score, weight
+from ..operators import causality, classifier, clean, entity, features, fuse, ingest, market, model, score, weight
 from ..schemas import STEP_ALIASES, canonical, coalesce_aliases, union_drifting
 from ..session import shared_dir
 from ..streaming import streams
@@ -446,6 +446,49 @@ def _(v: Views):
     return entity.link(v.said, organisations=names, companies={"Tesla": "GME", "Infosys": "TCS_NS"}).select("id", "ticker")
 
 
+#: Company names are those of the customers and the nations, a nation's with a second word as well.
+_MENTION_WORDS = "'[a-z0-9à-ÿ一-龥]+'"
+
+
+def _named_posts(v: Views) -> DataFrame:
+    """Each post names a customer, a nation, and a nation with a second word, with other signs between the words."""
+    c = v.table("customer").select(F.col("c_custkey").alias("_c"), "c_name")
+    n = v.table("nation").select(F.col("n_nationkey").alias("_n"), "n_name")
+    p = v.posts.withColumns({"_c": F.col("id") % 1500 + 1, "_n": F.col("id") % 25}).join(c, "_c", "left").join(F.broadcast(n), "_n")
+    return p.select("id", F.concat_ws(" ", "text", F.lit("by"), F.upper("n_name"), F.lit("and"), "n_name", F.lit("- Trading,"), F.regexp_replace("c_name", "#", " / "), F.lit("tradings")).alias("text"))
+
+
+@query("company_mentions", f""", cc AS (SELECT c_name AS company, 'C' || c_custkey AS ticker FROM customer UNION ALL SELECT n_name, 'N' || n_nationkey FROM nation UNION ALL SELECT n_name || ' trading', 'T' || n_nationkey FROM nation),
+c AS (SELECT array_to_string(regexp_extract_all(lower(company), {_MENTION_WORDS}), ' ') AS name, min(ticker) AS ticker, min(len(regexp_extract_all(lower(company), {_MENTION_WORDS}))) AS n FROM cc GROUP BY 1),
+p AS (SELECT id, regexp_extract_all(lower(posts.text || ' by ' || upper(n_name) || ' and ' || n_name || ' - Trading, ' || coalesce(replace(c_name, '#', ' / ') || ' ', '') || 'tradings'), {_MENTION_WORDS}) AS w FROM posts JOIN nation ON id % 25 = n_nationkey LEFT JOIN customer ON id % 1500 + 1 = c_custkey),
+r AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+h AS (SELECT r.id, r.i, max(c.n) AS n, arg_max(c.ticker, c.n) AS ticker FROM r JOIN (SELECT unnest(range(1, 6)) AS k) ks ON r.i + k - 1 <= len(w) JOIN c ON c.n = k AND c.name = array_to_string(w[r.i:r.i + k - 1], ' ') GROUP BY 1, 2),
+m AS (SELECT id, list({{'i': i, 'n': n, 't': ticker}} ORDER BY i) AS a FROM h GROUP BY 1),
+f(id, a, j, free, found) AS (SELECT id, a, 1, 0, []::VARCHAR[] FROM m UNION ALL SELECT id, a, j + 1, CASE WHEN a[j].i >= free THEN a[j].i + a[j].n ELSE free END, CASE WHEN a[j].i >= free THEN list_append(found, a[j].t) ELSE found END FROM f WHERE j <= len(a))
+SELECT id, array_to_string(found, ',') AS organisations FROM f WHERE j = len(a) + 1""", "posts")
+def _(v: Views):
+    c = v.table("customer").select(F.col("c_name").alias("company"), F.concat(F.lit("C"), "c_custkey").alias("ticker"))
+    n = v.table("nation")
+    c = c.union(n.select("n_name", F.concat(F.lit("N"), "n_nationkey"))).union(n.select(F.concat("n_name", F.lit(" trading")), F.concat(F.lit("T"), "n_nationkey")))
+    return entity.mentions(_named_posts(v), c).select("id", F.array_join("organisations", ",").alias("organisations"))
+
+
+@query("sentiment_classifier")
+def _(v: Views):
+    """The class report over held-out texts of the classifier trained on the labelled documents, after its model was stored and read."""
+    labelled = v.labelled_texts
+    classifier.save(v.spark, classifier.train(labelled), at := f"{_folder(v)}/sentiment")
+    held = classifier.held_out(classifier.prepared(labelled)).where("held_out")
+    s = classifier.scorer(v.spark, classifier.load(v.spark, at))(F.col("text"))
+    return out(model.class_report(held.withColumn("said", s["sentiment_numeric"] + 1), "y", "said"))
+
+
+@query("score_trained")
+def _(v: Views):
+    s = classifier.scorer(v.spark, classifier.train(v.labelled_texts))
+    return out(score.score_posts(v.said, scorer=s), "id", "sentiment_label", "sentiment_numeric", "sentiment_confidence", "is_uncertain")
+
+
 @query("resolve_company", """SELECT p_partkey, CASE lower(trim(name)) WHEN 'red widget' THEN 'REDW' WHEN 'blue bolt' THEN 'BLUB' WHEN 'small ring' THEN 'SMRG'
   ELSE CASE WHEN regexp_full_match(upper(regexp_replace(trim(name), '[- ]', '', 'g')), '\\p{L}{1,6}') THEN upper(regexp_replace(trim(name), '[- ]', '', 'g')) END END AS ticker
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'br' || chr(97 + (p_partkey % 26)::INT) || '-' || p_size ELSE CASE WHEN p_partkey % 3 = 1 THEN ' brk-' || chr(97 + (p_partkey % 26)::INT) ELSE p_name END END AS name FROM part)""")

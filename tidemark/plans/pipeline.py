@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import causality, clean, entity, features, fuse, market, model, score, weight
+from ..operators import causality, classifier, clean, entity, features, fuse, market, model, score, weight
 from ..schemas import coalesce_aliases, union_drifting
 
 #: What each stage needs before it.
@@ -20,9 +20,10 @@ NEEDS = {"1A": (), "1B": ("1A",), "1C": ("1B",), "2A": (), "2B": ("1C", "2A"), "
 FULL, QUICK = tuple(NEEDS), ("1A", "1B", "1C")
 
 
-def preprocess(posts: DataFrame, cfg: Config = Config(), sarcasm=score.irony, organisations=None, companies: dict[str, str] | None = None) -> DataFrame:
+def preprocess(posts: DataFrame, cfg: Config = Config(), sarcasm=score.irony, organisations=None, companies: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Bots, spam, sarcasm, tickers, credibility, in this order. ``sarcasm`` turns a text column into a score (``score.irony``, or
-    ``score.probability_scorer`` around a model); ``organisations`` into an array of names that are looked up in ``companies``."""
+    ``score.probability_scorer`` around a model); ``organisations`` into an array of names that are looked up in ``companies``, or
+    ``companies`` is a table of names, of any size, that are looked for in the texts."""
     p = coalesce_aliases(posts)
     p = p.withColumns({"author": F.coalesce("author", F.lit("[unknown]")), "timestamp_utc": F.col("timestamp_utc").try_cast("timestamp"), "upvotes": F.col("upvotes").try_cast("double")})
     if "id" not in p.columns:
@@ -59,8 +60,9 @@ def market_stage(bars: DataFrame, earnings: DataFrame | None = None, vix: DataFr
     return market.add_target(t, cfg.target_threshold, cfg.drop_neutral)
 
 
-def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars: DataFrame | None = None, news: DataFrame | None = None, earnings=None, vix=None, cfg: Config = Config(), scorer=score.lexicon) -> dict[str, DataFrame]:
-    """The asked stages and what they need, as lazy tables by stage."""
+def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars: DataFrame | None = None, news: DataFrame | None = None, earnings=None, vix=None, cfg: Config = Config(), scorer=None, labelled: DataFrame | None = None, companies: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The asked stages and what they need, as lazy tables by stage. Without a ``scorer`` one is trained from ``labelled`` (text,
+    label); without both the word list scores."""
     wanted: list[str] = []
 
     def need(s: str) -> None:
@@ -74,8 +76,10 @@ def run_stages(spark: SparkSession, stages, posts: DataFrame | None = None, bars
     out: dict[str, DataFrame] = {}
     for s in wanted:
         if s == "1A":
-            out[s] = preprocess(posts if news is None else union_drifting(posts, news), cfg)
+            out[s] = preprocess(posts if news is None else union_drifting(posts, news), cfg, companies=companies)
         elif s == "1B":
+            if scorer is None:
+                scorer = score.lexicon if labelled is None else classifier.scorer(spark, classifier.train(labelled))
             out[s] = score_stage(out["1A"], cfg, scorer)
         elif s == "1C":
             out[s] = features.sentiment_features(out["1B"], freq=cfg.freq, lags=cfg.lags)
@@ -144,7 +148,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     v = Views(spark, o.data)
     run = uuid.uuid4().hex[:12]
-    for name, df in run_stages(spark, stages, v.posts.drop("ticker", "sentiment_numeric", "sentiment_confidence", "user_credibility").withColumn("text", F.concat("text", F.lit(" apple"))), v.bars, earnings=v.earnings).items():
+    for name, df in run_stages(spark, stages, v.posts.drop("ticker", "sentiment_numeric", "sentiment_confidence", "user_credibility").withColumn("text", F.concat("text", F.lit(" apple"))), v.bars, earnings=v.earnings, labelled=v.labelled_texts, companies=v.companies).items():
         print(name, write_run(df, f"{o.out.rstrip('/')}/{name}", run))
 
 

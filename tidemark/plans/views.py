@@ -98,6 +98,12 @@ class Views:
     def labelled(self) -> DataFrame:
         return self.table("labels").join(self.table("documents"), "doc_id").select("doc_id", "source", "lang", F.col("quality").alias("label"), "toxic")
 
+    @cached_property
+    def labelled_texts(self) -> DataFrame:
+        """Labelled documents as texts with a sentiment: toxic ones negative, good ones positive, the others neutral."""
+        label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+        return self.table("labels").join(self.table("documents"), "doc_id").select("text", label.alias("label"))
+
     @cached_property
     def vix(self) -> DataFrame:
         e = self.events.where("event_type = 'error'")
