@@ -311,6 +311,9 @@ def test_mix_odd_cases(spark):
     assert mixing.mix(empty_docs(spark)).count() == 0
     e = mixing.emit(docs)
     assert e.columns == docs.columns and all(v <= 4 for v in Counter(x.doc_id for x in e.collect()).values())
+    lost = odd_docs(spark, [(None, f"text number {i} of some words", "en", "a") for i in range(200)] + [(1, "one", "en", "a"), (2, None, "en", None)])
+    taken = Counter(x.text for x in mixing.emit(lost).where("doc_id IS NULL").collect())
+    assert 90 <= len(taken) and abs(sum(taken.values()) - 300) <= 10 and max(taken.values()) <= 2  # each on its own, near the target
 
 
 def test_classifier_learns_and_is_fair(spark, sf_dir):
@@ -324,6 +327,15 @@ def test_classifier_learns_and_is_fair(spark, sf_dir):
     assert np.array_equal(w, quality.train(docs.select("doc_id", "text"), other))
 
 
+def test_labels_of_other_documents_use_up_no_place(spark):
+    docs = odd_docs(spark, [(i, "good words here" if i % 2 else "bad things there", "en", "a") for i in range(100)])
+    labels = [(i, i % 2, 0) for i in range(100)]
+    other = [(i, i % 2, 0) for i in range(1000, 3000)]
+    kind = "doc_id long, quality int, toxic int"
+    alone = quality.train(docs, spark.createDataFrame(labels, kind), rows=60)
+    assert alone.any() and np.array_equal(quality.train(docs, spark.createDataFrame(labels + other, kind), rows=60), alone)
+
+
 def test_classifier_odd_cases(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (7, 0)], "doc_id long, quality int")

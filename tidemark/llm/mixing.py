@@ -95,13 +95,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", weights=WEIG
 
 
 def emit(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows with one id and source are taken together."""
-    m = mix(docs, seed=seed, together=True).select(F.col("id").alias("_id"), F.col("source").alias("_source"), "copies")
-    m = store(m.where("copies > 0"), "copies")
+    """The rows of ``docs``, each as often as the mix takes it; rows with one id and source are taken together. Rows without an id
+    are told apart by their texts: those with one text and source are taken together."""
+    own = "_mix" + "_" * max(len(c) for c in docs.columns)  # names no column has
+    # What stands for a missing id is below every id in use.
+    stand_in = -F.abs(F.xxhash64(F.coalesce("text", F.lit(""))) % (1 << 62)) - (1 << 62)
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    m = mix(keyed.select(F.col(own).alias("doc_id"), "source", "text"), seed=seed, together=True)
+    m = store(m.where("copies > 0").select(F.col("id").alias(f"{own}i"), F.col("source").alias(f"{own}s"), F.col("copies").alias(f"{own}c")), "copies")
     n = m.limit(BROADCAST_IDS + 1).count()
     m = F.broadcast(m) if n <= BROADCAST_IDS else m
-    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    out = keyed.join(m, (F.col(own) == F.col(f"{own}i")) & F.col("source").eqNullSafe(F.col(f"{own}s")))
+    return out.withColumn(f"{own}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

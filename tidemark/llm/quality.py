@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> np.ndarray:
     """The weights, learned from at most ``rows`` labelled documents that are not held out."""
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")).withColumn("at", F.xxhash64("doc_id"))
+    y = y.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of other documents use up no place
     y = store(y.orderBy("at", "doc_id").limit(rows), "sample")
     d = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
     d = d.groupBy("doc_id", "at", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("at", "y", "text")
