@@ -30,6 +30,23 @@ def posts_last_hour(author: str, ts: str, what: str) -> Column:
     return F.count(what).over(w)
 
 
+def hourly_counts(posts: DataFrame, which: str, author: str, ts: str, what: str, out: str) -> DataFrame:
+    """``posts`` and, where ``which`` holds, the posts of the author in (t - 1 hour, t] that have ``what``; else null. An author's
+    hours are counted apart, each with the hour before it as well, of which only times are sent: one who wrote half of all posts is
+    spread over as many tasks as there are hours."""
+    cols, kinds = posts.columns, dict(posts.dtypes)
+    # Rows that are not counted are of no author and spread by their time.
+    hour = F.when(F.col(which), F.floor(F.unix_micros(ts) / 3_600_000_000)).otherwise(F.xxhash64(ts))
+    key = F.when(F.col(which), F.col(author)).otherwise(F.lit(None).cast(kinds[author]))
+    row = lambda own, at, put: F.struct(F.lit(own).alias("_own"), at.alias("_hour"), F.unix_micros(ts).alias("_t"), F.col(what).isNotNull().cast("long").alias("_has"), key.alias("_key"), *[put(c).alias(c) for c in cols])
+    own = row(True, hour, F.col)
+    before = row(False, hour + 1, lambda c: F.lit(None).cast(kinds[c]))
+    e = posts.select(F.explode(F.when(F.col(which), F.array(own, before)).otherwise(F.array(own))).alias("_r")).select("_r.*")
+    w = Window.partitionBy("_key", "_hour").orderBy("_t").rangeBetween(-3_599_999_999, 0)
+    e = e.withColumn(out, F.when(F.col(which), F.sum("_has").over(w))).where("_own")
+    return e.select(*cols, out)
+
+
 def suspicious_name(author: Column) -> Column:
     u = F.trim(author)
     digits = F.length(F.regexp_replace(u, "[^0-9]", ""))
@@ -42,20 +59,22 @@ def flag_bots(posts: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
     p = posts.where(F.col(ts).isNotNull())
     live = is_live(F.col("source"))
     named = live & ~is_placeholder(F.col("author"))
-    # Rows that no rule counts get a key of their own, so they never gather in one task.
-    p = p.withColumn("_author", F.when(named, F.col("author")).otherwise(F.concat(F.lit("\x00"), F.col("id"))))
-    count = F.when(named, posts_last_hour("_author", ts, "text"))
-    p = p.withColumn("post_count_last_hour", count)
-    p = p.withColumn("text_hash", tx.text_hash(F.col("text")))
-    same = Window.partitionBy("source", "_author", "text_hash")
-    span = F.max(F.unix_micros(ts)).over(same) - F.min(F.unix_micros(ts)).over(same)
-    burst = named & (F.count("*").over(same) >= COPIES) & (span <= SPAN * 1_000_000)
+    p = p.withColumns({"_named": named, "text_hash": tx.text_hash(F.col("text"))})
+    p = hourly_counts(p, "_named", "author", ts, "text", "post_count_last_hour")
+    # Copies are counted where they are read and joined back: no task holds all copies of a text.
+    same = ["source", "author", "text_hash"]
+    span = F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))
+    found = p.where("_named").groupBy(*same).agg((span <= SPAN * 1_000_000).alias("_short"), F.count("*").alias("_n")).where((F.col("_n") >= COPIES) & F.col("_short"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in same])
+    at = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    p = p.join(found, at[0] & at[1] & at[2] & F.col("_named"), "left")
+    burst = F.col("_source").isNotNull()
     p = p.withColumns({
         "freq_bot": F.coalesce(F.col("post_count_last_hour") > RATE, F.lit(False)),
         "username_bot": live & suspicious_name(F.col("author")),
         "duplicate_bot": F.coalesce(burst, F.lit(False)),
     })
-    return p.withColumn("is_bot", F.col("freq_bot") | F.col("username_bot") | F.col("duplicate_bot")).drop("_author")
+    return p.withColumn("is_bot", F.col("freq_bot") | F.col("username_bot") | F.col("duplicate_bot")).drop("_named", *[f"_{c}" for c in same])
 
 
 def vote_gate(posts: DataFrame, votes: str = "upvotes") -> DataFrame:

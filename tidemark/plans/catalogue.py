@@ -1044,12 +1044,14 @@ def _(v: Views):
     return out(_drained(v, streams.author_rate_exact(live.posts), path))
 
 
-@query("stream_bursts", """, g AS (SELECT *, CASE WHEN timestamp_utc < lag(timestamp_utc) OVER w + INTERVAL 45 MINUTE THEN 0 ELSE 1 END AS fresh FROM posts WINDOW w AS (PARTITION BY source, author ORDER BY timestamp_utc)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY source, author ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT source, author, md5(source) AS text_hash, floor(epoch(min(timestamp_utc)))::BIGINT AS start, count(*) AS copies FROM s GROUP BY source, author, n HAVING max(timestamp_utc) + INTERVAL 45 MINUTE <= (SELECT max(timestamp_utc) - INTERVAL 1 HOUR FROM posts) AND count(*) >= 1""", "posts")
+@query("stream_bursts", """, g AS (SELECT *, CASE WHEN timestamp_utc <= lag(timestamp_utc) OVER w + INTERVAL 2700 SECOND THEN 0 ELSE 1 END AS fresh FROM posts WINDOW w AS (PARTITION BY source ORDER BY timestamp_utc)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT source, 'crowd' AS author, md5(source) AS text_hash, floor(epoch(min(timestamp_utc)))::BIGINT AS start, floor(epoch(max(timestamp_utc)))::BIGINT AS end, count(*) AS copies FROM s GROUP BY source, n
+HAVING epoch_ms(max(timestamp_utc)) + 2700000 < epoch_ms((SELECT max(timestamp_utc) FROM posts)) - 3600000 AND count(*) >= 4 AND max(timestamp_utc) - min(timestamp_utc) <= INTERVAL 2700 SECOND""", "posts")
 def _(v: Views):
     live, path = _stream(v)
-    return out(_drained(v, streams.bursts(live.posts.withColumn("text_hash", tx.text_hash(F.col("source"))), least=1), path))
+    p = live.posts.withColumns({"author": F.lit("crowd"), "text_hash": tx.text_hash(F.col("source"))})
+    return out(_drained(v, streams.bursts(p), path))
 
 
 _CLOSED_WINDOWS = "c AS (SELECT ticker, window_start, avg_sentiment FROM windows WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(timestamp_utc) FROM posts))"

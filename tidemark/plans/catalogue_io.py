@@ -15,12 +15,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import scalars as sc
 from ..operators import clean, ingest, model, score
 from ..schemas import plain_headers, require, role_column
 from ..sources import paged, readers, sinks
+from ..streaming import streams
 from .catalogue import _folder, bit, model_matrix, out, query, r9, sec
 from .views import Views
 
@@ -214,6 +216,29 @@ def _(v: Views):
     return out(readers.read_listing(raw), *_LISTING_COLUMNS)
 
 
+@query("polled_source", _LISTED, "posts")
+def _(v: Views):
+    """The listing as a stream, polled at two times: first its older half is there, then all of it; every post comes once."""
+    paged.register(v.spark)
+    at = _folder(v)
+    url = _address(at) + "/{listing}/{after}.json"
+    half = v.posts.agg(F.percentile_approx(F.unix_micros("timestamp_utc"), 0.5)).first()[0]
+    for rows in (v.posts.where(F.unix_micros("timestamp_utc") <= half), v.posts):
+        # Newest first, numbered by the seconds of the posts, some hundred to a page.
+        n = F.floor(F.unix_seconds("timestamp_utc") / 40_000)
+        p = rows.groupBy(n.alias("n")).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("timestamp_utc").alias("t"), "id", _post(v).alias("x"))), asc=False).alias("rows"))
+        order = Window.orderBy(F.desc("n"))  # over one number for each page
+        follows = rows.select(n.alias("n")).distinct().withColumns({"page": F.row_number().over(order), "after": F.lead("n").over(order)})
+        p = p.join(follows, "n")
+        name = F.when(F.col("page") == 1, "market/.json").otherwise(F.concat(F.lit("market/"), F.col("n").cast("string"), F.lit(".json")))
+        page = F.struct(F.struct(F.col("after").cast("string").alias("after"), F.transform("rows", lambda r: r["x"]).alias("children")).alias("data"))
+        write_texts(p.select(name.alias("name"), F.to_json(page).alias("value")), at)
+        live = v.spark.readStream.format("paged_listing").options(of='["market"]', url=url).load()
+        streams.run_available(live, f"{at}/out", f"{at}/state")
+    raw = v.spark.read.schema("listing string, page int, value string").parquet(f"{at}/out")
+    return out(readers.read_listing(raw), *_LISTING_COLUMNS)
+
+
 @query("comments_source", _REPLIED, "posts")
 def _(v: Views):
     at = _folder(v)

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Seconds to wait after "too many requests" and after other failures, times the attempt; rows of a page.
@@ -113,8 +113,62 @@ class _Reader(DataSourceReader):
                 yield one, *got
 
 
+def place_of(item: dict) -> str:
+    """What items of a listing are ordered by: their second, then their id."""
+    data = item.get("data") or {}
+    return f"{round(float(data.get('created_utc') or 0) * 1000):015d}|{data.get('id') or ''}"
+
+
+class _Polls(DataSourceStreamReader):
+    """Offsets are the newest item of every listing; a batch has the items after its start up to its end, so a batch that is run
+    again has the same items, and none comes twice.
+
+    A listing whose first page does not come stays where it is; before anything is known of it that is an error, as no offset
+    would be right."""
+
+    def __init__(self, options: dict[str, str], get: Callable[[str], tuple[int, str]] = fetch):
+        self.url, self.of, self.get = options["url"], json.loads(options["of"]), get
+        self.limit, self.tries = int(options.get("limit", "1000000000")), int(options.get("tries", "3"))
+        self.known: dict[str, str] = {}
+
+    def initialOffset(self) -> dict:
+        return {x: "" for x in self.of}
+
+    def latestOffset(self) -> dict:
+        for x in self.of:
+            url = self.url.format(listing=urllib.parse.quote(x), after="", limit=PAGE)
+            body = patient(self.get, url, self.tries)
+            if body is not None:
+                self.known[x] = max([self.known.get(x, ""), *map(place_of, json.loads(body)["data"].get("children") or [])])
+            elif x not in self.known:
+                raise OSError(f"no page of {x}")
+        return dict(self.known)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        for x, at in start.items():
+            self.known[x] = max(at, self.known.get(x, ""))
+        return [InputPartition((x, start.get(x, ""), at)) for x, at in end.items() if at > start.get(x, "")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Pages from the newest item on, with the batch's items only, until a page is older than the start."""
+        listing, start, end = partition.value
+        for n, body in enumerate(pages(self.get, self.url, listing, self.limit)):
+            page = json.loads(body)
+            places = [(place_of(x), x) for x in page["data"]["children"]]
+            own = [x for at, x in places if start < at <= end]
+            if own:
+                page["data"]["children"] = own
+                yield listing, n, json.dumps(page)
+            if all(at <= start for at, _ in places):
+                return
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class PagedListing(DataSource):
-    """``of``: a JSON list of listings; ``url``: an address with {listing}, {after}, {limit}; ``limit``: items of each listing."""
+    """``of``: a JSON list of listings; ``url``: an address with {listing}, {after}, {limit}; ``limit``: items of each listing. As a
+    stream it polls listings that have their newest items first."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,6 +180,9 @@ class PagedListing(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options), "listing")
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Polls(dict(self.options))
+
 
 class Quotes(DataSource):
     """``of``: a JSON list of symbols; ``url``: an address with {symbol}. The ticker stays the symbol that was asked for."""
