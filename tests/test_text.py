@@ -69,3 +69,18 @@ def test_tickers(spark):
 def test_title_and_description(spark):
     df = spark.createDataFrame([("T", "D."), ("T", None), (None, "D")], "t string, d string")
     assert [r[0] for r in df.select(tx.title_and_description(F.col("t"), F.col("d"))).collect()] == ["T. D", "T", "D"]
+
+
+def test_entities_are_those_of_the_published_table(spark):
+    import html.entities
+    import random
+
+    r = random.Random(6)
+    names = list(html.entities.html5)
+    values = [f"&{n}" for n in names] + [f"x&{n.rstrip(';')}y;" for n in names[::3]] + [f"&{n.rstrip(';')}" for n in names[::5]]
+    values += [f"&#{n};" for n in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**40]]
+    values += [f"&#x{n:X}" for n in [0, 1, 13, 0x80, 0x9F, 0x3A9, 0x1F600, 0x10FFFF, 0x110000, 16**20]] + ["&#X3a9;z", "&#0000065;", "&#x000000000041;", "&#", "&#x;", "&;", "&", "& amp;", "&amp", "&ampx", "&notit;", "&notin;", "&\tamp;", "&#65&#66;"]
+    pieces = ["&", "amp", "lt", ";", "#", "x41", "65", "not", "it", "in", " ", "é", "😀", "<", "copy", "\n", "GT"]
+    values += ["".join(r.choice(pieces) for _ in range(r.randrange(1, 12))) for _ in range(1500)]
+    got = run(spark, tx.decode, values)
+    assert [(v, g) for v, g in zip(values, got) if g != html.unescape(v)] == []

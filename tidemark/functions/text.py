@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Entities decoded without Python, the ampersand last.
+#: The commonest entities, the ampersand last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
@@ -18,10 +16,42 @@ def decode_common_entities(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
 
 
-@F.pandas_udf(StringType())
-def decode_entities(s: pd.Series) -> pd.Series:
-    """Every named and numeric entity, in Arrow batches."""
-    return s.map(lambda x: None if x is None else html.unescape(x))
+#: Fixed value: how an entity looks in a text: a number, or up to 32 signs of a name.
+ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+
+
+def _signs(n: Column) -> Column:
+    """The character of a number, by the published rules: numbers of the old western code page mean its characters, no characters
+    are left out, and what is outside of Unicode becomes the sign for that."""
+    old = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+    known = F.create_map(*[F.lit(x) for kv in old.items() for x in kv])
+    control = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n.isin(*old), known[n]).when(control, "").otherwise(own)
+
+
+def _entity(e: Column) -> Column:
+    """What an entity stands for; itself, if nothing."""
+    digits = lambda base: F.regexp_replace(F.regexp_replace(e, "^&#[xX]?0*|;$", ""), "^$", "0")  # noqa: E731,ARG005
+    number = F.when(F.length(digits(10)) <= 7, digits(10).try_cast("int"))
+    hexed = F.when(F.length(digits(16)) <= 7, F.conv(digits(16), 16, 10).try_cast("int"))
+    whole = {f"&{k}": v for k, v in html.entities.html5.items()}
+    # Names that may stand without a semicolon, and so before other letters: of these the longest that fits.
+    open_ = {k: v for k, v in whole.items() if not k.endswith(";")}
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    longest = max(map(len, open_))
+    fits = F.filter(F.transform(F.sequence(F.lit(longest), F.lit(3), F.lit(-1)), lambda n: F.substr(e, F.lit(1), n)), lambda k: k.isin(*open_))
+    head = F.get(fits, F.lit(0))
+    named = F.coalesce(table(whole)[e], F.concat(table(open_)[head], F.substr(e, F.length(head) + 1)), e)
+    return F.when(e.rlike("^&#[xX]"), _signs(hexed)).when(F.startswith(e, F.lit("&#")), _signs(number)).otherwise(named)
+
+
+def decode_entities(c: Column) -> Column:
+    """Every named and numeric entity, with and without semicolon. A text is cut at its entities, each is looked up, and the parts are
+    put together."""
+    parts, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    both = F.zip_with(parts, F.concat(F.transform(found, _entity), F.array(F.lit(""))), lambda p, e: F.concat(p, e))
+    return F.array_join(both, "")
 
 
 def strip_tags(c: Column) -> Column:
@@ -33,8 +63,8 @@ def squeeze(c: Column) -> Column:
 
 
 def decode(c: Column) -> Column:
-    """Every entity; texts without an ampersand are not sent to Python."""
-    return F.coalesce(decode_entities(F.when(F.contains(c, F.lit("&")), c)), c)
+    """Every entity; texts without an ampersand stay as they are."""
+    return F.when(F.contains(c, F.lit("&")), decode_entities(c)).otherwise(c)
 
 
 def clean_a(c: Column, full_entities: bool = True) -> Column:

@@ -1061,7 +1061,7 @@ def _closed(v: Views) -> tuple[DataFrame, str]:
     """Closed windows as a stream of their own, from what the first stream wrote."""
     live, path = _stream(v)
     done = _drained(v, streams.hourly_sentiment(live.scored).select("ticker", "window_start", "avg_sentiment"), path)
-    done.coalesce(1).write.parquet(f"{path}/closed")
+    done.write.parquet(f"{path}/closed")
     return v.spark.readStream.schema(done.schema).parquet(f"{path}/closed"), f"{path}/next"
 
 

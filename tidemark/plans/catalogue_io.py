@@ -32,16 +32,18 @@ def _path(spark: SparkSession, p: str):
     return here, here.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def put(df: DataFrame, path: str, kind: str = "csv", **options) -> str:
-    """One file of this name with all rows."""
+def put(df: DataFrame, path: str, kind: str = "csv", one: bool = False, **options) -> str:
+    """A file for each task, named ``name-0.csv`` and so on for ``name.csv``; what finds them all. Only where the name of a single file
+    is what a query is about, ``one`` task writes it."""
     spark = df.sparkSession
-    df.coalesce(1).write.format(kind).options(**({"header": True, "escape": '"'} | options if kind == "csv" else options)).save(f"{path}.parts")
+    (df.coalesce(1) if one else df).write.format(kind).options(**({"header": True, "escape": '"'} | options if kind == "csv" else options)).save(f"{path}.parts")
     to, fs = _path(spark, path)
     fs.mkdirs(to.getParent())
-    part = next(s.getPath() for s in fs.globStatus(_path(spark, f"{path}.parts/part-*")[0]))
-    fs.rename(part, to)
+    stem, ending = path.rsplit(".", 1)
+    for i, s in enumerate(fs.globStatus(_path(spark, f"{path}.parts/part-*")[0])):
+        fs.rename(s.getPath(), to if one else _path(spark, f"{stem}-{i}.{ending}")[0])
     fs.delete(_path(spark, f"{path}.parts")[0], True)
-    return path
+    return path if one else f"{stem}-*.{ending}"
 
 
 def put_bytes(spark: SparkSession, data: bytes, path: str) -> str:
@@ -72,11 +74,9 @@ def _(v: Views):
 @query("csv_tolerant", "SELECT id, source, upvotes FROM posts WHERE id % 3 <> 0", "posts")
 def _(v: Views):
     line = F.when(F.col("id") % 3 == 0, F.concat_ws(",", "id", "source", F.lit("one"), F.lit("two"), F.lit("many"))).otherwise(F.concat_ws(",", "id", "source", "upvotes"))
-    at = put(v.posts.select(line.alias("id,source,upvotes")), f"{_folder(v)}/bad.csv", "text")
-    head = v.spark.createDataFrame([("id,source,upvotes",)], "value string")
-    body = v.spark.read.text(at)
-    both = put(head.union(body), f"{_folder(v)}/bad.csv", "text")
-    return readers.read_csv(v.spark, both, "id long, source string, upvotes long", tolerant=True)
+    # One column that holds whole lines, under a heading that is a line as well.
+    at = put(v.posts.select(line.alias("id,source,upvotes")), f"{_folder(v)}/bad.csv", quote="", sep="\x01")
+    return readers.read_csv(v.spark, at, "id long, source string, upvotes long", tolerant=True, lines=True)
 
 
 @query("csv_recursive", "SELECT id, source FROM posts WHERE source <> 'news'", "posts")
@@ -84,14 +84,15 @@ def _(v: Views):
     at = _folder(v)
     for s in ("reddit", "stocktwits", "news", "kaggle", "huggingface"):
         put(_few(v).where(F.col("source") == s), f"{at}/{s[:2]}/deep/{s}.csv")
-    return readers.excluding(readers.read_csv(v.spark, at, _POSTS, recursive=True), "news.csv").select("id", "source")
+    left_out = [p.rsplit("/", 1)[-1] for p, _ in readers.files(v.spark, f"{at}/ne/deep", "news*.csv")]
+    return readers.excluding(readers.read_csv(v.spark, at, _POSTS, recursive=True, lines=True), *left_out).select("id", "source")
 
 
 @query("latest_file", "SELECT id, author FROM posts WHERE source = 'news'", "posts")
 def _(v: Views):
     at = _folder(v)
     for name, s in (("run_20240101.csv", "reddit"), ("run_20240301.csv", "news"), ("run_20240201.csv", "kaggle")):
-        put(_few(v).where(F.col("source") == s), f"{at}/{name}")
+        put(_few(v).where(F.col("source") == s), f"{at}/{name}", one=True)  # the newest single file is what is asked for
     return readers.read_csv(v.spark, readers.latest_file(v.spark, at, "run_*.csv", by="name"), _POSTS).select("id", "author")
 
 
@@ -271,11 +272,12 @@ def _charts(v: Views, of: dict[str, str], root: str) -> str:
     return _address(root) + "/{symbol}.json"
 
 
-@query("quotes_fallback", """SELECT CASE ticker WHEN 'TSLA' THEN 'TATA.NS' ELSE ticker END AS ticker, CASE ticker WHEN 'TSLA' THEN 'TATA.BO' ELSE ticker END AS symbol, epoch(ts)::BIGINT AS timestamp_utc, round("Close", 9) AS close, "Volume" AS volume FROM bars WHERE ticker IN ('AAPL', 'TSLA')""", "bars")
+@query("quotes_fallback", """SELECT CASE ticker WHEN 'TSLA' THEN ' tata.ns' ELSE ticker END AS ticker, CASE ticker WHEN 'TSLA' THEN 'TATA.BO' ELSE ticker END AS symbol, epoch(ts)::BIGINT AS timestamp_utc, round("Close", 9) AS close, "Volume" AS volume FROM bars""", "bars")
 def _(v: Views):
     paged.register(v.spark)
-    url = _charts(v, {"AAPL": "AAPL", "TSLA": "TATA.BO"}, _folder(v))  # the first ending asked for is not there
-    raw = v.spark.read.format("quotes").options(of='["AAPL", "TATA.NS"]', url=url).load()
+    own = [r[0] for r in v.bars.select("ticker").distinct().collect()]  # the tickers that are asked for
+    url = _charts(v, {t: "TATA.BO" if t == "TSLA" else t for t in own}, _folder(v))  # the first ending asked for is not there
+    raw = v.spark.read.format("quotes").options(of=json.dumps([" tata.ns" if t == "TSLA" else t for t in own]), url=url).load()
     bars = readers.read_chart(raw).join(raw.select("ticker", "symbol"), "ticker")
     return out(bars, "ticker", "symbol", "timestamp_utc", "Close", "Volume").withColumnsRenamed({"Close": "close", "Volume": "volume"})
 
@@ -342,7 +344,7 @@ def _(v: Views):
     at = _folder(v)
     names = [r[0] for r in v.labelled.select("source").distinct().orderBy("source").collect()]  # a file each
     for s in names:
-        put(v.labelled.where(F.col("source") == s).select("doc_id", F.col("label").cast("string").alias("label")), f"{at}/{s}.csv")
+        put(v.labelled.where(F.col("source") == s).select("doc_id", F.col("label").cast("string").alias("label")), f"{at}/{s}.csv", one=True)
     return out(ingest.report_by_file(readers.read_csv(v.spark, at, "doc_id long, label string")))
 
 

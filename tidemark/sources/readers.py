@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -16,9 +17,10 @@ from ..functions.text import title_and_description
 from ..schemas import PRICE, VIX, plain_headers, role_column, union_drifting
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, tolerant: bool = False, recursive: bool = False) -> DataFrame:
-    """CSV with quoted line breaks; ``tolerant`` drops malformed lines, ``recursive`` goes into folders."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive)
+def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, tolerant: bool = False, recursive: bool = False, lines: bool = False) -> DataFrame:
+    """CSV with quoted line breaks; ``tolerant`` drops malformed lines, ``recursive`` goes into folders. Files of which every row is
+    one line (``lines``) are split among tasks; others are read whole, each by one."""
+    r = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"').option("recursiveFileLookup", recursive)
     r = r.option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE")
     return (r.schema(schema) if schema is not None else r).csv(path)
 
@@ -44,7 +46,7 @@ def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv", by: st
 def read_prices(spark: SparkSession, folder: str, tickers: list[str] | None = None) -> DataFrame:
     """All price files but those whose name holds "all"; the first row of a (time, ticker) stays."""
     paths = sorted(p for p, _ in files(spark, folder, "*.csv") if "all" not in p.rsplit("/", 1)[-1])
-    df = read_csv(spark, paths, PRICE)
+    df = read_csv(spark, paths, PRICE, lines=True)
     if tickers:
         df = df.where(F.upper("ticker").isin(*[t.upper() for t in tickers]))
     return df.groupBy("timestamp_utc", "ticker").agg(*[F.min_by(c, "_metadata.file_name").alias(c) for c in ("Open", "High", "Low", "Close", "Volume")]) if paths else df
@@ -52,7 +54,7 @@ def read_prices(spark: SparkSession, folder: str, tickers: list[str] | None = No
 
 def read_vix(spark: SparkSession, folder: str) -> DataFrame:
     """Volatility files with or without an index column, as one table without repeated rows."""
-    parts = [read_csv(spark, p) for p, _ in sorted(files(spark, folder, "*vix*.csv"))]
+    parts = [read_csv(spark, p, lines=True) for p, _ in sorted(files(spark, folder, "*vix*.csv"))]
     if not parts:
         return spark.createDataFrame([], VIX)
     out = parts[0]
@@ -183,6 +185,6 @@ def read_hub(spark: SparkSession, sets: dict[str, tuple[str, ...]]) -> DataFrame
     parts = []
     for name, paths in sets.items():
         for p in paths:
-            split = F.lit(p.rstrip("/").rsplit("/", 1)[-1].split(".")[0])
+            split = F.lit(re.split(r"[-.*]", p.rstrip("/").rsplit("/", 1)[-1])[0])  # train.csv, train-0001.csv, train*.csv
             parts.append(read_labelled(spark, p).select(F.lit(name).alias("dataset"), split.alias("split"), "text", "label"))
     return union_drifting(*parts)
