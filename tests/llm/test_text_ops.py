@@ -270,10 +270,10 @@ def _hashed(docs):
     return [tuple(r) for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()]
 
 
-@pytest.mark.parametrize(("rows", "size"), [(2, 1 << 20), (5, 300), (1000, 1 << 20)])
-def test_fingerprints(spark, rows, size):
+@pytest.mark.parametrize(("tasks", "size"), [(1, 1 << 20), (3, 1 << 20), (None, 300), (40, 1 << 20)])
+def test_fingerprints(spark, tasks, size):
     docs = odd_docs(spark)
-    got = [tuple(r) for r in chunks.compared(chunks.with_next(docs, rows=rows, size=size)).collect()]
+    got = [tuple(r) for r in chunks.with_next(docs, size=size, tasks=tasks).collect()]
     assert sorted(got, key=repr) == _brute_fingerprints(_hashed(docs))
     assert all(0 <= x[5] <= 1 and 0 <= x[6] <= 1 for x in got)
 
@@ -281,16 +281,15 @@ def test_fingerprints(spark, rows, size):
 def test_fingerprints_of_one_id_sparse_ids_and_none(spark):
     few = [(7, f"text {i} " * 30, "en", "a") for i in range(40)] + [(7, "same " * 30, "en", "a")] * 25 + [(1 << 40, "far " * 20, "en", "a")]
     docs = odd_docs(spark, few)
-    placed = chunks.with_next(docs, rows=8, size=1 << 20)
-    got = sorted([tuple(r) for r in chunks.compared(placed).collect()], key=repr)
+    got = sorted([tuple(r) for r in chunks.with_next(docs, tasks=8).collect()], key=repr)
     assert got == _brute_fingerprints(_hashed(docs))
-    by = [r["count"] for r in placed.groupBy("block").count().collect()]
-    assert len(by) >= 6 and max(by) <= 20  # one id fills several blocks, its equal rows are one
     sparse = odd_docs(spark, [(i * 7919 << 20, f"t{i} " * 5, "en", "a") for i in range(300)])
-    assert chunks.with_next(sparse, rows=100).select("block").distinct().count() <= 12
-    assert chunks.with_next(empty_docs(spark)).count() == 0 and chunks.compared(chunks.with_next(empty_docs(spark))).count() == 0
+    assert sorted([tuple(r) for r in chunks.with_next(sparse, tasks=12).collect()], key=repr) == _brute_fingerprints(_hashed(sparse))
+    assert chunks.with_next(empty_docs(spark)).count() == 0
     one = odd_docs(spark, [(3, "alone here", "en", "a")])
-    assert [tuple(r) for r in chunks.compared(chunks.with_next(one)).collect()] == _brute_fingerprints(_hashed(one))
+    assert [tuple(r) for r in chunks.with_next(one).collect()] == _brute_fingerprints(_hashed(one))
+    twins = odd_docs(spark, [(3, "alone here", "en", "a")] * 3)
+    assert [tuple(r) for r in chunks.with_next(twins).collect()] == _brute_fingerprints(_hashed(twins))
 
 
 def test_chunks_resist_shifts():

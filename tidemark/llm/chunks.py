@@ -6,17 +6,17 @@ boundary depends on nearby bytes only: an insertion or a cut moves no other boun
 (chunk digest, chunk length) records, sorted, in base 64. Containment is the share of a text's distinct chunks, weighted by
 length, that the other text has too.
 
-``with_next`` pairs each document with the next one in descending id. Ids are counted, rows and bytes, and cut into blocks of
-neighbouring ids that hold about ``ROWS`` rows and ``BYTES`` of text at most; an id with more rows than that gets blocks of its
-own, cut by a hash of the text. There are never more than some ``MOST_BLOCKS`` blocks (their bounds go to every task): beyond
-that the blocks grow with the table. Each block meets in one task; its first document is also sent to the
-block that stands before it, so each text is shuffled once, plus one a block. Equal rows (id and text) are one row with a number
-of copies until the end, so they never fill a task.
+``with_next`` compares each document with the next one in descending id. Documents are dealt by ranges of (id, hash of the text) and
+sorted inside, so the next document is the next row; a task goes through its range as a stream and holds a slice of it. There are
+as many ranges as the table has ``RANGE`` bytes of text, however large it is, and one id on very many rows fills several. The first
+and the last document of each range are written beside the results, and the last of one meets the first of the next in a join over
+these alone. Each text is shuffled once. Equal rows (id and text) are one row with a number of copies until the end, so they never
+fill a task.
 
 Defined cases: null text is empty; two empty texts have likeness 1, an empty and a non-empty one 0; null ids stand last; rows
 with one id are ordered by a descending hash of the text, then the text; of equal rows each is the next one of the one before; a
-single document is its own next; sparse ids, or one id on all rows, make blocks like any others; an empty table gives an empty
-result; extra columns, whatever their names, are ignored; a very long text is a block of its own.
+single document is its own next; sparse ids, or one id on all rows, make ranges like any others; an empty table gives an empty
+result; extra columns, whatever their names, are ignored; a very long text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from .base import only, store, table, without
-from .kernel import U, mix, span_hash
+from .base import forget, only, store, table, without
+from .kernel import U, mix, span_hash, trim
 
 #: Least, normal and most bytes of a chunk; zero bits asked for before and after the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 24, 56, 224, 7, 5
-#: Rows and bytes of a block, blocks, copies of a row that are told at once; bytes that are hashed at once.
-ROWS, BYTES, MOST_BLOCKS, TOLD, AT_ONCE = 1000, 4 << 20, 1 << 20, 10_000, 1 << 20
+#: Bytes of text of a range, copies of a row that are told at once; bytes that are hashed at once.
+RANGE, TOLD, AT_ONCE = 64 << 20, 10_000, 1 << 20
 _REACH = 32
 GEAR = (mix(np.arange(1, 257, dtype=U)) >> U(32)).astype(np.uint32)
 
@@ -124,118 +124,101 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("copies", pa.int64())])
+_OUT = pa.schema([
+    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("copies", pa.int64()), ("edge", pa.int32()), ("part", pa.int32()), ("text", pa.string()),
+])
 OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: ``edge`` is 0 for a result, and 1 and 2 for the first and the last document of a range, which have a text and no results.
+_WITH_EDGES = f"{OUT}, copies long, edge int, part int, text string"
 
 
-def _block(t: pa.Table) -> pa.Table:
-    ids, keys, tied, texts, copies, follows = (t.column(c).to_pylist() for c in ("id", "key", "tie", "text", "copies", "follows"))
-    order = sorted(range(len(ids)), key=lambda i: (keys[i], tied[i], texts[i]), reverse=True)
-    # The rows of the block, largest id first, and then the first of those sent from the block that follows.
-    own_rows = [i for i in order if not follows[i]]
-    order = own_rows + [i for i in order if follows[i]][:1]
-    n = len(own_rows)
-    texts = [texts[i] for i in order]
-    # What each row is compared with: the row after it, and before that, where it has copies, itself.
-    told = [(k, k + 1, 1) for k in range(n)]
-    for k, i in enumerate(own_rows):
-        left = copies[i] - 1
-        while left > 0:
-            told.append((k, k, min(left, TOLD)))
-            left -= TOLD
-    own = fingerprints([x.encode() for x in texts])
-    changed = [_edited(texts[a], texts[b]).encode() for a, b, _ in told]
+def _compared(pairs: list[tuple[int | None, str, str, int]]) -> pa.RecordBatch:
+    """Results of (id, text, next text, copies)."""
+    # A text and the next one's next are mostly the same: each is cut once.
+    texts = list(dict.fromkeys(x for _, a, b, _ in pairs for x in (a, b)))
+    of = dict(zip(texts, fingerprints([x.encode() for x in texts])))
+    own, follow = [of[a] for _, a, _, _ in pairs], [of[b] for _, _, b, _ in pairs]
+    changed = [_edited(a, b).encode() for _, a, b, _ in pairs]
     new = fingerprints(changed)
-    return pa.Table.from_arrays(
+    n = len(pairs)
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[order[a]] for a, *_ in told], pa.int64()),
-            pa.array([len(texts[a]) for a, *_ in told], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in changed], pa.string()),
-            pa.array([text_of(own[a]) for a, *_ in told], pa.string()),
-            pa.array([text_of(x) for x in new], pa.string()),
-            pa.array([containment(own[a], x) for (a, *_), x in zip(told, new)], pa.float64()),
-            pa.array([containment(own[a], own[b]) for a, b, _ in told], pa.float64()),
-            pa.array([c for *_, c in told], pa.int64()),
+            pa.array([i for i, *_ in pairs], pa.int64()), pa.array([len(a) for _, a, _, _ in pairs], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in changed], pa.string()),
+            pa.array([text_of(x) for x in own], pa.string()), pa.array([text_of(x) for x in new], pa.string()), pa.array([containment(x, y) for x, y in zip(own, new)], pa.float64()),
+            pa.array([containment(x, y) for x, y in zip(own, follow)], pa.float64()), pa.array([c for *_, c in pairs], pa.int64()),
+            pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([None] * n, pa.string()),
         ],
         schema=_OUT,
-    )
+    )
 
 
-_STARTS = "low long, parts long"
+def _edge(kind: int, part: int, doc: tuple[int | None, str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"id": doc[0], "copies": doc[2], "edge": kind, "part": part, "text": doc[1]}], _OUT)
 
 
-def _starts(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Of sorted ids with their rows and bytes the ids at which blocks begin; how many blocks an id of very many rows fills."""
-    held, held_bytes, fresh = 0, 0, True
+def _range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents (id, text, copies) of a range, in order: each compared with the next, the copies of one with itself."""
+    part, held, pairs, size = TaskContext.get().partitionId(), None, [], 0
     for b in batches:
-        key, n, m = (b.column(c).to_pylist() for c in range(3))
-        low, parts = [], []
-        for k, r, x in zip(key, n, m):
-            own = max(-(-r // rows), -(-x // size) if r > 1 else 1, 1)
-            if fresh or own > 1 or held + r > rows or held_bytes + x > size:
-                low.append(k)
-                parts.append(own)
-                held, held_bytes = 0, 0
-            held, held_bytes, fresh = held + r, held_bytes + x, own > 1
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(parts, pa.int64())], ["low", "parts"])
-
-
-def _place(key: np.ndarray, tie: np.ndarray, low: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The block of each row; blocks are numbered in the order of (id, hash of the text)."""
-    at = np.searchsorted(low, key, "right") - 1
-    high = (tie.astype(np.int64).view(U) ^ U(1 << 63)) >> U(32)
-    return (np.cumsum(parts) - parts)[at] + (high * parts[at].astype(U) >> U(32)).astype(np.int64)
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, size: int = BYTES) -> DataFrame:
-    """(id, key, tie, text, copies, block, follows): every document in its block, and each block's next document, which follows."""
+        # One text at a time leaves Arrow.
+        for i, text, copies in ((x.as_py(), y.as_py(), z.as_py()) for x, y, z in zip(*b.columns)):
+            if held is None:
+                yield _edge(1, part, (i, text, copies))
+            else:
+                pairs.append((held[0], held[1], text, 1))
+            pairs += [(i, text, text, min(copies - 1 - k, TOLD)) for k in range(0, copies - 1, TOLD)]
+            held = (i, text, copies)
+            size += len(text)
+            if size >= AT_ONCE and pairs:
+                yield _compared(pairs)
+                pairs, size = [], 0
+    if pairs:
+        yield _compared(pairs)
+    if held is not None:
+        yield _edge(2, part, held)
+    trim()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = b.to_pylist()
+        for i in range(0, len(rows), 64):
+            yield _compared([(r["id"], r["text"], r["follows"], 1) for r in rows[i : i + 64]])
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RANGE, tasks: int | None = None) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document and its next one.
+    There is a range for every ``size`` bytes, and at least ``tasks`` (the session's shuffle partitions)."""
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)))
     d = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     light = store(d.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")), "keys")
-    all_, much, most = light.agg(F.sum("n"), F.sum("bytes"), F.max("n")).first()
-    rows, size = max(rows, (all_ or 0) * 2 // MOST_BLOCKS), max(size, (much or 0) * 2 // MOST_BLOCKS)
+    much, most = light.agg(F.sum("bytes"), F.max("n")).first()
+    one = F.lit(1).cast("long").alias("copies")
+    order = [F.desc("key")]
+    again = None
     if (most or 0) > 1:
         again = store(light.where("n > 1").select("key"), "again")
         many = only(d, again, "key").groupBy("key", "text").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
-        d = without(d, again, "key").withColumn("copies", F.lit(1).cast("long")).unionByName(many)
-        d = d.withColumn("tie", F.xxhash64("text"))
-        heads = d.select("key", "tie")
+        d = without(d, again, "key").select("*", one).unionByName(many).withColumn("tie", F.xxhash64("text"))
+        order += [F.desc("tie"), F.desc("text")]
     else:
-        d = d.withColumn("copies", F.lit(1).cast("long")).withColumn("tie", F.lit(0).cast("long"))
-        heads = light.select("key", F.lit(0).cast("long").alias("tie"))
-    ranged = light.repartitionByRange("key").sortWithinPartitions("key")
-    got = sorted(ranged.mapInArrow(lambda it: _starts(it, rows, size), _STARTS).collect())  # at most about MOST_BLOCKS
-    low, parts = (np.array([r[c] for r in got], np.int64) for c in ("low", "parts"))
-    bounds = spark.sparkContext.broadcast((low, parts))
-
-    @F.pandas_udf("long")
-    def block(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series(_place(key.to_numpy(), tie.to_numpy(), *bounds.value))
-
-    firsts = heads.groupBy(block("key", "tie").alias("block")).agg(F.max(F.struct("key", "tie")).alias("x"))
-    firsts = sorted(firsts.select("block", "x.key", "x.tie").collect())  # one of each block
-    number, k, x = (np.array([r[c] for r in firsts], np.int64) for c in ("block", "key", "tie"))
-    first = spark.sparkContext.broadcast((number, k, x, np.roll(number, -1)))
-
-    @F.pandas_udf("long")
-    def sent(block: pd.Series, key: pd.Series, tie: pd.Series) -> pd.Series:
-        number, k, x, above = first.value
-        at = np.searchsorted(number, block.to_numpy())
-        return pd.Series(np.where((k[at] == key.to_numpy()) & (x[at] == tie.to_numpy()), above[at], -1))
-
-    d = d.withColumn("block", block("key", "tie")).withColumn("sent", sent("block", "key", "tie"))
-    to = lambda b, f: F.struct(F.col(b).alias("block"), F.lit(f).alias("follows"))
-    both = F.when(F.col("sent") >= 0, F.array(to("block", False), to("sent", True))).otherwise(F.array(to("block", False)))
-    return d.select("id", "key", "tie", "text", "copies", F.explode(both).alias("to")).select("id", "key", "tie", "text", "copies", "to.*")
-
-
-def compared(placed: DataFrame) -> DataFrame:
-    """The fingerprints of ``with_next``'s documents, of their edited texts, and the likenesses."""
-    out = placed.groupBy("block").applyInArrow(_block, OUT + ", copies long")
-    out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return out.drop("copies")
+        d = d.select("*", one)
+    ranges = max(-(-(much or 0) // size), tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Ranges are cut by id and hash; equal hashes of one id, other texts, are in one range and in order of the text.
+    dealt = d.repartitionByRange(int(ranges), *order[:2]).sortWithinPartitions(*order)
+    out = store(dealt.select("id", "text", "copies").mapInArrow(_range, _WITH_EDGES), "fingerprints")
+    forget(light, *([again] if again is not None else []))
+    firsts = out.where("edge = 1").select(F.col("part").alias("to"), F.col("text").alias("follows"))
+    parts = sorted(r["to"] for r in firsts.select("to").collect())  # a number for each range
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, to int")
+    lasts = out.where("edge = 2").select("id", "part", "text")
+    met = lasts.join(F.broadcast(after), "part").join(firsts, "to").select("id", "text", "follows").mapInArrow(_meet, _WITH_EDGES)
+    both = out.where("edge = 0").unionByName(met)
+    both = both.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return both.select(*[f.split()[0] for f in OUT.split(", ")])
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(with_next(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
