@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..session import shared_dir
 BROADCAST_IDS = 1_000_000
 #: Rows that go to a Python worker at once: rows hold whole texts or sets of some ten kilobytes.
 BATCH_ROWS = 2000
+#: Items of an array that is built by appending, as such an array is copied for every item.
+RUN = 256
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -64,6 +67,16 @@ def int_hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(items: Column, n: int = RUN) -> Column:
+    """An array in parts of ``n`` items each; one empty part of an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(n)), lambda i: F.slice(items, i + 1, F.lit(n)))
+
+
 def words_pattern() -> str:
     return "[^\\x20\\x09-\\x0D]+"
 

@@ -23,14 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import let, runs, table
 
 #: Opening and closing mark of each role.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER, JOIN, BEGIN = ("[ROLE:", "]", "[/ROLE]"), "[+]", "<s>"
 _CLOSE = "\\[/INST\\]|</s>|<</SYS>>|\\[/ROLE\\]"
-#: Blocks whose places are summed up together.
-RUN = 256
 
 
 def escape(c: Column) -> Column:
@@ -102,37 +100,43 @@ def _body_of(b: Column) -> Column:
 
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) in order, from the formatted text alone."""
-    each = lambda b: F.transform(
-        F.split(_body_of(b), "\\[\\+\\]", -1), lambda t: F.struct(_role_of(b).alias("role"), unescape(t).alias("text"))
-    )
-    return F.flatten(F.transform(_blocks(formatted), each))
-
-
-def _chunks(a: Column) -> Column:
-    """Parts of an array of ``RUN`` items each."""
-    n = F.size(a)
-    first = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
-    return F.transform(first, lambda i: F.slice(a, i + 1, F.lit(RUN)))
+    parts = lambda x: F.transform(F.split(x["body"], "\\[\\+\\]", -1), lambda t: F.struct(x["role"].alias("role"), unescape(t).alias("text")))
+    return F.flatten(F.transform(_blocks(formatted), lambda b: let(F.struct(_role_of(b).alias("role"), _body_of(b).alias("body")), parts)))
 
 
-def _placed(rows: Column, at: Column | int) -> Column:
+def _placed(rows: Column, at: int) -> Column:
     """(start, end, kept) of consecutive stretches (size, gap, kept) from ``at`` on, those to keep only."""
-    spans = "array<struct<start:long,end:long>>"
-    parts = F.transform(_chunks(rows), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["size"] + x["gap"]).alias("n")))
-    # Where each part begins; the list of those is short, so it may grow by copies.
-    begun = F.struct(F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), F.array().cast("array<long>").alias("all"))
-    starts = F.aggregate(parts, begun, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    spans, zero = "array<struct<start:long,end:long>>", F.lit(at).cast("long")
+    sized = lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["size"] + x["gap"]).alias("n"))
 
-    def inside(z):
-        first = F.struct(z["s"].alias("at"), F.array().cast(spans).alias("out"))
+    def inside(part: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), F.array().cast(spans).alias("out"))
 
         def step(s, x):
             one = F.array(F.struct(s["at"].alias("start"), (s["at"] + x["size"]).alias("end")))
             return F.struct((s["at"] + x["size"] + x["gap"]).alias("at"), F.when(x["kept"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
 
-        return F.aggregate(z["p"], first, step, lambda s: s["out"])
+        return F.aggregate(part, first, step, lambda s: s["out"])
+
+    def all_of(parts: Column) -> Column:
+        # Where each part begins; the list of those is short, so it may grow by copies.
+        begun = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("all"))
+        starts = F.aggregate(parts, begun, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return F.flatten(F.zip_with(parts, starts, lambda p, s: inside(p["p"], s)))
+
+    return let(rows, lambda all_: let(F.transform(runs(all_), sized), all_of))
+
 
-    return F.flatten(F.transform(F.arrays_zip(F.transform(parts, lambda p: p["p"]).alias("p"), starts.alias("s")), inside))
+def told(formatted: Column, spans: Column) -> Column:
+    """The unescaped text under the spans. Each run of spans is cut from its own stretch, as a place in a text is found by walking there."""
+    part = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(run: Column) -> Column:
+        first = F.get(run, F.lit(0))["start"]
+        inside = lambda t: F.array_join(F.transform(run, lambda s: unescape(part(t, s["start"] - first, s["end"] - first))), "")
+        return F.when(F.size(run) > 0, let(part(formatted, first, F.element_at(run, -1)["end"]), inside)).otherwise(F.lit(""))
+
+    return F.array_join(F.transform(runs(spans), cut), "")
 
 
 def loss_spans(formatted: Column) -> Column:
@@ -141,17 +145,19 @@ def loss_spans(formatted: Column) -> Column:
     lens = {r: len(x[1]) for r, x in MARKS.items()}
 
     def stretches(blk):
+        return let(_role_of(blk), lambda role: _stretches(blk, role))
+
+    def _stretches(blk, role):
         """The block's stretches: of an assistant's each text and what follows it, else one."""
-        role = _role_of(blk)
         close = F.lit(len(OTHER[2]))
         for r, n in lens.items():
             close = F.when(role == r, F.lit(n)).otherwise(close)
         kind = lambda size, gap, kept: F.struct(size.cast("long").alias("size"), gap.cast("long").alias("gap"), F.lit(kept).alias("kept"))
-        texts = F.split(F.substr(blk, F.lit(len(a) + 1)), "\\[\\+\\]", -1)
-        last = F.size(texts) - 1
-        own = F.transform(texts, lambda t, i: kind(F.length(t), F.when(i < last, F.lit(len(JOIN))).otherwise(close), True))
         mark = F.array(kind(F.lit(len(a)), F.lit(0), False))
-        return F.when(role == "assistant", F.concat(mark, own)).otherwise(F.array(kind(F.length(blk), close, False)))
+        # The last text is followed by the closing mark, those before it by a join.
+        own = lambda texts: F.transform(texts, lambda t, i: kind(F.length(t), F.when(i < F.size(texts) - 1, F.lit(len(JOIN))).otherwise(close), True))
+        texts = F.split(F.substr(blk, F.lit(len(a) + 1)), "\\[\\+\\]", -1)
+        return F.when(role == "assistant", F.concat(mark, let(texts, own))).otherwise(F.array(kind(F.length(blk), close, False)))
 
     return _placed(F.flatten(F.transform(_blocks(formatted), stretches)), len(BEGIN))
 
@@ -167,12 +173,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     f = format_chats(rows.unionByName(more))
     f = f.withColumn("back", read_turns(F.col("formatted")))
-    told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    f = f.withColumn("loss", told(F.col("formatted"), F.col("loss_spans")))
+    loss = F.col("loss")
     return f.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
-        F.sha2(told, 256).alias("turns_sha256"),
+        F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import forget, shared_dir, store, table
+from .base import forget, let, runs, shared_dir, store, table
 
 
 class Rule(NamedTuple):
@@ -47,39 +47,27 @@ RULES = (
 )
 #: Blobs with findings and their spans together are sent to every task up to this many (under 20 MB); unseen blobs (100 bytes each).
 BROADCAST_SPANS, BROADCAST_BLOBS = 200_000, 100_000
-#: Items of an array that is built by appending.
-RUN = 256
 _EMPTY = "array<struct<start:long,end:long>>"
 LEDGER = "blob string, kind string, version int, spans array<struct<start:long,end:long>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often and in whatever lambda it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _runs(items: Column) -> Column:
-    """An array in parts of ``RUN`` items each."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(items, i + 1, F.lit(RUN)))
-
-
 def _scan(items: Column, fold: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
     """``emit(state, item)`` of every item, the state being a long that starts at 0 and goes through ``fold(state, item)``.
 
     Arrays grow by copies, so items are taken in runs: those of a run are short, and so is the list of the runs' first states."""
     zero = F.lit(0).cast("long")
 
-    def begins(runs: Column) -> Column:
+    def begins(parts: Column) -> Column:
         start = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("all"))
         step = lambda s, run: F.struct(F.aggregate(run, s["at"], fold).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
-        return F.aggregate(runs, start, step, lambda s: s["all"])
+        return F.aggregate(parts, start, step, lambda s: s["all"])
 
     def inside(run: Column, at: Column) -> Column:
         start = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
         step = lambda s, x: F.struct(fold(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x))).alias("out"))
         return F.aggregate(run, start, step, lambda s: s["out"])
 
-    return _let(items, lambda all_: _let(_runs(all_), lambda runs: F.flatten(F.zip_with(runs, begins(runs), inside))))
+    return let(items, lambda all_: let(runs(all_), lambda parts: F.flatten(F.zip_with(parts, begins(parts), inside))))
 
 
 def find(text: Column, rule: Rule) -> Column:
@@ -208,10 +196,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES, ledger_path: st
         """The gaps of a run with a mask behind each, cut from the run's own stretch, as a place in a text is found by walking there."""
         first = F.get(run, F.lit(0))["from"]
         inside = lambda t: F.array_join(F.transform(run, lambda x: F.concat(part(t, x["from"] - first, x["to"] - first), F.lit(mask))), "")
-        return F.when(F.size(run) > 0, _let(part(text, first, F.element_at(run, -1)["to"]), inside)).otherwise(F.lit(""))
+        return F.when(F.size(run) > 0, let(part(text, first, F.element_at(run, -1)["to"]), inside)).otherwise(F.lit(""))
 
     last = F.array_max(F.transform(blob + "s", lambda x: x["end"]))
-    masked = _let(F.filter(gaps, lambda x: x["to"] >= x["from"]), lambda kept: F.array_join(F.transform(_runs(kept), cut), ""))
+    masked = let(F.filter(gaps, lambda x: x["to"] >= x["from"]), lambda kept: F.array_join(F.transform(runs(kept), cut), ""))
     clean = F.concat(masked, F.substr(text, (last + 1).cast("int")))
     hit = F.col(blob + "s").isNotNull()
     out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
