@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..config import Config
 from ..functions import scalars as sc
 from ..functions import text as tx
-from ..operators import causality, classifier, clean, entity, features, fuse, ingest, market, model, score, weight
+from ..operators import causality, classifier, clean, entity, features, fuse, ingest, market, model, moments, score, weight
 from ..schemas import STEP_ALIASES, canonical, coalesce_aliases, union_drifting
 from ..session import shared_dir
 from ..streaming import streams
@@ -955,6 +955,28 @@ def _(v: Views):
     return out(model.sequence_probability(d, cols, "prob_up"), "ticker", "ts", "target", "prob_up")
 
 
+_GRANGER_SERIES = """, s AS (SELECT ticker, ts, "Close" AS y, avg_sentiment AS x FROM bars JOIN windows USING (ticker) WHERE ts = window_start),
+l AS (SELECT ticker, y, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM s WINDOW w AS (PARTITION BY ticker ORDER BY ts)), c AS (SELECT * FROM l WHERE y1 IS NOT NULL),
+b AS (SELECT ticker, regr_slope(y, y1) AS slope_y, regr_intercept(y, y1) AS zero_y, regr_slope(x1, y1) AS slope_x, regr_intercept(x1, y1) AS zero_x FROM c GROUP BY ticker),
+e AS (SELECT c.ticker, y - zero_y - slope_y * y1 AS e, x1 - zero_x - slope_x * y1 AS u FROM c JOIN b ON c.ticker = b.ticker),
+r AS (SELECT ticker, count(*) AS n, sum(e * e) AS less, sum(e * e) - sum(e * u) * sum(e * u) / sum(u * u) AS more FROM e GROUP BY ticker)
+SELECT ticker, n, round((less - more) / (more / (n - 3)), 6) + 0.0 AS f_stat FROM r"""
+
+
+@query("granger_moments", _GRANGER_SERIES, "bars", "windows")
+def _(v: Views):
+    """The test of one lag, which SQL can follow by regressing residuals on residuals; the others are tested against the grouped form."""
+    w = features.aggregate_windows(v.scored).select("ticker", F.col("window_start").alias("ts"), F.col("avg_sentiment").alias("sentiment"))
+    s = v.bars.select("ticker", "ts", F.col("Close").alias("price")).join(w, ["ticker", "ts"])
+    return moments.granger(s).where("lag = 1").select("ticker", "n", (F.round("f_stat", 6) + F.lit(0.0)).alias("f_stat"))
+
+
+@query("granger_all_lags")
+def _(v: Views):
+    w = features.aggregate_windows(v.scored).select("ticker", F.col("window_start").alias("ts"), F.col("avg_sentiment").alias("sentiment"))
+    return out(moments.granger(v.bars.select("ticker", "ts", F.col("Close").alias("price")).join(w, ["ticker", "ts"])))
+
+
 @query("sequence_lstm")
 def _(v: Views):
     d = model_matrix(v).na.fill(0.0).where("target IS NOT NULL")
