@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_mixing": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
     "op9_fingerprints": "doc_id:bigint n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double",
     "op10_lm_scores": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+    "op11_whitening": "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double",
+    "op12_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op13_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 
 
@@ -226,6 +229,7 @@ def test_operators_on_an_empty_table(spark, folder, tmp_path):
     path = folder(empty_docs(spark))
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, q in registry.QUERIES.items():
         assert q(spark, path).count() == (1 if name.startswith("op7") else 0)
     assert chunks.RANGE > 0
