@@ -112,11 +112,12 @@ def _(v: Views):
 # Ingest ------------------------------------------------------------------------------------------------------------
 
 
-@query("schema_union", "SELECT id, source, author, upvotes, NULL::INT AS extra FROM posts WHERE source = 'reddit' UNION ALL SELECT id, source, NULL, NULL, k FROM posts WHERE source = 'news'", "posts")
+@query("schema_union", "SELECT id, source, author, upvotes, NULL::INT AS extra FROM posts WHERE source IN ('reddit', 'stocktwits') UNION ALL SELECT id, source, NULL, NULL, k FROM posts WHERE source IN ('news', 'kaggle') UNION ALL SELECT id, NULL, NULL, upvotes, k FROM posts WHERE source = 'huggingface'", "posts")
 def _(v: Views):
-    a = v.posts.where("source = 'reddit'").select("id", "source", "author", "upvotes")
-    b = v.posts.where("source = 'news'").select("id", "source", F.col("k").alias("extra"))
-    return union_drifting(a, b)
+    a = v.posts.where("source IN ('reddit', 'stocktwits')").select("id", "source", "author", "upvotes")
+    b = v.posts.where("source IN ('news', 'kaggle')").select("id", "source", F.col("k").alias("extra"))
+    c = v.posts.where("source = 'huggingface'").select(F.col("k").alias("extra"), "upvotes", "id")
+    return union_drifting(a, b, c)
 
 
 @query("dedup_keep_first", "SELECT user_id, k, min(id) AS id, arg_min(source, id) AS source FROM posts GROUP BY 1, 2", "posts")

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import scalars as sc
-from ..operators import clean, ingest, model, score
+from ..operators import clean, ingest, market, model, score
 from ..schemas import plain_headers, require, role_column
 from ..sources import paged, readers, sinks
 from ..streaming import streams
@@ -307,10 +307,16 @@ def _(v: Views):
     return readers.read_calendar(many.union(one).union(e.select("ticker", F.lit("{}"))))
 
 
-@query("symbol_fallback", "SELECT ticker, k FROM posts WHERE source = 'news' UNION ALL SELECT ticker, -k FROM posts WHERE source = 'reddit' AND ticker NOT IN (SELECT ticker FROM posts WHERE source = 'news')", "posts")
+_ORDER = ("news", "kaggle", "reddit", "stocktwits", "huggingface")
+
+
+@query("symbol_fallback", f""", o AS (SELECT *, CASE source {" ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(_ORDER))} END AS place FROM posts WHERE user_id % (CASE source WHEN 'news' THEN 7 WHEN 'kaggle' THEN 3 ELSE 1 END) = 0)
+SELECT user_id, source, k FROM o JOIN (SELECT user_id, min(place) AS place FROM o GROUP BY 1) USING (user_id, place)""", "posts")
 def _(v: Views):
-    a, b = (v.posts.where(F.col("source") == s) for s in ("news", "reddit"))
-    return readers.with_fallback(a.select("ticker", "k"), b.select("ticker", (-F.col("k")).alias("k")))
+    """For each account the rows of the first source that has any; the first two sources know a part of the accounts only."""
+    some = F.col("user_id") % F.when(F.col("source") == "news", 7).when(F.col("source") == "kaggle", 3).otherwise(1) == 0
+    first, *others = (v.posts.where((F.col("source") == s) & some).select("user_id", "source", "k") for s in _ORDER)
+    return readers.with_fallback(first, *others, key="user_id")
 
 
 @query("feed", "SELECT md5('g' || page_id) AS id, trim(coalesce(url, '') || '. ' || 'Story ' || page_id, '. ') AS text, 86400 * (page_id % 300) + 1704067200 AS timestamp_utc, 'US' AS market FROM pages")
@@ -373,7 +379,8 @@ def _(v: Views):
 def _(v: Views):
     b = v.bars.withColumns({"target": (F.col("Close") > F.col("Open")).cast("int"), "Volume": F.col("Volume").cast("double")})
     cols = ["Open", "High", "Low", "Close", "Volume"]
-    trees = model.boosted_trees(b, cols, rounds=3, depth=3)
+    cfg = Config()
+    trees = model.boosted_trees(b, cols, cfg.boost_rounds, cfg.boost_depth, cfg.boost_rate, val=F.pmod(F.hash("ticker", "ts"), F.lit(5)) == 0)
     model.save(trees, at := f"{_folder(v)}/model")
     both = model.probability_up(model.load(at), model.probability_up(trees, b, "p1"), "p2")
     return out(both.withColumn("same", F.col("p1") == F.col("p2")), "ticker", "ts", "same")
@@ -426,11 +433,14 @@ def _(v: Views):
     return ingest.cap(v.posts.where("source = 'reddit'"), 50, "id").select("id", "source")
 
 
-@query("available_features", "SELECT " + ", ".join(f"'{c}' AS c{i}" for i, c in enumerate(model.TECHNICAL)) + f", {len(model.FULL)} AS n FROM region")
+@query("available_features", " UNION ALL ".join(f"""SELECT '{c}' AS feature, count(*) FILTER (WHERE "{c}" IS NOT NULL AND isfinite("{c}"::DOUBLE)) AS n FROM technicals""" for c in model.TECHNICAL), "technicals")
 def _(v: Views):
-    m = model_matrix(v)
-    have = model.available(m.select(*model.TECHNICAL, "ts"), model.FULL)
-    return v.table("region").select(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(have)], F.lit(len(model.available(m, model.FULL))).alias("n"))
+    """The features of the full set that the indicators have, each with the rows in which it is usable."""
+    m = market.technicals(v.bars, fill=False, clip_at=None)
+    have = model.available(m, model.FULL)
+    usable = lambda c: F.count_if(F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")))
+    counts = m.agg(*[usable(c).alias(c) for c in have])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in have])).alias("r")).select("r.*")
 
 
 # Scorers and served rows -------------------------------------------------------------------------------------------
