@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, pieces, quality, secrets
-from tidemark.llm.base import store, table
+from tidemark.llm.base import forget, store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name.split()[0])
+        before, docs = docs, store(stage(spark, docs, sf_dir), name.split()[0])
+        forget(before)  # a stage's table goes when the next one is written; the given table stays
     return STAGES[-1][1](spark, docs, sf_dir)
