@@ -29,7 +29,7 @@ from .descent import Adam, summed, tasks_of
 from .score import LABELS, UNCERTAIN
 
 #: Places, share held out, characters that a text must exceed, epochs, rows of a step and steps of an epoch at most, rate, decay, patience.
-SIZE, HELD, LEAST, EPOCHS, BATCH, STEPS, RATE, DECAY, PATIENCE = 1 << 16, 0.15, 10, 12, 256, 8, 0.02, 1e-5, 2
+SIZE, HELD, LEAST, EPOCHS, BATCH, STEPS, RATE, DECAY, PATIENCE = 1 << 16, 0.15, 10, 20, 256, 8, 0.005, 1e-5, 2
 #: Values of the hash by which a class is cut; the counts of all of them are what is looked at.
 CUTS = 1 << 14
 
