@@ -483,6 +483,35 @@ def test_scores_are_those_of_a_plain_model(spark):
         assert got[i] == pytest.approx(want, rel=1e-5)
 
 
+def test_rare_classes_in_a_row_stay_finite():
+    """Long texts of classes that are all very rare: the matrices of segments stay inside single precision."""
+    r = np.random.default_rng(2)
+    emit = np.append(np.full(5000, 1e-7), 1 - 5e-4)
+    p = hmm.Params(np.full(4, 0.25, np.float32), r.dirichlet(np.ones(4), 4).astype(np.float32), np.tile(emit, (4, 1)).astype(np.float32))
+    seqs = [r.integers(0, 5000, 5000).astype(np.uint16), np.full(3, 5000, np.uint16)]
+    assert all(np.isfinite(x).all() for x in hmm.expected(seqs, p))
+
+
+def test_unlike_texts_score_near_the_base(spark):
+    """A held-out text of words and word endings that training never had is about as likely as in the base; without training too."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
+    r = random.Random(5)
+    new = lambda: "".join(r.choice("qxzjkvw") for _ in range(9))
+    docs = [(i, " ".join(new() if i in held else r.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(400))) for i in range(60)]
+    for rows in (docs, [d for d in docs if d[0] in held]):
+        got = [x for x in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2).collect() if x.held_out]
+        assert len(got) == len(held) and all(x.score > x.base_score - 6.001 for x in got)
+        assert sum(x.score - x.base_score for x in got) / len(got) > -4
+
+
+def test_the_end_is_known_however_rare(monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 4)
+    h, n = np.array([5, 6, 7, 8, int(hmm.END)], np.uint64), np.array([9, 9, 9, 9, 1])
+    c = hmm.rest_class(h, np.zeros(5, np.uint16), hmm.REST)
+    v = hmm.Vocabulary(h, n, np.zeros(5, np.uint16), np.bincount(c, minlength=hmm.REST), np.bincount(c, weights=n, minlength=hmm.REST), 5, 37)
+    assert v.find(np.array([hmm.END]), np.zeros(1, np.uint16)) == (1, v.own) and not v.unseen[v.own]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
 

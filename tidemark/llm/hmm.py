@@ -12,7 +12,8 @@ Baum-Welch over whole documents: each task adds up expected counts of all its tr
 driver normalises (states x classes numbers) and the next round begins. Texts over ``SEGMENT`` tokens are cut only to work on their
 segments side by side: of each the transfer matrix (states by states) is computed, the matrices are chained over the text both
 ways, and every segment then begins and ends with the exact distribution that its neighbours give it, the step over the edge counted. Scoring runs the scaled forward recursion in the same way, so the likelihood is exact.
-log10 p(text) = base score + log10 of (HMM / product of p(class)).
+A class without a training token is as likely in every state as in the base. A text is the HMM's or, rarely (``APART``), the base's:
+log10 p(text) = base score + log10 of ((1 - APART) HMM / product of p(class) + APART), so no text is further than 6 below its base.
 
 Defined cases: null and empty texts are the end token alone; null ids are learned from like the empty id; repeated rows count and
 are scored each; an empty table gives an empty result; with no training documents the base is uniform and the model has no effect;
@@ -40,6 +41,8 @@ SHARE, OWN, OWN_MOST, REST, REST_MOST = 64, 2047, 24_575, 1024, 40_000
 FAN, AT_ONCE = 16, 1 << 19
 #: Tokens that each state is taken to have seen beforehand, in the proportions of all.
 PRIOR = 200.0
+#: Share of texts taken to be unlike all that was learned: their tokens are independent, as the base has them.
+APART = 1e-6
 #: Documents for each bucket of words; fewest buckets.
 PER_BUCKET, BUCKETS = 8000, 16
 #: Distinct words held by a task before it hands its counts on.
@@ -148,7 +151,7 @@ def _heads(batches: Iterator[pa.RecordBatch], least: int, rest: int) -> Iterator
     for b in batches:
         for k in range(b.num_rows):
             h, n, e = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in ((0, U), (1, np.int64), (2, np.uint16)))
-            up = _level(n) >= least
+            up = (_level(n) >= least) | (h == END)  # the end is a class of its own, however few documents there are
             c = rest_class(h, e, rest)
             sums = np.bincount(c, minlength=rest), np.bincount(c, weights=n, minlength=rest).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +164,7 @@ class Vocabulary:
 
     def __init__(self, h, n, e, words_by_class, tokens_by_class, words, tokens):
         self.own, self.rest = sizes(int(words))
-        order = np.lexsort((h, -n))[:HEAD]
+        order = np.lexsort((h, -n, h != END))[:HEAD]
         h, n, e = h[order], n[order], e[order]
         own = np.flatnonzero(h != END)[: self.own]
         other = self.own + 1 + rest_class(h, e, self.rest)
@@ -171,12 +174,14 @@ class Vocabulary:
         self.tokens, self.words = int(tokens), int(words)
         self.base = self.tokens + 0.5 * (self.words + 1)
         total = self.own + 1 + self.rest
-        mass = np.full(total, 0.5 / total)
-        mass[self.own + 1 :] += tokens_by_class + 0.5 * words_by_class
+        seen, kinds = np.zeros(total, np.int64), np.zeros(total, np.int64)  # training tokens and words of each class
+        seen[self.own + 1 :], kinds[self.own + 1 :] = tokens_by_class, words_by_class
         single = np.append(own, np.flatnonzero(h == END))
-        np.subtract.at(mass, other[single], n[single] + 0.5)
-        mass[cls[single]] += n[single] + 0.5
-        self.log_class = np.log(mass / mass.sum())
+        for of, x in ((seen, n[single]), (kinds, np.ones(len(single), np.int64))):
+            np.subtract.at(of, other[single], x)
+            of[cls[single]] += x
+        mass = seen + 0.5 * kinds + 0.5 / total
+        self.log_class, self.unseen = np.log(mass / mass.sum()), seen == 0
         up = np.argsort(h)
         self.h, self.n, self.cls = h[up], n[up], cls[up]
 
@@ -325,13 +330,13 @@ class Segments:
         p, size = self.p, self.size[rows]
         states = len(p.start)
         m = np.where((self.part[rows] == 0)[:, None, None], p.start[None, None, :], p.move[None, :, :]) * self.emit[self.x[rows]][:, None, :]
+        m /= m.max((1, 2))[:, None, None]
         live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
         for t in range(1, len(live)):
             k = live[t]
             m[:k] = (m[:k].reshape(-1, states) @ p.move).reshape(k, states, states) * self.emit[self.x[self.at[t] + rows[:k]]][:, None, :]
-            if t % 8 == 0:
-                m[:k] /= m[:k].max((1, 2))[:, None, None]
-        return m / m.max((1, 2))[:, None, None]
+            m[:k] /= m[:k].max((1, 2))[:, None, None]  # at every step: a few rare classes in a row leave single precision
+        return m
 
     def _chain(self, both: bool) -> None:
         many = np.flatnonzero(self.n[self.text] > 1)  # still longest first
@@ -474,7 +479,7 @@ def _score(batches: Iterator[pa.RecordBatch], params) -> Iterator[pa.RecordBatch
             part, seqs = b.slice(i, j - i), whole[i:j]
             off = np.cumsum([0, *[len(s) for s in seqs]])
             plain = np.add.reduceat(log_class[np.concatenate(seqs)], off[:-1])
-            gain = (likelihood(seqs, p) - plain) / np.log(10)
+            gain = np.logaddexp(likelihood(seqs, p) - plain + np.log1p(-APART), np.log(APART)) / np.log(10)
             cols = [part.column(part.schema.get_field_index(c)) for c in ("batch", "row", "id", "train", "n_tokens", "s", "known")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gain)], ["batch", "row", "id", "train", "n_tokens", "s", "known", "gain"])
 
@@ -513,6 +518,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     away = totals.select("bucket", "h", "n").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_away, "batch long, i binary, s binary, k binary")
     away = away.groupBy("batch").applyInArrow(_back, "batch long, row int, s_away double, known_away long")
     p, _ = train(coded.where("kind = 0 AND train").select("classes"), voc.log_class, states, rounds)
+    p.emit[:, voc.unseen] = np.exp(voc.log_class[voc.unseen])  # nothing is known of them: as the base has them
     model = sc.broadcast((p, voc.log_class))
     rows = coded.where("kind = 0").select("batch", "row", "id", "train", "n_tokens", "s", "known", "classes")
     kinds = "batch long, row int, id long, train boolean, n_tokens long, s double, known long, gain double"
