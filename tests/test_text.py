@@ -1,9 +1,11 @@
 import html
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.plans import catalogue
 
 
 def run(spark, f, values, kind="string"):
@@ -25,6 +27,18 @@ def test_entities_in_full(spark):
     assert run(spark, tx.decode_entities, values) == [None if v is None else html.unescape(v) for v in values]
 
 
+def test_closed_entities_as_the_sql_has_them(spark, tmp_path):
+    values = ["cut &amp</b> &am &amp;amp; &&lt;;", "&#38;&#233;&eacute;&nosuch;&#x41; &#1114112;", "two\nlines &hellip;", "plain", ""]
+    assert run(spark, tx.decode_closed, [*values, None]) == ["cut &amp</b> &am &amp; &<;", "&éé&nosuch;&#x41; &#1114112;", "two\nlines …", "plain", "", None]
+    rows = [(i, v.replace("&#1114112;", "")) for i, v in enumerate(values)] + [(9, None)]
+    at = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(at)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    got = catalogue.QUERIES["entity_decode_full"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.sql(catalogue.ORACLES["entity_decode_full"]).fetchall())
+
+
 def test_hash_form_keeps_letters_of_all_scripts(spark):
     assert run(spark, tx.hash_form, ["Été_x!", "Ünï 1-2", "日本 語"]) == ["été_x", "ünï12", "日本語"]
 

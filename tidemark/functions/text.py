@@ -54,6 +54,24 @@ def decode_entities(c: Column) -> Column:
     return F.array_join(both, "")
 
 
+#: Fixed value: how an entity looks where only those with a semicolon count, by name or decimal number.
+CLOSED = "&(?:#[0-9]+|[0-9a-zA-Z]+);"
+
+
+def decode_closed(c: Column) -> Column:
+    """Named and decimal entities that end with a semicolon; cut ones stay as they are. A number is its code point, whatever that is;
+    numbers that are none stay."""
+    names = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() if k.endswith(";") for x in (f"&{k}", v)])
+
+    def one(e: Column) -> Column:
+        n = F.substr(e, F.lit(3), F.length(e) - 3).try_cast("int")
+        sign = F.when((n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(e.startswith("&#"), sign).otherwise(names[e]), e)
+
+    parts, found = F.split(c, CLOSED, -1), F.regexp_extract_all(c, F.lit(CLOSED), F.lit(0))
+    return F.array_join(F.zip_with(parts, F.concat(F.transform(found, one), F.array(F.lit(""))), lambda p, e: F.concat(p, e)), "")
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
