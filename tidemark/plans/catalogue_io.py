@@ -411,8 +411,9 @@ def _(v: Views):
 
 @query("epoch_seconds", "SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events")
 def _(v: Views):
-    page = F.to_json(F.struct(F.struct(F.lit(None).cast("string").alias("after"), F.array(F.struct(F.struct(F.col("event_id").cast("string").alias("id"), F.unix_seconds("ts").cast("double").alias("created_utc")).alias("data"))).alias("children")).alias("data")))
-    p = readers.read_listing(v.events.select(page.alias("value")))
+    data = F.struct(F.col("event_id").cast("string").alias("id"), F.lit("someone").alias("author"), F.unix_seconds("ts").cast("double").alias("created_utc"))
+    page = F.struct(F.struct(F.lit(None).cast("string").alias("after"), F.array(F.struct(F.lit(readers.POST).alias("kind"), data.alias("data"))).alias("children")).alias("data"))
+    p = readers.read_listing(v.events.select(F.to_json(page).alias("value")))
     return p.select(F.col("id").cast("long").alias("event_id"), sec("timestamp_utc").alias("ts"))
 
 
