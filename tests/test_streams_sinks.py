@@ -5,11 +5,13 @@ import json
 import random
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import clean
+from tidemark.plans import catalogue, catalogue_io
 from tidemark.sources import paged, readers, sinks
 from tidemark.streaming import streams
 
@@ -195,3 +197,38 @@ def test_a_hot_authors_hours_are_counted_apart(spark):
     w = Window.partitionBy("author").orderBy(F.unix_micros("ts")).rangeBetween(-3_599_999_999, 0)
     want = {x.id: x.n for x in p.where("which").withColumn("n", F.count("text").over(w)).collect()}
     assert len(got) == 3000 and {i: n for i, n in got.items() if i in want} == want and all(got[i] is None for i in got.keys() - want.keys())
+
+
+def test_pages_are_handed_on_before_they_are_many():
+    got = list(paged.batches(iter([("a", n, "x" * 40) for n in range(10)]), paged._PAGES, 100))
+    assert [b.num_rows for b in got] == [3, 3, 3, 1] and got[0].to_pydict()["page"] == [0, 1, 2]
+
+
+def _against_sql(spark, folder, name, rows):
+    path = str(folder / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    rel, df = con.sql(catalogue.ORACLES[name]), catalogue.QUERIES[name](spark, str(folder))
+    assert sorted(df.columns) == sorted(rel.columns)
+    got, want = sorted(map(tuple, df.select(*rel.columns).collect())), sorted(rel.fetchall())
+    assert len(got) == len(want) and got == want
+
+
+@pytest.mark.parametrize("name", ["paged_source", "polled_source"])
+def test_listings_of_dense_posts_with_gaps_are_whole(spark, tmp_path, monkeypatch, name):
+    """Several posts in a second, on both sides of the first poll, ids with gaps of pages, many listings."""
+    monkeypatch.setattr(catalogue_io, "LISTED", 700, raising=False)
+    monkeypatch.setattr(catalogue_io, "PAGED", 50, raising=False)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i + (9000 if i > 500 else 0), at + dt.timedelta(milliseconds=217 * i), i % 50, "click", float(i), json.dumps({"k": i % 100})) for i in range(3000)]
+    _against_sql(spark, tmp_path, name, rows)
+
+
+@pytest.mark.parametrize("name", ["align_ladder", "align_daily"])
+def test_prices_of_one_moment_go_by_their_order(spark, tmp_path, name):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(hours=i // 4), i // 4 % 5, "click", float(i * 7 % 100), json.dumps({"k": i % 100})) for i in range(3000)]
+    random.Random(1).shuffle(rows)
+    _against_sql(spark, tmp_path, name, rows)

@@ -12,6 +12,7 @@ import os
 import uuid
 import zipfile
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,21 +142,24 @@ def _(v: Views):
 
 def write_texts(rows: DataFrame, root: str) -> None:
     """(name, value) rows as one file each under ``root``, written by the tasks that hold them."""
-    address = _address(root).removeprefix("file://")
+    address, own = _address(root).removeprefix("file://"), lambda: f"{TaskContext.get().taskAttemptId()}.part"
     if "://" in address:
         raise ValueError(f"tasks write to mounted folders only, not to {root}")
 
-    def put_all(batches):
-        for b in batches:
-            for name, value in zip(b["name"], b["value"]):
-                to = os.path.join(address, name)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(f"{to}.{uuid.uuid4().hex}", "w", encoding="utf-8") as f:  # a repeated task replaces the file whole
-                    f.write(value)
-                os.replace(f.name, to)
-            yield b[["name"]]
+    def put_all(rows):  # one row after the other: texts may be large
+        made = set()
+        for name, value in rows:
+            to = os.path.join(address, name)
+            folder = os.path.dirname(to)
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            part = f"{to}.{own()}"
+            with open(part, "w", encoding="utf-8", newline="") as f:  # a repeated task replaces the file whole
+                f.write(value)
+            os.replace(part, to)
 
-    rows.select("name", "value").mapInPandas(put_all, "name string").write.format("noop").mode("overwrite").save()
+    rows.select("name", "value").foreachPartition(put_all)
 
 
 def _post(v: Views):
@@ -169,14 +173,30 @@ def _post(v: Views):
     return F.struct(F.when(at == 4, "t1").otherwise("t3").alias("kind"), data.alias("data"))
 
 
-def _listing(v: Views, size: int = 100) -> DataFrame:
-    """(n, value): posts as listing pages, each naming the next page."""
-    n = F.floor(F.col("id") / size).cast("long")
-    p = v.posts.groupBy(n.alias("n")).agg(F.sort_array(F.collect_list(F.struct("id", _post(v).alias("x")))).alias("rows"))
-    last = v.posts.agg(F.max(n).alias("last"))
-    p = p.join(F.broadcast(last)).withColumn("after", F.when(F.col("n") < F.col("last"), F.concat(F.lit("p"), (F.col("n") + 1).cast("string"))))
-    page = F.struct(F.struct("after", F.transform("rows", lambda r: r["x"]).alias("children")).alias("data"))
-    return p.select("n", F.to_json(page).alias("value"))
+#: Posts of a listing and of one of its pages where the number of listings is ours; a listing is read by one task, page after page.
+LISTED, PAGED = 200_000, 500
+
+
+def _pages(p: DataFrame) -> DataFrame:
+    """(listing, n, after, rows) as (listing, n, value): pages, each naming the next."""
+    page = F.struct(F.struct(F.col("after").cast("string").alias("after"), F.transform("rows", lambda r: r["x"]).alias("children")).alias("data"))
+    return p.select("listing", "n", F.to_json(page).alias("value"))
+
+
+def _listing(v: Views, size: int = 100, listings: int = 1) -> DataFrame:
+    """(listing, n, value): posts as pages of listings, each naming the next page that is there; n is 0 for a listing's first."""
+    at = F.floor(F.col("id") / size).cast("long")
+    p = v.posts.groupBy(at.alias("at")).agg(F.sort_array(F.collect_list(F.struct("id", _post(v).alias("x")))).alias("rows"))
+    of = v.posts.select(at.alias("at")).distinct().withColumn("listing", F.pmod("at", F.lit(listings)))
+    w = Window.partitionBy("listing").orderBy("at")  # over one number for each page
+    of = of.withColumn("n", F.row_number().over(w) - 1)
+    of = of.withColumn("after", F.when(F.lead("at").over(w).isNotNull(), F.concat(F.lit("p"), F.col("n") + 1)))
+    return _pages(p.join(of, "at"))
+
+
+def _named(folder, n, sign: str = "p"):
+    """A page's file: the first has no name, as nothing comes before it."""
+    return F.concat(folder, F.lit("/"), F.when(n > 0, F.concat(F.lit(sign), n)).otherwise(F.lit("")), F.lit(".json"))
 
 
 _LISTED = "SELECT id::VARCHAR AS id, 'reddit' AS source, source AS subreddit, author, 'Title ' || text AS text, upvotes::DOUBLE AS upvotes, ticker AS post_flair, floor(epoch(timestamp_utc))::BIGINT AS timestamp_utc FROM posts WHERE id % 7 NOT IN (1, 2, 3, 4)"
@@ -210,10 +230,11 @@ def _(v: Views):
 def _(v: Views):
     paged.register(v.spark)
     at = _folder(v)
-    name = F.concat(F.lit("r/market/"), F.when(F.col("n") > 0, F.concat(F.lit("p"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".json"))
-    write_texts(_listing(v, 2000).select(name.alias("name"), "value"), at)
+    many = max(1, -(-v.posts.count() // LISTED))
+    write_texts(_listing(v, PAGED, many).select(_named(F.concat(F.lit("r/market"), "listing"), F.col("n")).alias("name"), "value"), at)
     url = _address(at) + "/r/{listing}/{after}.json"
-    raw = v.spark.read.format("paged_listing").options(of=json.dumps(["market", "nothing here"]), url=url, limit=str(10**9)).load()
+    of = [*[f"market{k}" for k in range(many)], "nothing here"]
+    raw = v.spark.read.format("paged_listing").options(of=json.dumps(of), url=url, limit=str(10**9)).load()
     return out(readers.read_listing(raw), *_LISTING_COLUMNS)
 
 
@@ -223,18 +244,18 @@ def _(v: Views):
     paged.register(v.spark)
     at = _folder(v)
     url = _address(at) + "/{listing}/{after}.json"
-    half = v.posts.agg(F.percentile_approx(F.unix_micros("timestamp_utc"), 0.5)).first()[0]
-    for rows in (v.posts.where(F.unix_micros("timestamp_utc") <= half), v.posts):
-        # Newest first, numbered by the seconds of the posts, some hundred to a page.
-        n = F.floor(F.unix_seconds("timestamp_utc") / 40_000)
-        p = rows.groupBy(n.alias("n")).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("timestamp_utc").alias("t"), "id", _post(v).alias("x"))), asc=False).alias("rows"))
-        order = Window.orderBy(F.desc("n"))  # over one number for each page
-        follows = rows.select(n.alias("n")).distinct().withColumns({"page": F.row_number().over(order), "after": F.lead("n").over(order)})
-        p = p.join(follows, "n")
-        name = F.when(F.col("page") == 1, "market/.json").otherwise(F.concat(F.lit("market/"), F.col("n").cast("string"), F.lit(".json")))
-        page = F.struct(F.struct(F.col("after").cast("string").alias("after"), F.transform("rows", lambda r: r["x"]).alias("children")).alias("data"))
-        write_texts(p.select(name.alias("name"), F.to_json(page).alias("value")), at)
-        live = v.spark.readStream.format("paged_listing").options(of='["market"]', url=url).load()
+    second = F.unix_seconds("timestamp_utc")
+    half, count = v.posts.agg(F.percentile_approx(second, 0.5), F.count("*")).first()
+    many = max(1, -(-count // LISTED))
+    listing, newest = F.pmod("id", F.lit(many)), [F.desc("t"), F.desc("key")]  # as a listing's places are ordered
+    for rows in (v.posts.where(second <= half), v.posts):
+        w = Window.partitionBy("listing").orderBy(*newest)  # over the posts of one listing, at most some LISTED
+        p = rows.select(listing.alias("listing"), second.alias("t"), F.col("id").cast("string").alias("key"), _post(v).alias("x"))
+        p = p.withColumns({"row": F.row_number().over(w), "all": F.count("*").over(Window.partitionBy("listing"))})
+        p = p.withColumn("n", F.floor((F.col("row") - 1) / PAGED)).groupBy("listing", "n").agg(F.max("all").alias("all"), F.sort_array(F.collect_list(F.struct("row", "x"))).alias("rows"))
+        p = _pages(p.withColumn("after", F.when((F.col("n") + 1) * PAGED < F.col("all"), F.col("n") + 1)))
+        write_texts(p.select(_named(F.concat(F.lit("market"), "listing"), F.col("n"), "").alias("name"), "value"), at)
+        live = v.spark.readStream.format("paged_listing").options(of=json.dumps([f"market{k}" for k in range(many)]), url=url).load()
         streams.run_available(live, f"{at}/out", f"{at}/state")
     raw = v.spark.read.schema("listing string, page int, value string").parquet(f"{at}/out")
     return out(readers.read_listing(raw), *_LISTING_COLUMNS)
@@ -253,10 +274,9 @@ def _(v: Views):
 def _(v: Views):
     paged.register(v.spark)
     at = _folder(v)
-    name = F.concat(F.when(F.col("n") > 0, F.concat(F.lit("p"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".json"))
-    write_texts(_listing(v, 20).select(name.alias("name"), "value"), at)
+    write_texts(_listing(v, 20).select(_named(F.lit("x"), F.col("n")).alias("name"), "value"), at)
     half = v.posts.count() // 2  # items asked for: pages follow until there are as many
-    raw = v.spark.read.format("paged_listing").options(of='["x"]', url=_address(at) + "/{after}.json", limit=str(half)).load()
+    raw = v.spark.read.format("paged_listing").options(of='["x"]', url=_address(at) + "/{listing}/{after}.json", limit=str(half)).load()
     items = F.size(F.from_json("value", readers.LISTING)["data"]["children"])
     return raw.agg(F.count("*").alias("pages"), F.sum(items).cast("long").alias("items"))
 

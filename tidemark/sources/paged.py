@@ -15,18 +15,24 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Seconds to wait after "too many requests" and after other failures, times the attempt; rows of a page.
 LIMITED, FAILED, PAGE = 15.0, 2.0, 100
+#: Characters of payloads that a task holds before it hands them on.
+HELD = 4 << 20
 #: Endings of a symbol and those tried after it, in order.
 ENDINGS = {".NS": (".NSE", ".BO", ".BSE"), ".NSE": (".NS", ".BO", ".BSE"), ".BO": (".BSE", ".NS", ".NSE"), ".BSE": (".BO", ".NS", ".NSE")}
 
 
 def fetch(url: str) -> tuple[int, str]:
-    """(status, body) of an address."""
+    """(status, body) of an address. Stored payloads are opened as files."""
+    if url.startswith("file:///"):
+        with open(urllib.request.url2pathname(url[len("file://") :]), encoding="utf-8", newline="") as f:
+            return 200, f.read()
     try:
         with urllib.request.urlopen(url, timeout=10) as r:
             return getattr(r, "status", None) or 200, r.read().decode("utf-8")
@@ -95,6 +101,23 @@ def fetch_each(rows: DataFrame, template: str, tries: int = 3) -> DataFrame:
     return rows.mapInPandas(get, schema)
 
 
+def batches(rows: Iterator[tuple], schema: pa.Schema, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows that end with a payload as batches of about ``most`` characters: Spark would hold ten thousand payloads at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+_PAGES = pa.schema([("listing", pa.string()), ("page", pa.int32()), ("value", pa.string())])
+_QUOTES = pa.schema([("ticker", pa.string()), ("symbol", pa.string()), ("value", pa.string())])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], kind: str):
         self.options, self.kind = options, kind
@@ -102,8 +125,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(x) for x in json.loads(self.options["of"])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        one = partition.value
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return batches(self._rows(partition.value), _PAGES if self.kind == "listing" else _QUOTES)
+
+    def _rows(self, one: str) -> Iterator[tuple]:
         if self.kind == "listing":
             for n, body in enumerate(pages(fetch, self.options["url"], one, int(self.options.get("limit", "100")))):
                 yield one, n, body
@@ -158,7 +183,7 @@ class _Polls(DataSourceStreamReader):
             own = [x for at, x in places if start < at <= end]
             if own:
                 page["data"]["children"] = own
-                yield listing, n, json.dumps(page)
+                yield listing, n, body if len(own) == len(places) else json.dumps(page)
             if all(at <= start for at, _ in places):
                 return
 
@@ -166,6 +191,11 @@ class _Polls(DataSourceStreamReader):
         pass
 
 
+class _BatchedPolls(_Polls):
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return batches(super().read(partition), _PAGES)
+
+
 class PagedListing(DataSource):
     """``of``: a JSON list of listings; ``url``: an address with {listing}, {after}, {limit}; ``limit``: items of each listing. As a
     stream it polls listings that have their newest items first."""
@@ -181,7 +211,7 @@ class PagedListing(DataSource):
         return _Reader(dict(self.options), "listing")
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Polls(dict(self.options))
+        return _BatchedPolls(dict(self.options))
 
 
 class Quotes(DataSource):
