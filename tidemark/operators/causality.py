@@ -188,39 +188,38 @@ def stationarity(series: DataFrame, value: str, ts="ts") -> DataFrame:
     return s.groupBy("ticker").applyInPandas(one, "ticker string, n long, stationary boolean, rounds int, ends_stationary boolean")
 
 
-def align(price: DataFrame, sentiment: DataFrame, least_hourly: int = 24, least_daily: int = 10, fill: str = "ffill", backfill: DataFrame | None = None) -> DataFrame:
+def align(price: DataFrame, sentiment: DataFrame, least_hourly: int = 24, least_daily: int = 10, fill: str = "ffill", backfill: DataFrame | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """(ticker, grain, ts, price, sentiment): hourly where enough hours meet, else daily, else daily with prices of ``backfill``
     (ticker, ts, price) from thirty days before the first sentiment to two days after the last, else nothing. ``fill`` is ffill
-    (what is left in front becomes 0), zero, or strict for the hours that both have. Tickers that one side lacks are in none."""
+    (what is left in front becomes 0), zero, or strict for the hours that both have. Tickers that one side lacks are in none.
+    A time's price is its last, by ``ts`` and then ``order`` (columns of ``price``). Only hours and days are joined, never rows."""
     from pyspark.sql.window import Window
 
     from ..functions.scalars import fill_forward
 
-    both = price.select("ticker").intersect(sentiment.select("ticker"))
-    price, sentiment = price.join(both, "ticker", "left_semi"), sentiment.join(both, "ticker", "left_semi")
-
     def at(unit: str, last, price: DataFrame = price) -> DataFrame:
         p = price.groupBy("ticker", F.date_trunc(unit, "ts").alias("ts")).agg(last.alias("price"))
         s = sentiment.groupBy("ticker", F.date_trunc(unit, "ts").alias("ts")).agg(F.avg("sentiment").alias("sentiment"))
-        j = p.join(s, ["ticker", "ts"], "left")
+        j = p.join(s.select("ticker").distinct(), "ticker", "left_semi").join(s, ["ticker", "ts"], "left")
         w = Window.partitionBy("ticker").orderBy("ts")
         filled = fill_forward(F.col("sentiment"), w) if fill == "ffill" else F.col("sentiment")
         j = j.withColumn("sentiment", F.coalesce(filled, F.lit(0.0)) if fill in ("ffill", "zero") else F.col("sentiment"))
         return j.where("price IS NOT NULL AND sentiment IS NOT NULL").select("ticker", F.lit(unit).alias("grain"), "ts", "price", "sentiment")
 
-    last = F.max_by("price", F.when(F.col("price").isNotNull(), F.col("ts")))
-    hourly, daily = at("hour", last), at("day", last)
+    last = lambda *by: F.max_by("price", F.when(F.col("price").isNotNull(), F.struct("ts", *by)))
+    hourly, daily = at("hour", last(*order)), at("day", last(*order))
     enough = lambda d, n: d.groupBy("ticker").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select("ticker")
     h = enough(hourly, least_hourly)
     d = enough(daily, least_daily).join(h, "ticker", "left_anti")
     out = hourly.join(h, "ticker", "left_semi").union(daily.join(d, "ticker", "left_semi"))
     if backfill is None:
         return out
-    span = sentiment.join(h.union(d), "ticker", "left_anti").groupBy("ticker").agg(
+    span = sentiment.groupBy("ticker").agg(
         F.date_sub(F.min("ts").cast("date"), 30).alias("_a"), F.date_add((F.max("ts") + F.expr("INTERVAL 2 DAYS")).cast("date"), 0).alias("_z")
     )
+    span = span.join(price.select("ticker").distinct(), "ticker", "left_semi").join(h.union(d), "ticker", "left_anti")
     old = backfill.join(span, "ticker").where((F.to_date("ts") >= F.col("_a")) & (F.to_date("ts") < F.col("_z"))).drop("_a", "_z")
-    more = at("day", last, old).withColumn("grain", F.lit("backfill"))
+    more = at("day", last(), old).withColumn("grain", F.lit("backfill"))
     return out.union(more.join(enough(more, least_daily), "ticker", "left_semi"))
 
 
