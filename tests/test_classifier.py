@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import classifier, entity, score
+from tidemark.operators import descent
 from tidemark.operators.descent import Adam
 
 GOOD, BAD = ("gains", "rally", "profit", "strong beat"), ("losses", "fraud", "weak miss", "slump")
@@ -142,3 +143,14 @@ def test_links_come_from_the_company_table(spark):
     companies = spark.createDataFrame([("ACME Corp", "GME"), ("Globex", "NVDA"), ("apple", "XX")], "company string, ticker string")
     got = sorted((str(r.id), r.ticker) for r in entity.link(posts, companies=companies).select("id", "ticker").collect())
     assert got == [("1", "GME"), ("2", "TSLA"), ("3", "AAPL"), ("3", "NVDA"), ("None", "NVDA")]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_the_driver_gets_one_sum_of_many_tasks(spark, monkeypatch, parts):
+    rows = spark.range(0, 400, 1, parts)
+    loss = lambda w, b: (float(b.num_rows), float(sum(b.column(0).to_pylist())), w * b.num_rows)
+    got, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: (got.append(collect(df)), got[-1])[1])
+    n, total, g = descent.summed(rows, parts, np.array([1.0, 2.0, 3.0]), loss)
+    assert (n, total, g.tolist()) == (400, 79_800, [400, 800, 1200]) and [len(x) for x in got] == [1]
+    assert descent.summed(rows, parts, np.ones(3), lambda w, b: (1.0, 0.0, None))[2].tolist() == []

@@ -1,7 +1,7 @@
 """Sums of gradients over tasks, for models whose weights fit the driver.
 
 Each task adds up the gradients of its rows into one row; the rows of many tasks are added ``FAN`` at a time, level by level, so
-neither the driver nor any task ever gets more than ``FAN`` of them. A repeated task gives the same sums.
+no task ever gets more than ``FAN`` of them and the driver gets one. A repeated task gives the same sums.
 """
 
 from __future__ import annotations
@@ -47,9 +47,9 @@ def _sums(batches: Iterator[pa.RecordBatch], weights, loss: Loss, rows: int) ->
 
 
 def _added(t: pa.Table) -> pa.Table:
-    rows = sorted(t.to_pylist(), key=lambda r: r["part"])  # always in one order, so sums come out the same
-    g = np.sum([r["gradient"] for r in rows], axis=0)
-    return pa.Table.from_pylist([{"part": rows[0]["part"] // FAN, "n": sum(r["n"] for r in rows), "loss": sum(r["loss"] for r in rows), "gradient": g}], _SUMS)
+    t = t.sort_by("part")  # always in one order, so sums come out the same
+    g = t["gradient"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(axis=0)
+    return pa.Table.from_pydict({"part": [t["part"][0].as_py() // FAN], "n": [sum(t["n"].to_pylist())], "loss": [sum(t["loss"].to_pylist())], "gradient": [g]}, _SUMS)
 
 
 def tasks_of(df: DataFrame) -> int:
@@ -61,7 +61,7 @@ def summed(rows: DataFrame, tasks: int, weights: np.ndarray, loss: Loss, at_once
     """(rows or their weight, loss, gradient) of all rows."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)
     level = rows.mapInArrow(lambda it: _sums(it, sent, loss, at_once), SUMS)
-    while tasks > FAN:
+    while tasks > 1:
         level = level.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(_added, SUMS)
         tasks = -(-tasks // FAN)
     got = sorted(level.collect(), key=lambda r: r["part"])
