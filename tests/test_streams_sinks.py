@@ -232,3 +232,12 @@ def test_prices_of_one_moment_go_by_their_order(spark, tmp_path, name):
     rows = [(i, at + dt.timedelta(hours=i // 4), i // 4 % 5, "click", float(i * 7 % 100), json.dumps({"k": i % 100})) for i in range(3000)]
     random.Random(1).shuffle(rows)
     _against_sql(spark, tmp_path, name, rows)
+
+
+def test_no_folder_gets_the_pages_of_all_posts(spark, tmp_path, monkeypatch):
+    named, write = [], catalogue_io.write_texts
+    monkeypatch.setattr(catalogue_io, "write_texts", lambda rows, root: (named.extend(r[0] for r in rows.select("name").collect()), write(rows, root)))
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i % 50, "click", float(i), json.dumps({"k": i % 100})) for i in range(2500)]
+    _against_sql(spark, tmp_path, "comments_source", rows)
+    folders = [n.rsplit("/", 1)[0] for n in named]
+    assert len(set(named)) == 2500 and max(map(folders.count, set(folders))) == 1000

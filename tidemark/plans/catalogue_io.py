@@ -264,10 +264,11 @@ def _(v: Views):
 @query("comments_source", _REPLIED, "posts")
 def _(v: Views):
     at = _folder(v)
-    r = _replies(v)
-    write_texts(r.select(F.concat_ws("/", "subreddit", F.concat("id", F.lit(".json"))).alias("name"), "value"), at)
-    posts = r.select("subreddit", "id").union(v.posts.select(F.col("source"), F.lit("gone")).distinct())  # these have no page
-    return out(readers.read_comments(paged.fetch_each(posts, _address(at) + "/{subreddit}/{id}.json", tries=1)), "id", "author", "text", "upvotes")
+    # Folders of some posts each: tasks that make files in one folder wait for each other.
+    r = _replies(v).withColumn("part", F.floor(F.col("id").cast("long") / 1000))
+    write_texts(r.select(F.concat_ws("/", "subreddit", "part", F.concat("id", F.lit(".json"))).alias("name"), "value"), at)
+    posts = r.select("subreddit", "part", "id").union(v.posts.select(F.col("source"), F.lit(0).cast("long"), F.lit("gone")).distinct())  # these have no page
+    return out(readers.read_comments(paged.fetch_each(posts, _address(at) + "/{subreddit}/{part}/{id}.json", tries=1)), "id", "author", "text", "upvotes")
 
 
 @query("page_limit", "SELECT count(*) AS pages, 20 * count(*) AS items FROM (SELECT id // 20 AS p FROM posts GROUP BY 1 ORDER BY 1 LIMIT greatest(1, (SELECT ceil(count(*) / 40.0) FROM posts)::BIGINT))", "posts")
