@@ -241,3 +241,25 @@ def test_no_folder_gets_the_pages_of_all_posts(spark, tmp_path, monkeypatch):
     _against_sql(spark, tmp_path, "comments_source", rows)
     folders = [n.rsplit("/", 1)[0] for n in named]
     assert len(set(named)) == 2500 and max(map(folders.count, set(folders))) == 1000
+
+
+#: Edges that a CSV writer may trim; empty beside null; NUL before what a CSV parser looks for.
+EDGES = [" a", "a ", "\ta", "a\t", "\na", "a\n", "\ra", "a\r\n", "\x0b", " ", "\r\n", " \n\t"]
+EMPTY = ["", None, '""', '"', '","', "null", "\\N", "\\", '\\"']
+NUL = ["\0", '\0"a"', 'a\0"b', "a\0\nb", "a\0,", "\0\0"]
+
+
+@pytest.mark.parametrize("texts", [EDGES, EMPTY, NUL], ids=["edges", "empty", "nul"])
+def test_csv_scan_gives_every_text_back(spark, tmp_path, texts):
+    rows = [(i, "en", "web", t) for i, t in enumerate(texts)] + [(100 + i, t, t, "x") for i, t in enumerate(texts)] + [(None, None, None, None), (None, "", "", "")]
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(at)
+    got = [tuple(r) for r in catalogue.QUERIES["csv_scan"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    assert sorted(got, key=repr) == sorted(con.sql(catalogue.ORACLES["csv_scan"]).fetchall(), key=repr)
+
+
+def test_other_files_keep_quoted_empty_values_as_null(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('i,t\n1,""\n2,\n"",x\n')
+    assert sorted(map(tuple, readers.read_csv(spark, f"file://{tmp_path}", "i long, t string", tolerant=True).collect()), key=repr) == [(1, None), (2, None), (None, "x")]

@@ -33,11 +33,15 @@ def _path(spark: SparkSession, p: str):
     return here, here.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Texts are written as they are; Spark's CSV writer takes blanks and line ends off both ends otherwise.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def put(df: DataFrame, path: str, kind: str = "csv", one: bool = False, **options) -> str:
     """A file for each task, named ``name-0.csv`` and so on for ``name.csv``; what finds them all. Only where the name of a single file
     is what a query is about, ``one`` task writes it."""
     spark = df.sparkSession
-    (df.coalesce(1) if one else df).write.format(kind).options(**({"header": True, "escape": '"'} | options if kind == "csv" else options)).save(f"{path}.parts")
+    (df.coalesce(1) if one else df).write.format(kind).options(**(_CSV | options if kind == "csv" else options)).save(f"{path}.parts")
     to, fs = _path(spark, path)
     fs.mkdirs(to.getParent())
     stem, ending = path.rsplit(".", 1)
@@ -69,7 +73,7 @@ def _few(v: Views) -> DataFrame:
 @query("csv_scan", "SELECT doc_id, lang, source, md5(text) AS text FROM documents")
 def _(v: Views):
     at = put(v.table("documents").select("doc_id", "lang", "source", "text"), f"{_folder(v)}/d.csv")
-    return readers.read_csv(v.spark, at, "doc_id long, lang string, source string, text string").select("doc_id", "lang", "source", F.md5("text").alias("text"))
+    return readers.read_csv(v.spark, at, "doc_id long, lang string, source string, text string", exact=True).select("doc_id", "lang", "source", F.md5("text").alias("text"))
 
 
 @query("csv_tolerant", "SELECT id, source, upvotes FROM posts WHERE id % 3 <> 0", "posts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,11 +18,15 @@ from ..functions.text import title_and_description
 from ..schemas import PRICE, VIX, plain_headers, role_column, union_drifting
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, tolerant: bool = False, recursive: bool = False, lines: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, tolerant: bool = False, recursive: bool = False, lines: bool = False, exact: bool = False) -> DataFrame:
     """CSV with quoted line breaks; ``tolerant`` drops malformed lines, ``recursive`` goes into folders. Files of which every row is
-    one line (``lines``) are split among tasks; others are read whole, each by one."""
+    one line (``lines``) are split among tasks; others are read whole, each by one. ``exact`` keeps each text as it was written: only
+    what stands without quotes and is empty is null, and NUL characters stay."""
     r = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"').option("recursiveFileLookup", recursive)
     r = r.option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE")
+    if exact:
+        # A text equal to the null value is read as null, so it is one that no file holds; the sign before an escape is NUL by default.
+        r = r.option("nullValue", uuid.uuid4().hex).option("charToEscapeQuoteEscaping", '"')
     return (r.schema(schema) if schema is not None else r).csv(path)
 
 
